@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -85,16 +86,16 @@ def _over(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*series)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _over(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return _over(chi2_upper, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return _over(normal_two_sided, z)

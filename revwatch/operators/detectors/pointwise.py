@@ -20,10 +20,13 @@ IQR_MULTIPLIERS = (1.5, 2.0, 2.5, 3.0)
 MAD_THRESHOLDS = (2.5, 3.0, 3.5)
 MAD_SCALE = 1.4826
 
+# Scores are rounded before they meet a threshold, so that a score equal to it never flags by a last-bit error.
+SCORE_DIGITS = 9
+
 
 def zscore_scores(features: DataFrame, series_key: Sequence[str] = (), columns=ZSCORE_FEATURES) -> DataFrame:
     w = Window.partitionBy(*series_key, "feature_set")
-    score = F.abs(safe_divide(F.col("x") - F.avg("x").over(w), F.stddev_samp("x").over(w)))
+    score = F.round(F.abs(safe_divide(F.col("x") - F.avg("x").over(w), F.stddev_samp("x").over(w))), SCORE_DIGITS)
     return long_features(features, columns, series_key).withColumn("score", score).drop("x")
 
 
@@ -36,7 +39,8 @@ def rolling_scores(
     def score(rows: int):
         w = days.rowsBetween(-(rows - 1), Window.currentRow)
         spread = F.coalesce(F.stddev_samp("x").over(w), F.lit(1.0))
-        return F.coalesce(F.abs(F.try_divide(F.col("x") - F.avg("x").over(w), spread)), F.lit(0.0))
+        z = F.coalesce(F.abs(F.try_divide(F.col("x") - F.avg("x").over(w), spread)), F.lit(0.0))
+        return F.round(z, SCORE_DIGITS)
 
     wide = long_features(features, columns, series_key).withColumns({f"w{n}": score(n) for n in windows})
     per_window = F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"w{n}").alias("score")) for n in windows])
@@ -50,16 +54,16 @@ def iqr_scores(features: DataFrame, series_key: Sequence[str] = (), columns=ZSCO
         "q", F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).over(w)
     )
     outside = F.greatest(F.col("x") - F.col("q")[1], F.col("q")[0] - F.col("x"), F.lit(0.0))
-    return frame.withColumn("score", safe_divide(outside, F.col("q")[1] - F.col("q")[0])).drop("x", "q")
+    score = F.round(safe_divide(outside, F.col("q")[1] - F.col("q")[0]), SCORE_DIGITS)
+    return frame.withColumn("score", score).drop("x", "q")
 
 
 def mad_scores(features: DataFrame, series_key: Sequence[str] = (), columns=ZSCORE_FEATURES) -> DataFrame:
     """Distance from the median in units of the scaled median absolute deviation."""
     w = Window.partitionBy(*series_key, "feature_set")
     gap = long_features(features, columns, series_key).withColumn("gap", F.abs(F.col("x") - F.median("x").over(w)))
-    return gap.withColumn(
-        "score", safe_divide(F.col("gap"), F.lit(MAD_SCALE) * F.median("gap").over(w))
-    ).drop("x", "gap")
+    score = F.round(safe_divide(F.col("gap"), F.lit(MAD_SCALE) * F.median("gap").over(w)), SCORE_DIGITS)
+    return gap.withColumn("score", score).drop("x", "gap")
 
 
 def sigma_band(daily: DataFrame, value: str = "daily_revenue", k: float = 2.5, series_key=()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revwatch.functions.numeric import safe_divide
-from revwatch.operators.detectors.pointwise import SERIES_FEATURES, SERIES_WINDOWS
+from revwatch.operators.detectors.pointwise import SCORE_DIGITS, SERIES_FEATURES, SERIES_WINDOWS
 from revwatch.operators.features import long_features
 
 STL_PERIODS = (7, 14, 21, 30, 60)
@@ -39,9 +39,11 @@ def ewm_scores(
     overlap = ewm_horizon(max(spans))
     keys = [*series_key, "feature_set"]
     days = Window.partitionBy(*keys).orderBy("order_date")
-    numbered = long_features(features, columns, series_key).withColumn("row", F.row_number().over(days) - 1)
+    numbered = long_features(features, columns, series_key).withColumns(
+        {"row": F.row_number().over(days) - 1, "last": F.count("*").over(Window.partitionBy(*keys)) - 1}
+    )
     slab = F.floor(F.col("row") / SLAB_DAYS)
-    reaches = F.floor((F.col("row") + overlap) / SLAB_DAYS)
+    reaches = F.floor(F.least(F.col("row") + overlap, F.col("last")) / SLAB_DAYS)
     slabbed = numbered.withColumn("slab", F.explode(F.sequence(slab, reaches))).withColumn(
         "own", F.col("slab") == slab
     )
@@ -61,10 +63,9 @@ def ewm_scores(
         for span in spans:
             ewm = pdf["x"].ewm(span=span)
             z = ((pdf["x"] - ewm.mean()) / ewm.std().fillna(1)).fillna(0).abs()
-            out.append(pdf.loc[own, carried].assign(span=span, score=z[own]))
+            out.append(pdf.loc[own, carried].assign(span=span, score=z[own].round(SCORE_DIGITS)))
         return pd.concat(out)
 
-    # A last slab may hold overlap rows only; it yields nothing.
     return slabbed.groupBy(*keys, "slab").applyInPandas(score, schema)
 
 
@@ -89,7 +90,7 @@ def seasonal_scores(
     series = Window.partitionBy(*keys, "period")
     resid = long.withColumn("resid", F.col("detrended") - F.median("detrended").over(phase))
     z = F.abs((F.col("resid") - F.avg("resid").over(series)) / (F.stddev_pop("resid").over(series) + 1e-8))
-    return resid.withColumn("score", z).drop("phase", "detrended", "resid")
+    return resid.withColumn("score", F.round(z, SCORE_DIGITS)).drop("phase", "detrended", "resid")
 
 
 # --- STL: seasonal-trend decomposition by local regression (Cleveland et al., 1990) ---

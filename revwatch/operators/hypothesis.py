@@ -166,7 +166,7 @@ def welch_ttest(df: DataFrame, value: str, flag: Column) -> DataFrame:
 
 def contingency(df: DataFrame, row: str, col: Column, values: Sequence) -> DataFrame:
     """Row × column counts, absent cells 0."""
-    return df.withColumn("c", col).groupBy(row).pivot("c", list(values)).agg(F.count("*")).na.fill(0)
+    return df.withColumn("c", col).groupBy(row).pivot("c", list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def chi_square(df: DataFrame, row: str, flag: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revwatch.functions.numeric import mean, safe_divide
+from revwatch.functions.numeric import mean, money, ratio, safe_divide
 
 
 def series_window(series_key: Sequence[str] = ()):
@@ -106,7 +106,8 @@ def etl_metrics(orders, fact, dim_products, labelled, calendar) -> DataFrame:
 
 
 def rolling_baseline(daily: DataFrame, value: str, days: int = 90, series_key: Sequence[str] = ()) -> DataFrame:
-    """Mean and deviation of the last ``days`` calendar days (gaps count as absent days), per series."""
+    """Mean (four digits) and deviation of a money KPI over the last ``days`` calendar days, per series; days without
+    a row are absent from the mean."""
     w = (
         Window.partitionBy(*series_key)
         .orderBy(F.unix_date("order_date"))
@@ -116,7 +117,7 @@ def rolling_baseline(daily: DataFrame, value: str, days: int = 90, series_key: S
         *series_key,
         "order_date",
         value,
-        F.avg(value).over(w).alias("baseline_mean"),
+        ratio(F.sum(money(value)).over(w), F.count(value).over(w), 4).alias("baseline_mean"),
         F.stddev_samp(value).over(w).alias("baseline_std"),
         F.count(value).over(w).alias("baseline_days"),
     )

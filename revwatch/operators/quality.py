@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revwatch.functions.numeric import mean
 from revwatch.operators.global_order import exact_quantiles
 from revwatch.operators.star import orphan_customers
 
@@ -73,7 +74,7 @@ def describe(df: DataFrame, columns) -> DataFrame:
         value = F.col(c).cast("double")
         scan = df.agg(
             F.count(c).alias("count"),
-            F.round(F.avg(value), 4).alias("mean"),
+            mean(F.col(c), 4).alias("mean"),
             F.round(F.stddev_samp(value), 4).alias("stddev"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),

@@ -164,24 +164,24 @@ CTES["long3"] = "\n  " + _long(pointwise.SERIES_FEATURES)
 _P = "PARTITION BY feature_set"
 CTES["z_scores"] = f"""
   SELECT feature_set, order_date, truth,
-         abs((x - avg(x) OVER ({_P})) / nullif(stddev_samp(x) OVER ({_P}), 0)) AS score FROM long6"""
+         round(abs((x - avg(x) OVER ({_P})) / nullif(stddev_samp(x) OVER ({_P}), 0)), 9) AS score FROM long6"""
 
 
 def _rolling(rows: int) -> str:
     w = f"({_P} ORDER BY order_date ROWS {rows - 1} PRECEDING)"
     return (
-        f"SELECT feature_set, order_date, truth, {rows} AS win, coalesce(abs((x - avg(x) OVER {w}) / "
-        f"nullif(coalesce(stddev_samp(x) OVER {w}, 1), 0)), 0) AS score FROM long3"
+        f"SELECT feature_set, order_date, truth, {rows} AS win, round(coalesce(abs((x - avg(x) OVER {w}) / "
+        f"nullif(coalesce(stddev_samp(x) OVER {w}, 1), 0)), 0), 9) AS score FROM long3"
     )
 
 
 CTES["rolling_scores"] = "\n  " + "\n  UNION ALL ".join(_rolling(n) for n in pointwise.SERIES_WINDOWS)
 CTES["iqr_scores"] = f"""
-  SELECT feature_set, order_date, truth, greatest(x - q3, q1 - x, 0) / nullif(q3 - q1, 0) AS score
+  SELECT feature_set, order_date, truth, round(greatest(x - q3, q1 - x, 0) / nullif(q3 - q1, 0), 9) AS score
   FROM long6 JOIN (SELECT feature_set, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
                    FROM long6 GROUP BY 1) USING (feature_set)"""
 CTES["mad_scores"] = f"""
-  SELECT feature_set, order_date, truth, gap / nullif({pointwise.MAD_SCALE} * median(gap) OVER ({_P}), 0) AS score
+  SELECT feature_set, order_date, truth, round(gap / nullif({pointwise.MAD_SCALE} * median(gap) OVER ({_P}), 0), 9) AS score
   FROM (SELECT *, abs(x - median(x) OVER ({_P})) AS gap FROM long6)"""
 CTES["ewm_spans"] = "\n  SELECT * FROM (VALUES " + ", ".join(
     f"({s}, {sequential.ewm_horizon(s)})" for s in sequential.SERIES_WINDOWS
@@ -197,8 +197,8 @@ CTES["ewm_sums"] = """
   GROUP BY ALL"""
 CTES["ewm_scores"] = """
   SELECT feature_set, order_date, truth, span,
-         coalesce(abs((y - m) / nullif(coalesce(sqrt(greatest(m2 - m * m, 0) * w * w / nullif(w * w - w2, 0)), 1), 0)), 0)
-           AS score
+         round(coalesce(abs((y - m) / nullif(coalesce(sqrt(greatest(m2 - m * m, 0) * w * w / nullif(w * w - w2, 0)), 1), 0)),
+                        0), 9) AS score
   FROM ewm_sums JOIN ewm_rows USING (feature_set, i)"""
 
 
@@ -217,8 +217,8 @@ CTES["seasonal_resid"] = """
   SELECT *, detrended - median(detrended) OVER (PARTITION BY feature_set, period, phase) AS resid FROM seasonal_parts"""
 CTES["seasonal_scores"] = """
   SELECT feature_set, order_date, truth, period,
-         abs((resid - avg(resid) OVER (PARTITION BY feature_set, period))
-             / (stddev_pop(resid) OVER (PARTITION BY feature_set, period) + 1e-8)) AS score
+         round(abs((resid - avg(resid) OVER (PARTITION BY feature_set, period))
+                   / (stddev_pop(resid) OVER (PARTITION BY feature_set, period) + 1e-8)), 9) AS score
   FROM seasonal_resid"""
 
 

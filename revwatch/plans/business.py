@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revwatch.functions.labels import context_label, weight_band, z_label
-from revwatch.functions.numeric import mean, ratio, rounded_sum, share_pct
+from revwatch.functions.numeric import mean, money, ratio, rounded_sum, share_pct
 from revwatch.operators.global_order import ntile, rank_globally
 from revwatch.operators.star import billable, order_attribute_values
 
@@ -261,7 +261,7 @@ def category_tree(dim_products: DataFrame, limit: int = 15) -> DataFrame:
         .agg(
             F.sum("total_revenue").cast("double").alias("total_revenue"),
             F.count("product_id").alias("num_products"),
-            F.round(F.avg("avg_price"), 4).alias("avg_price"),
+            mean(money("avg_price"), 4).alias("avg_price"),
         )
         .orderBy(F.desc("total_revenue"), "category")
         .limit(limit)
@@ -387,7 +387,7 @@ def dow_revenue_stats(daily: DataFrame) -> DataFrame:
     return daily.groupBy(
         F.date_format("order_date", "EEEE").alias("dow"), F.weekday("order_date").alias("dow_num")
     ).agg(
-        F.round(F.avg("daily_revenue"), 4).alias("mean"),
+        mean(money("daily_revenue"), 4).alias("mean"),
         F.round(F.stddev_samp("daily_revenue"), 4).alias("std"),
         F.round(F.median("daily_revenue"), 4).alias("median"),
     )
