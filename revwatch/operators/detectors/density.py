@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from revwatch.operators.detectors.blocks import block_pairs, distances, to_blocks
 from revwatch.operators.features import FEATURE_SETS
+from revwatch.session import materialize
 
 # Hyper-parameters of the grid.
 LOF_NEIGHBORS = (5, 10, 15, 20, 25, 30, 40)
@@ -52,7 +53,7 @@ def nearest_neighbors(vectors: DataFrame, keys: Sequence[str], k: int, dims: int
 
         return pd.Series([bound(len(d), v) for d, v in zip(days, vecs)])
 
-    blocks = to_blocks(vectors, keys, dims).withColumn("radius", radius("days", "vecs"))
+    blocks = materialize(to_blocks(vectors, keys, dims).withColumn("radius", radius("days", "vecs")), "blocks")
     pairs = block_pairs(blocks, keys, F.col("radius"))
     schema = T.StructType(
         [
@@ -94,7 +95,7 @@ def lof_scores(
     The lists of a smaller k are prefixes of the longest one, so all sizes share the same two joins.
     """
     keys = [*series_key, "feature_set"]
-    nn = nearest_neighbors(vectors, keys, max(neighbors))
+    nn = materialize(nearest_neighbors(vectors, keys, max(neighbors)), "neighbors")  # read by three joins
 
     def k_distance(k: int):
         return F.element_at("nn.d", F.least(F.lit(k), F.size("nn")))
@@ -168,7 +169,8 @@ def _fold_pairs(pairs: DataFrame, keys: Sequence[str], eps: Sequence[float], fol
 
 def neighbor_counts(vectors: DataFrame, keys: Sequence[str], eps: Sequence[float], dims: int = MAX_DIMS) -> DataFrame:
     """Points within each radius (the point itself included), as ``counts: array<bigint>``."""
-    pairs = block_pairs(to_blocks(vectors, keys, dims), keys, F.lit(float(max(eps))))
+    blocks = materialize(to_blocks(vectors, keys, dims), "blocks")
+    pairs = block_pairs(blocks, keys, F.lit(float(max(eps))))
     partial = _fold_pairs(pairs, keys, eps, lambda inside, i, row: inside.sum(axis=1))
     counts = partial.groupBy(*keys, "day").agg(
         F.array(*[F.sum(f"e{i}") for i in range(len(eps))]).alias("counts")
@@ -186,7 +188,8 @@ def best_reachable_density(
     """
     keys = [*series_key, "feature_set"]
     counted = vectors.join(neighbor_counts(vectors, keys, eps, dims), [*keys, "order_date"])
-    pairs = block_pairs(to_blocks(counted, keys, dims, "counts"), keys, F.lit(float(max(eps))))
+    blocks = materialize(to_blocks(counted, keys, dims, "counts"), "blocks")
+    pairs = block_pairs(blocks, keys, F.lit(float(max(eps))))
 
     def densest(inside, i, row):
         counts = np.asarray(row.counts_b).reshape(len(row.days_b), -1)[:, i]

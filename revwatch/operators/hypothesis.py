@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revwatch.functions.numeric import safe_divide
 from revwatch.functions.pvalues import chi2_pvalue, normal_pvalue, t_pvalue
 from revwatch.operators.global_order import exact_quantiles, rank_globally
+from revwatch.session import broadcast_if_small
 
 MIN_GROUP = 10
 MIN_PAIRS = 5
@@ -60,14 +61,15 @@ def bootstrap_ci(
         (F.row_number().over(rows.orderBy(*order_by)) - 1).cast("bigint").alias("i"),
         F.count("*").over(rows).alias("n"),
     )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
         numbered.filter(F.col("n") >= min_group)
+        .repartition(partitions, *keys, "i")  # few rows, many replicates: spread before they multiply
         .select(*keys, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
         .select(*keys, "b", (_uniform_int(F.lit(seed), F.col("b"), F.col("i")) % F.col("n")).alias("i"))
     )
-    stats = draws.join(numbered.select(*keys, "i", "x"), [*keys, "i"]).groupBy(*keys, "b").agg(
-        statistic(F.col("x")).alias("stat")
-    )
+    lookup = broadcast_if_small(numbered.select(*keys, "i", "x"), "bootstrap_rows")
+    stats = draws.join(lookup, [*keys, "i"]).groupBy(*keys, "b").agg(statistic(F.col("x")).alias("stat"))
     return _point(df, keys, value, statistic, min_group).join(_interval(stats, keys, confidence), list(keys)).select(
         *keys, "n", "estimate", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper")
     )
@@ -91,8 +93,11 @@ def poisson_bootstrap_ci(
     and task is shuffled."""
     u = _uniform_int(F.lit(seed), F.col("b"), *[F.col(c) for c in row_id]) / F.lit(float(1 << 32))
     weight = sum(((u >= F.lit(c)).cast("int") for c in _POISSON_CDF[1:]), (u >= F.lit(_POISSON_CDF[0])).cast("int"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stats = (
         df.filter(F.col(value).isNotNull())
+        .select(*{*keys, value, *row_id})
+        .repartition(partitions, *row_id)  # spread before the replicates multiply the rows
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("w", weight)
         .groupBy(*keys, "b")
@@ -239,29 +244,15 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def jarque_bera(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Normality from skewness and kurtosis, n/6 (S² + K²/4), over all rows of each key.
-
-    Central moments are taken about the group mean, attached by a join on the key.
-    """
-    centre = df.groupBy(*keys).agg(F.avg(value).alias("m")) if keys else None
-    if keys:
-        centred = df.join(centre, list(keys))
-    else:
-        one = df.agg(F.avg(value).alias("m"), F.lit(1).alias("one"))
-        centred = df.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # one row
-    d = F.col(value) - F.col("m")
-    row = centred.groupBy(*keys).agg(
-        F.count(value).cast("double").alias("n"),
-        F.avg(d * d).alias("m2"),
-        F.avg(d * d * d).alias("m3"),
-        F.avg(d * d * d * d).alias("m4"),
+    """Normality from population skewness and excess kurtosis, n/6 (S² + K²/4), over all rows of each key."""
+    skew, kurt = F.col("skewness"), F.col("excess_kurtosis")
+    return (
+        df.groupBy(*keys)
+        .agg(
+            F.count(value).alias("n"),
+            F.skewness(value).alias("skewness"),
+            F.kurtosis(value).alias("excess_kurtosis"),
+        )
+        .withColumn("jb", F.col("n") / 6 * (skew * skew + kurt * kurt / 4))
+        .withColumn("p_value", chi2_pvalue("jb", F.lit(2.0)))
     )
-    skew = safe_divide(F.col("m3"), F.pow("m2", F.lit(1.5)))
-    kurt = safe_divide(F.col("m4"), F.col("m2") * F.col("m2")) - 3
-    return row.withColumns({"skewness": skew, "excess_kurtosis": kurt}).select(
-        *keys,
-        F.col("n").cast("bigint").alias("n"),
-        "skewness",
-        "excess_kurtosis",
-        (F.col("n") / 6 * (skew * skew + kurt * kurt / 4)).alias("jb"),
-    ).withColumn("p_value", chi2_pvalue("jb", F.lit(2.0)))

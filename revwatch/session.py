@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "revwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,6 +43,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup side: written once, counted, and hinted for broadcast only up to ``max_rows`` rows.
+
+    Beyond that it is joined by shuffle, where adaptive execution splits skewed partitions.
+    """
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession

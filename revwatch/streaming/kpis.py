@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revwatch.functions.labels import z_label
 from revwatch.functions.numeric import MONEY, mean, safe_divide
-from revwatch.session import checkpoint_root
+from revwatch.session import broadcast_if_small, checkpoint_root
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
@@ -98,9 +98,10 @@ def alerts(
 ) -> DataFrame:
     """Rows beyond ``threshold`` deviations of the baseline; days of ``whitelist`` never alert.
 
-    ``events`` may be a stream or a table. Both static sides are looked up by an equi-join, which Spark broadcasts when
-    they are small.
+    ``events`` may be a stream or a table. The baseline, one row per series, is computed once and looked up; events are
+    shuffled only when there are too many series to broadcast.
     """
+    baseline = broadcast_if_small(baseline, "baseline")
     z = F.round(safe_divide(F.col(value) - F.col("mean"), F.col("std")), 6)
     quiet = events.withColumn("order_date", F.to_date("ts"))
     if whitelist is not None:
