@@ -148,7 +148,7 @@ def stl_residual(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 2,
             trend = _loess(y - seasonal_part, trend_width, robust)
         resid = y - trend - seasonal_part
         bound = 6 * np.median(np.abs(resid))
-        if bound == 0:
+        if bound <= 1e-12 * np.abs(y).max():  # an exact fit leaves only rounding noise to weigh
             break
         robust = np.clip(1 - (np.abs(resid) / bound) ** 2, 0, 1) ** 2
     return y - trend - seasonal_part

@@ -110,13 +110,14 @@ SQL["feature_frame"] = f"SELECT {day()} AS order_date, is_true_anomaly, " + ", "
 ) + " FROM features"
 _BASE = _FEATURES[:4]
 SQL["scale_standard"] = f"SELECT {day()} AS order_date, " + ", ".join(
-    f"round(round((f.{c} - avg(f.{c}) OVER ()) / stddev_pop(f.{c}) OVER (), 9), 6) AS {c}" for c in _BASE
+    f"round(coalesce((f.{c} - avg(f.{c}) OVER ()) / nullif(stddev_pop(f.{c}) OVER (), 0), 0), 9) AS {c}" for c in _BASE
 ) + " FROM features f"
 SQL["scale_minmax"] = f"SELECT {day()} AS order_date, " + ", ".join(
-    f"round(round((f.{c} - min(f.{c}) OVER ()) / (max(f.{c}) OVER () - min(f.{c}) OVER ()), 9), 6) AS {c}" for c in _BASE
+    f"round(coalesce((f.{c} - min(f.{c}) OVER ()) / nullif(max(f.{c}) OVER () - min(f.{c}) OVER (), 0), 0), 9) AS {c}"
+    for c in _BASE
 ) + " FROM features f"
 SQL["scale_robust"] = f"SELECT {day()} AS order_date, " + ", ".join(
-    f"round(round((f.{c} - q.{c}[2]) / (q.{c}[3] - q.{c}[1]), 9), 6) AS {c}" for c in _BASE
+    f"round((f.{c} - q.{c}[2]) / coalesce(nullif(q.{c}[3] - q.{c}[1], 0), 1), 9) AS {c}" for c in _BASE
 ) + " FROM features f, (SELECT " + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS {c}" for c in _BASE) + " FROM features) q"
 
 # --- grid ---
@@ -167,7 +168,7 @@ SQL["sigma_band"] = f"""SELECT {day()} AS order_date, daily_revenue, round(lo, 4
                       avg(daily_revenue) + 2.5 * stddev_samp(daily_revenue) AS hi FROM daily)
   WHERE daily_revenue > hi OR daily_revenue < lo"""
 _METRICS = ("daily_revenue", "order_count", "avg_order_value", "avg_freight")
-SQL["alert_driver"] = f"""SELECT {day()} AS order_date, driver, round(z, 4) AS driver_z FROM (
+SQL["alert_driver"] = f"""SELECT {day()} AS order_date, driver, z AS driver_z FROM (
   SELECT order_date, driver, z, row_number() OVER (PARTITION BY order_date ORDER BY abs(z) DESC, i) AS rn FROM (""" + \
   " UNION ALL ".join(
     f"""SELECT order_date, anomaly_flag, {i} AS i, '{m}' AS driver,
@@ -538,12 +539,10 @@ SQL["gt_listing"] = f"""SELECT {day()} AS order_date, CASE WHEN z_score > 0 THEN
   z_score, daily_revenue, event_label, count(*) OVER () AS total_events,
   count(*) FILTER (WHERE z_score > 0) OVER () AS spikes, count(*) FILTER (WHERE z_score < 0) OVER () AS drops
   FROM labelled WHERE is_true_anomaly = 1"""
-SQL["order_value_hist"] = """SELECT bin, round(low + bin * ((high - low) / 40), 4) AS bin_start,
-  round(low + (bin + 1) * ((high - low) / 40), 4) AS bin_end, count(*) AS orders
-  FROM (SELECT low, high, CAST(least(floor((v - low) / ((high - low) / 40)), 39) AS BIGINT) AS bin
-        FROM (SELECT CAST(value_c AS DOUBLE) / 100 AS v FROM fact),
-             (SELECT min(CAST(value_c AS DOUBLE) / 100) AS low, max(CAST(value_c AS DOUBLE) / 100) AS high FROM fact))
-  GROUP BY bin, low, high"""
+SQL["order_value_hist"] = f"""SELECT bin, {ratio("(low * 40 + bin * (high - low))", "40", 4, 1, 100)} AS bin_start,
+  {ratio("(low * 40 + (bin + 1) * (high - low))", "40", 4, 1, 100)} AS bin_end, count(*) AS orders
+  FROM (SELECT low, high, coalesce(least((value_c - low) * 40 // nullif(high - low, 0), 39), 0) AS bin
+        FROM fact, (SELECT min(value_c) AS low, max(value_c) AS high FROM fact)) GROUP BY bin, low, high"""
 SQL["order_value_box"] = f"""SELECT count(*) AS orders, {cents("sum(value_c)")} AS revenue,
   round(quantile_cont(CAST(value_c AS DOUBLE) / 100, 0.5), 4) AS median FROM fact"""
 SQL["kpi_cards"] = f"""SELECT 'orders' AS metric, CAST(count(*) AS DOUBLE) AS value FROM fact
@@ -625,7 +624,7 @@ SQL["events_daily_kpis"] = f"""SELECT event_type, {day("CAST(ts AS DATE)")} AS o
 SQL["stream_daily_kpis"] = f"""SELECT event_type, {day("CAST(ts AS DATE)")} AS order_date, {_EVENT_DAY} FROM events
   GROUP BY event_type, CAST(ts AS DATE)
   HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
-SQL["events_alerts"] = f"""SELECT event_id, event_type, {day("CAST(ts AS DATE)")} AS order_date, value, round(z, 4) AS z_score,
+SQL["events_alerts"] = f"""SELECT event_id, event_type, {day("CAST(ts AS DATE)")} AS order_date, value, z AS z_score,
   CASE WHEN z > 2.5 THEN 'SPIKE' ELSE 'DROP' END AS alert
   FROM (SELECT *, round((value - avg(value) OVER (PARTITION BY event_type))
                         / nullif(stddev_samp(value) OVER (PARTITION BY event_type), 0), 6) AS z FROM events)

@@ -431,11 +431,13 @@ def gt_listing(daily: DataFrame) -> DataFrame:
 
 
 def order_value_hist(fact: DataFrame, bins: int = 40) -> DataFrame:
-    """Equal-width histogram of order value; the last bin includes the maximum."""
-    value = F.col(VALUE).cast("double")
-    span = fact.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.lit(1).alias("one"))
-    width = (F.col("high") - F.col("low")) / bins
-    index = F.least(F.coalesce(F.floor(F.try_divide(value - F.col("low"), width)), F.lit(0)), F.lit(bins - 1))
+    """Equal-width histogram of order value, in decimal arithmetic; the last bin includes the maximum."""
+    span = fact.agg(F.min(VALUE).alias("low"), F.max(VALUE).alias("high"), F.lit(1).alias("one"))
+    index = F.expr(f"coalesce(least(({VALUE} - low) * {bins} div nullif(high - low, 0), {bins - 1}), 0)")
+
+    def edge(i: Column) -> Column:
+        return ratio(F.col("low") * bins + i * (F.col("high") - F.col("low")), F.lit(bins), 4)
+
     return (
         fact.select(VALUE, F.lit(1).alias("one"))
         .join(F.broadcast(span), "one")  # one row
@@ -443,8 +445,8 @@ def order_value_hist(fact: DataFrame, bins: int = 40) -> DataFrame:
         .agg(F.count("*").alias("orders"))
         .select(
             "bin",
-            F.round(F.col("low") + F.col("bin") * width, 4).alias("bin_start"),
-            F.round(F.col("low") + (F.col("bin") + 1) * width, 4).alias("bin_end"),
+            edge(F.col("bin").cast("int")).alias("bin_start"),
+            edge(F.col("bin").cast("int") + 1).alias("bin_end"),
             "orders",
         )
     )

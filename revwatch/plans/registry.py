@@ -170,8 +170,7 @@ def feature_frame(w):
 
 
 def _scaled(w, scaler):
-    out = scaler(w.features, features.BASE_FEATURES)
-    return _rounded(out.select("order_date", *features.BASE_FEATURES), 6, *features.BASE_FEATURES)
+    return scaler(w.features, features.BASE_FEATURES).select("order_date", *features.BASE_FEATURES)
 
 
 @register
@@ -269,7 +268,7 @@ def sigma_band(w):
 
 @register
 def alert_driver(w):
-    return _rounded(pointwise.alert_driver(w.daily_kpis), 4, "driver_z")
+    return pointwise.alert_driver(w.daily_kpis)
 
 
 def _lof(w, k: int, feature_set: str = "multi_feature") -> DataFrame:
@@ -709,7 +708,7 @@ def _new_year_only(w) -> DataFrame:
 def _alerts(w, events: DataFrame) -> DataFrame:
     baseline = streaming.value_baseline(w.table("events"), ["event_type"])
     return streaming.alerts(events, baseline, ["event_type"], _new_year_only(w)).select(
-        "event_id", "event_type", "order_date", "value", F.round("z_score", 4).alias("z_score"), "alert"
+        "event_id", "event_type", "order_date", "value", "z_score", "alert"
     )
 
 
