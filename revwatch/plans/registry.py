@@ -71,7 +71,7 @@ def order_dates(w):
 
 @register
 def valid_orders(w):
-    return star.valid_orders(w.sources.orders).select("order_id", "customer_id", "order_status", "order_date")
+    return star.valid_orders(w.valid_sources.orders).select("order_id", "customer_id", "order_status", "order_date")
 
 
 @register
@@ -81,13 +81,13 @@ def order_totals(w):
 
 @register
 def fact_orders(w):
-    s = w.sources
+    s = w.valid_sources
     return star.build_fact_orders(s.orders, s.items, s.customers)
 
 
 @register
 def dim_customers(w):
-    s = w.sources
+    s = w.valid_sources
     return star.build_dim_customers(star.build_fact_orders(s.orders, s.items, s.customers))
 
 
@@ -126,7 +126,7 @@ def order_summary(w):
 
 @register
 def daily_kpis(w):
-    s = w.sources
+    s = w.valid_sources
     return kpis.build_daily_kpis(star.build_fact_orders(s.orders, s.items, s.customers))
 
 

@@ -29,6 +29,11 @@ class Warehouse:
     def sources(self) -> Sources:
         return from_wholesale(self.spark, self.sf_dir)
 
+    @cached_property
+    def valid_sources(self) -> Sources:
+        """Sources restricted at the scan to the statuses that count as revenue."""
+        return from_wholesale(self.spark, self.sf_dir, star.VALID_STATUSES)
+
     @cached_property
     def calendar(self) -> DataFrame:
         return holiday_calendar(self.spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revwatch.functions.numeric import money
 from revwatch.sources import schemas
 
+STATUS_CODES = {"F": "delivered", "O": "shipped", "P": "cancelled"}
 REQUIRED_INPUTS = ("orders", "items", "customers", "products")
 
 
@@ -67,14 +68,18 @@ def from_csv(spark: SparkSession, paths: Mapping[str, str]) -> Sources:
     )
 
 
-def from_wholesale(spark: SparkSession, sf_dir: str) -> Sources:
-    """Star-schema sources from the orders / lineitem / customer / nation / part tables."""
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .when(F.col("o_orderstatus") == "P", "cancelled")
-    )
-    orders = read_parquet(spark, sf_dir, "orders").select(
+def from_wholesale(spark: SparkSession, sf_dir: str, statuses: Sequence[str] | None = None) -> Sources:
+    """Star-schema sources from the orders / lineitem / customer / nation / part tables.
+
+    With ``statuses`` only orders of those statuses are read; the filter is on the stored code, so the scan takes it.
+    """
+    status = F.lit(None).cast("string")
+    for code, name in STATUS_CODES.items():
+        status = F.when(F.col("o_orderstatus") == code, name).otherwise(status)
+    orders = read_parquet(spark, sf_dir, "orders")
+    if statuses is not None:
+        orders = orders.filter(F.col("o_orderstatus").isin([c for c, name in STATUS_CODES.items() if name in statuses]))
+    orders = orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         status.alias("order_status"),

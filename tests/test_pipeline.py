@@ -188,3 +188,25 @@ def test_category_null_group_rule(spark):
     ).withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("price", "freight_value")})
     got = business.category_revenue(items, dim).toPandas()
     assert set(got["category"].where(pd.notna(got["category"]), None)) == {"a", None}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, warehouse, tmp_path, capsys):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}'")
+    s = warehouse.sources
+    sinks.save_as_tables({"orders": s.orders, "items": s.items}, "bucketed", {"orders": "order_id", "items": "order_id"}, 8)
+    assert {"items", "orders"} <= set(sinks.list_tables(spark, "bucketed"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders, items = spark.table("bucketed.orders"), spark.table("bucketed.items")
+        joined = orders.join(items.groupBy("order_id").agg(F.sum("price").alias("value")), "order_id")
+        joined.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        assert joined.count() == warehouse.fact_orders_all.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_status_filter_reaches_the_scan(spark, sf_dir, capsys):
+    star.valid_orders(tables.from_wholesale(spark, sf_dir, star.VALID_STATUSES).orders).explain()
+    assert "PushedFilters: [In(o_orderstatus, [F,O])]" in capsys.readouterr().out
