@@ -95,7 +95,7 @@ def _cumulative(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return distinct.select(
         *keys,
         "score",
-        F.row_number().over(down).alias("point"),
+        F.row_number().over(down).cast("bigint").alias("point"),
         F.sum("pos").over(upto).alias("tp"),
         F.sum("neg").over(upto).alias("fp"),
         F.sum("pos").over(group).alias("positives"),
@@ -120,7 +120,7 @@ def roc_curve(scores: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame
         F.try_divide(F.col("fp").cast("double"), F.col("negatives").cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("positives").cast("double")).alias("tpr"),
     )
-    return _with_start(curve, keys, {"point": F.lit(0), "fpr": F.lit(0.0), "tpr": F.lit(0.0)})
+    return _with_start(curve, keys, {"point": F.lit(0).cast("bigint"), "fpr": F.lit(0.0), "tpr": F.lit(0.0)})
 
 
 def pr_curve(scores: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
@@ -133,7 +133,7 @@ def pr_curve(scores: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
         F.try_divide(tp, F.col("positives").cast("double")).alias("recall"),
         F.try_divide(tp, tp + fp).alias("precision"),
     )
-    return _with_start(curve, keys, {"point": F.lit(0), "recall": F.lit(0.0), "precision": F.lit(1.0)})
+    return _with_start(curve, keys, {"point": F.lit(0).cast("bigint"), "recall": F.lit(0.0), "precision": F.lit(1.0)})
 
 
 def trapezoid(curve: DataFrame, x: str, y: str, keys: Sequence[str], name: str) -> DataFrame:

@@ -207,6 +207,13 @@ def grid_definition(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "method_type string, feature_set string, params string")
 
 
+def grid_coverage(results: DataFrame) -> DataFrame:
+    """Per method: configurations in ``results``, and how many the grid definition asks for (0 for extra methods)."""
+    defined = grid_definition(results.sparkSession).groupBy("method_type").agg(F.count("*").alias("defined_configs"))
+    ran = results.groupBy("method_type").agg(F.count("*").alias("configs"), F.max("total_days").alias("total_days"))
+    return ran.join(defined, "method_type", "left").na.fill(0, ["defined_configs"])
+
+
 def grid_summary(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("configs"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revwatch.functions.numeric import MONEY, ratio
+from revwatch.functions.numeric import MONEY, from_cents, ratio
 from revwatch.operators.global_order import exact_quantiles
 
 # Statuses that count as revenue, and statuses that reports leave out.
@@ -25,8 +25,8 @@ def billable(df: DataFrame, excluded=EXCLUDED_STATUSES) -> DataFrame:
 def order_totals(items: DataFrame) -> DataFrame:
     """Value, freight, item count and distinct products of every order."""
     return items.groupBy("order_id").agg(
-        F.sum("price").cast(MONEY).alias("order_value"),
-        F.sum("freight_value").cast(MONEY).alias("freight_value"),
+        from_cents(F.sum("price_cents")).alias("order_value"),
+        from_cents(F.sum("freight_cents")).alias("freight_value"),
         F.count("order_item_id").alias("items_count"),
         F.countDistinct("product_id").alias("unique_products"),
     )
@@ -68,14 +68,14 @@ def fact_order_items(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def order_attribute_values(order_items: DataFrame, products: DataFrame, attribute) -> DataFrame:
-    """One row per (order, product attribute): value and freight of the order's items with that attribute."""
+    """One row per (order, product attribute): cents of value and freight of the order's items with that attribute."""
     sold = products.select("product_id", attribute.alias("attribute"))
     return (
         order_items.join(sold, "product_id")
         .groupBy("order_id", "attribute", "order_status")
         .agg(
-            F.sum("price").cast(MONEY).alias("order_value"),
-            F.sum("freight_value").cast(MONEY).alias("freight_value"),
+            F.sum("price_cents").alias("value_cents"),
+            F.sum("freight_cents").alias("freight_cents"),
         )
     )
 
@@ -142,15 +142,15 @@ def build_dim_products(items: DataFrame, products: DataFrame) -> DataFrame:
         items.groupBy("product_id")
         .agg(
             F.count("order_item_id").alias("total_qty_sold"),
-            F.sum("price").cast(MONEY).alias("total_revenue"),
-            F.sum("freight_value").alias("freight"),
+            F.sum("price_cents").alias("price"),
+            F.sum("freight_cents").alias("freight"),
         )
         .select(
             "product_id",
             "total_qty_sold",
-            "total_revenue",
-            ratio(F.col("total_revenue"), F.col("total_qty_sold"), 2).alias("avg_price"),
-            ratio(F.col("freight"), F.col("total_qty_sold"), 2).alias("avg_freight"),
+            from_cents(F.col("price")).alias("total_revenue"),
+            ratio(F.col("price"), F.col("total_qty_sold") * 100, 2).alias("avg_price"),
+            ratio(F.col("freight"), F.col("total_qty_sold") * 100, 2).alias("avg_freight"),
         )
     )
     return products.select("product_id", "category", "weight_g").join(stats, "product_id")

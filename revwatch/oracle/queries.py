@@ -14,6 +14,7 @@ from revwatch.oracle.base import (
     share,
 )
 from revwatch.plans.questions import RULES
+from revwatch.sources.contract import EXPECTED
 
 SQL: dict[str, str] = {}
 
@@ -33,6 +34,11 @@ SQL["src_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}"
     for t in ("orders", "lineitem", "customer", "part", "nation", "events", "conversations")
 )
+SQL["contract_check"] = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, {len(cols)} AS expected_columns, CAST(0 AS BIGINT) AS violations, count(*) AS rows,
+    count(*) FILTER (WHERE {" OR ".join(f"{c} IS NULL" for c in cols)}) AS incomplete_rows FROM {t}"""
+    for t, cols in EXPECTED.items()
+)
 SQL["sink_roundtrip"] = f"""SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS orders,
   {cents("sum(value_c)")} AS revenue FROM fact GROUP BY 1"""
 
@@ -105,7 +111,7 @@ _FEATURES = (
     "daily_revenue", "order_count", "avg_order_value", "avg_freight", "revenue_ma7", "revenue_ma30", "revenue_std7",
     "orders_ma7", "revenue_diff", "revenue_pct_change", "day_of_week",
 )
-SQL["feature_frame"] = f"SELECT {day()} AS order_date, is_true_anomaly, " + ", ".join(
+SQL["features"] = f"SELECT {day()} AS order_date, is_true_anomaly, " + ", ".join(
     f"round({c}, 6) AS {c}" for c in _FEATURES
 ) + " FROM features"
 _BASE = _FEATURES[:4]
@@ -158,9 +164,10 @@ SQL["grid_zscore_by_state"] = f"""
                 {_STATE_LONG})),
          (SELECT unnest([CAST(1.5 AS DOUBLE), 1.75, 2, 2.25, 2.5, 2.75, 3, 3.5, 4]) AS t)
     GROUP BY ALL))"""
-SQL["grid_size"] = """SELECT * FROM (VALUES ('IsolationForest', 11 * 5 * 3 * 7), ('LocalOutlierFactor', 7 * 7 * 7),
-  ('DBSCAN', 10 * 7 * 7), ('ZScore', 9 * 6), ('RollingZScore', 7 * 5 * 3), ('STL_Residual', 5 * 5 * 3),
-  ('EWM_ZScore', 7 * 5 * 3)) t(method_type, configs)"""
+SQL["grid_size"] = """SELECT method_type, count(*) AS configs, max(total_days) AS total_days,
+  CAST(CASE method_type WHEN 'LocalOutlierFactor' THEN 7 * 7 * 7 WHEN 'DBSCAN' THEN 10 * 7 * 7 WHEN 'ZScore' THEN 9 * 6
+       WHEN 'RollingZScore' THEN 7 * 5 * 3 WHEN 'EWM_ZScore' THEN 7 * 5 * 3 ELSE 0 END AS BIGINT) AS defined_configs
+  FROM results GROUP BY method_type"""
 SQL["grid_summary"] = """SELECT count(*) AS configs, count(*) FILTER (WHERE success = 'yes') AS successful,
   max(true_positives) AS best_true_positives, count(DISTINCT method_type) AS methods FROM results"""
 SQL["sigma_band"] = f"""SELECT {day()} AS order_date, daily_revenue, round(lo, 4) AS lower_limit, round(hi, 4) AS upper_limit

@@ -218,10 +218,10 @@ def freight_by_weight(order_items: DataFrame, products: DataFrame) -> DataFrame:
         .groupBy(F.col("attribute").alias("weight_category"))
         .agg(
             F.count("*").alias("orders"),
-            mean(F.col("freight_value")).alias("avg_freight"),
-            mean(F.col(VALUE)).alias("avg_order_value"),
+            ratio(F.sum("freight_cents"), F.count("*") * 100, 2).alias("avg_freight"),
+            ratio(F.sum("value_cents"), F.count("*") * 100, 2).alias("avg_order_value"),
             # Both means share the row count, so their ratio is the ratio of the sums.
-            ratio(F.sum("freight_value"), F.sum(VALUE), 1, 100).alias("freight_pct_of_order"),
+            ratio(F.sum("freight_cents"), F.sum("value_cents"), 1, 100).alias("freight_pct_of_order"),
         )
     )
 
@@ -234,7 +234,11 @@ def category_values(order_items: DataFrame, products: DataFrame, mean_digits: in
     return (
         _by_attribute(billable(order_items), products, F.col("category"))
         .groupBy(F.col("attribute").alias("category"))
-        .agg(*_value_stats(0, mean_digits, ("order_count", "total_revenue", "avg_order_value")))
+        .agg(
+            F.count("*").alias("order_count"),
+            ratio(F.sum("value_cents"), F.lit(100), 0).alias("total_revenue"),
+            ratio(F.sum("value_cents"), F.count("*") * 100, mean_digits).alias("avg_order_value"),
+        )
     )
 
 

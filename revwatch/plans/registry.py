@@ -164,11 +164,13 @@ def seasonal_z(w):
 # --- features ---
 
 
-@register
-def feature_frame(w):
+def _feature_frame(w):
     return _rounded(features.build_features(w.daily_kpis), 6, *features.ALL_FEATURES)
 
 
+QUERIES["features"] = _feature_frame
+
+
 def _scaled(w, scaler):
     return scaler(w.features, features.BASE_FEATURES).select("order_date", *features.BASE_FEATURES)
 
@@ -238,7 +240,8 @@ def grid_zscore_by_state(w):
 
 @register
 def grid_size(w):
-    return grid.grid_definition(w.spark).groupBy("method_type").agg(F.count("*").alias("configs"))
+    """Configurations run on the daily series against the grid definition."""
+    return grid.grid_coverage(w.model_results)
 
 
 @register

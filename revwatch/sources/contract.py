@@ -35,12 +35,30 @@ def contract_violations(spark: SparkSession, sf_dir: str, expected=EXPECTED) ->
                      "left_anti")
 
 
+def incomplete_rows(spark: SparkSession, sf_dir: str, expected=EXPECTED) -> DataFrame:
+    """Per table: rows, and rows in which an expected column is NULL; columns the table lacks are left to the schema
+    check."""
+    out = None
+    for name, cols in expected.items():
+        table = read_parquet(spark, sf_dir, name)
+        missing = F.lit(False)
+        for c in cols:
+            if c in table.columns:
+                missing = missing | F.col(c).isNull()
+        frame = table.agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.count_if(missing).alias("incomplete_rows")
+        )
+        out = frame if out is None else out.unionByName(frame)
+    return out
+
+
 def contract_check(spark: SparkSession, sf_dir: str, expected=EXPECTED) -> DataFrame:
-    """Per table: expected columns and how many of them are missing or mistyped."""
-    rows = [(t, len(cols)) for t, cols in expected.items()]
+    """Per table: expected columns, how many are missing or mistyped, rows, and rows with a NULL in one of them."""
+    sizes = spark.createDataFrame([(t, len(c)) for t, c in expected.items()], "table_name string, expected_columns int")
     bad = contract_violations(spark, sf_dir, expected).groupBy("table_name").agg(F.count("*").alias("violations"))
     return (
-        spark.createDataFrame(rows, "table_name string, expected_columns int")
+        incomplete_rows(spark, sf_dir, expected)
+        .join(sizes, "table_name")
         .join(bad, "table_name", "left")
         .na.fill(0, ["violations"])
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwatch.functions.numeric import money
+from revwatch.functions.numeric import cents
 from revwatch.sources import schemas
 
 STATUS_CODES = {"F": "delivered", "O": "shipped", "P": "cancelled"}
@@ -18,7 +18,7 @@ REQUIRED_INPUTS = ("orders", "items", "customers", "products")
 @dataclass(frozen=True)
 class Sources:
     orders: DataFrame  # order_id, customer_id, order_status, order_date
-    items: DataFrame  # order_id, order_item_id, product_id, price, freight_value
+    items: DataFrame  # order_id, order_item_id, product_id, price_cents, freight_cents
     customers: DataFrame  # customer_id, customer_unique_id, customer_city, customer_state
     products: DataFrame  # product_id, category, weight_g
 
@@ -60,7 +60,13 @@ def from_csv(spark: SparkSession, paths: Mapping[str, str]) -> Sources:
         orders=orders.select(
             "order_id", "customer_id", "order_status", F.to_date("order_purchase_timestamp").alias("order_date")
         ),
-        items=items.withColumns({"price": money("price"), "freight_value": money("freight_value")}),
+        items=items.select(
+            "order_id",
+            "order_item_id",
+            "product_id",
+            cents(F.col("price")).alias("price_cents"),
+            cents(F.col("freight_value")).alias("freight_cents"),
+        ),
         customers=customers,
         products=products.withColumnsRenamed(
             {"product_category_name": "category", "product_weight_g": "weight_g"}
@@ -85,14 +91,17 @@ def from_wholesale(spark: SparkSession, sf_dir: str, statuses: Sequence[str] | N
         status.alias("order_status"),
         F.to_date("o_orderdate").alias("order_date"),
     )
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    price, tax_pct = cents(F.col("l_extendedprice")), F.rint(F.col("l_tax") * 100).cast("bigint")
     items = read_parquet(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
-        money(price).alias("price"),
-        money(F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2)).alias("freight_value"),
+        price.alias("price_cents"),
+        (price * tax_pct).alias("freight_hundredths"),
     )
+    # Freight is price times tax, rounded half up to a cent.
+    freight = F.expr("(freight_hundredths + 50) div 100").alias("freight_cents")
+    items = items.select("order_id", "order_item_id", "product_id", "price_cents", freight)
     nation = read_parquet(spark, sf_dir, "nation")
     customers = (
         read_parquet(spark, sf_dir, "customer")
