@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import ratio
+from revwatch.functions.subquery import only_row
 
 # The sweep runs from 1.00 to 4.00 in steps of 0.25.
 SWEEP = tuple(1 + 0.25 * i for i in range(13))
@@ -157,13 +158,11 @@ def eval_report(labelled: DataFrame) -> DataFrame:
         F.count("*").alias("days"),
         F.sum("is_true_anomaly").alias("anomaly_days"),
         F.count_if(F.col("is_true_anomaly") == 0).alias("normal_days"),
-        F.lit(1).alias("one"),
     )
-    best = best_threshold(sweep).select(F.col("threshold").alias("best"), F.lit(1).alias("one"))
-    return (
-        sweep.withColumn("one", F.lit(1))
-        .join(F.broadcast(totals), "one")  # one-row aggregates
-        .join(F.broadcast(best), "one")
-        .withColumn("is_optimum", (F.col("threshold") == F.col("best")).cast("int"))
-        .drop("one", "best")
+    best, count = only_row(best_threshold(sweep)), only_row(totals)
+    return sweep.withColumns(
+        {
+            **{c: count[c] for c in totals.columns},
+            "is_optimum": (F.col("threshold") == best["threshold"]).cast("int"),
+        }
     )

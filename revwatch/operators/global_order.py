@@ -19,18 +19,23 @@ def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[st
     """Adds ``position`` (1-based), ``n_total``, and for each running column ``name`` and ``name_total``."""
     running = dict(running or {})
     slabs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = Window.partitionBy("slab").orderBy(*order_by)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The id counts rows within a sorted partition and carries the partition number above bit 33.
+    row_id = F.monotonically_increasing_id()
     ranked = (
         df.repartitionByRange(slabs, *order_by)
-        .withColumn("slab", F.spark_partition_id())
+        .sortWithinPartitions(*order_by)
+        .withColumn("row_id", row_id)
         .withColumns(
             {
-                "slab_position": F.row_number().over(local),
-                **{f"slab_{name}": F.sum(col).over(upto) for name, col in running.items()},
+                "slab": F.shiftright("row_id", 33).cast("int"),
+                "slab_position": F.col("row_id").bitwiseAND((1 << 33) - 1) + 1,
             }
         )
+        .drop("row_id")
     )
+    if running:
+        upto = Window.partitionBy("slab").orderBy("slab_position").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.withColumns({f"slab_{name}": F.sum(col).over(upto) for name, col in running.items()})
     # Range bounds are sampled per run; the written table pins which slab each row belongs to.
     ranked = materialize(ranked, "ranked")
     before = Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import safe_divide
 from revwatch.functions.pvalues import chi2_pvalue, normal_pvalue, t_pvalue
+from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles, rank_globally
 from revwatch.session import broadcast_if_small
 
@@ -51,15 +52,14 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval from resamples with replacement; groups below ``min_group`` are left out.
 
-    Each draw is a hashed row number, looked up by an equi-join, so any aggregate can be the statistic. This emits
+    ``order_by`` must order the rows of a group completely. Each draw is a hashed row number, looked up by an equi-join, so any aggregate can be the statistic. This emits
     rows x replicates and suits result tables; ``poisson_bootstrap_ci`` is the form for large data.
     """
-    rows = Window.partitionBy(*keys)
-    numbered = df.filter(F.col(value).isNotNull()).select(
-        *keys,
-        F.col(value).alias("x"),
-        (F.row_number().over(rows.orderBy(*order_by)) - 1).cast("bigint").alias("i"),
-        F.count("*").over(rows).alias("n"),
+    rows = df.filter(F.col(value).isNotNull()).select(*{*keys, *order_by}, F.col(value).alias("x"))
+    ranked = rank_globally(rows, [F.col(c) for c in (*keys, *order_by)])
+    groups = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    numbered = ranked.join(broadcast_if_small(groups, "bootstrap_groups"), list(keys)).select(
+        *keys, "x", "n", (F.col("position") - F.col("first")).alias("i")
     )
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
@@ -180,18 +180,20 @@ def chi_square(df: DataFrame, row: str, flag: Column) -> DataFrame:
     NULL when the outcome never varies or only one category occurs.
     """
     counts = df.groupBy(row).agg(F.count_if(flag).alias("yes"), F.count("*").alias("row_total"))
-    totals = counts.agg(
-        F.sum("yes").alias("all_yes"), F.sum("row_total").alias("n"), F.count("*").alias("n_rows"),
-        F.lit(1).alias("one"),
-    )
+    everything = Window.partitionBy()  # one row per category
+    counts = counts.withColumns(
+        {
+            "all_yes": F.sum("yes").over(everything),
+            "n": F.sum("row_total").over(everything),
+            "n_rows": F.count("*").over(everything),
+        }
+    )
     cell = F.array(
         F.struct(F.col("yes").alias("o"), F.col("all_yes").alias("col_total")),
         F.struct((F.col("row_total") - F.col("yes")).alias("o"), (F.col("n") - F.col("all_yes")).alias("col_total")),
     )
     cells = (
-        counts.withColumn("one", F.lit(1))
-        .join(F.broadcast(totals), "one")  # one row
-        .select("row_total", "n", (F.col("n_rows") - 1).alias("dof"), F.inline(cell))
+        counts.select("row_total", "n", (F.col("n_rows") - 1).alias("dof"), F.inline(cell))
         .withColumn("e", F.col("row_total") * F.col("col_total") / F.col("n"))
     )
     gap = F.abs(F.col("o") - F.col("e"))
@@ -230,16 +232,12 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - safe_divide(F.col("ties"), n * (n - 1))))
     z = safe_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
 
-    def median(name, alias: str) -> DataFrame:
-        side = exact_quantiles(two.filter(F.col(group) == name), value, [0.5])
-        return F.broadcast(side.select(F.col("q50").alias(alias), F.lit(1).alias("one")))  # one row
+    def median(name) -> Column:
+        return only_row(exact_quantiles(two.filter(F.col(group) == name), value, [0.5]))["q50"]
 
-    return (
-        row.withColumns({"u": u, "z": z, "one": F.lit(1)})
-        .join(median(a, "median_a"), "one")
-        .join(median(b, "median_b"), "one")
-        .select("u", "z", n1.cast("bigint").alias("n_a"), n2.cast("bigint").alias("n_b"), "median_a", "median_b",
-                normal_pvalue("z").alias("p_value"))
+    return row.withColumns({"u": u, "z": z}).select(
+        "u", "z", n1.cast("bigint").alias("n_a"), n2.cast("bigint").alias("n_b"),
+        median(a).alias("median_a"), median(b).alias("median_b"), normal_pvalue("z").alias("p_value"),
     )
 
 

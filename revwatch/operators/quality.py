@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import mean
+from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles
 from revwatch.operators.star import orphan_customers
 
@@ -33,12 +34,8 @@ def dq_report(fact: DataFrame, dim_customers: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
     )
     orphans = orphan_customers(fact, dim_customers).agg(F.count("*").alias("orphan_customers"))
-    limit = exact_quantiles(fact, "order_value", [0.99]).withColumn("one", F.lit(1))
-    extreme = (
-        fact.select("order_value", F.lit(1).alias("one"))
-        .join(F.broadcast(limit), "one")  # one row
-        .agg(F.count_if(F.col("order_value").cast("double") > F.col("q99")).alias("rows_above_p99"))
-    )
+    limit = only_row(exact_quantiles(fact, "order_value", [0.99]))["q99"]
+    extreme = fact.filter(F.col("order_value").cast("double") > limit).agg(F.count("*").alias("rows_above_p99"))
     return _long(scan).unionByName(_long(duplicates)).unionByName(_long(orphans)).unionByName(_long(extreme))
 
 
@@ -78,12 +75,11 @@ def describe(df: DataFrame, columns) -> DataFrame:
             F.round(F.stddev_samp(value), 4).alias("stddev"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
-            F.lit(1).alias("one"),
         )
-        cuts = exact_quantiles(df, c, [0.25, 0.5, 0.75]).withColumn("one", F.lit(1))
-        row = scan.join(F.broadcast(cuts), "one").select(  # one row
+        cut = only_row(exact_quantiles(df, c, [0.25, 0.5, 0.75]))
+        row = scan.select(
             F.lit(c).alias("column"), "count", "mean", "stddev", "min", *[
-                F.round(q, 4).alias(q) for q in ("q25", "q50", "q75")
+                F.round(cut[q], 4).alias(q) for q in ("q25", "q50", "q75")
             ], "max",
         )
         out = row if out is None else out.unionByName(row)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import MONEY, from_cents, ratio
+from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles
+from revwatch.session import materialize
 
 # Statuses that count as revenue, and statuses that reports leave out.
 VALID_STATUSES = ("delivered", "shipped", "invoiced", "processing")
@@ -114,25 +116,18 @@ def spend_quantiles(spend: DataFrame, probs=(0.75, 0.95, 0.99)) -> DataFrame:
 
 def assign_tier(spend: DataFrame, cuts: DataFrame) -> DataFrame:
     """Low up to the 75th percentile of spend, medium up to the 95th, high above; a spend of zero has no tier."""
-    amount = F.col("total_spent").cast("double")
+    amount, cut = F.col("total_spent").cast("double"), only_row(cuts)
     tier = (
         F.when(amount <= 0, "nan")
-        .when(amount <= F.col("q75"), "low_value")
-        .when(amount <= F.col("q95"), "medium")
+        .when(amount <= cut["q75"], "low_value")
+        .when(amount <= cut["q95"], "medium")
         .otherwise("high_value")
     )
-    # ``cuts`` is a one-row aggregate, attached through a constant key.
-    one = cuts.select("q75", "q95", F.lit(1).alias("one"))
-    return (
-        spend.withColumn("one", F.lit(1))
-        .join(F.broadcast(one), "one")
-        .withColumn("tier", tier)
-        .drop("one", "q75", "q95")
-    )
+    return spend.withColumn("tier", tier)
 
 
 def build_dim_customers(fact: DataFrame) -> DataFrame:
-    spend = customer_spend(fact)
+    spend = materialize(customer_spend(fact), "customer_spend")  # read for the cuts and for the rows
     return assign_tier(spend, spend_quantiles(spend, (0.75, 0.95)))
 
 

@@ -550,8 +550,11 @@ SQL["order_value_hist"] = f"""SELECT bin, {ratio("(low * 40 + bin * (high - low)
   {ratio("(low * 40 + (bin + 1) * (high - low))", "40", 4, 1, 100)} AS bin_end, count(*) AS orders
   FROM (SELECT low, high, coalesce(least((value_c - low) * 40 // nullif(high - low, 0), 39), 0) AS bin
         FROM fact, (SELECT min(value_c) AS low, max(value_c) AS high FROM fact)) GROUP BY bin, low, high"""
-SQL["order_value_box"] = f"""SELECT count(*) AS orders, {cents("sum(value_c)")} AS revenue,
-  round(quantile_cont(CAST(value_c AS DOUBLE) / 100, 0.5), 4) AS median FROM fact"""
+_V = "CAST(value_c AS DOUBLE) / 100"
+SQL["order_value_box"] = f"""SELECT count(*) AS orders, min({_V}) AS low, round(any_value(q[1]), 4) AS q1,
+  round(any_value(q[2]), 4) AS median, round(any_value(q[3]), 4) AS q3, max({_V}) AS high,
+  count(*) FILTER (WHERE {_V} < q[1] - (q[3] - q[1]) * 1.5 OR {_V} > q[3] + (q[3] - q[1]) * 1.5) AS outliers
+  FROM fact, (SELECT quantile_cont({_V}, [0.25, 0.5, 0.75]) AS q FROM fact)"""
 SQL["kpi_cards"] = f"""SELECT 'orders' AS metric, CAST(count(*) AS DOUBLE) AS value FROM fact
   UNION ALL SELECT 'revenue', {cents("sum(value_c)", 0)} FROM fact WHERE {BILLABLE}
   UNION ALL SELECT 'anomaly_days', CAST(count(*) AS DOUBLE) FROM daily WHERE anomaly_flag = 1

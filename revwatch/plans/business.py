@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from revwatch.functions.labels import context_label, weight_band, z_label
 from revwatch.functions.numeric import mean, money, ratio, rounded_sum, share_pct
-from revwatch.operators.global_order import ntile, rank_globally
+from revwatch.functions.subquery import only_row
+from revwatch.operators.detectors.pointwise import sigma_band
+from revwatch.operators.global_order import exact_quantiles, ntile, rank_globally
 from revwatch.operators.star import billable, order_attribute_values
 
 VALUE = "order_value"
@@ -306,17 +308,14 @@ def top_states(fact: DataFrame, dim_customers: DataFrame, limit: int = 8) -> Dat
     )
 
 
-def _ranked_customers(dim_customers: DataFrame) -> DataFrame:
-    return rank_globally(
-        dim_customers.select("customer_id", "total_spent"),
-        [F.desc("total_spent"), F.asc("customer_id")],
-        {"cumulative_revenue": F.col("total_spent")},
-    )
+def _ranked_customers(dim_customers: DataFrame, running=None) -> DataFrame:
+    spend = dim_customers.select("customer_id", "total_spent")
+    return rank_globally(spend, [F.desc("total_spent"), F.asc("customer_id")], running)
 
 
 def pareto_curve(dim_customers: DataFrame) -> DataFrame:
     """Customers by spend with cumulative revenue and customer percentages."""
-    return _ranked_customers(dim_customers).select(
+    return _ranked_customers(dim_customers, {"cumulative_revenue": F.col("total_spent")}).select(
         "customer_id",
         "total_spent",
         F.col("position").alias("rank"),
@@ -332,9 +331,7 @@ def top20_share(dim_customers: DataFrame, pct: int = 20) -> DataFrame:
     inside = F.col("position") * 100 <= F.col("n_total") * pct
     return ranked.agg(
         F.count_if(inside).alias("customers"),
-        ratio(F.max(F.when(inside, F.col("cumulative_revenue"))), F.max("cumulative_revenue_total"), 1, 100).alias(
-            "revenue_pct"
-        ),
+        ratio(F.sum(F.when(inside, F.col("total_spent"))), F.sum("total_spent"), 1, 100).alias("revenue_pct"),
     )
 
 
@@ -436,15 +433,14 @@ def gt_listing(daily: DataFrame) -> DataFrame:
 
 def order_value_hist(fact: DataFrame, bins: int = 40) -> DataFrame:
     """Equal-width histogram of order value, in decimal arithmetic; the last bin includes the maximum."""
-    span = fact.agg(F.min(VALUE).alias("low"), F.max(VALUE).alias("high"), F.lit(1).alias("one"))
+    span = only_row(fact.agg(F.min(VALUE).alias("low"), F.max(VALUE).alias("high")))
     index = F.expr(f"coalesce(least(({VALUE} - low) * {bins} div nullif(high - low, 0), {bins - 1}), 0)")
 
     def edge(i: Column) -> Column:
         return ratio(F.col("low") * bins + i * (F.col("high") - F.col("low")), F.lit(bins), 4)
 
     return (
-        fact.select(VALUE, F.lit(1).alias("one"))
-        .join(F.broadcast(span), "one")  # one row
+        fact.select(VALUE, span["low"].alias("low"), span["high"].alias("high"))
         .groupBy(index.cast("bigint").alias("bin"), "low", "high")
         .agg(F.count("*").alias("orders"))
         .select(
@@ -477,6 +473,23 @@ def boxplot_stats(results: DataFrame, value: str = "anomaly_pct", key: str = "me
     )
 
 
+def order_value_box(fact: DataFrame) -> DataFrame:
+    """Five numbers of order value and the orders outside the 1.5 IQR fence, over all orders."""
+    value = F.col(VALUE).cast("double")
+    box = only_row(exact_quantiles(fact, VALUE, [0.25, 0.5, 0.75]))
+    reach = (box["q75"] - box["q25"]) * 1.5
+    outside = (value < box["q25"] - reach) | (value > box["q75"] + reach)
+    return fact.select(
+        value.alias("value"), outside.alias("outside"), *[box[q].alias(q) for q in ("q25", "q50", "q75")]
+    ).agg(
+        F.count("*").alias("orders"),
+        F.min("value").alias("low"),
+        *[F.round(F.max(q), 4).alias(n) for q, n in (("q25", "q1"), ("q50", "median"), ("q75", "q3"))],
+        F.max("value").alias("high"),
+        F.count_if("outside").alias("outliers"),
+    )
+
+
 def _one(df: DataFrame, **columns: Column) -> DataFrame:
     return df.agg(*[c.alias(n) for n, c in columns.items()])
 
@@ -512,16 +525,17 @@ def report_monthly_avg(daily: DataFrame) -> DataFrame:
 
 def report_kpis(fact: DataFrame, daily: DataFrame, results: DataFrame) -> DataFrame:
     """Headline numbers of the report: revenue, days outside the band, best method and its success rate."""
-    from revwatch.operators.detectors.pointwise import sigma_band
-
     best = (
         results.groupBy("method_type")
         .agg(share_pct(F.col("anomaly_pct").between(3, 10)).alias("rate"))
         .orderBy(F.desc("rate"), "method_type")
         .limit(1)
-        .select(F.col("method_type").alias("best_method"), F.col("rate").alias("best_rate"), F.lit(1).alias("one"))
     )
-    revenue = fact.agg(F.sum(VALUE).cast("double").alias("total_revenue"), F.lit(1).alias("one"))
-    outside = sigma_band(daily).agg(F.count("*").alias("anomaly_days"), F.lit(1).alias("one"))
-    # Three one-row frames.
-    return revenue.join(F.broadcast(outside), "one").join(F.broadcast(best), "one").drop("one")
+    top = only_row(best)
+    outside = only_row(sigma_band(daily).agg(F.count("*").alias("days")))
+    return fact.agg(F.sum(VALUE).cast("double").alias("total_revenue")).select(
+        "total_revenue",
+        outside["days"].alias("anomaly_days"),
+        top["method_type"].alias("best_method"),
+        top["rate"].alias("best_rate"),
+    )

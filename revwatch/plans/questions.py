@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revwatch.functions.labels import z_label
@@ -99,11 +99,11 @@ def ask_state(fact: DataFrame, dim_customers: DataFrame) -> DataFrame:
 
 def ask_status(fact: DataFrame) -> DataFrame:
     per_status = fact.groupBy("order_status").agg(
-        F.count("*").alias("orders"), rounded_sum(F.col("order_value"), 0).alias("revenue"), F.lit(1).alias("one")
+        F.count("*").alias("orders"), rounded_sum(F.col("order_value"), 0).alias("revenue")
     )
-    total = fact.agg(F.count("*").alias("n"), F.lit(1).alias("one"))
-    return per_status.join(F.broadcast(total), "one").select(  # one row
-        "order_status", "orders", "revenue", ratio(F.col("orders"), F.col("n"), 1, 100).alias("pct_of_total")
+    total = F.sum("orders").over(Window.partitionBy())  # one row per status
+    return per_status.select(
+        "order_status", "orders", "revenue", ratio(F.col("orders"), total, 1, 100).alias("pct_of_total")
     )
 
 

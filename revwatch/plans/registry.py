@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwatch.functions.numeric import publish, rounded_sum
+from revwatch.functions.numeric import publish
+from revwatch.functions.subquery import only_row
 from revwatch.operators import evaluate, features, grid, hypothesis, kpis, quality, rca, star
 from revwatch.operators.detectors import density, isolation, pointwise, sequential
 from revwatch.plans import business, questions
@@ -288,9 +289,8 @@ def _iforest(w, trees: int, feature_set: str = "multi_feature") -> DataFrame:
 def _top_share(scores: DataFrame, share: float) -> DataFrame:
     """Days flagged by a contamination cut over one series."""
     neg = scores.withColumn("neg", -F.round("score", 6))
-    cut = neg.agg(F.percentile("neg", F.lit(share)).alias("cut"), F.lit(1).alias("one"))
-    flagged = neg.withColumn("one", F.lit(1)).join(F.broadcast(cut), "one").filter(F.col("neg") < F.col("cut"))
-    return flagged.select("order_date", F.round("score", 4).alias("score"))
+    cut = only_row(neg.agg(F.percentile("neg", F.lit(share)).alias("cut")))["cut"]
+    return neg.filter(F.col("neg") < cut).select("order_date", F.round("score", 4).alias("score"))
 
 
 def _ensemble(w, primary: DataFrame) -> DataFrame:
@@ -642,16 +642,8 @@ def report_kpis(w):
 
 @register
 def order_value_box(w):
-    """Mean and median of order value, with the number of orders."""
-    from revwatch.operators.global_order import exact_quantiles
-
-    median = exact_quantiles(w.fact_orders, "order_value", [0.5]).withColumn("one", F.lit(1))
-    scan = w.fact_orders.agg(
-        F.count("*").alias("orders"), rounded_sum(F.col("order_value"), 2).alias("revenue"), F.lit(1).alias("one")
-    )
-    return scan.join(F.broadcast(median), "one").select(  # one row
-        "orders", "revenue", F.round("q50", 4).alias("median")
-    )
+    """Five numbers of order value and the orders outside the 1.5 IQR fence, over all orders."""
+    return business.order_value_box(w.fact_orders)
 
 
 # --- questions ---
