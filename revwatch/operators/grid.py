@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Callable, Sequence
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revwatch.functions.labels import success
@@ -70,11 +70,10 @@ def contamination_cells(scores: DataFrame, keys: Sequence[str], shares: Sequence
 
     The quantile is taken per series and parameter set, a group bounded by the calendar.
     """
-    negated = scores.withColumn("neg", -F.round("score", 6))
-    cuts = negated.groupBy(*keys).agg(F.percentile("neg", F.array(*[F.lit(s) for s in shares])).alias("cuts"))
-    return _cells(
-        negated.join(cuts, list(keys)), keys, "contamination", shares, lambda i, s: F.col("neg") < F.col("cuts")[i]
-    )
+    # A window, not an aggregate joined back: the scores are expensive and must be computed once.
+    quantiles = F.percentile("neg", F.array(*[F.lit(s) for s in shares])).over(Window.partitionBy(*keys))
+    cut = scores.withColumn("neg", -F.round("score", 6)).withColumn("cuts", quantiles)
+    return _cells(cut, keys, "contamination", shares, lambda i, s: F.col("neg") < F.col("cuts")[i])
 
 
 def finish(cells: DataFrame, method: str, series_key: Sequence[str] = (), scaler: str = "none") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import MONEY, from_cents, ratio
 from revwatch.functions.subquery import only_row
-from revwatch.operators.global_order import exact_quantiles
+from revwatch.operators.global_order import exact_quantiles, quantile_name
 from revwatch.session import materialize
 
 # Statuses that count as revenue, and statuses that reports leave out.
@@ -110,8 +110,12 @@ def customer_spend(fact: DataFrame) -> DataFrame:
     )
 
 
-def spend_quantiles(spend: DataFrame, probs=(0.75, 0.95, 0.99)) -> DataFrame:
-    return exact_quantiles(spend, "total_spent", probs)
+def spend_quantiles(spend: DataFrame, probs=(0.75, 0.95, 0.99), accuracy: int | None = None) -> DataFrame:
+    """Exact quantiles of spend; with ``accuracy`` a sketch of that accuracy, in one aggregation."""
+    if accuracy is None:
+        return exact_quantiles(spend, "total_spent", probs)
+    value = F.col("total_spent").cast("double")
+    return spend.agg(*[F.percentile_approx(value, p, accuracy).alias(quantile_name(p)) for p in probs])
 
 
 def assign_tier(spend: DataFrame, cuts: DataFrame) -> DataFrame:

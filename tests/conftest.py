@@ -6,8 +6,6 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
-# Workers import the package when they unpickle the operators' functions.
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
 from revwatch.session import build_session  # noqa: E402
 

@@ -1,6 +1,9 @@
 """CSV sources, sinks, global order, tiers, questions and quality rules."""
 
 import datetime as dt
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -12,6 +15,8 @@ from revwatch.operators.kpis import build_daily_kpis, ground_truth, label_ground
 from revwatch.plans import questions
 from revwatch.sources import sinks, tables
 
+ROOT = Path(__file__).resolve().parent.parent
+
 CSV = {
     "orders": "order_id,customer_id,order_status,order_purchase_timestamp,extra\n"
     "o1,c1,delivered,2017-11-24 10:00:00,x\no2,c2,shipped,2017-11-24 23:59:59,x\n"
@@ -210,3 +215,25 @@ def test_bucketed_tables_join_without_a_shuffle(spark, warehouse, tmp_path, caps
 def test_status_filter_reaches_the_scan(spark, sf_dir, capsys):
     star.valid_orders(tables.from_wholesale(spark, sf_dir, star.VALID_STATUSES).orders).explain()
     assert "PushedFilters: [In(o_orderstatus, [F,O])]" in capsys.readouterr().out
+
+
+def test_sketch_options_are_close(warehouse):
+    exact = build_daily_kpis(warehouse.fact_orders).orderBy("order_date").collect()
+    sketch = build_daily_kpis(warehouse.fact_orders, approx_customers=True).orderBy("order_date").collect()
+    gaps = [abs(a["unique_customers"] - b["unique_customers"]) for a, b in zip(exact, sketch)]
+    assert max(gaps) <= 1
+    spend = star.customer_spend(warehouse.fact_orders)
+    near, at = star.spend_quantiles(spend, (0.75,), 10_000).first()["q75"], star.spend_quantiles(spend, (0.75,)).first()["q75"]
+    assert near == pytest.approx(at, rel=0.05)
+
+
+def test_workers_need_no_copy_of_the_package(sf_dir, tmp_path):
+    """Functions travel with their code: a session started elsewhere finds them."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from revwatch.session import build_session\n"
+        "spark = build_session(master='local[2]', **{'spark.sql.shuffle.partitions': '2'})\n"
+        "import __spark_entry__ as c\n"
+        f"assert c.queries()['grid_stl'](spark, {sf_dir!r}).count() == 75\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, capture_output=True)

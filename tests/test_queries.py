@@ -23,6 +23,13 @@ def test_runs_without_sql(name, spark, sf_dir):
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_cross_join(name, spark, sf_dir, capsys):
+    QUERIES[name](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
