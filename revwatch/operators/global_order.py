@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revwatch.session import materialize
+from revwatch.session import broadcast_if_small, materialize
 
 
 def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[str, Column] | None = None) -> DataFrame:
@@ -78,24 +78,52 @@ def quantile_name(p: float) -> str:
     return "q" + f"{p * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
-    """One row with the linearly interpolated quantiles of ``value``, named q25, q75, ...
+def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their counts in running order, so that quantiles shuffle (value, count) pairs, not rows."""
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("v"))
+        .agg(F.count("*").alias("c"))
+    )
+    return rank_globally(counts, [*[F.col(k) for k in keys], F.col("v")], {"upto": F.col("c")})
 
-    Rows are first counted per distinct value, so only (value, count) pairs are range-partitioned.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranked = rank_globally(counts, [F.col("v")], {"upto": F.col("c")})
-    aggs = []
+
+def _brackets(probs: Sequence[float], n: Column, before: Column) -> list[Column]:
+    """The two values around every quantile position, as aggregates over running counts."""
+    out = []
     for p in probs:
-        at = (F.col("upto_total") - 1) * F.lit(p)
+        at = (n - 1) * F.lit(p)
         for part, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (F.col("upto") - F.col("c") <= index) & (index < F.col("upto"))
-            aggs.append(F.max(F.when(holds, F.col("v").cast("double"))).alias(f"{quantile_name(p)}_{part}"))
-    row = ranked.agg(F.max("upto_total").alias("n"), *aggs)
+            holds = (F.col("upto") - F.col("c") - before <= index) & (index < F.col("upto") - before)
+            out.append(F.max(F.when(holds, F.col("v").cast("double"))).alias(f"{quantile_name(p)}_{part}"))
+    return out
+
+
+def _interpolated(probs: Sequence[float]) -> list[Column]:
     out = []
     for p in probs:
-        name = quantile_name(p)
-        at = (F.col("n") - 1) * F.lit(p)
+        name, at = quantile_name(p), (F.col("n") - 1) * F.lit(p)
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return row.select(*out)
+    return out
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+    """One row with the linearly interpolated quantiles of ``value``, named q25, q75, ..."""
+    ranked = _value_counts(df, (), value)
+    row = ranked.agg(F.max("upto_total").alias("n"), *_brackets(probs, F.col("upto_total"), F.lit(0)))
+    return row.select(*_interpolated(probs))
+
+
+def exact_quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles per key. A key's values may span many range partitions, so no key is held by one task."""
+    ranked = _value_counts(df, keys, value)
+    groups = ranked.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("rows_before")
+    )
+    return (
+        ranked.join(broadcast_if_small(groups, "quantile_groups"), list(keys))
+        .groupBy(*keys, "n")
+        .agg(*_brackets(probs, F.col("n"), F.col("rows_before")))
+        .select(*keys, *_interpolated(probs))
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from revwatch.functions.numeric import safe_divide
 from revwatch.functions.pvalues import chi2_pvalue, normal_pvalue, t_pvalue
 from revwatch.functions.subquery import only_row
-from revwatch.operators.global_order import exact_quantiles, rank_globally
+from revwatch.operators.global_order import exact_quantiles_by, rank_globally
 from revwatch.session import broadcast_if_small
 
 MIN_GROUP = 10
@@ -232,12 +232,15 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - safe_divide(F.col("ties"), n * (n - 1))))
     z = safe_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
 
-    def median(name) -> Column:
-        return only_row(exact_quantiles(two.filter(F.col(group) == name), value, [0.5]))["q50"]
-
+    medians = only_row(
+        exact_quantiles_by(two, [group], value, [0.5]).agg(
+            F.max(F.when(F.col(group) == a, F.col("q50"))).alias("a"),
+            F.max(F.when(F.col(group) == b, F.col("q50"))).alias("b"),
+        )
+    )
     return row.withColumns({"u": u, "z": z}).select(
         "u", "z", n1.cast("bigint").alias("n_a"), n2.cast("bigint").alias("n_b"),
-        median(a).alias("median_a"), median(b).alias("median_b"), normal_pvalue("z").alias("p_value"),
+        medians["a"].alias("median_a"), medians["b"].alias("median_b"), normal_pvalue("z").alias("p_value"),
     )
 
 

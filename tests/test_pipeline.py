@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from revwatch.operators import quality, rca, star
 from revwatch.operators.calendar import MARKETPLACE_EVENTS, holiday_calendar, marketplace_calendar
-from revwatch.operators.global_order import exact_quantiles, ntile, rank_globally
+from revwatch.operators.global_order import exact_quantiles, exact_quantiles_by, ntile, rank_globally
 from revwatch.operators.kpis import build_daily_kpis, ground_truth, label_ground_truth
 from revwatch.plans import questions
 from revwatch.sources import sinks, tables
@@ -115,6 +115,22 @@ def test_exact_quantiles_match_pandas(spark, n):
     assert list(row) == pytest.approx(want)
 
 
+def test_quantiles_per_key_match_pandas(spark):
+    """One key holds most of the rows and spans several range partitions."""
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 7 == 0, "small").otherwise("hot").alias("k"), ((F.col("id") * 37) % 701).cast("double").alias("v")
+    )
+    got = {r["k"]: (r["q25"], r["q50"]) for r in exact_quantiles_by(df, ["k"], "v", [0.25, 0.5]).collect()}
+    want = df.toPandas().groupby("k")["v"].quantile([0.25, 0.5])
+    assert got == {k: pytest.approx((want[k, 0.25], want[k, 0.5])) for k in ("hot", "small")}
+
+
+def test_duplicate_rows_are_whole_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, "c")], "x int, y string")
+    got = {(r["x"], r["y"]): r["copies"] for r in quality.duplicate_rows(df).collect()}
+    assert got == {(1, "a"): 2, (None, "c"): 3}
+
+
 def test_partitioned_sink_and_csv_roundtrip(spark, warehouse, tmp_path):
     back = sinks.write_tables({"fact_orders": warehouse.fact_orders, "model_results": warehouse.model_results}, str(tmp_path))
     assert back["fact_orders"].count() == warehouse.fact_orders.count()
