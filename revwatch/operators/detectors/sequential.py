@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revwatch.functions.numeric import safe_divide
 from revwatch.operators.detectors.pointwise import SCORE_DIGITS, SERIES_FEATURES, SERIES_WINDOWS
 from revwatch.operators.features import long_features
 

@@ -52,8 +52,9 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval from resamples with replacement; groups below ``min_group`` are left out.
 
-    ``order_by`` must order the rows of a group completely. Each draw is a hashed row number, looked up by an equi-join, so any aggregate can be the statistic. This emits
-    rows x replicates and suits result tables; ``poisson_bootstrap_ci`` is the form for large data.
+    ``order_by`` must order the rows of a group completely. Each draw is a hashed row number, looked up by an equi-join,
+    so any aggregate can be the statistic. This emits rows x replicates and suits result tables;
+    ``poisson_bootstrap_ci`` is the form for large data.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*{*keys, *order_by}, F.col(value).alias("x"))
     ranked = rank_globally(rows, [F.col(c) for c in (*keys, *order_by)])

@@ -40,7 +40,9 @@ def build_daily_kpis(
     fact: DataFrame, series_key: Sequence[str] = (), threshold: float = 2.5, approx_customers: bool = False
 ) -> DataFrame:
     """Daily totals with a z-score per series. Revenue is rounded before, and z before the flag is taken."""
-    daily = daily_totals(fact, series_key, approx_customers).withColumn("z_score", F.round(zscore("daily_revenue", series_key), 3))
+    daily = daily_totals(fact, series_key, approx_customers).withColumn(
+        "z_score", F.round(zscore("daily_revenue", series_key), 3)
+    )
     flag = F.coalesce(F.abs("z_score") > threshold, F.lit(False)).cast("int")
     return daily.withColumn("anomaly_flag", flag)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from revwatch.operators import grid, kpis, star
@@ -79,7 +81,10 @@ class Warehouse:
         return done[name]
 
     def _results(self, families) -> DataFrame:
-        frames = [self.grid_family(f) for f in families]
+        """Families are independent jobs with idle tails, so they are submitted together."""
+        _ = self.features, self._family_results  # built before the jobs that share them start
+        with ThreadPoolExecutor(len(families)) as pool:
+            frames = list(pool.map(inheritable_thread_target(self.spark)(self.grid_family), families))
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame)
