@@ -37,4 +37,63 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op4_benchmark_decontamination": OP4, "op6_exact_dedup": OP6}
+#: Unrolled for the two levels that the paths of the given tables have.
+_LEVEL = """
+b{k} AS (
+  SELECT host, template, segs[{k}] AS seg, sum(n) AS bn, sum(b) AS bb, sum(a) AS ba,
+         sum(CASE WHEN len(segs) = {k} THEN n ELSE 0 END) AS be
+  FROM t{j} WHERE len(segs) >= {k} GROUP BY ALL),
+n{k} AS (SELECT host, template, sum(bn) AS nn, sum(bb) AS nb, sum(ba) AS na, sum(be) AS ne FROM b{k} GROUP BY ALL),
+d{k} AS (
+  SELECT host, template, seg,
+         nn > bn
+         AND abs(bb / bn - (nb - bb) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
+         AND abs(ba / bn - (na - ba) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
+         AND abs(be / bn - (ne - be) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
+         AS alike
+  FROM (SELECT host, template, seg, bn::DOUBLE AS bn, bb::DOUBLE AS bb, ba::DOUBLE AS ba, be::DOUBLE AS be FROM b{k})
+  JOIN (SELECT host, template, nn::DOUBLE AS nn, nb::DOUBLE AS nb, na::DOUBLE AS na, ne::DOUBLE AS ne FROM n{k})
+  USING (host, template)),
+t{k} AS (
+  SELECT t.host, t.segs, t.n, t.b, t.a,
+         CASE WHEN d.seg IS NULL THEN t.template
+              WHEN d.alike THEN t.template || '/*' ELSE t.template || '/' || d.seg END AS template
+  FROM t{j} t LEFT JOIN d{k} d ON t.host = d.host AND t.template = d.template AND t.segs[{k}] = d.seg)"""
+
+OP1 = (
+    r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+ruled AS (
+  SELECT *,
+    CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+    [CASE WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') AND regexp_matches(s, '[0-9]') THEN '{hex}'
+          ELSE regexp_replace(s, '[0-9]+', '#', 'g') END for s in string_split(path, '/') if s <> ''] AS segs
+  FROM hp),
+labelled AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled
+  FROM ruled),
+t0 AS (
+  SELECT host, segs, count(*) AS n, count(*) FILTER (ruled = 'block') AS b, count(*) FILTER (ruled = 'allow') AS a,
+         '' AS template
+  FROM labelled GROUP BY host, segs),
+"""
+    + ",".join(_LEVEL.format(j=k - 1, k=k) for k in (1, 2))
+    + """,
+totals AS (
+  SELECT host, template, (sum(b) + 2.0)::DOUBLE / (sum(b) + sum(a) + 4.0)::DOUBLE AS purity FROM t2 GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+       template, purity
+FROM labelled JOIN (SELECT host, segs, template FROM t2) USING (host, segs) JOIN totals USING (host, template)
+"""
+)
+
+ORACLE = {"op1_url_filters": OP1, "op4_benchmark_decontamination": OP4, "op6_exact_dedup": OP6}

@@ -12,8 +12,10 @@ from revwatch.llm import (
     exact_dedup,
     language,
     packing,
+    quality,
     simhash,
     token_counts,
+    url_filters,
 )
 
 
@@ -31,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = (
+    url_filters.Rule("block", "net", "/"),
+    url_filters.Rule("allow", "example.net", "/en/"),
+    url_filters.Rule("block", "example.com", "/de/"),
+    url_filters.Rule("allow", "org", "/fr/"),
+)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.cut_documents(docs, vocabulary("byte_bpe_50k.json")))
@@ -53,6 +67,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -69,9 +88,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_filters,
         op2_best_fit_packing,
         op3_language_id,
         op4_benchmark_decontamination,
+        op5_quality_classifier,
         op6_exact_dedup,
         op9_simhash_near_dedup,
         op10_token_counts,
