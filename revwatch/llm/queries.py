@@ -11,10 +11,12 @@ from revwatch.llm import (
     decontaminate,
     exact_dedup,
     language,
+    ngram_lm,
     packing,
     quality,
     simhash,
     token_counts,
+    token_files,
     url_filters,
 )
 
@@ -76,6 +78,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = ngram_lm.scores(docs, "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2")
+    return rows.withColumn("held_out", language.held_out(F.col("doc_id"), 7, 2))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_files.read_token_files(spark.read.parquet(folder))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -94,6 +107,8 @@ QUERIES = {
         op4_benchmark_decontamination,
         op5_quality_classifier,
         op6_exact_dedup,
+        op7_lm_scoring,
+        op8_token_output,
         op9_simhash_near_dedup,
         op10_token_counts,
     )
