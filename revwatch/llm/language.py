@@ -131,7 +131,9 @@ class CrossParser:
             for state, out in enumerate(moves):
                 for c, to in out.items():
                     table[state, self.classes[c]] = to
+            # A phrase begins at state 0, also after a symbol that the text does not have, which is a phrase by itself.
             fail = table < 0
+            fail[0] = True
             start = np.where(table[0] < 0, 0, table[0])
             table = np.where(fail, start[None, :], table)
             tables.append((((table + base) * self.width) << 1 | fail).astype(np.int32))
@@ -161,7 +163,7 @@ class CrossParser:
             lanes = order[lo : lo + LANES]
             begin, size = start[lanes], length[lanes]
             state = np.repeat(roots, len(lanes), axis=1)
-            count = np.ones((languages, len(lanes)), np.int32)
+            count = np.zeros((languages, len(lanes)), np.int32)
             active = len(lanes)
             for step in range(int(size[0])):
                 while size[active - 1] <= step:

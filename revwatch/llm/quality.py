@@ -16,7 +16,8 @@ TRAIN_DOCS = 4_000
 FEATURES = 1 << 16
 KEEP_FROM = 0.5
 
-#: Labellers: the statistic, where it speaks against the text, and where it speaks for it.
+#: Labellers: the statistic, where it speaks against the text, and where it speaks for it. Every fault is looked at by two
+#: of them, by characters and by words: a fault that only one of them sees would pass for a habit of good texts.
 LABELLERS = (
     ("words", "below", 5.0, 40.0),
     ("word_length", "above", 14.0, 10.0),
@@ -27,6 +28,8 @@ LABELLERS = (
     ("variety", "below", 0.15, 0.30),
     ("pipes", "above", 0.02, 0.002),
     ("marked", "above", 0.30, 0.10),
+    ("shouting", "above", 0.30, 0.10),
+    ("cells", "above", 0.10, 0.02),
 )
 
 _UPPER = np.zeros(256, bool)
@@ -36,7 +39,7 @@ _LOWER[0x61:0x7B] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 _SYMBOL = np.zeros(256, bool)
-_SYMBOL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?"]] = True
+_SYMBOL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?!|"]] = True
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[_UPPER], _CLASS[_LOWER], _CLASS[_DIGIT], _CLASS[0x80:] = ord("A"), ord("a"), ord("0"), ord("a")
 
@@ -58,6 +61,11 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(flags))[offsets]).astype(np.float64)
 
 
+def _any(flags: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Per word whether any of its bytes is flagged."""
+    return np.diff(np.append(0, np.cumsum(flags))[borders]) > 0
+
+
 def parse(data: np.ndarray, offsets: np.ndarray) -> Parsed:
     inside = ~SPACE[data]
     starts, ends, per_row = spans(inside, offsets)
@@ -79,6 +87,7 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Parsed:
     row = np.repeat(np.arange(len(per_row)), per_row)
     pairs = np.unique(row * np.int64(max(len(values), 1)) + coded)
     seen = np.bincount(pairs // max(len(values), 1), minlength=len(per_row))
+    loud = _any(_UPPER[body], borders) & ~_any(_LOWER[body], borders)
     words, size = np.maximum(per_row, 1), np.maximum(_per_row(inside, offsets), 1)
     letters = np.maximum(_per_row(_UPPER[data] | _LOWER[data], offsets), 1)
     stats = {
@@ -91,6 +100,8 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Parsed:
         # The share of distinct words falls with length, so the expected share grows with its root.
         "variety": np.minimum(seen / words * np.sqrt(np.maximum(words, 100) / 100), 1.0),
         "pipes": _per_row(data == ord("|"), offsets) / size,
+        "shouting": np.bincount(row, loud, len(per_row)) / words,
+        "cells": np.bincount(row, _any(body == ord("|"), borders), len(per_row)) / words,
         "marked": np.bincount(row, _SYMBOL[body[borders[1:] - 1]], len(per_row)) / words,
     }
     return Parsed(coded, values, shapes, shape_values, per_row, repeated, stats)
