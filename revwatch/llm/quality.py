@@ -159,7 +159,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Lab
         prior = float((counts @ q + 1) / (counts.sum() + 2))
         model = LabelModel(prior, chances)
         after = model.posterior(ballots)
-        if np.abs(after - q).max() < 1e-9:
+        if np.abs(after - q).max(initial=0.0) < 1e-9:
             break
         q = after
     return model
