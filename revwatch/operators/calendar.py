@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CALENDAR_SCHEMA = "event_date date, type string, severity string, label string"
 
@@ -41,7 +42,13 @@ def _nth_weekday(year: int, month: int, weekday: int, n: int) -> dt.date:
     return first + dt.timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
 
 
-def holiday_calendar(spark: SparkSession, first_year: int = 1995, last_year: int = 2001) -> DataFrame:
+def calendar_years(days: DataFrame, column: str) -> tuple[int, int]:
+    """First and last year of a date column; (1, 0), which is no year, for an empty table."""
+    first, last = days.agg(F.min(F.year(column)), F.max(F.year(column))).head()
+    return (first, last) if first is not None else (1, 0)
+
+
+def holiday_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """Rule-based calendar: Christmas, New Year, Black Friday (after the 4th Thursday of November), Mother's Day."""
     rows = []
     for year in range(first_year, last_year + 1):

@@ -21,61 +21,89 @@ TREES_PER_GROUP = 25
 POINTS_PER_GROUP = 4096
 
 
+PRIME = 2147483647
+CUT_STEPS = 1 << 20
+#: Features enter as integers of this many per unit, and path lengths leave as integers of this many per edge, so that
+#: neither a cut nor a sum depends on the engine or on the order of the rows.
+UNITS = 1_000_000
+
+
+def spread(x):
+    """Scatters integers over 0 .. PRIME - 1; works on numbers, arrays and Spark columns, without leaving 64 bits."""
+    x = (x + 1315423911) % PRIME
+    x = (x * x % PRIME * 48271 + 11) % PRIME
+    return x * x % PRIME * 69621 % PRIME
+
+
+def tree_draw(feature_set: str, width: int, tree: int, seed: int) -> int:
+    """The number that all draws of one tree start from."""
+    return spread(spread(seed + 1000 + zlib.crc32(feature_set.encode()) % 1_000_003 * 10 + width) + tree)
+
+
 def average_path(n: np.ndarray) -> np.ndarray:
-    """Mean path length of an unsuccessful search in a binary tree over n points."""
+    """Mean path length, in ``UNITS``, of an unsuccessful search in a binary tree over n points."""
     n = np.asarray(n, float)
     body = 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1)
-    return np.where(n > 2, body, np.where(n == 2, 1.0, 0.0))
+    return np.rint(UNITS * np.where(n > 2, body, np.where(n == 2, 1.0, 0.0))).astype(np.int64)
+
 
+def tree_columns(n_columns: int, width: int, draw: int) -> np.ndarray:
+    """The ``width`` columns with the smallest draws."""
+    order = np.argsort(spread(draw + 31 * (np.arange(n_columns, dtype=np.int64) + 1)), kind="stable")
+    return np.sort(order[:width])
 
-def tree_depths(sample: np.ndarray, points: np.ndarray, columns: np.ndarray, rng) -> np.ndarray:
-    """Grow one random tree on ``sample`` level by level and return the path length of every point."""
+
+def tree_depths(sample: np.ndarray, points: np.ndarray, columns: np.ndarray, draw: int) -> np.ndarray:
+    """Grow one random tree on ``sample`` level by level and return the path length of every point, in ``UNITS``."""
     limit = max(1, math.ceil(math.log2(max(len(sample), 2))))
-    nodes = 2 ** (limit + 1)
     at_sample = np.zeros(len(sample), int)
     at_points = np.zeros(len(points), int)
-    depth = np.zeros(len(points))
+    depth = np.zeros(len(points), np.int64)
     open_points = np.ones(len(points), bool)
     open_sample = np.ones(len(sample), bool)
     for level in range(limit):  # node numbers restart per level: children of i are 2i and 2i + 1
-        low = np.full((nodes, len(columns)), np.inf)
-        high = np.full((nodes, len(columns)), -np.inf)
+        nodes = 2**level
+        low = np.full((nodes, len(columns)), np.iinfo(np.int64).max)
+        high = np.full((nodes, len(columns)), np.iinfo(np.int64).min)
         values = sample[np.ix_(open_sample, columns)]
         np.minimum.at(low, at_sample[open_sample], values)
         np.maximum.at(high, at_sample[open_sample], values)
         splittable = high > low
         # A random column among those that still vary in the node.
-        choice = np.where(splittable, rng.random(splittable.shape), -1).argmax(axis=1)
-        rows = np.arange(nodes)
+        rows = np.arange(nodes, dtype=np.int64)
+        number = draw + 4099 * (rows + nodes)
+        drawn = spread(number[:, None] + 31 * (columns + 1)[None, :] + 17)
+        choice = np.where(splittable, drawn, -1).argmax(axis=1)
         splits = splittable.any(axis=1)
-        start = np.where(splits, low[rows, choice], 0.0)
-        cut = start + rng.random(nodes) * (np.where(splits, high[rows, choice], 0.0) - start)
+        start = np.where(splits, low[rows, choice], 0)
+        width = np.where(splits, high[rows, choice], 0) - start
+        cut = start + width * (spread(number + 7) % CUT_STEPS) // CUT_STEPS
         column = columns[choice]
 
         closing = open_points & ~splits[at_points]
         sizes = np.bincount(at_sample[open_sample], minlength=nodes)
-        depth[closing] = level + average_path(sizes[at_points[closing]])
+        depth[closing] = level * UNITS + average_path(sizes[at_points[closing]])
         open_points &= splits[at_points]
         open_sample &= splits[at_sample]
         for at, data, is_open in ((at_points, points, open_points), (at_sample, sample, open_sample)):
             node = at[is_open]
             right = data[is_open, column[node]] > cut[node]
             at[is_open] = 2 * node + right
-    sizes = np.bincount(at_sample[open_sample], minlength=nodes)
-    depth[open_points] = limit + average_path(sizes[at_points[open_points]])
+    sizes = np.bincount(at_sample[open_sample], minlength=2**limit)
+    depth[open_points] = limit * UNITS + average_path(sizes[at_points[open_points]])
     return depth
 
 
 def draw_samples(days: DataFrame, series_key: Sequence[str], n_trees: int, seed: int) -> DataFrame:
     """Per tree the ``SAMPLE_SIZE`` days with the smallest hashes; a threshold on the hash first drops most others."""
     key = list(series_key)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "tree", "order_date"), F.lit(1 << 30))
+    draw = spread(spread(F.col("tree").cast("bigint") + seed) + F.unix_date("order_date"))
     share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_SIZE) / F.col("n"))
     rank = Window.partitionBy(*key, "tree").orderBy("draw", "order_date")
     return (
         days.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
         .withColumn("draw", draw)
-        .filter(F.col("draw") < share * F.lit(1 << 30))
+        .filter(F.col("draw") < share * F.lit(PRIME))
         .withColumn("rank", F.row_number().over(rank))
         .filter(F.col("rank") <= SAMPLE_SIZE)
         .select(*key, "order_date", "tree", F.floor(F.col("tree") / TREES_PER_GROUP).alias("group"), "slabs")
@@ -124,7 +152,7 @@ def isolation_scores(
             *[points.schema[c] for c in carried],
             T.StructField("max_features", T.DoubleType()),
             T.StructField("trees_upto", T.IntegerType()),
-            T.StructField("depth", T.DoubleType()),
+            T.StructField("depth", T.LongType()),
             T.StructField("sample_size", T.IntegerType()),
         ]
     )
@@ -132,27 +160,29 @@ def isolation_scores(
     def grow(sample: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
         if sample.empty or pts.empty:
             return pd.DataFrame(columns=schema.names)
-        data = np.stack(pts["vec"].to_numpy())
-        columns = np.arange(data.shape[1])
-        salt = zlib.crc32(pts["feature_set"].iloc[0].encode())
-        by_tree = {
-            int(t): np.stack(g.sort_values("order_date")["vec"].to_numpy()) for t, g in sample.groupby("tree")
-        }
-        out = []
-        for fraction in max_features:
-            width = max(1, int(fraction * len(columns)))
-            total = np.zeros(len(data))
+        def whole(vectors) -> np.ndarray:
+            return np.rint(np.stack(vectors.to_numpy()) * UNITS).astype(np.int64)
+
+        data, feature_set = whole(pts["vec"]), pts["feature_set"].iloc[0]
+        by_tree = {int(t): whole(g.sort_values("order_date")["vec"]) for t, g in sample.groupby("tree")}
+        # Fractions that come to the same number of columns share their trees.
+        widths = {f: max(1, int(f * data.shape[1])) for f in max_features}
+        total = {}
+        for width in set(widths.values()):
+            depth = np.zeros(len(data), np.int64)
             for tree, rows in by_tree.items():
-                rng = np.random.default_rng([seed, salt, int(fraction * 1000), tree])
-                total += tree_depths(rows, data, rng.permutation(columns)[:width], rng)
-            out.append(
-                pts[carried].assign(
-                    max_features=fraction,
-                    trees_upto=max(by_tree) + 1,
-                    depth=total,
-                    sample_size=max(len(r) for r in by_tree.values()),
-                )
+                draw = tree_draw(feature_set, width, tree, seed)
+                depth += tree_depths(rows, data, tree_columns(data.shape[1], width, draw), draw)
+            total[width] = depth
+        out = [
+            pts[carried].assign(
+                max_features=fraction,
+                trees_upto=max(by_tree) + 1,
+                depth=total[width],
+                sample_size=max(len(r) for r in by_tree.values()),
             )
+            for fraction, width in widths.items()
+        ]
         return pd.concat(out)
 
     partial = samples.groupBy(*unit).cogroup(points.groupBy(*unit)).applyInPandas(grow, schema)
@@ -168,7 +198,7 @@ def isolation_scores(
         *[
             F.struct(
                 F.lit(m).alias("n_estimators"),
-                F.pow(F.lit(2.0), -(F.col(f"n{m}") / F.lit(m)) / normal).alias("score"),
+                F.pow(F.lit(2.0), -(F.col(f"n{m}") / F.lit(m * UNITS)) / normal).alias("score"),
             )
             for m in estimators
         ]

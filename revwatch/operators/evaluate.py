@@ -105,11 +105,11 @@ def _cumulative(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _with_start(curve: DataFrame, keys: Sequence[str], start: Mapping[str, Column]) -> DataFrame:
+    """The first row of a curve also yields its starting point, so the scores are read once."""
     columns = [c for c in curve.columns if c not in keys]
-    first = curve.filter(F.col("point") == 1).select(
-        *keys, *[start.get(c, F.lit(None)).alias(c) for c in columns]
-    )
-    return curve.unionByName(first)
+    own = F.struct(*columns)
+    first = F.struct(*[start.get(c, F.lit(None)).cast(curve.schema[c].dataType).alias(c) for c in columns])
+    return curve.select(*keys, F.inline(F.when(F.col("point") == 1, F.array(first, own)).otherwise(F.array(own))))
 
 
 def roc_curve(scores: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:

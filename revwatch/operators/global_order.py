@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revwatch.session import broadcast_if_small, materialize
+from revwatch.session import materialize
 
 
 def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[str, Column] | None = None) -> DataFrame:
@@ -35,13 +35,16 @@ def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[st
     )
     if running:
         upto = Window.partitionBy("slab").orderBy("slab_position").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = ranked.withColumns({f"slab_{name}": F.sum(col).over(upto) for name, col in running.items()})
+        ranked = ranked.withColumns(
+            {f"part_{name}": col for name, col in running.items()}
+            | {f"slab_{name}": F.sum(col).over(upto) for name, col in running.items()}
+        )
     # Range bounds are sampled per run; the written table pins which slab each row belongs to.
     ranked = materialize(ranked, "ranked")
     before = Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = ranked.groupBy("slab").agg(
-        F.count("*").alias("rows"), *[F.max(f"slab_{name}").alias(f"sum_{name}") for name in running]
+        F.count("*").alias("rows"), *[F.sum(f"part_{name}").alias(f"sum_{name}") for name in running]
     )
     offsets = totals.select(
         "slab",
@@ -56,13 +59,18 @@ def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[st
         (F.col("slab_position") + F.col("rows_before")).alias("position"),
         "n_total",
         *[
-            (F.col(f"slab_{name}") + F.coalesce(F.col(f"before_{name}"), F.lit(0))).alias(name)
+            _plus(F.col(f"slab_{name}"), F.col(f"before_{name}")).alias(name)
             for name in running
         ],
         *[f"{name}_total" for name in running],
     )
 
 
+def _plus(own: Column, before: Column) -> Column:
+    """Sum of a slab's running sum and that of the slabs before it; NULL only while no value has been seen."""
+    return F.when(own.isNull(), before).when(before.isNull(), own).otherwise(own + before)
+
+
 def ntile(buckets: int) -> Column:
     """SQL NTILE from ``position`` and ``n_total``: the first ``n % buckets`` tiles hold one more row."""
     n, r, k = F.col("n_total"), F.col("position") - 1, F.lit(buckets)
@@ -122,7 +130,7 @@ def exact_quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Se
         F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("rows_before")
     )
     return (
-        ranked.join(broadcast_if_small(groups, "quantile_groups"), list(keys))
+        ranked.join(groups, list(keys))
         .groupBy(*keys, "n")
         .agg(*_brackets(probs, F.col("n"), F.col("rows_before")))
         .select(*keys, *_interpolated(probs))

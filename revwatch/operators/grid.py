@@ -175,6 +175,8 @@ GRID_FAMILIES = {
 }
 EXTRA_FAMILIES = {"SeasonalResidual": grid_seasonal_resid, "IQR": grid_iqr, "MAD": grid_mad}
 ALL_FAMILIES = {**GRID_FAMILIES, **EXTRA_FAMILIES}
+# What result tables and their reports run on: all of them, with the native seasonal residual in the place of STL.
+DEFAULT_FAMILIES = tuple(f for f in ALL_FAMILIES if f != "STL_Residual")
 
 
 def run_grid(features: DataFrame, families: Sequence[str] = tuple(GRID_FAMILIES), series_key: Sequence[str] = ()):

@@ -13,7 +13,6 @@ from revwatch.functions.numeric import safe_divide
 from revwatch.functions.pvalues import chi2_pvalue, normal_pvalue, t_pvalue
 from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles_by, rank_globally
-from revwatch.session import broadcast_if_small
 
 MIN_GROUP = 10
 MIN_PAIRS = 5
@@ -59,7 +58,7 @@ def bootstrap_ci(
     rows = df.filter(F.col(value).isNotNull()).select(*{*keys, *order_by}, F.col(value).alias("x"))
     ranked = rank_globally(rows, [F.col(c) for c in (*keys, *order_by)])
     groups = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("position").alias("first"))
-    numbered = ranked.join(broadcast_if_small(groups, "bootstrap_groups"), list(keys)).select(
+    numbered = ranked.join(groups, list(keys)).select(
         *keys, "x", "n", (F.col("position") - F.col("first")).alias("i")
     )
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -69,7 +68,7 @@ def bootstrap_ci(
         .select(*keys, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
         .select(*keys, "b", (_uniform_int(F.lit(seed), F.col("b"), F.col("i")) % F.col("n")).alias("i"))
     )
-    lookup = broadcast_if_small(numbered.select(*keys, "i", "x"), "bootstrap_rows")
+    lookup = numbered.select(*keys, "i", "x")
     stats = draws.join(lookup, [*keys, "i"]).groupBy(*keys, "b").agg(statistic(F.col("x")).alias("stat"))
     return _point(df, keys, value, statistic, min_group).join(_interval(stats, keys, confidence), list(keys)).select(
         *keys, "n", "estimate", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper")

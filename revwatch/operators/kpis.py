@@ -52,7 +52,7 @@ def label_ground_truth(daily: DataFrame, calendar: DataFrame, extreme: float = 3
     events = calendar.select(F.col("event_date").alias("order_date"), "label")
     outlier = F.coalesce(F.abs("z_score") > extreme, F.lit(False))
     return (
-        daily.join(F.broadcast(events), "order_date", "left")  # a calendar is a literal list of days
+        daily.join(events, "order_date", "left")
         .withColumns(
             {
                 "is_true_anomaly": (F.col("label").isNotNull() | outlier).cast("int"),
@@ -71,7 +71,7 @@ def ground_truth(labelled: DataFrame, calendar: DataFrame) -> DataFrame:
     by_sign = F.when(F.col("z_score") > 0, "spike").otherwise("drop")
     return (
         labelled.filter(F.col("is_true_anomaly") == 1)
-        .join(F.broadcast(events), "order_date", "left")
+        .join(events, "order_date", "left")
         .select(
             F.col("order_date").alias("anomaly_date"),
             "event_label",

@@ -11,7 +11,6 @@ from revwatch.functions.numeric import mean
 from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles, exact_quantiles_by
 from revwatch.operators.star import orphan_customers
-from revwatch.session import broadcast_if_small
 
 
 def _long(row: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     hashed = df.withColumn("row_hash", F.xxhash64(*df.columns))
     repeated = hashed.groupBy("row_hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("row_hash")
     return (
-        hashed.join(broadcast_if_small(repeated, "repeated_hashes"), "row_hash", "left_semi")
+        hashed.join(repeated, "row_hash", "left_semi")
         .groupBy(*df.columns)
         .agg(F.count("*").alias("copies"))
         .filter(F.col("copies") > 1)

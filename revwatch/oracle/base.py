@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from revwatch.operators.detectors import density, pointwise, sequential
 from revwatch.operators.features import FEATURE_SETS
@@ -112,16 +113,18 @@ def daily_sql(key: str = "") -> str:
 
 CTES["daily"] = daily_sql()
 CTES["daily_state"] = daily_sql("state")
+CTES["order_years"] = "\n  SELECT unnest(range(min(year(order_date)), max(year(order_date)) + 1)) AS y FROM all_orders"
+CTES["order_year_days"] = """
+  SELECT make_date(y, 1, 1) + CAST(i AS INTEGER) AS d
+  FROM order_years, (SELECT unnest(range(366)) AS i) WHERE year(make_date(y, 1, 1) + CAST(i AS INTEGER)) = y"""
 CTES["calendar"] = """
   SELECT * FROM (
     SELECT make_date(y, 1, 1) AS event_date, 'drop' AS type, 'high' AS severity, 'New Year''s Day ' || y AS label
-    FROM range(1995, 2002) t(y)
-    UNION ALL SELECT make_date(y, 12, 25), 'drop', 'high', 'Christmas Day ' || y FROM range(1995, 2002) t(y)
-    UNION ALL SELECT CAST(d AS DATE), 'spike', 'high', 'Mother''s Day ' || year(d)
-      FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d)
+    FROM order_years
+    UNION ALL SELECT make_date(y, 12, 25), 'drop', 'high', 'Christmas Day ' || y FROM order_years
+    UNION ALL SELECT d, 'spike', 'high', 'Mother''s Day ' || year(d) FROM order_year_days
       WHERE month(d) = 5 AND isodow(d) = 7 AND day(d) BETWEEN 8 AND 14
-    UNION ALL SELECT CAST(d + INTERVAL 1 DAY AS DATE), 'spike', 'high', 'Black Friday ' || year(d)
-      FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d)
+    UNION ALL SELECT d + 1, 'spike', 'high', 'Black Friday ' || year(d) FROM order_year_days
       WHERE month(d) = 11 AND isodow(d) = 4 AND day(d) BETWEEN 22 AND 28)"""
 CTES["labelled"] = """
   SELECT d.*, CAST(c.label IS NOT NULL OR coalesce(abs(d.z_score) > 3.5, false) AS INTEGER) AS is_true_anomaly,
@@ -265,6 +268,97 @@ CTES["lof"] = """
 CTES["lof_scores"] = "\n  SELECT feature_set, a AS order_date, truth, k AS n_neighbors, score FROM lof JOIN truths USING (a)"
 
 
+# --- isolation forest: integer draws, boxes and cuts, one level after the other ---
+
+FOREST_TREES, FOREST_SAMPLE, FOREST_LEVELS, FOREST_SEED = 300, 256, 8, 42
+FOREST_SIZES, FOREST_SHARES = (50, 100, 150, 200, 300), (0.5, 0.75, 1.0)
+
+
+def _spread(value: str, name: str) -> str:
+    """Columns that end in ``name``: the value scattered over 0 .. 2147483646."""
+    p = 2147483647
+    return (
+        f"(CAST({value} AS BIGINT) + 1315423911) % {p} AS {name}_a, ({name}_a * {name}_a % {p} * 48271 + 11) % {p} AS {name}_b, "
+        f"{name}_b * {name}_b % {p} * 69621 % {p} AS {name}"
+    )
+
+
+_WIDTHS = sorted({(n, max(1, int(f * len(c)))) for n, c in FEATURE_SETS.items() for f in FOREST_SHARES})
+CTES["forest_vecs"] = "\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{n}' AS fs, order_date, is_true_anomaly AS truth, "
+    f"[{', '.join(f'CAST(round({c} * 1000000) AS BIGINT)' for c in cols)}] AS v FROM scaled"
+    for n, cols in FEATURE_SETS.items()
+)
+CTES["forest_picks"] = f"""
+  SELECT t, order_date FROM (
+    SELECT t, order_date, row_number() OVER (PARTITION BY t ORDER BY d, order_date) AS place FROM (
+      SELECT t, order_date, {_spread(f"t + {FOREST_SEED}", "s")},
+             {_spread("s + date_diff('day', DATE '1970-01-01', order_date)", "d")}
+      FROM features, (SELECT unnest(range({FOREST_TREES})) AS t)))
+  WHERE place <= {FOREST_SAMPLE}"""
+CTES["forest_units"] = f"""
+  SELECT u, fs, n, width, t, base FROM (
+    SELECT *, {_spread(f"{FOREST_SEED} + 1000 + salt * 10 + width", "w")}, {_spread("w + t", "base")}
+    FROM (VALUES {", ".join(f"({i}, '{n}', {zlib.crc32(n.encode()) % 1_000_003}, {len(FEATURE_SETS[n])}, {w})"
+                             for i, (n, w) in enumerate(_WIDTHS))}) x(u, fs, salt, n, width),
+         (SELECT unnest(range({FOREST_TREES})) AS t))"""
+CTES["forest_cols"] = f"""
+  SELECT u, t, c FROM (
+    SELECT u, t, c, width, row_number() OVER (PARTITION BY u, t ORDER BY d, c) AS place
+    FROM (SELECT *, {_spread("base + 31 * c", "d")} FROM (SELECT *, unnest(range(1, n + 1)) AS c FROM forest_units)))
+  WHERE place <= width"""
+CTES["forest_s0"] = """
+  SELECT u, fs, t, base, order_date, 1 AS node FROM forest_units JOIN forest_picks USING (t)"""
+for _k in range(FOREST_LEVELS):
+    CTES[f"forest_cut{_k}"] = f"""
+  SELECT u, t, node, c, lo + (hi - lo) * (step % 1048576) // 1048576 AS cut FROM (
+  SELECT u, t, node, arg_max(c, d) AS c, arg_max(lo, d) AS lo, arg_max(hi, d) AS hi, any_value(step) AS step
+  FROM (SELECT *, {_spread("base + 4099 * node + 31 * c + 17", "d")}, {_spread("base + 4099 * node + 7", "step")}
+        FROM (SELECT s.u, s.t, s.base, s.node, c.c, min(x.v[c.c]) AS lo, max(x.v[c.c]) AS hi
+              FROM forest_s{_k} s JOIN forest_cols c ON s.u = c.u AND s.t = c.t
+              JOIN forest_vecs x ON x.fs = s.fs AND x.order_date = s.order_date GROUP BY ALL)
+        WHERE hi > lo)
+  GROUP BY u, t, node)"""
+    CTES[f"forest_s{_k + 1}"] = f"""
+  SELECT s.u, s.fs, s.t, s.base, s.order_date, s.node * 2 + CAST(x.v[k.c] > k.cut AS INTEGER) AS node
+  FROM forest_s{_k} s JOIN forest_cut{_k} k ON s.u = k.u AND s.t = k.t AND s.node = k.node
+  JOIN forest_vecs x ON x.fs = s.fs AND x.order_date = s.order_date"""
+CTES["forest_cuts"] = "\n  " + " UNION ALL ".join(
+    f"SELECT u, t, node, c, cut FROM forest_cut{k}" for k in range(FOREST_LEVELS)
+)
+CTES["forest_leaves"] = f"""
+  SELECT u, t, node, level * 1000000 + CASE WHEN n > 2 THEN
+           CAST(round(1000000 * (2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)) AS BIGINT)
+           WHEN n = 2 THEN 1000000 ELSE 0 END AS path
+  FROM (SELECT u, t, node, level, CAST(count(*) AS DOUBLE) AS n
+        FROM ({" UNION ALL ".join(f"SELECT u, t, node, {k} AS level FROM forest_s{k}" for k in range(FOREST_LEVELS + 1))})
+        GROUP BY ALL) ANTI JOIN forest_cuts USING (u, t, node)"""
+
+
+def _walk() -> str:
+    rows = "SELECT u, t, p.order_date, p.truth, p.v, 1 AS node FROM forest_units JOIN forest_vecs p USING (fs)"
+    for _ in range(FOREST_LEVELS):
+        rows = (
+            "SELECT w.u, w.t, w.order_date, w.truth, w.v, "
+            "CASE WHEN k.node IS NULL THEN w.node ELSE w.node * 2 + CAST(w.v[k.c] > k.cut AS INTEGER) END AS node "
+            f"FROM ({rows}) w LEFT JOIN forest_cuts k ON w.u = k.u AND w.t = k.t AND w.node = k.node"
+        )
+    return rows
+
+
+CTES["forest_paths"] = f"""
+  SELECT w.u, w.order_date, w.truth,
+         {", ".join(f"CAST(sum(path) FILTER (WHERE w.t < {m}) AS BIGINT) AS n{m}" for m in FOREST_SIZES)}
+  FROM ({_walk()}) w JOIN forest_leaves l ON w.u = l.u AND w.t = l.t AND w.node = l.node GROUP BY ALL"""
+_NORMAL = "(CASE WHEN psi > 2 THEN 2 * (ln(psi - 1) + 0.5772156649015329) - 2 * (psi - 1) / psi ELSE 1.0 END)"
+CTES["forest_scores"] = "\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{n}' AS feature_set, CAST({f} AS DOUBLE) AS max_features, {m} AS n_estimators, order_date, truth, "
+    f"pow(2.0, -(n{m} / {m * 1000000}) / {_NORMAL}) AS score FROM forest_paths, "
+    f"(SELECT CAST(least(count(*), {FOREST_SAMPLE}) AS DOUBLE) AS psi FROM features) "
+    f"WHERE u = {_WIDTHS.index((n, max(1, int(f * len(c)))))}"
+    for n, c in FEATURE_SETS.items() for f in FOREST_SHARES for m in FOREST_SIZES
+)
+
 # --- model_results ---
 
 
@@ -341,8 +435,21 @@ CTES["grid_dbscan"] = family(
     ["eps", "min_samples"],
     "standard",
 )
+_F = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.08, 0.10, 0.12, 0.15)
+CTES["forest_cells"] = f"""
+  SELECT feature_set, max_features, n_estimators, contamination, count(*) FILTER (WHERE neg < cut) AS n,
+         count(*) FILTER (WHERE neg < cut AND truth = 1) AS tp, count(*) AS total_days
+  FROM (SELECT *, -round(score, 6) AS neg FROM forest_scores)
+  JOIN (SELECT feature_set, max_features, n_estimators,
+               unnest(quantile_cont(-round(score, 6), [{", ".join(map(str, _F))}])) AS cut,
+               unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in _F)}]) AS contamination
+        FROM forest_scores GROUP BY 1, 2, 3) USING (feature_set, max_features, n_estimators)
+  GROUP BY ALL"""
+CTES["grid_forest"] = family(
+    "IsolationForest", "SELECT * FROM forest_cells", ["n_estimators", "contamination", "max_features"], "standard"
+)
 CTES["results"] = "\n  " + "\n  UNION ALL ".join(
-    f"SELECT * FROM {t}" for t in ("grid_lof", "grid_dbscan", "grid_zscore", "grid_rolling_z", "grid_ewm",
+    f"SELECT * FROM {t}" for t in ("grid_forest", "grid_lof", "grid_dbscan", "grid_zscore", "grid_rolling_z", "grid_ewm",
                                    "grid_seasonal", "grid_iqr", "grid_mad")
 )
 
@@ -361,4 +468,5 @@ def query(body: str) -> str:
     visit(body)
     if not needed:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + body.strip()
+    kept = {n: " MATERIALIZED" if n.startswith("forest_") and n != "forest_cuts" else "" for n in needed}
+    return "WITH " + ",\n".join(f"{n} AS{kept[n]} ({CTES[n]})" for n in needed) + "\n" + body.strip()

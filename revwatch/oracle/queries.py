@@ -32,13 +32,15 @@ def _avg_cents(expr: str, n: str, digits: int = 2) -> str:
 # --- sources ---
 SQL["src_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}"
-    for t in ("orders", "lineitem", "customer", "part", "nation", "events", "conversations")
+    for t in EXPECTED
 )
 SQL["contract_check"] = " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, {len(cols)} AS expected_columns, CAST(0 AS BIGINT) AS violations, count(*) AS rows,
     count(*) FILTER (WHERE {" OR ".join(f"{c} IS NULL" for c in cols)}) AS incomplete_rows FROM {t}"""
     for t, cols in EXPECTED.items()
 )
+SQL["csv_roundtrip"] = """SELECT method_type, count(*) AS configs, CAST(sum(anomalies_detected) AS BIGINT) AS anomalies,
+  CAST(sum(true_positives) AS BIGINT) AS true_positives FROM results GROUP BY 1"""
 SQL["sink_roundtrip"] = f"""SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS orders,
   {cents("sum(value_c)")} AS revenue FROM fact GROUP BY 1"""
 
@@ -130,7 +132,7 @@ SQL["scale_robust"] = f"SELECT {day()} AS order_date, " + ", ".join(
 for _key, _cte in {
     "grid_zscore": "grid_zscore", "grid_rolling_z": "grid_rolling_z", "grid_ewm": "grid_ewm",
     "grid_seasonal_resid": "grid_seasonal", "grid_iqr": "grid_iqr", "grid_mad": "grid_mad", "grid_lof": "grid_lof",
-    "grid_dbscan": "grid_dbscan", "model_results": "results",
+    "grid_dbscan": "grid_dbscan", "grid_iforest": "grid_forest", "model_results": "results",
 }.items():
     SQL[_key] = f"SELECT * FROM {_cte}"
 
@@ -182,9 +184,12 @@ SQL["alert_driver"] = f"""SELECT {day()} AS order_date, driver, z AS driver_z FR
         round(({m} - avg({m}) OVER ()) / stddev_samp({m}) OVER (), 6) AS z FROM daily""" for i, m in enumerate(_METRICS)
 ) + ") WHERE anomaly_flag = 1) WHERE rn = 1"
 _LOF20 = "(SELECT order_date, truth, score FROM lof_scores WHERE feature_set = 'multi_feature' AND n_neighbors = 20)"
-SQL["ensemble_alerts"] = f"""SELECT {day("d.order_date")} AS order_date, daily_revenue, z_score, round(score, 4) AS score
-  FROM daily d JOIN {_LOF20} l ON d.order_date = l.order_date,
-       (SELECT quantile_cont(-round(score, 6), 0.05) AS cut FROM {_LOF20})
+_FOREST200 = """(SELECT order_date, truth, score FROM forest_scores
+  WHERE feature_set = 'multi_feature' AND max_features = 1.0 AND n_estimators = 200)"""
+for _key, _source in (("ensemble_alerts", _LOF20), ("ensemble_alerts_iforest", _FOREST200)):
+    SQL[_key] = f"""SELECT {day("d.order_date")} AS order_date, daily_revenue, z_score, round(score, 4) AS score
+  FROM daily d JOIN {_source} l ON d.order_date = l.order_date,
+       (SELECT quantile_cont(-round(score, 6), 0.05) AS cut FROM {_source})
   WHERE anomaly_flag = 1 AND -round(score, 6) < cut"""
 
 # --- evaluation ---
@@ -235,8 +240,10 @@ SQL["eval_report"] = f"""SELECT threshold, precision, recall, f1_score, total_fl
   (SELECT count(*) FROM labelled WHERE is_true_anomaly = 0) AS normal_days,
   CAST(row_number() OVER (ORDER BY f1_score DESC, threshold) = 1 AS INTEGER) AS is_optimum FROM ({_SWEEP})"""
 _SCORES = f"""SELECT 'ZScore' AS method, order_date, is_true_anomaly, abs(z_score) AS score FROM labelled
-  UNION ALL SELECT 'LocalOutlierFactor', order_date, truth, round(score, 4) FROM {_LOF20}"""
-SQL["anomaly_scores"] = f"SELECT method, {day()} AS order_date, is_true_anomaly, score FROM ({_SCORES})"
+  UNION ALL SELECT 'LocalOutlierFactor', order_date, truth, round(score, 9) FROM {_LOF20}
+  UNION ALL SELECT 'IsolationForest', order_date, truth, round(score, 9) FROM {_FOREST200}"""
+SQL["anomaly_scores"] = f"SELECT method, {day()} AS order_date, is_true_anomaly, round(score, 6) AS score FROM ({_SCORES})"
+SQL["anomaly_scores_all"] = SQL["anomaly_scores"]
 _CUM = f"""SELECT method, score, row_number() OVER w AS point, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
     sum(pos) OVER (PARTITION BY method) AS positives, sum(neg) OVER (PARTITION BY method) AS negatives
   FROM (SELECT method, score, count(*) FILTER (WHERE is_true_anomaly = 1) AS pos,
@@ -246,8 +253,8 @@ _ROC = f"""SELECT method, point, score, CAST(fp AS DOUBLE) / negatives AS fpr, C
   UNION ALL SELECT DISTINCT method, 0, CAST(NULL AS DOUBLE), 0, 0 FROM ({_SCORES})"""
 _PR = f"""SELECT method, point, score, CAST(tp AS DOUBLE) / positives AS recall, CAST(tp AS DOUBLE) / (tp + fp) AS precision
   FROM ({_CUM}) UNION ALL SELECT DISTINCT method, 0, CAST(NULL AS DOUBLE), 0, 1 FROM ({_SCORES})"""
-SQL["roc_curve"] = f"SELECT method, point, score, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM ({_ROC})"
-SQL["pr_curve"] = f"SELECT method, point, score, round(recall, 6) AS recall, round(precision, 6) AS precision FROM ({_PR})"
+SQL["roc_curve"] = f"SELECT method, point, round(score, 6) AS score, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM ({_ROC})"
+SQL["pr_curve"] = f"SELECT method, point, round(score, 6) AS score, round(recall, 6) AS recall, round(precision, 6) AS precision FROM ({_PR})"
 
 
 def _area(curve: str, x: str, y: str, name: str) -> str:
@@ -258,6 +265,7 @@ def _area(curve: str, x: str, y: str, name: str) -> str:
 
 SQL["roc_auc"] = _area(_ROC, "fpr", "tpr", "roc_auc")
 SQL["pr_auc"] = _area(_PR, "recall", "precision", "pr_auc")
+SQL["auc_all"] = f"SELECT * FROM ({SQL['roc_auc']}) JOIN ({SQL['pr_auc']}) USING (method)"
 
 # --- root-cause tables ---
 _CLASS = """CASE WHEN anomaly_pct < 1 THEN 'too_conservative' WHEN anomaly_pct < 3 THEN 'conservative'
@@ -319,7 +327,10 @@ SQL["method_success"] = f"""SELECT method_type, count(*) AS configs, count(*) FI
   FROM results GROUP BY method_type"""
 SQL["feature_bubble"] = f"""SELECT feature_set, {mean_pct(1)} AS avg_anomaly,
   count(*) FILTER (WHERE anomaly_pct > 20) AS broken, max(n_features) AS n_features FROM results GROUP BY feature_set"""
-_PIVOT = ("LocalOutlierFactor", "DBSCAN", "ZScore", "RollingZScore", "EWM_ZScore")
+_PIVOT = (
+    "IsolationForest", "LocalOutlierFactor", "DBSCAN", "ZScore", "RollingZScore", "EWM_ZScore", "SeasonalResidual", "IQR",
+    "MAD",
+)
 SQL["heatmap_pivot"] = "SELECT feature_set, " + ", ".join(
     f"""max(a) FILTER (WHERE method_type = '{m}') AS "{m}_avg_pct", max(s) FILTER (WHERE method_type = '{m}') AS "{m}_success_rate\""""
     for m in _PIVOT
@@ -427,15 +438,16 @@ _MW = """SELECT u, n1 AS n_a, n2 AS n_b, median_a, median_b,
                median(v) FILTER (WHERE a) AS median_a, median(v) FILTER (WHERE NOT a) AS median_b
         FROM (SELECT v, a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk,
                      count(*) FILTER (WHERE a) OVER () AS n1, count(*) FILTER (WHERE NOT a) OVER () AS n2
-              FROM (SELECT anomaly_pct AS v, method_type = 'LocalOutlierFactor' AS a FROM results
-                    WHERE method_type IN ('LocalOutlierFactor', 'DBSCAN'))),
+              FROM (SELECT anomaly_pct AS v, method_type = 'IsolationForest' AS a FROM results
+                    WHERE method_type IN ('IsolationForest', 'DBSCAN'))),
              (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (
-                SELECT count(*) AS c FROM results WHERE method_type IN ('LocalOutlierFactor', 'DBSCAN')
+                SELECT count(*) AS c FROM results WHERE method_type IN ('IsolationForest', 'DBSCAN')
                 GROUP BY anomaly_pct))
         GROUP BY n1, n2, ties)"""
 SQL["mann_whitney"] = f"SELECT {_round('u', 'z', 'median_a', 'median_b')}, n_a, n_b, p_value FROM (" + _tail(
     "u, z, n_a, n_b, median_a, median_b", _MW, "least(z, 40)", _N_DENSITY, 2
 ) + ")"
+SQL["mann_whitney_iforest"] = SQL["mann_whitney"]
 SQL["normality_jb"] = """SELECT n, round(s, 6) AS skewness, round(k, 6) AS excess_kurtosis,
     round(n / 6.0 * (s * s + k * k / 4), 6) AS jb, round(exp(-(n / 6.0 * (s * s + k * k / 4)) / 2), 6) AS p_value
   FROM (SELECT count(*) AS n, avg(pow(d, 3)) / pow(avg(d * d), 1.5) AS s, avg(pow(d, 4)) / pow(avg(d * d), 2) - 3 AS k
@@ -632,13 +644,14 @@ _EVENT_DAY = f"""{cents(f"sum({_VALUE_C})")} AS daily_value, count(*) AS event_c
 SQL["events_daily_kpis"] = f"""SELECT event_type, {day("CAST(ts AS DATE)")} AS order_date, {_EVENT_DAY},
   count(DISTINCT user_id) AS unique_users FROM events GROUP BY event_type, CAST(ts AS DATE)"""
 SQL["stream_daily_kpis"] = f"""SELECT event_type, {day("CAST(ts AS DATE)")} AS order_date, {_EVENT_DAY} FROM events
-  GROUP BY event_type, CAST(ts AS DATE)
-  HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+  GROUP BY event_type, CAST(ts AS DATE)"""
 SQL["events_alerts"] = f"""SELECT event_id, event_type, {day("CAST(ts AS DATE)")} AS order_date, value, z AS z_score,
   CASE WHEN z > 2.5 THEN 'SPIKE' ELSE 'DROP' END AS alert
   FROM (SELECT *, round((value - avg(value) OVER (PARTITION BY event_type))
                         / nullif(stddev_samp(value) OVER (PARTITION BY event_type), 0), 6) AS z FROM events)
-  WHERE abs(z) > 2.5 AND strftime(ts, '%m-%d') NOT IN ('01-01', '12-25', '11-29', '05-12')"""
+  WHERE abs(z) > 2.5 AND strftime(ts, '%m-%d') NOT IN ('01-01', '12-25')
+    AND NOT (month(ts) = 5 AND isodow(ts) = 7 AND day(ts) BETWEEN 8 AND 14)
+    AND NOT (month(ts - INTERVAL 1 DAY) = 11 AND isodow(ts - INTERVAL 1 DAY) = 4 AND day(ts - INTERVAL 1 DAY) BETWEEN 22 AND 28)"""
 SQL["stream_alerts"] = SQL["events_alerts"]
 SQL["stream_ewm"] = f"""
   WITH d AS (SELECT event_type, CAST(ts AS DATE) AS order_date, {cents(f"sum({_VALUE_C})")} AS x FROM events GROUP BY 1, 2),

@@ -195,15 +195,11 @@ def dow_orders(fact: DataFrame) -> DataFrame:
     )
 
 
-def _by_attribute(order_items: DataFrame, products: DataFrame, attribute: Column) -> DataFrame:
-    return order_attribute_values(order_items, products, attribute)
-
-
-def cancel_rate(order_items: DataFrame, products: DataFrame, min_orders: int = 10) -> DataFrame:
+def cancel_rate(values: DataFrame, min_orders: int = 10) -> DataFrame:
+    """``values`` is ``order_attribute_values`` by category, as for the category reports below."""
     cancelled = F.col("order_status") == "cancelled"
     return (
-        _by_attribute(order_items, products, F.col("category"))
-        .groupBy(F.col("attribute").alias("category"))
+        values.groupBy(F.col("attribute").alias("category"))
         .agg(
             F.count("*").alias("total_orders"),
             F.count_if(cancelled).alias("cancelled"),
@@ -216,7 +212,7 @@ def cancel_rate(order_items: DataFrame, products: DataFrame, min_orders: int = 1
 def freight_by_weight(order_items: DataFrame, products: DataFrame) -> DataFrame:
     delivered = order_items.filter(F.col("order_status") == "delivered")
     return (
-        _by_attribute(delivered, products, weight_band(F.col("weight_g")))
+        order_attribute_values(delivered, products, weight_band(F.col("weight_g")))
         .groupBy(F.col("attribute").alias("weight_category"))
         .agg(
             F.count("*").alias("orders"),
@@ -231,10 +227,10 @@ def freight_by_weight(order_items: DataFrame, products: DataFrame) -> DataFrame:
 # --- dashboard, notebook and report frames ---
 
 
-def category_values(order_items: DataFrame, products: DataFrame, mean_digits: int = 0) -> DataFrame:
+def category_values(values: DataFrame, mean_digits: int = 0) -> DataFrame:
     """Orders, revenue and mean value by category, over orders that count."""
     return (
-        _by_attribute(billable(order_items), products, F.col("category"))
+        billable(values)
         .groupBy(F.col("attribute").alias("category"))
         .agg(
             F.count("*").alias("order_count"),
@@ -244,15 +240,15 @@ def category_values(order_items: DataFrame, products: DataFrame, mean_digits: in
     )
 
 
-def category_revenue(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    return category_values(order_items, products).select("category", F.col("total_revenue").alias("revenue"))
+def category_revenue(values: DataFrame) -> DataFrame:
+    return category_values(values).select("category", F.col("total_revenue").alias("revenue"))
 
 
-def category_pareto(order_items: DataFrame, products: DataFrame, upto: float | None = None) -> DataFrame:
+def category_pareto(values: DataFrame, upto: float | None = None) -> DataFrame:
     """Categories by revenue with cumulative share; ``upto`` keeps the head of the list."""
     ranked = Window.orderBy(F.desc("total_revenue"), "category")  # one row per category
     running = F.sum("total_revenue").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = category_values(order_items, products).withColumn(
+    out = category_values(values).withColumn(
         "cumulative_pct",
         F.round(F.try_divide(running, F.sum("total_revenue").over(Window.partitionBy())) * 100, 4),
     )

@@ -79,8 +79,8 @@ def ask_monthly(fact: DataFrame) -> DataFrame:
     )
 
 
-def ask_category(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    return business.category_values(order_items, products).select(
+def ask_category(values: DataFrame) -> DataFrame:
+    return business.category_values(values).select(
         "category",
         F.col("order_count").alias("total_orders"),
         F.col("total_revenue").alias("revenue"),
@@ -171,7 +171,7 @@ def answer(question: str, *, fact, order_items, products, dim_customers, daily,
         "anomalies": lambda: ask_anomalies(daily),
         "models": lambda: ask_models(results),
         "monthly": lambda: ask_monthly(fact),
-        "category": lambda: ask_category(order_items, products),
+        "category": lambda: ask_category(order_attribute_values(order_items, products, F.col("category"))),
         "state": lambda: ask_state(fact, dim_customers),
         "status": lambda: ask_status(fact),
         "features": lambda: ask_features(results),

@@ -11,9 +11,10 @@ from revwatch.functions.numeric import publish
 from revwatch.functions.subquery import only_row
 from revwatch.operators import evaluate, features, grid, hypothesis, kpis, quality, rca, star
 from revwatch.operators.detectors import density, isolation, pointwise, sequential
+from revwatch.operators.calendar import calendar_years, holiday_calendar
 from revwatch.plans import business, questions
 from revwatch.plans.warehouse import Warehouse, open_warehouse
-from revwatch.session import checkpoint_root
+from revwatch.session import fresh_path
 from revwatch.sources import contract, sinks
 from revwatch.streaming import kpis as streaming
 
@@ -40,7 +41,7 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 @register
 def src_counts(w):
     out = None
-    for name in ("orders", "lineitem", "customer", "part", "nation", "events", "conversations"):
+    for name in contract.EXPECTED:
         frame = w.table(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"))
         out = frame if out is None else out.unionByName(frame)
     return out
@@ -54,13 +55,37 @@ def contract_check(w):
 @register
 def sink_roundtrip(w):
     """Facts written partitioned by month, read back and summed per month."""
-    path = f"{checkpoint_root(w.spark)}/{w.spark.sparkContext.applicationId}/sink_roundtrip"
+    path = fresh_path(w.spark, "sink_roundtrip")
     back = sinks.write_table(w.fact_orders, path, "order_date")
     return back.groupBy("month").agg(
         F.count("*").alias("orders"), F.sum("order_value").cast("double").alias("revenue")
     )
 
 
+@register
+def csv_roundtrip(w):
+    """Grid results written as CSV with a header, read back with their types, and summed per method."""
+    path = fresh_path(w.spark, "csv_roundtrip")
+    sinks.write_csv(w.model_results, path)
+    back = sinks.read_model_results_csv(w.spark, path)
+    return back.groupBy("method_type").agg(
+        F.count("*").alias("configs"),
+        F.sum("anomalies_detected").cast("bigint").alias("anomalies"),
+        F.sum("true_positives").cast("bigint").alias("true_positives"),
+    )
+
+
+@register
+def rca_report(w):
+    """The root-cause report written as tables and read back: rows and columns of each."""
+    written = sinks.write_tables(rca.rca_report(w.model_results), fresh_path(w.spark, "rca_report"))
+    out = None
+    for name, frame in written.items():
+        row = frame.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- star schema ---
 
 
@@ -275,17 +300,6 @@ def alert_driver(w):
     return pointwise.alert_driver(w.daily_kpis)
 
 
-def _lof(w, k: int, feature_set: str = "multi_feature") -> DataFrame:
-    sets = {feature_set: features.FEATURE_SETS[feature_set]}
-    return density.lof_scores(features.feature_vectors(w.features, (), sets), (), [k])
-
-
-def _iforest(w, trees: int, feature_set: str = "multi_feature") -> DataFrame:
-    sets = {feature_set: features.FEATURE_SETS[feature_set]}
-    vectors = features.feature_vectors(w.features, (), sets)
-    return isolation.isolation_scores(vectors, (), [1.0], [trees])
-
-
 def _top_share(scores: DataFrame, share: float) -> DataFrame:
     """Days flagged by a contamination cut over one series."""
     neg = scores.withColumn("neg", -F.round("score", 6))
@@ -301,13 +315,13 @@ def _ensemble(w, primary: DataFrame) -> DataFrame:
 @register
 def ensemble_alerts(w):
     """Days on which the z-score and the local outlier factor (k 20, 5 %) agree."""
-    return _ensemble(w, _top_share(_lof(w, 20), 0.05))
+    return _ensemble(w, _top_share(w.lof_scores, 0.05))
 
 
 @register
 def ensemble_alerts_iforest(w):
     """Days on which the z-score and the isolation forest (200 trees, 5 %) agree."""
-    return _ensemble(w, _top_share(_iforest(w, 200), 0.05))
+    return _ensemble(w, _top_share(w.forest_scores, 0.05))
 
 
 # --- evaluation ---
@@ -366,41 +380,36 @@ def _z_scores(w) -> DataFrame:
     )
 
 
-def _lof_long(w) -> DataFrame:
-    return _lof(w, 20).select(
-        F.lit("LocalOutlierFactor").alias("method"), "order_date", "is_true_anomaly", F.round("score", 4).alias("score")
-    )
-
-
 def _scores(w) -> DataFrame:
-    return _z_scores(w).unionByName(_lof_long(w))
-
-
-def _scores_all(w) -> DataFrame:
-    forest = _iforest(w, 200).select(
-        F.lit("IsolationForest").alias("method"), "order_date", "is_true_anomaly", F.round("score", 6).alias("score")
-    )
-    return _scores(w).unionByName(forest)
+    """Scores of the three compared detectors, with the nine digits at which scores meet thresholds."""
+    out = _z_scores(w)
+    for method, scores in (("LocalOutlierFactor", w.lof_scores), ("IsolationForest", w.forest_scores)):
+        out = out.unionByName(
+            scores.select(
+                F.lit(method).alias("method"), "order_date", "is_true_anomaly", F.round("score", 9).alias("score")
+            )
+        )
+    return out
 
 
 @register
 def anomaly_scores(w):
-    return _scores(w)
+    return _rounded(_scores(w), 6, "score")
 
 
 @register
 def anomaly_scores_all(w):
-    return _scores_all(w)
+    return _rounded(_scores(w), 6, "score")
 
 
 @register
 def roc_curve(w):
-    return _rounded(evaluate.roc_curve(_scores(w)), 6, "fpr", "tpr")
+    return _rounded(evaluate.roc_curve(_scores(w)), 6, "score", "fpr", "tpr")
 
 
 @register
 def pr_curve(w):
-    return _rounded(evaluate.pr_curve(_scores(w)), 6, "recall", "precision")
+    return _rounded(evaluate.pr_curve(_scores(w)), 6, "score", "recall", "precision")
 
 
 @register
@@ -416,7 +425,7 @@ def pr_auc(w):
 @register
 def auc_all(w):
     """ROC and PR areas of the three compared detectors."""
-    scores = _scores_all(w)
+    scores = _scores(w)
     return evaluate.roc_auc(scores).join(evaluate.pr_auc(scores), "method")
 
 
@@ -448,7 +457,7 @@ for _key, _op in {
 
 @register
 def heatmap_pivot(w):
-    return rca.heatmap(w.model_results, ["LocalOutlierFactor", "DBSCAN", "ZScore", "RollingZScore", "EWM_ZScore"])
+    return rca.heatmap(w.model_results, grid.DEFAULT_FAMILIES)
 
 
 @register
@@ -521,7 +530,7 @@ def welch_ttest(w):
 
 @register
 def mann_whitney(w):
-    out = hypothesis.mann_whitney(w.model_results, "anomaly_pct", "method_type", "LocalOutlierFactor", "DBSCAN")
+    out = hypothesis.mann_whitney(w.model_results, "anomaly_pct", "method_type", "IsolationForest", "DBSCAN")
     return _rounded(out, 6, "u", "z", "median_a", "median_b", "p_value")
 
 
@@ -597,12 +606,17 @@ for _key, _op in {
 
 for _key, _op in {
     "cancel_rate": business.cancel_rate,
-    "freight_by_weight": business.freight_by_weight,
     "category_revenue": business.category_revenue,
     "category_pareto": business.category_pareto,
     "ask_category": questions.ask_category,
 }.items():
-    QUERIES[_key] = lambda w, op=_op: op(w.fact_order_items, w.sources.products)
+    QUERIES[_key] = lambda w, op=_op: op(w.category_values)
+
+
+@register
+def freight_by_weight(w):
+    return business.freight_by_weight(w.fact_order_items, w.sources.products)
+
 
 for _key, _op in {
     "state_segments": business.state_segments,
@@ -627,7 +641,7 @@ def category_tree(w):
 @register
 def category_head(w):
     """Categories that make up the first 80 % of revenue."""
-    return business.category_pareto(w.fact_order_items, w.sources.products, upto=80)
+    return business.category_pareto(w.category_values, upto=80)
 
 
 @register
@@ -693,16 +707,14 @@ def events_daily_kpis(w):
     return streaming.events_daily_kpis(_events(w), ["event_type"])
 
 
-def _new_year_only(w) -> DataFrame:
-    """Event whitelist: labelled days of the year the events cover."""
-    from revwatch.operators.calendar import holiday_calendar
-
-    return holiday_calendar(w.spark, 2024, 2024)
+def _event_holidays(w) -> DataFrame:
+    """Event whitelist: labelled days of the years that the events cover."""
+    return holiday_calendar(w.spark, *calendar_years(w.table("events"), "ts"))
 
 
 def _alerts(w, events: DataFrame) -> DataFrame:
     baseline = streaming.value_baseline(w.table("events"), ["event_type"])
-    return streaming.alerts(events, baseline, ["event_type"], _new_year_only(w)).select(
+    return streaming.alerts(events, baseline, ["event_type"], _event_holidays(w)).select(
         "event_id", "event_type", "order_date", "value", "z_score", "alert"
     )
 
@@ -723,16 +735,17 @@ def stream_alerts(w):
 
 @register
 def stream_daily_kpis(w):
-    closed = streaming.drain(streaming.stream_daily_kpis(_event_stream(w), ["event_type"]), "stream_daily_kpis")
-    return closed.drop("approx_users")
+    """Every day of the stream, also the last ones, which no watermark has closed yet."""
+    days = streaming.stream_daily_kpis(_event_stream(w), ["event_type"])
+    return streaming.drain_updates(days, ["event_type", "order_date"], "stream_daily_kpis").drop("approx_users")
 
 
 @register
 def stream_ewm(w):
     """Daily totals per event type, streamed one more time through the stateful z-score."""
     daily = streaming.events_daily_kpis(_events(w), ["event_type"]).select("event_type", "order_date", "daily_value")
-    path = f"{checkpoint_root(w.spark)}/{w.spark.sparkContext.applicationId}/event_days"
-    daily.write.mode("overwrite").parquet(path)
+    path = fresh_path(w.spark, "event_days")
+    daily.write.parquet(path)
     days = w.spark.readStream.schema(daily.schema).parquet(path)
     out = streaming.drain(streaming.stream_ewm(days, "event_type", "daily_value", 7), "stream_ewm")
     return _rounded(out, 4, "score")

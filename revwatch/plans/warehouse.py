@@ -7,16 +7,15 @@ from functools import cached_property
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revwatch.operators import grid, kpis, star
-from revwatch.operators.calendar import holiday_calendar
-from revwatch.operators.features import build_features
+from revwatch.operators.calendar import calendar_years, holiday_calendar
+from revwatch.operators.detectors import density, isolation
+from revwatch.operators.features import FEATURE_SETS, build_features, feature_vectors
 from revwatch.session import materialize
 from revwatch.sources.tables import Sources, from_wholesale, read_parquet
 
-# Families whose result also has a plain SQL form; the other two (isolation forest, STL) are random or iterative.
-SQL_FAMILIES = ("LocalOutlierFactor", "DBSCAN", "ZScore", "RollingZScore", "EWM_ZScore", "SeasonalResidual", "IQR", "MAD")
-
 
 class Warehouse:
     """Star schema, KPI series and grid results of one directory of wholesale tables."""
@@ -38,7 +37,8 @@ class Warehouse:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return holiday_calendar(self.spark)
+        """Labelled days of all years in which there are orders."""
+        return holiday_calendar(self.spark, *calendar_years(self.sources.orders, "order_date"))
 
     @cached_property
     def fact_orders_all(self) -> DataFrame:
@@ -92,13 +92,35 @@ class Warehouse:
 
     @cached_property
     def model_results(self) -> DataFrame:
-        """Grid results of the families with an SQL form."""
-        return materialize(self._results(SQL_FAMILIES).coalesce(1), "model_results")
+        """Grid results of all families but the iterative seasonal decomposition."""
+        return self._results(grid.DEFAULT_FAMILIES)
 
     @cached_property
     def model_results_all(self) -> DataFrame:
         """The seven-family grid, 2,327 configurations."""
-        return materialize(self._results(tuple(grid.GRID_FAMILIES)).coalesce(1), "model_results_all")
+        return self._results(tuple(grid.GRID_FAMILIES))
+
+    def _vectors(self, feature_set: str) -> DataFrame:
+        return feature_vectors(self.features, (), {feature_set: FEATURE_SETS[feature_set]})
+
+    @cached_property
+    def lof_scores(self) -> DataFrame:
+        """Local outlier factor (k 20) of every day on the combined feature set."""
+        return materialize(density.lof_scores(self._vectors("multi_feature"), (), [20]), "lof_scores")
+
+    @cached_property
+    def forest_scores(self) -> DataFrame:
+        """Isolation forest (200 trees, all columns) of every day on the combined feature set."""
+        return materialize(
+            isolation.isolation_scores(self._vectors("multi_feature"), (), [1.0], [200]), "forest_scores"
+        )
+
+    @cached_property
+    def category_values(self) -> DataFrame:
+        """Value and freight per (order, category, status), which the category reports share."""
+        return materialize(
+            star.order_attribute_values(self.fact_order_items, self.sources.products, F.col("category")), "category_values"
+        )
 
 
 _OPEN: dict[tuple[str, str], Warehouse] = {}

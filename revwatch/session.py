@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "revwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,9 +27,6 @@ def build_session(app_name: str = "revwatch", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for durable intermediates.
 
@@ -41,27 +38,25 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="revwatch-")
-    return _LOCAL_ROOTS[app]
+    root = os.path.join(tempfile.gettempdir(), f"revwatch-{spark.sparkContext.applicationId}")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
-BROADCAST_ROWS = 200_000
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediates that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_if_small(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A lookup side: written once, counted, and hinted for broadcast only up to ``max_rows`` rows.
-
-    Beyond that it is joined by shuffle, where adaptive execution splits skewed partitions.
-    """
-    table = materialize(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one, so that two calls never meet."""
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,6 +14,13 @@ EXPECTED = {
     "customer": {"c_custkey": "bigint", "c_nationkey": "int", "c_mktsegment": "string"},
     "part": {"p_partkey": "bigint", "p_type": "string", "p_size": "int"},
     "nation": {"n_nationkey": "int", "n_name": "string"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_nationkey": "int"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
     "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
                "value": "double"},
     "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},

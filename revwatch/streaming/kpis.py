@@ -5,18 +5,17 @@ These extend the batch operators to the daily monitoring the project describes;
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revwatch.functions.labels import z_label
 from revwatch.functions.numeric import MONEY, mean, safe_divide
-from revwatch.session import broadcast_if_small, checkpoint_root
+from revwatch.session import fresh_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
@@ -35,7 +34,7 @@ def read_event_stream(spark: SparkSession, folder: str, pattern: str = "*.parque
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Process everything available into a parquet table in the shared folder and return that table."""
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    root = fresh_path(spark, name)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -48,6 +47,31 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
+def drain_updates(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Process everything available in update mode and return the newest row of every key, closed by a watermark or not.
+
+    Each micro-batch overwrites a folder of its own, so a batch that is run again after a failure counts once.
+    """
+    spark = stream.sparkSession
+    root = fresh_path(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(keep)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    batches = T.StructType([*stream.schema, T.StructField("batch", T.LongType())])
+    seen = spark.read.schema(batches).parquet(f"{root}/data")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return seen.withColumn("age", F.row_number().over(newest)).filter("age = 1").select(*stream.columns)
+
+
 def _day_aggregates() -> list[Column]:
     amount = F.col("value").cast(MONEY)
     return [
@@ -98,10 +122,9 @@ def alerts(
 ) -> DataFrame:
     """Rows beyond ``threshold`` deviations of the baseline; days of ``whitelist`` never alert.
 
-    ``events`` may be a stream or a table. The baseline, one row per series, is computed once and looked up; events are
-    shuffled only when there are too many series to broadcast.
+    ``events`` may be a stream or a table. The baseline, one row per series, is looked up; Spark broadcasts it as long as
+    its measured size allows.
     """
-    baseline = broadcast_if_small(baseline, "baseline")
     z = F.round(safe_divide(F.col(value) - F.col("mean"), F.col("std")), 6)
     quiet = events.withColumn("order_date", F.to_date("ts"))
     if whitelist is not None:
