@@ -15,7 +15,7 @@ import time
 
 from revwatch.plans import warehouse
 from revwatch.plans.registry import QUERIES, run
-from revwatch.session import build_session
+from revwatch.session import build_session, intermediates
 
 HEADLINE = (
     "fact_orders", "dim_customers", "daily_kpis", "daily_kpis_by_state", "zscore_alerts", "monthly_growth",
@@ -30,7 +30,8 @@ def execute(df) -> None:
 
 def timed(name: str, spark, sf_dir: str) -> float:
     start = time.time()
-    execute(run(name, spark, sf_dir))
+    with intermediates(spark):
+        execute(run(name, spark, sf_dir))
     return round(time.time() - start, 3)
 
 
@@ -45,7 +46,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        "revwatch-bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "20g"}
+        "revwatch-bench", f"local[{cpus}]", **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "20g",
+            "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINT_DIR", f"/tmp/revwatch-bench-{os.getpid()}"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

@@ -41,10 +41,15 @@ def tree_draw(feature_set: str, width: int, tree: int, seed: int) -> int:
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
-    """Mean path length, in ``UNITS``, of an unsuccessful search in a binary tree over n points."""
+    """Mean path length of an unsuccessful search in a binary tree over n points."""
     n = np.asarray(n, float)
     body = 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1)
-    return np.rint(UNITS * np.where(n > 2, body, np.where(n == 2, 1.0, 0.0))).astype(np.int64)
+    return np.where(n > 2, body, np.where(n == 2, 1.0, 0.0))
+
+
+def leaf_path(n: np.ndarray) -> np.ndarray:
+    """``average_path`` in whole ``UNITS``."""
+    return np.rint(UNITS * average_path(n)).astype(np.int64)
 
 
 def tree_columns(n_columns: int, width: int, draw: int) -> np.ndarray:
@@ -82,7 +87,7 @@ def tree_depths(sample: np.ndarray, points: np.ndarray, columns: np.ndarray, dra
 
         closing = open_points & ~splits[at_points]
         sizes = np.bincount(at_sample[open_sample], minlength=nodes)
-        depth[closing] = level * UNITS + average_path(sizes[at_points[closing]])
+        depth[closing] = level * UNITS + leaf_path(sizes[at_points[closing]])
         open_points &= splits[at_points]
         open_sample &= splits[at_sample]
         for at, data, is_open in ((at_points, points, open_points), (at_sample, sample, open_sample)):
@@ -90,7 +95,7 @@ def tree_depths(sample: np.ndarray, points: np.ndarray, columns: np.ndarray, dra
             right = data[is_open, column[node]] > cut[node]
             at[is_open] = 2 * node + right
     sizes = np.bincount(at_sample[open_sample], minlength=2**limit)
-    depth[open_points] = limit * UNITS + average_path(sizes[at_points[open_points]])
+    depth[open_points] = limit * UNITS + leaf_path(sizes[at_points[open_points]])
     return depth
 
 

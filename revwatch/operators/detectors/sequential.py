@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from revwatch.operators.detectors.pointwise import SCORE_DIGITS, SERIES_FEATURES
 from revwatch.operators.features import long_features
 
 STL_PERIODS = (7, 14, 21, 30, 60)
-SLAB_DAYS = 4096
+SLAB_DAYS = 256
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -32,40 +34,52 @@ def ewm_scores(
 ) -> DataFrame:
     """|z| against the exponentially weighted mean and bias-corrected deviation (weights adjusted, own day included).
 
-    A series is cut into slabs of days. Each slab also receives the rows before it that still carry weight, so slabs are
-    independent tasks of bounded size.
+    Weighted sums of 1, y and y squared are prefix sums inside slabs of ``SLAB_DAYS`` rows, where the powers of the decay
+    stay in range; a slab's totals reach the next ones through a window over slabs, as far back as weights count.
     """
-    overlap = ewm_horizon(max(spans))
     keys = [*series_key, "feature_set"]
     days = Window.partitionBy(*keys).orderBy("order_date")
-    numbered = long_features(features, columns, series_key).withColumns(
-        {"row": F.row_number().over(days) - 1, "last": F.count("*").over(Window.partitionBy(*keys)) - 1}
+    long = long_features(features, columns, series_key).withColumns(
+        {"row": F.row_number().over(days) - 1, "y": F.col("x") - F.first("x").over(days)}
     )
-    slab = F.floor(F.col("row") / SLAB_DAYS)
-    reaches = F.floor(F.least(F.col("row") + overlap, F.col("last")) / SLAB_DAYS)
-    slabbed = numbered.withColumn("slab", F.explode(F.sequence(slab, reaches))).withColumn(
-        "own", F.col("slab") == slab
+    decays = [F.struct(F.lit(s).alias("span"), F.lit(1 - 2 / (s + 1)).alias("decay")) for s in spans]
+    slab, place = F.floor(F.col("row") / SLAB_DAYS), F.col("row") % SLAB_DAYS
+    rows = long.select(
+        *keys, "order_date", "is_true_anomaly", "y", slab.alias("slab"), place.alias("place"), F.inline(F.array(*decays))
     )
-    carried = [*keys, "order_date", "is_true_anomaly"]
-    schema = T.StructType(
-        [
-            *_fields(slabbed, carried),
-            T.StructField("span", T.IntegerType()),
-            T.StructField("score", T.DoubleType()),
-        ]
+    series = [*keys, "span"]
+    upto = Window.partitionBy(*series, "slab").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.pow("decay", -F.col("place"))
+    # Each sum with the power of the decay that it fades by in a row.
+    sums = {"w": (F.lit(1.0), 1), "w2": (F.lit(1.0), 2), "wy": (F.col("y"), 1), "wyy": (F.col("y") * F.col("y"), 1)}
+    rows = rows.withColumns(
+        {n: F.sum(F.pow(grown, F.lit(k)) * v).over(upto) * F.pow("decay", k * F.col("place")) for n, (v, k) in sums.items()}
     )
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        own = pdf["own"].to_numpy()
-        out = []
-        for span in spans:
-            ewm = pdf["x"].ewm(span=span)
-            z = ((pdf["x"] - ewm.mean()) / ewm.std().fillna(1)).fillna(0).abs()
-            out.append(pdf.loc[own, carried].assign(span=span, score=z[own].round(SCORE_DIGITS)))
-        return pd.concat(out)
-
-    return slabbed.groupBy(*keys, "slab").applyInPandas(score, schema)
+    reach = -(-ewm_horizon(max(spans)) // SLAB_DAYS)
+    order = Window.partitionBy(*series).orderBy("slab")
+
+    def carried(name: str, fade: int):
+        faded = F.pow("decay", F.lit(fade * SLAB_DAYS))
+        parts = [F.coalesce(F.lag(name, q).over(order), F.lit(0.0)) * F.pow(faded, F.lit(q - 1)) for q in range(1, reach + 1)]
+        return reduce(add, parts)
+
+    # The last slab has no successor, so only full ones count here.
+    totals = rows.filter(F.col("place") == SLAB_DAYS - 1).select(*series, "decay", "slab", *sums)
+    ahead = totals.unionByName(
+        totals.groupBy(*series, "decay").agg((F.max("slab") + 1).alias("slab"), *[F.lit(0.0).alias(n) for n in sums])
+    )
+    before = ahead.select(*series, "slab", *[carried(n, k).alias(f"{n}_before") for n, (_, k) in sums.items()])
+    joined = rows.join(before, [*series, "slab"], "left")
+    total = {
+        n: F.col(n) + F.coalesce(F.col(f"{n}_before"), F.lit(0.0)) * F.pow("decay", k * (F.col("place") + 1))
+        for n, (_, k) in sums.items()
+    }
+    out = joined.select(*series, "order_date", "is_true_anomaly", "y", *[c.alias(n) for n, c in total.items()])
+    mean, spare = F.col("wy") / F.col("w"), F.col("w") * F.col("w") - F.col("w2")
+    variance = F.greatest(F.col("wyy") / F.col("w") - mean * mean, F.lit(0.0)) * F.col("w") * F.col("w")
+    spread = F.when(spare > 1e-9, F.sqrt(variance / F.greatest(spare, F.lit(1e-9)))).otherwise(1.0)
+    score = F.coalesce(F.abs(F.try_divide(F.col("y") - mean, spread)), F.lit(0.0))
+    return out.select(*series, "order_date", "is_true_anomaly", F.round(score, SCORE_DIGITS).alias("score"))
 
 
 def seasonal_scores(

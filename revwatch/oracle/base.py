@@ -5,9 +5,27 @@ from __future__ import annotations
 import re
 import zlib
 
-from revwatch.operators.detectors import density, pointwise, sequential
-from revwatch.operators.features import FEATURE_SETS
-from revwatch.operators.grid import NAMES
+from revwatch.oracle.constants import (
+    DBSCAN_EPS,
+    DBSCAN_MIN_SAMPLES,
+    FEATURE_SETS,
+    FOREST_CONTAMINATION,
+    FOREST_SHARES,
+    FOREST_SIZES,
+    IQR_MULTIPLIERS,
+    LOF_CONTAMINATION,
+    LOF_NEIGHBORS,
+    MAD_SCALE,
+    MAD_THRESHOLDS,
+    NAMES,
+    SEASON_PERIODS,
+    SERIES_FEATURES,
+    SERIES_THRESHOLDS,
+    SERIES_WINDOWS,
+    ZSCORE_FEATURES,
+    ZSCORE_THRESHOLDS,
+    ewm_rows,
+)
 
 
 def ratio(num: str, den: str, scale: int, factor: int = 1, unit: int = 1) -> str:
@@ -161,8 +179,8 @@ def _long(columns) -> str:
     )
 
 
-CTES["long6"] = "\n  " + _long(pointwise.ZSCORE_FEATURES)
-CTES["long3"] = "\n  " + _long(pointwise.SERIES_FEATURES)
+CTES["long6"] = "\n  " + _long(ZSCORE_FEATURES)
+CTES["long3"] = "\n  " + _long(SERIES_FEATURES)
 
 _P = "PARTITION BY feature_set"
 CTES["z_scores"] = f"""
@@ -178,16 +196,16 @@ def _rolling(rows: int) -> str:
     )
 
 
-CTES["rolling_scores"] = "\n  " + "\n  UNION ALL ".join(_rolling(n) for n in pointwise.SERIES_WINDOWS)
+CTES["rolling_scores"] = "\n  " + "\n  UNION ALL ".join(_rolling(n) for n in SERIES_WINDOWS)
 CTES["iqr_scores"] = f"""
   SELECT feature_set, order_date, truth, round(greatest(x - q3, q1 - x, 0) / nullif(q3 - q1, 0), 9) AS score
   FROM long6 JOIN (SELECT feature_set, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3
                    FROM long6 GROUP BY 1) USING (feature_set)"""
 CTES["mad_scores"] = f"""
-  SELECT feature_set, order_date, truth, round(gap / nullif({pointwise.MAD_SCALE} * median(gap) OVER ({_P}), 0), 9) AS score
+  SELECT feature_set, order_date, truth, round(gap / nullif({MAD_SCALE} * median(gap) OVER ({_P}), 0), 9) AS score
   FROM (SELECT *, abs(x - median(x) OVER ({_P})) AS gap FROM long6)"""
 CTES["ewm_spans"] = "\n  SELECT * FROM (VALUES " + ", ".join(
-    f"({s}, {sequential.ewm_horizon(s)})" for s in sequential.SERIES_WINDOWS
+    f"({s}, {ewm_rows(s)})" for s in SERIES_WINDOWS
 ) + ") t(span, horizon)"
 CTES["ewm_rows"] = """
   SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY order_date) AS i,
@@ -215,7 +233,7 @@ def _seasonal(period: int) -> str:
     )
 
 
-CTES["seasonal_parts"] = "\n  " + "\n  UNION ALL ".join(_seasonal(p) for p in sequential.STL_PERIODS)
+CTES["seasonal_parts"] = "\n  " + "\n  UNION ALL ".join(_seasonal(p) for p in SEASON_PERIODS)
 CTES["seasonal_resid"] = """
   SELECT *, detrended - median(detrended) OVER (PARTITION BY feature_set, period, phase) AS resid FROM seasonal_parts"""
 CTES["seasonal_scores"] = """
@@ -238,7 +256,7 @@ def _pairs(extra: str = "", join: str = "") -> str:
 
 CTES["point_pairs"] = _pairs()
 CTES["truths"] = "\n  SELECT order_date AS a, is_true_anomaly AS truth FROM features"
-EPS = density.DBSCAN_EPS
+EPS = DBSCAN_EPS
 CTES["eps_counts"] = "\n  SELECT feature_set, a, " + ", ".join(
     f"count(*) FILTER (WHERE d <= {e}) AS c{i}" for i, e in enumerate(EPS)
 ) + " FROM point_pairs GROUP BY feature_set, a"
@@ -250,12 +268,12 @@ CTES["eps_density"] = "\n  " + "\n  UNION ALL ".join(
     f"SELECT feature_set, a, truth, CAST({e} AS DOUBLE) AS eps, m{i} AS density FROM eps_best JOIN truths USING (a)"
     for i, e in enumerate(EPS)
 )
-K_MAX = max(density.LOF_NEIGHBORS)
+K_MAX = max(LOF_NEIGHBORS)
 CTES["knn"] = f"""
   SELECT feature_set, a, unnest(list_sort(nn)) AS e, generate_subscripts(list_sort(nn), 1) AS pos
   FROM (SELECT feature_set, a, min({{'d': d, 'nb': b}}, {K_MAX}) AS nn FROM point_pairs WHERE a <> b
         GROUP BY feature_set, a)"""
-CTES["ks"] = "\n  SELECT unnest([" + ", ".join(map(str, density.LOF_NEIGHBORS)) + "]) AS k"
+CTES["ks"] = "\n  SELECT unnest([" + ", ".join(map(str, LOF_NEIGHBORS)) + "]) AS k"
 CTES["k_dist"] = """
   SELECT feature_set, a, k, max(e.d) AS kd FROM knn JOIN ks ON pos <= k GROUP BY ALL"""
 CTES["lrd"] = """
@@ -271,7 +289,6 @@ CTES["lof_scores"] = "\n  SELECT feature_set, a AS order_date, truth, k AS n_nei
 # --- isolation forest: integer draws, boxes and cuts, one level after the other ---
 
 FOREST_TREES, FOREST_SAMPLE, FOREST_LEVELS, FOREST_SEED = 300, 256, 8, 42
-FOREST_SIZES, FOREST_SHARES = (50, 100, 150, 200, 300), (0.5, 0.75, 1.0)
 
 
 def _spread(value: str, name: str) -> str:
@@ -403,8 +420,8 @@ def _threshold_cells(scores: str, thresholds, key: str = "", out: str = "", name
     )
 
 
-ST = pointwise.SERIES_THRESHOLDS
-CTES["grid_zscore"] = family("ZScore", _threshold_cells("z_scores", pointwise.ZSCORE_THRESHOLDS), ["threshold"])
+ST = SERIES_THRESHOLDS
+CTES["grid_zscore"] = family("ZScore", _threshold_cells("z_scores", ZSCORE_THRESHOLDS), ["threshold"])
 CTES["grid_rolling_z"] = family(
     "RollingZScore", _threshold_cells("rolling_scores", ST, "win", '"window"'), ["window", "threshold"]
 )
@@ -412,21 +429,21 @@ CTES["grid_ewm"] = family("EWM_ZScore", _threshold_cells("ewm_scores", ST, "span
 CTES["grid_seasonal"] = family(
     "SeasonalResidual", _threshold_cells("seasonal_scores", ST, "period", "period"), ["period", "threshold"]
 )
-CTES["grid_iqr"] = family("IQR", _threshold_cells("iqr_scores", pointwise.IQR_MULTIPLIERS), ["threshold"])
-CTES["grid_mad"] = family("MAD", _threshold_cells("mad_scores", pointwise.MAD_THRESHOLDS), ["threshold"])
-_C = ", ".join(map(str, density.LOF_CONTAMINATION))
+CTES["grid_iqr"] = family("IQR", _threshold_cells("iqr_scores", IQR_MULTIPLIERS), ["threshold"])
+CTES["grid_mad"] = family("MAD", _threshold_cells("mad_scores", MAD_THRESHOLDS), ["threshold"])
+_C = ", ".join(map(str, LOF_CONTAMINATION))
 CTES["lof_cells"] = f"""
   SELECT feature_set, n_neighbors, contamination, count(*) FILTER (WHERE neg < cut) AS n,
          count(*) FILTER (WHERE neg < cut AND truth = 1) AS tp, count(*) AS total_days
   FROM (SELECT *, -round(score, 6) AS neg FROM lof_scores)
   JOIN (SELECT feature_set, n_neighbors, unnest(quantile_cont(-round(score, 6), [{_C}])) AS cut,
-               unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in density.LOF_CONTAMINATION)}]) AS contamination
+               unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in LOF_CONTAMINATION)}]) AS contamination
         FROM lof_scores GROUP BY 1, 2) USING (feature_set, n_neighbors)
   GROUP BY ALL"""
 CTES["grid_lof"] = family(
     "LocalOutlierFactor", "SELECT * FROM lof_cells", ["n_neighbors", "contamination"], "standard"
 )
-_M = ", ".join(map(str, density.DBSCAN_MIN_SAMPLES))
+_M = ", ".join(map(str, DBSCAN_MIN_SAMPLES))
 CTES["grid_dbscan"] = family(
     "DBSCAN",
     "SELECT feature_set, eps, min_samples, count(*) FILTER (WHERE density < min_samples) AS n, "
@@ -435,14 +452,13 @@ CTES["grid_dbscan"] = family(
     ["eps", "min_samples"],
     "standard",
 )
-_F = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.08, 0.10, 0.12, 0.15)
 CTES["forest_cells"] = f"""
   SELECT feature_set, max_features, n_estimators, contamination, count(*) FILTER (WHERE neg < cut) AS n,
          count(*) FILTER (WHERE neg < cut AND truth = 1) AS tp, count(*) AS total_days
   FROM (SELECT *, -round(score, 6) AS neg FROM forest_scores)
   JOIN (SELECT feature_set, max_features, n_estimators,
-               unnest(quantile_cont(-round(score, 6), [{", ".join(map(str, _F))}])) AS cut,
-               unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in _F)}]) AS contamination
+               unnest(quantile_cont(-round(score, 6), [{", ".join(map(str, FOREST_CONTAMINATION))}])) AS cut,
+               unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in FOREST_CONTAMINATION)}]) AS contamination
         FROM forest_scores GROUP BY 1, 2, 3) USING (feature_set, max_features, n_estimators)
   GROUP BY ALL"""
 CTES["grid_forest"] = family(
@@ -454,13 +470,13 @@ CTES["results"] = "\n  " + "\n  UNION ALL ".join(
 )
 
 
-def query(body: str) -> str:
-    """``body`` preceded by the CTEs it needs, directly or through others."""
+def query(body: str, stored: frozenset[str] = frozenset()) -> str:
+    """``body`` preceded by the CTEs it needs, directly or through others, but for those that are ``stored`` as tables."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
         for name, sql in CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and name not in stored and re.search(rf"\b{name}\b", text):
                 visit(sql)
                 if name not in needed:
                     needed.append(name)

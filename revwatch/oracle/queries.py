@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from revwatch.operators.evaluate import SWEEP
-from revwatch.operators.hypothesis import _POISSON_CDF
 from revwatch.oracle.base import (
     band,
     cents,
@@ -13,8 +11,7 @@ from revwatch.oracle.base import (
     ratio,
     share,
 )
-from revwatch.plans.questions import RULES
-from revwatch.sources.contract import EXPECTED
+from revwatch.oracle.constants import REQUIRED, RULES, SWEEP, poisson_cumulated
 
 SQL: dict[str, str] = {}
 
@@ -32,12 +29,12 @@ def _avg_cents(expr: str, n: str, digits: int = 2) -> str:
 # --- sources ---
 SQL["src_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}"
-    for t in EXPECTED
+    for t in REQUIRED
 )
 SQL["contract_check"] = " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, {len(cols)} AS expected_columns, CAST(0 AS BIGINT) AS violations, count(*) AS rows,
     count(*) FILTER (WHERE {" OR ".join(f"{c} IS NULL" for c in cols)}) AS incomplete_rows FROM {t}"""
-    for t, cols in EXPECTED.items()
+    for t, cols in REQUIRED.items()
 )
 SQL["csv_roundtrip"] = """SELECT method_type, count(*) AS configs, CAST(sum(anomalies_detected) AS BIGINT) AS anomalies,
   CAST(sum(true_positives) AS BIGINT) AS true_positives FROM results GROUP BY 1"""
@@ -368,7 +365,7 @@ SQL["bootstrap_ci"] = f"""
     FROM (SELECT method_type, b, {_HEX.format("concat_ws('-', 42, b, i)")} % n AS pick FROM numbered, range(2000) t(b)) d
     JOIN numbered r ON r.method_type = d.method_type AND r.i = d.pick GROUP BY ALL) GROUP BY method_type)
   USING (method_type)"""
-_WEIGHT = " + ".join(f"CAST(u >= CAST({c!r} AS DOUBLE) AS INTEGER)" for c in _POISSON_CDF)
+_WEIGHT = " + ".join(f"CAST(u >= CAST({c!r} AS DOUBLE) AS INTEGER)" for c in poisson_cumulated())
 SQL["bootstrap_ci_poisson"] = f"""
   SELECT method_type, n, round(estimate, 6) AS estimate, round(ci[1], 6) AS ci_lower, round(ci[2], 6) AS ci_upper
   FROM (SELECT method_type, count(*) AS n, avg({_REASONABLE}) AS estimate FROM results GROUP BY 1 HAVING count(*) >= 10)
@@ -664,4 +661,10 @@ SQL["stream_ewm"] = f"""
     sqrt(greatest(m2 - m * m, 0) * w * w / nullif(w * w - w2, 0)), 1), 0)), 0), 4) AS score
   FROM s JOIN r USING (event_type, i)"""
 
+SQL["rca_report"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({SQL[t]})"
+    for t in ("rca_method", "rca_feature_set", "rca_scaler", "rca_dbscan", "rca_param_failure", "rca_best",
+              "rca_contamination")
+)
+
 ORACLE = {name: query(body) for name, body in SQL.items()}

@@ -9,6 +9,7 @@ from revwatch.functions.labels import z_label
 from revwatch.functions.numeric import mean, ratio, rounded_sum, share_pct
 from revwatch.operators.rca import mean_pct
 from revwatch.operators.star import billable
+from revwatch.operators.star import order_attribute_values
 from revwatch.plans import business
 
 # Rule order and trigger words. A rule fires when every one of its word groups has a word in the text.

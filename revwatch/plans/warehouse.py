@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from revwatch.operators import grid, kpis, star
 from revwatch.operators.calendar import calendar_years, holiday_calendar
 from revwatch.operators.detectors import density, isolation
 from revwatch.operators.features import FEATURE_SETS, build_features, feature_vectors
-from revwatch.session import materialize
+from revwatch.session import intermediates, materialize
 from revwatch.sources.tables import Sources, from_wholesale, read_parquet
 
 
@@ -23,6 +24,11 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Writes a shared table; what its operators write on the way is dropped as soon as it stands."""
+        with intermediates(self.spark):
+            return materialize(build(), name, keep=True)
+
     def table(self, name: str) -> DataFrame:
         return read_parquet(self.spark, self.sf_dir, name)
 
@@ -43,7 +49,7 @@ class Warehouse:
     @cached_property
     def fact_orders_all(self) -> DataFrame:
         s = self.sources
-        return materialize(star.fact_orders_all(s.orders, s.items, s.customers), "fact_orders_all")
+        return self.keep("fact_orders_all", lambda: star.fact_orders_all(s.orders, s.items, s.customers))
 
     @property
     def fact_orders(self) -> DataFrame:
@@ -51,24 +57,24 @@ class Warehouse:
 
     @cached_property
     def fact_order_items(self) -> DataFrame:
-        return materialize(star.fact_order_items(self.sources.orders, self.sources.items), "fact_order_items")
+        return self.keep("fact_order_items", lambda: star.fact_order_items(self.sources.orders, self.sources.items))
 
     @cached_property
     def dim_customers(self) -> DataFrame:
-        return materialize(star.build_dim_customers(self.fact_orders), "dim_customers")
+        return self.keep("dim_customers", lambda: star.build_dim_customers(self.fact_orders))
 
     @cached_property
     def dim_products(self) -> DataFrame:
-        return materialize(star.build_dim_products(self.sources.items, self.sources.products), "dim_products")
+        return self.keep("dim_products", lambda: star.build_dim_products(self.sources.items, self.sources.products))
 
     @cached_property
     def daily_kpis(self) -> DataFrame:
         daily = kpis.build_daily_kpis(self.fact_orders)
-        return materialize(kpis.label_ground_truth(daily, self.calendar), "daily_kpis")
+        return self.keep("daily_kpis", lambda: kpis.label_ground_truth(daily, self.calendar))
 
     @cached_property
     def features(self) -> DataFrame:
-        return materialize(build_features(self.daily_kpis), "features")
+        return self.keep("features", lambda: build_features(self.daily_kpis))
 
     @cached_property
     def _family_results(self) -> dict[str, DataFrame]:
@@ -77,7 +83,7 @@ class Warehouse:
     def grid_family(self, name: str) -> DataFrame:
         done = self._family_results
         if name not in done:
-            done[name] = materialize(grid.ALL_FAMILIES[name](self.features), f"grid_{name}")
+            done[name] = self.keep(f"grid_{name}", lambda: grid.ALL_FAMILIES[name](self.features))
         return done[name]
 
     def _results(self, families) -> DataFrame:
@@ -106,20 +112,21 @@ class Warehouse:
     @cached_property
     def lof_scores(self) -> DataFrame:
         """Local outlier factor (k 20) of every day on the combined feature set."""
-        return materialize(density.lof_scores(self._vectors("multi_feature"), (), [20]), "lof_scores")
+        return self.keep("lof_scores", lambda: density.lof_scores(self._vectors("multi_feature"), (), [20]))
 
     @cached_property
     def forest_scores(self) -> DataFrame:
         """Isolation forest (200 trees, all columns) of every day on the combined feature set."""
-        return materialize(
-            isolation.isolation_scores(self._vectors("multi_feature"), (), [1.0], [200]), "forest_scores"
+        return self.keep(
+            "forest_scores", lambda: isolation.isolation_scores(self._vectors("multi_feature"), (), [1.0], [200])
         )
 
     @cached_property
     def category_values(self) -> DataFrame:
         """Value and freight per (order, category, status), which the category reports share."""
-        return materialize(
-            star.order_attribute_values(self.fact_order_items, self.sources.products, F.col("category")), "category_values"
+        return self.keep(
+            "category_values",
+            lambda: star.order_attribute_values(self.fact_order_items, self.sources.products, F.col("category")),
         )
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +57,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+class _Scopes(threading.local):
+    """Folders made in each open ``intermediates`` scope of a thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, what ``materialize`` wrote inside it. Whatever was built there must have been run by then."""
+    made: list[str] = []
+    _SCOPES.open.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.open.remove(made)
+        for path in made:
+            drop_path(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    The table lives as long as the scope around it, or with the application where there is none or ``keep`` is set.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _SCOPES.open and not keep:
+        _SCOPES.open[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

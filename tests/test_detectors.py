@@ -179,6 +179,13 @@ def test_isolation_forest_is_stable_and_split_independent(spark, monkeypatch):
     assert 0 < whole.min() and whole.max() < 1
 
 
+def test_forest_draws_are_alike_in_arrays_and_columns(spark):
+    numbers = [0, 1, 7, 2**31 - 2, 123456789]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n bigint").select(isolation.spread(F.col("n")).alias("s"))
+    assert [r["s"] for r in frame.collect()] == isolation.spread(np.array(numbers)).tolist()
+    assert len(np.unique(isolation.spread(np.arange(10_000)))) > 9_990
+
+
 def test_average_path_length():
     """c(n) = 2 H(n - 1) - 2 (n - 1) / n, with c(1) = 0 and c(2) = 1."""
     assert isolation.average_path(np.array([0, 1, 2])).tolist() == [0, 0, 1]

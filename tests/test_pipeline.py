@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from revwatch.operators import quality, rca, star
-from revwatch.operators.calendar import MARKETPLACE_EVENTS, holiday_calendar, marketplace_calendar
+from revwatch.operators.calendar import MARKETPLACE_EVENTS, calendar_years, holiday_calendar, marketplace_calendar
 from revwatch.operators.global_order import exact_quantiles, exact_quantiles_by, ntile, rank_globally
 from revwatch.operators.kpis import build_daily_kpis, ground_truth, label_ground_truth
 from revwatch.plans import questions
@@ -102,6 +102,35 @@ def test_global_rank_splits_a_hot_value(spark):
     assert sizes == [429] * 4 + [428] * 3
 
 
+def test_running_sums_with_negative_values_and_nulls(spark):
+    """Refunds make running sums fall; a NULL adds nothing, and sums before the first value are NULL."""
+    value = F.when(F.col("id") < 5, F.lit(None)).when(F.col("id") % 2 == 0, 5).otherwise(F.when(F.col("id") % 11 > 0, -7))
+    df = spark.range(1000).select("id", value.cast("bigint").alias("v"))
+    got = rank_globally(df, [F.asc("id")], {"run": F.col("v")}).orderBy("position").toPandas()
+    values = df.orderBy("id").toPandas()["v"]
+    assert got["run"].isna().tolist() == [i < 5 for i in range(1000)]
+    assert got["run"].dropna().tolist() == values.fillna(0).cumsum()[5:].tolist()
+    assert set(got["run_total"]) == {values.sum()}
+
+
+def test_calendar_years_follow_the_data(spark):
+    days = spark.createDataFrame([("2031-05-02",), ("2033-01-01",)], "d string").select(F.to_date("d").alias("d"))
+    assert calendar_years(days, "d") == (2031, 2033)
+    none = calendar_years(days.limit(0), "d")
+    assert holiday_calendar(spark, *none).count() == 0
+
+
+def test_intermediates_lie_in_the_shared_folder(spark):
+    from revwatch.session import checkpoint_root, drop_path, materialize
+
+    root = Path(checkpoint_root(spark)) / spark.sparkContext.applicationId
+    table = materialize(spark.range(3).toDF("x"), "three")
+    folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.parent == root and table.count() == 3
+    drop_path(spark, str(folder))
+    assert not folder.exists()
+
+
 def test_ntile_with_more_tiles_than_rows(spark):
     got = rank_globally(spark.range(3), [F.col("id")]).select(ntile(5).alias("t")).collect()
     assert sorted(r["t"] for r in got) == [1, 2, 3]
@@ -253,3 +282,20 @@ def test_workers_need_no_copy_of_the_package(sf_dir, tmp_path):
         f"assert c.queries()['grid_stl'](spark, {sf_dir!r}).count() == 75\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, capture_output=True)
+
+
+def test_a_scope_drops_what_was_written_on_the_way(spark, sf_dir):
+    """Only the shared table itself is left after it was built; a query in a scope leaves nothing."""
+    from revwatch.plans.warehouse import Warehouse
+    from revwatch.session import checkpoint_root, intermediates
+
+    house = Warehouse(spark, sf_dir)
+    _ = house.fact_orders_all
+    root = Path(checkpoint_root(spark)) / spark.sparkContext.applicationId
+    count = lambda: sum(1 for _ in root.iterdir())
+    start = count()
+    _ = house.dim_customers
+    assert count() == start + 1
+    with intermediates(spark):
+        rank_globally(spark.range(50), [F.col("id")]).count()
+    assert count() == start + 1

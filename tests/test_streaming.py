@@ -42,6 +42,16 @@ def test_late_rows_are_dropped(spark, tmp_path):
     ]
 
 
+def test_open_days_are_returned_once(spark, tmp_path):
+    """A day that several batches touch has its newest totals, and days no watermark has closed are there too."""
+    batches = [[(1, hour(0), 1, "click", 10.0)], [(2, hour(0, 5), 2, "click", 5.0), (3, hour(1), 2, "click", 2.0)]]
+    write_events(tmp_path / "open", batches)
+    stream = streaming.read_event_stream(spark, str(tmp_path / "open"), max_files=1)
+    days = streaming.stream_daily_kpis(stream, ["event_type"])
+    got = streaming.drain_updates(days, ["event_type", "order_date"], "open").orderBy("order_date").collect()
+    assert [(r["order_date"].day, r["daily_value"], r["event_count"]) for r in got] == [(1, 15.0, 2), (2, 2.0, 1)]
+
+
 def test_ewm_state_crosses_batches(spark, tmp_path):
     values = [10.0, 12.0, 11.0, 30.0, 9.0, 10.0, 10.5, 14.0]
     folder = tmp_path / "days"
