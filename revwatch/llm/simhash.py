@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revwatch.llm.store import dropped, written
@@ -19,8 +19,12 @@ MAX_BITS = 4
 PER_BUCKET = 0.25
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint bigint): of the XXH64 values of all word shingles, the bits set in over half of them.
+    """(doc_id, text_hash, fingerprint bigint): of the XXH64 values of all word shingles, the bits set in over half.
 
     A-Z is lower-cased, words are runs without ASCII white space, a shorter text is one shingle, and a text without
     words (null, empty or blank) has fingerprint zero.
@@ -31,7 +35,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text"
 
         one = xxhash.xxh64_intdigest
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(1), 1_000_000):
+            for first, end, data, offsets in chunks(batch.column(2), 1_000_000):
                 out = np.zeros(end - first, np.uint64)
                 inside = ~SPACE[data]
                 starts, ends, per_row = spans(inside, offsets)
@@ -62,13 +66,14 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text"
                     sums = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
                     majority = 2 * sums > shingles[own][:, None]
                     out[own] = np.packbits(majority, axis=1).view(">u8").reshape(-1)
+                own_rows = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"]
+                    [own_rows.column(0), own_rows.column(1), pa.array(out.view(np.int64))],
+                    ["doc_id", "text_hash", "fingerprint"],
                 )
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(
-        sketch, "doc_id bigint, fingerprint bigint"
-    )
+    rows = docs.select(F.col(doc_id).cast("bigint"), text_hash(text), F.col(text).cast("string"))
+    return rows.mapInArrow(sketch, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def block_tables(count: int, max_bits: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -175,6 +180,18 @@ def components(edges: DataFrame) -> DataFrame:
         current, before = after, state
 
 
+def _linked(docs: DataFrame, words: int, max_bits: int, text: str, doc_id: str) -> DataFrame:
+    """Per row (doc_id, text_hash, fingerprint, root, component_id), root being a fingerprint of the component."""
+    prints = written(fingerprints(docs, words, text, doc_id), "fingerprints")
+    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "classes")
+    roots = components(links(classes.select("fingerprint"), classes.count(), max_bits))
+    named = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
+    )
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.join(named.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+
+
 def near_groups(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -188,16 +205,7 @@ def near_groups(
     smallest doc_id in it. Equal fingerprints (copies, and all texts without words) are one node of the links, so their
     pairs are never made. A null id takes part and has its component; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs, words, text, doc_id), "fingerprints")
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "classes")
-    count = classes.count()
-    roots = components(links(classes.select("fingerprint"), count, max_bits))
-    named = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(
+    return _linked(docs, words, max_bits, text, doc_id).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -209,12 +217,14 @@ def without_near_copies(
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with their own columns.
+    """Of every component the document with the smallest id (null last), with its own columns.
 
-    Rows that share this id stay together: they are the document that stays. Rows without an id are linked like others
-    and stay only where no linked row has an id.
+    Of texts that share this id, the one with the smaller hash stays; rows alike in id and text are one document, and all
+    of them stay.
     """
-    groups = near_groups(docs, words, max_bits, text, doc_id)
-    # One row per id that stays, so the join adds no rows; the null id is its own value here.
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash"))
+    best = _linked(docs, words, max_bits, text, doc_id).groupBy("root").agg(F.min(order).alias("best"))
+    # One row per component, so the semi-join adds no rows.
+    keep = best.select(F.col("best.id").alias("_kept"), F.col("best.text_hash").alias("_kept_hash"))
+    same = F.col(doc_id).eqNullSafe(F.col("_kept")) & (text_hash(text) == F.col("_kept_hash"))
+    return docs.join(keep, same, "left_semi")

@@ -72,6 +72,14 @@ def test_near_groups(make_docs, odd_rows):
     assert as_sorted((r.doc_id,) for r in kept.collect()) == as_sorted((d,) for d in wanted)
 
 
+def test_one_document_of_each_group_stays(make_docs):
+    """Also where two texts of a group share the id that stays, or no row has one."""
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, base), (1, base.replace("w7 ", "x ")), (2, base.replace("w9 ", "y ")), (None, "q r s t u"), (None, "Q r s t u")]
+    kept = simhash.without_near_copies(make_docs(rows)).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {1, None}
+
+
 def test_near_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check_near(docs, op9_simhash_near_dedup(spark, sf_dir).collect())
