@@ -164,7 +164,7 @@ SQL["grid_zscore_by_state"] = f"""
          (SELECT unnest([CAST(1.5 AS DOUBLE), 1.75, 2, 2.25, 2.5, 2.75, 3, 3.5, 4]) AS t)
     GROUP BY ALL))"""
 SQL["grid_size"] = """SELECT method_type, count(*) AS configs, max(total_days) AS total_days,
-  CAST(CASE method_type WHEN 'LocalOutlierFactor' THEN 7 * 7 * 7 WHEN 'DBSCAN' THEN 10 * 7 * 7 WHEN 'ZScore' THEN 9 * 6
+  CAST(CASE method_type WHEN 'IsolationForest' THEN 11 * 5 * 3 * 7 WHEN 'LocalOutlierFactor' THEN 7 * 7 * 7 WHEN 'DBSCAN' THEN 10 * 7 * 7 WHEN 'ZScore' THEN 9 * 6
        WHEN 'RollingZScore' THEN 7 * 5 * 3 WHEN 'EWM_ZScore' THEN 7 * 5 * 3 ELSE 0 END AS BIGINT) AS defined_configs
   FROM results GROUP BY method_type"""
 SQL["grid_summary"] = """SELECT count(*) AS configs, count(*) FILTER (WHERE success = 'yes') AS successful,
