@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -67,7 +68,12 @@ def main() -> int:
     import __spark_entry__ as contract
     from revwatch.session import build_session
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"/tmp/revwatch-compare-{os.getpid()}",
+    }
+    spark = build_session(master="local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = connect(sf_dir)
