@@ -13,7 +13,7 @@ from revwatch.llm.texts import chunks
 
 #: Bytes of labelled text per language that its automaton is built from, and of one training text at most. They bound
 #: the models; what is predicted is always the whole text.
-TRAIN_BYTES = 24_000
+TRAIN_BYTES = 16_000
 TEXT_BYTES = 1_000
 #: Bytes that are parsed as one run. A longer text is parsed in runs of this size, whose phrases are added up, so one
 #: very long text is as parallel as many short ones.

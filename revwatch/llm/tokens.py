@@ -1,23 +1,41 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
 The two vocabularies split a text by patterns none of which matches a character other than white space followed by white
-space, so a text may be cut before any space or line feed that follows such a character and the ids of the parts, put
-together, are those of the text. Parts repeat, so their ids are kept. Texts with any other white space are encoded whole.
-Strings of special tokens inside a text are ordinary text.
+space, or a letter followed by a mark. So a text may be cut before any space or line feed that follows such a character, and
+before an ASCII mark that follows an ASCII letter: the ids of the parts, put together, are those of the text. Parts repeat,
+so their ids are kept; for a vocabulary that lower-cases, A-Z is lower-cased first. Texts with any other white space are
+encoded whole. Strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 from revwatch.llm.store import worker_state
-from revwatch.llm.texts import binary, chunks, distinct, gather
+from revwatch.llm.texts import LOWER, binary, chunks, distinct, gather
 
 KEPT_WORDS = 250_000
 
+# ASCII letters, and marks: printable ASCII other than letters, digits and space.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+_MARK[0x30:0x3A] = False
+
+
+#: How byte-level vocabularies write a byte: printable ones as themselves, the others as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+
+# Parts that are one word of Latin letters, behind a space or not: no pattern splits them, and their normal form is theirs.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+_LOWER_WORD = re.compile(rb" ?(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+
 
 class WordMemory:
     """Ids of words seen before, in two generations of at most ``KEPT_WORDS`` words, so that memory stays bounded."""
@@ -27,6 +45,10 @@ class WordMemory:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.model = self.tokenizer.model
+        self.plain = (_LOWER_WORD if self.lowers else _WORD).fullmatch
         self.old, self.new = {}, {}
 
     def whole(self, text: str) -> list[int]:
@@ -39,7 +61,12 @@ class WordMemory:
         for i, found in enumerate(out):
             if found is None:
                 found = self.old.get(parts[i])
-                if found is None:
+                if found is None and self.plain(parts[i]):
+                    # The merges alone; a vocabulary that drops white space has no use for the space.
+                    word = parts[i].lstrip(b" ") if self.lowers else parts[i]
+                    merged = self.model.tokenize(word.decode("latin-1").translate(_WRITTEN))
+                    out[i] = self.new[parts[i]] = array("H", [t.id for t in merged]).tobytes()
+                elif found is None:
                     unseen.append(i)
                 else:
                     out[i] = self.new[parts[i]] = found
@@ -87,12 +114,13 @@ def encode_rows(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndar
         space = (data == 32) | (data == 10)
         cut = space.copy()
         cut[1:] &= ~space[:-1]
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         odd = np.flatnonzero(_odd_space(data))
         whole = np.unique(np.searchsorted(offsets, odd, "right") - 1)
         per_row = np.diff(np.searchsorted(starts, offsets))
-        parts = binary(data, np.append(starts, len(data)))
+        parts = binary(LOWER[data] if memory.lowers else data, np.append(starts, len(data)))
         numbers, values = distinct(parts)
         if len(whole):
             # The words of these rows are left to the library's own splitting.

@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,15 @@ from revwatch.llm.tokens import encode_rows
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 
-def library_ids(name, text):
+@lru_cache
+def library(name):
     tokenizer = Tokenizer.from_file(vocabulary(name))
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return tokenizer
+
+
+def library_ids(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 def fast_ids(name, texts):
@@ -35,8 +41,17 @@ def test_ids_are_the_librarys(name, odd_rows):
 
 
 @pytest.mark.parametrize("name", NAMES)
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aB 's\n\t\u00a0\u3000\u0301é7.\u2028ß한!"), max_size=40), min_size=1, max_size=5))
+def test_ids_of_latin_words(name):
+    """Every Latin letter in words of any case, behind a space, a line feed, a mark, or nothing."""
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180))]
+    words = [f"{a}{b}st{a}" for a, b in zip(letters, letters[::-1], strict=True)]
+    texts = [" ".join(words), "\n".join(words), ",".join(words), "  ".join(words), *words]
+    assert fast_ids(name, texts) == [library_ids(name, t) for t in texts]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBtI 's\n\t\u00a0\u3000\u0301\u0307é7.,-\u2028ßK한!"), max_size=40), min_size=1, max_size=5))
 def test_ids_of_odd_texts(name, texts):
     assert fast_ids(name, texts) == [library_ids(name, t) for t in texts]
 
