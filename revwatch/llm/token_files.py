@@ -2,8 +2,8 @@
 
 An id is predicted by the last one that followed the same two ids (order 2), the same id (order 1), and by the prevailing
 id (order 0). How far each prediction is to be trusted is learnt while coding, the three are mixed in the logistic domain,
-and the mixed chances drive a range coder. Blocks share nothing, so all blocks of a file are coded side by side, one id of
-each at a time.
+and the mixed chances of which order is right drive a range coder; an id that no order names is spelled out beside it.
+Blocks share nothing, so all blocks of a file are coded side by side, one id of each at a time.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from revwatch.llm.store import partitions, shared_path
 from revwatch.llm.tokens import encode_rows
 
 BLOCK_IDS = 2048
-#: Ids of a file at least, where there are as many: so many blocks are coded side by side.
-FILE_IDS = BLOCK_IDS * 2048
+#: Blocks that are coded side by side at most, and ids of a file, where a part has as many.
+LANES = 4096
+FILE_IDS = BLOCK_IDS * LANES
 MAGIC = b"ACR1"
 
 _SLOTS = 512  # of the tables of order 1 and 2, per block
@@ -40,79 +41,113 @@ _SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))),
 class Mixer:
     """The adaptive model of ``lanes`` blocks: chances of the four cases (order 2, 1, 0 right, or neither), then learning.
 
-    All numbers fit 32 bits. A slot of the tables holds an id and, in its low bits, the confidence in it.
+    All numbers fit 32 bits. Rows of the arrays are the orders 2, 1 and 0, columns the blocks. A slot of the tables of order
+    2 and 1 holds an id and, in its low bits, the confidence in it; order 0 has one id and a margin.
     """
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int32) * np.int32(_SLOTS)
-        self.level = np.arange(lanes, dtype=np.int32) * np.int32(_LEVELS)
-        self.slots = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
+        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32)
+        self.base = np.arange(2 * lanes).reshape(2, lanes) * _SLOTS
+        self.chance = np.tile(np.linspace(_ONE // 10, _ONE * 3 // 4, _LEVELS).astype(np.int32), 3 * lanes)
+        self.level = np.arange(3 * lanes).reshape(3, lanes) * _LEVELS
+        self.weight = np.repeat(np.array([[11000], [5000], [2500]], np.int32), lanes, axis=1)
         self.common, self.margin = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        start = np.tile(np.linspace(_ONE // 10, _ONE * 3 // 4, _LEVELS).astype(np.int32), lanes)
-        self.chance = [start.copy() for _ in range(3)]
-        self.weight = [np.full(lanes, w, np.int32) for w in (11000, 5000, 2500)]
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.mark, self.mark_before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.steps = 0
 
     def predict(self, n: int):
         """For the first ``n`` blocks: guesses of order 2, 1 and 0, and borders of the four cases' shares of ``_ONE``."""
-        spread = self.last[:n] * np.int32(40503)
-        self.at = [
-            ((spread + self.before[:n] * np.int32(30011)) >> 5 & (_SLOTS - 1)) + self.base[:n],
-            (spread >> 6 & (_SLOTS - 1)) + self.base[:n],
-        ]
-        self.held = [t[i] for t, i in zip(self.slots, self.at, strict=True)]
-        self.trust = [h & (_LEVELS - 1) for h in self.held]
-        two, one, zero = self.held[0] >> 3, self.held[1] >> 3, self.common[:n]
-        margin = np.minimum(self.margin[:n], _LEVELS - 1)
-        self.cell = [self.level[:n] + t for t in (*self.trust, margin)]
-        self.p = [c[i] for c, i in zip(self.chance, self.cell, strict=True)]
-        one_too, zero_too = one == two, zero == two
+        hashes = np.empty((2, n), np.int32)
+        np.add(self.mark[:n], self.mark_before[:n], out=hashes[0])
+        hashes[1] = self.mark[:n]
+        hashes >>= 6
+        hashes &= _SLOTS - 1
+        self.at = hashes + self.base[:, :n]
+        self.held = self.slots[self.at]
+        self.guesses = guesses = np.empty((3, n), np.int32)
+        trust = np.empty((3, n), np.int32)
+        np.right_shift(self.held, 3, out=guesses[:2])
+        guesses[2] = self.common[:n]
+        np.bitwise_and(self.held, _LEVELS - 1, out=trust[:2])
+        np.minimum(self.margin[:n], _LEVELS - 1, out=trust[2])
+        self.trust = trust[:2]
+        self.cell = trust + self.level[:, :n]
+        self.p = p = self.chance[self.cell]
+        same = guesses[1:] == guesses[0]
         # Lower orders speak for the guess of order 2 where they agree with it, else against it.
-        x = [_STRETCH[v >> (_BITS - 12)] for v in self.p]
-        self.x = [x[0], np.where(one_too, x[1], -x[1]), np.where(zero_too, x[2], -x[2])]
-        dot = self.weight[0][:n] * x[0]
-        dot += self.weight[1][:n] * self.x[1]
-        dot += self.weight[2][:n] * self.x[2]
+        self.x = x = _STRETCH[p >> (_BITS - 12)]
+        np.negative(x[1:], out=x[1:], where=~same)
+        parts = self.weight[:, :n] * x
+        dot = parts[0]
+        dot += parts[1]
+        dot += parts[2]
         dot >>= 14
-        self.mixed = _SQUASH[np.clip(dot, -2048, 2047) + 2048]
-        rest = _ONE - self.mixed
-        second = rest * np.where(one_too, _LOW, np.clip(self.p[1], _LOW, _HIGH)) >> _BITS
-        rest -= second
-        third = rest * np.where(zero_too | (zero == one), _LOW, np.clip(self.p[2], _LOW, _HIGH)) >> _BITS
-        self.guesses = two, one, zero
-        border = self.mixed + second
-        return self.guesses, self.mixed, border, border + third
+        np.minimum(dot, 2047, out=dot)
+        np.maximum(dot, -2048, out=dot)
+        dot += 2048
+        borders = np.empty((3, n), np.int32)
+        _SQUASH.take(dot, out=borders[0])
+        # A lower order's share is small where its guess has been ruled out already.
+        same[1] |= guesses[2] == guesses[1]
+        share = p[1:].copy()
+        np.copyto(share, _LOW, where=same)
+        rest = _ONE - borders[0]
+        share[0] *= rest
+        share[0] >>= _BITS
+        rest -= share[0]
+        share[1] *= rest
+        share[1] >>= _BITS
+        np.add(borders[0], share[0], out=borders[1])
+        np.add(borders[1], share[1], out=borders[2])
+        self.mixed = borders[0]
+        return guesses, borders
 
     def learn(self, ids: np.ndarray) -> None:
+        """Chances stay between ``_LOW`` and ``_HIGH``; weights are moved at every fourth id."""
         n = len(ids)
-        hit = [g == ids for g in self.guesses]
-        error = np.where(hit[0], _ONE - 1, 0).astype(np.int32) - self.mixed
-        for k in range(3):
-            goal = np.where(hit[k], _ONE - 1, 0).astype(np.int32)
-            self.chance[k][self.cell[k]] = self.p[k] + ((goal - self.p[k]) >> 4)
-            weight = self.weight[k][:n]
-            weight += (self.x[k] * error) >> 14
-            np.clip(weight, -(1 << 16), 1 << 16, out=weight)
-        fresh = ids << 3
-        for k in range(2):
-            held, trust = self.held[k], self.trust[k]
-            missed = np.where(trust > 1, held - trust + (trust >> 1), fresh)
-            self.slots[k][self.at[k]] = np.where(hit[k], np.minimum(held + 1, held | (_LEVELS - 1)), missed)
-        margin = self.margin[:n] + np.where(hit[2], 1, -1).astype(np.int32)
+        hit = self.guesses == ids
+        goal = hit * np.int32(_HIGH - _LOW)
+        goal += _LOW
+        goal -= self.p
+        goal >>= 4
+        goal += self.p
+        self.chance[self.cell] = goal
+        if self.steps % 4 == 0:
+            error = hit[0] * np.int32(_ONE - 1)
+            error -= self.mixed
+            weight = self.weight[:, :n]
+            weight += (self.x * error) >> 13
+            np.minimum(weight, 1 << 16, out=weight)
+            np.maximum(weight, -(1 << 16), out=weight)
+        self.steps += 1
+        after = self.held - self.trust
+        after += self.trust >> 1
+        np.copyto(after, ids << 3, where=self.trust < 2)
+        np.copyto(after, self.held + (self.trust < _LEVELS - 1), where=hit[:2])
+        self.slots[self.at] = after
+        margin = self.margin[:n]
+        margin += hit[2] * np.int32(2)
+        margin -= 1
         lost = margin < 0
-        self.common[:n] = np.where(lost, ids, self.common[:n])
-        self.margin[:n] = np.where(lost, 0, margin)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        np.copyto(self.common[:n], ids, where=lost)
+        np.copyto(margin, 0, where=lost)
+        # Marks of the last two ids, apart from each other, make the hash of order 2.
+        np.multiply(self.mark[:n], 3, out=self.mark_before[:n])
+        np.multiply(ids, 40503, out=self.mark[:n])
 
 
 def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Lanes that have 16 settled bits to shift out; a width too small for that is cut at the next border."""
-    settled = (low ^ (low + width - np.uint64(1))) < _TOP
-    short = (width < _SHORT) & ~settled
+    end = low + width
+    end -= np.uint64(1)
+    end ^= low
+    move = end < _TOP
+    short = width < _SHORT
     if short.any():
+        short &= ~move
         width[short] = (np.uint64(0) - low[short]) & (_SHORT - np.uint64(1))
-    return np.flatnonzero(settled | short)
+        move |= short
+    return move.nonzero()[0]
 
 
 class RangeEncoder:
@@ -122,20 +157,18 @@ class RangeEncoder:
         self.out = np.zeros((lanes, digits), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, lanes, start: np.ndarray, share: np.ndarray | None, bits: int) -> None:
-        """Narrows the lanes (a slice or places) to ``share`` (None: one) of ``2**bits`` parts from ``start`` on."""
-        low, width = self.low[lanes], self.width[lanes]
-        part = width >> np.uint64(bits)
-        low = low + part * start.astype(np.uint64)
-        width = part if share is None else part * share.astype(np.uint64)
-        places = np.arange(lanes.start, lanes.stop) if isinstance(lanes, slice) else lanes
+    def put(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
+        """Narrows the first ``n`` lanes to ``share`` of ``_ONE`` parts from ``start`` on."""
+        low, width = self.low[:n], self.width[:n]
+        width >>= np.uint64(_BITS)
+        low += width * start.astype(np.uint64)
+        width *= share.astype(np.uint64)
         while len(move := _settle(low, width)):
-            row = places[move]
-            self.out[row, self.used[row]] = low[move] >> _48
-            self.used[row] += 1
-            low[move] <<= _16
+            old, at = low[move], self.used[move]
+            self.out[move, at] = old >> _48
+            self.used[move] = at + 1
+            low[move] = old << _16
             width[move] <<= _16
-        self.low[lanes], self.width[lanes] = low, width
 
     def finish(self) -> list[bytes]:
         for k in range(4):
@@ -157,31 +190,41 @@ class RangeDecoder:
             self.code = self.code << _16 | self.digits[:, k]
         self.used = np.full(len(payloads), 4, np.int64)
 
-    def look(self, lanes, bits: int) -> np.ndarray:
-        """The part of ``2**bits`` in which each lane's code lies."""
-        part = self.width[lanes] >> np.uint64(bits)
-        return np.minimum((self.code[lanes] - self.low[lanes]) // part, np.uint64((1 << bits) - 1)).astype(np.int32)
-
-    def take(self, lanes, start: np.ndarray, share: np.ndarray | None, bits: int) -> None:
-        low, width, code = self.low[lanes], self.width[lanes], self.code[lanes]
-        part = width >> np.uint64(bits)
-        low = low + part * start.astype(np.uint64)
-        width = part if share is None else part * share.astype(np.uint64)
-        places = np.arange(lanes.start, lanes.stop) if isinstance(lanes, slice) else lanes
+    def look(self, n: int) -> np.ndarray:
+        """The part of ``_ONE`` in which the code of each of the first ``n`` lanes lies."""
+        self.width[:n] >>= np.uint64(_BITS)
+        return np.minimum((self.code[:n] - self.low[:n]) // self.width[:n], np.uint64(_ONE - 1)).astype(np.int32)
+
+    def take(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
+        """Follows ``RangeEncoder.put``, after ``look``."""
+        low, width, code = self.low[:n], self.width[:n], self.code[:n]
+        low += width * start.astype(np.uint64)
+        width *= share.astype(np.uint64)
         while len(move := _settle(low, width)):
-            row = places[move]
-            code[move] = code[move] << _16 | self.digits[row, self.used[row]]
-            self.used[row] += 1
+            at = self.used[move]
+            code[move] = code[move] << _16 | self.digits[move, at]
+            self.used[move] = at + 1
             low[move] <<= _16
             width[move] <<= _16
-        self.low[lanes], self.width[lanes], self.code[lanes] = low, width, code
 
 
 def _lengths(total: int, block_ids: int) -> list[int]:
     return [min(block_ids, total - a) for a in range(0, total, block_ids)]
 
 
-def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = 2048) -> list[bytes]:
+def _part(right: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and share of the first order that is right, or of neither, between 0, the three borders and ``_ONE``."""
+    start, end = borders[2].copy(), np.full(borders.shape[1], _ONE, np.int32)
+    for order in (2, 1):
+        np.copyto(start, borders[order - 1], where=right[order])
+        np.copyto(end, borders[order], where=right[order])
+    np.copyto(start, 0, where=right[0])
+    np.copyto(end, borders[0], where=right[0])
+    end -= start
+    return start, end
+
+
+def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> list[bytes]:
     """The payloads of consecutive blocks of ``block_ids`` ids below 65536; only the last block may be shorter."""
     out = []
     for first in range(0, len(ids), block_ids * lanes):
@@ -190,42 +233,44 @@ def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = 2048
         table = np.zeros((len(lengths), block_ids), np.int32)
         table.reshape(-1)[: len(own)] = own
         table = np.ascontiguousarray(table.T)
-        model, coder = Mixer(len(lengths)), RangeEncoder(len(lengths), 2 * block_ids + 8)
+        model, coder = Mixer(len(lengths)), RangeEncoder(len(lengths), block_ids + block_ids // 4 + 16)
+        plain = np.zeros(table.shape, bool)
         for step in range(lengths[0]):
             n = len(lengths) - (lengths[-1] <= step)
             now = table[step, :n]
-            guess, a, b, c = model.predict(n)
-            two, one, zero = (g == now for g in guess)
-            start = np.where(two, 0, np.where(one, a, np.where(zero, b, c)))
-            share = np.where(two, a, np.where(one, b, np.where(zero, c, _ONE))) - start
-            coder.put(slice(0, n), start, share, _BITS)
-            plain = np.flatnonzero(~(two | one | zero))
-            coder.put(plain, now[plain], None, 16)
+            guess, borders = model.predict(n)
+            right = guess == now
+            coder.put(n, *_part(right, borders))
+            np.logical_not(right[0] | right[1] | right[2], out=plain[step, :n])
             model.learn(now)
-        out.extend(coder.finish())
+        spelled = [table[:, i][plain[:, i]].astype("<u2").tobytes() for i in range(len(lengths))]
+        out += [struct.pack("<I", len(x) // 2) + x + y for x, y in zip(spelled, coder.finish(), strict=True)]
     return out
 
 
-def decode_blocks(payloads: list[bytes], total: int, block_ids: int = BLOCK_IDS, lanes: int = 2048) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], total: int, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> np.ndarray:
     """The ids that ``encode_blocks`` was given."""
     lengths = _lengths(total, block_ids)
     out = []
     for first in range(0, len(payloads), lanes):
         own = lengths[first : first + lanes]
         table = np.zeros((block_ids, len(own)), np.uint16)
-        model, coder = Mixer(len(own)), RangeDecoder(payloads[first : first + lanes])
+        some = payloads[first : first + lanes]
+        counts = [struct.unpack_from("<I", x)[0] for x in some]
+        plain = np.frombuffer(b"".join(x[4 : 4 + 2 * k] for x, k in zip(some, counts, strict=True)) + b"\0\0", "<u2")
+        after = np.cumsum(counts) - counts
+        model, coder = Mixer(len(own)), RangeDecoder([x[4 + 2 * k :] for x, k in zip(some, counts, strict=True)])
         for step in range(own[0]):
             n = len(own) - (own[-1] <= step)
-            guess, a, b, c = model.predict(n)
-            seen = coder.look(slice(0, n), _BITS)
-            two, one, zero = seen < a, seen < b, seen < c
-            start = np.where(two, 0, np.where(one, a, np.where(zero, b, c)))
-            share = np.where(two, a, np.where(one, b, np.where(zero, c, _ONE))) - start
-            coder.take(slice(0, n), start, share, _BITS)
-            now = np.where(two, guess[0], np.where(one, guess[1], guess[2]))
-            plain = np.flatnonzero(~zero)
-            now[plain] = coder.look(plain, 16)
-            coder.take(plain, now[plain], None, 16)
+            guess, borders = model.predict(n)
+            right = coder.look(n) < borders
+            coder.take(n, *_part(right, borders))
+            now = guess[2].copy()
+            np.copyto(now, guess[1], where=right[1])
+            np.copyto(now, guess[0], where=right[0])
+            spelled = (~right[2]).nonzero()[0]
+            now[spelled] = plain[after[spelled]]
+            after[spelled] += 1
             model.learn(now)
             table[step, :n] = now
         out.append(table.T.reshape(-1)[: sum(own)])
@@ -283,8 +328,10 @@ def write_token_files(
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(partitions(spark, files_at_least), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Rows that are alike in id and text may be many; the running number lets a range end among them.
+    order = ["doc_id", "tie", "row"]
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(partitions(spark, files_at_least), *order).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext
