@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from revwatch.llm.store import partitions, shared_path
 from revwatch.llm.tokens import encode_rows
 
-BLOCK_IDS = 2048
+BLOCK_IDS = 1024
 #: Blocks that are coded side by side at most, and ids of a file, where a part has as many.
-LANES = 4096
+LANES = 8192
 FILE_IDS = BLOCK_IDS * LANES
+#: Bytes of text that are cut into words at once; fewer words are met twice in a larger chunk.
+CHUNK_BYTES = 8_000_000
 MAGIC = b"ACR1"
 
-_SLOTS = 512  # of the tables of order 1 and 2, per block
+_SLOTS = 256  # of the tables of order 1 and 2, per block
 _LEVELS = 8  # of confidence in a prediction
 _BITS = 15  # of a chance
 _ONE, _LOW, _HIGH = 1 << _BITS, 1 << (_BITS - 5), (1 << _BITS) - (1 << (_BITS - 5))
@@ -347,7 +349,7 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for first, end, ids, n in encode_rows(batch.column(1), vocabulary):
+            for first, end, ids, n in encode_rows(batch.column(1), vocabulary, CHUNK_BYTES):
                 total = n + 1
                 full = np.full(int(total.sum()), end_id, np.uint16)
                 is_text = np.ones(len(full), bool)

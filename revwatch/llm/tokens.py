@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from revwatch.llm.store import worker_state
-from revwatch.llm.texts import LOWER, binary, chunks, distinct, gather
+from revwatch.llm.texts import CHUNK_BYTES, LOWER, binary, chunks, distinct, gather
 
 KEPT_WORDS = 250_000
 
@@ -100,13 +100,15 @@ def _odd_space(data: np.ndarray) -> np.ndarray:
     return odd
 
 
-def encode_rows(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_rows(
+    column: pa.Array, path: str, limit: int = CHUNK_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (first, end, ids, ids per row) of a text column; null counts as empty."""
     state = worker_state()
     if ("words", path) not in state:
         state["words", path] = WordMemory(path)
     memory = state["words", path]
-    for first, end, data, offsets in chunks(column):
+    for first, end, data, offsets in chunks(column, limit):
         rows = end - first
         if not len(data):
             yield first, end, np.empty(0, np.uint16), np.zeros(rows, np.int64)
