@@ -216,12 +216,12 @@ def with_language(docs: DataFrame, sample: dict[str, str], text: str = "text") -
     def predict(batches):
         import pyarrow.compute as pc
 
-        state = worker_state()
-        if state.get("language sample") != sent.value:
-            state["language sample"], state["language parser"] = sent.value, CrossParser(sent.value)
-        parser = state["language parser"]
+        state = worker_state("language")
+        if state.get("sample") != sent.value:
+            state["sample"], state["parser"] = sent.value, CrossParser(sent.value)
+        parser = state["parser"]
         for batch in batches:
-            for first, end, data, offsets in chunks(pc.utf8_lower(batch.column(at)), 2_000_000):
+            for first, end, data, offsets in chunks(pc.utf8_lower(batch.column(at)), 1_000_000):
                 found, scores = parser.predict(data, offsets, lettered(data, offsets))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(first, end - first).columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],

@@ -38,7 +38,12 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), at_least)
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker: loaded vocabularies and tables that its tasks share."""
+def worker_state(kind: str) -> dict:
+    """A dictionary that lives as long as the Python worker: loaded vocabularies and tables that its tasks share.
+
+    Only one kind is kept at a time, so stages that follow each other in one worker do not add up.
+    """
     module = sys.modules.setdefault("_revwatch_llm_state", types.ModuleType("_revwatch_llm_state"))
-    return module.__dict__.setdefault("state", {})
+    if module.__dict__.get("kind") != kind:
+        module.kind, module.state = kind, {}
+    return module.state

@@ -19,7 +19,7 @@ import pyarrow as pa
 from revwatch.llm.store import worker_state
 from revwatch.llm.texts import CHUNK_BYTES, LOWER, binary, chunks, distinct, gather
 
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 
 # ASCII letters, and marks: printable ASCII other than letters, digits and space.
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -104,10 +104,10 @@ def encode_rows(
     column: pa.Array, path: str, limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (first, end, ids, ids per row) of a text column; null counts as empty."""
-    state = worker_state()
-    if ("words", path) not in state:
-        state["words", path] = WordMemory(path)
-    memory = state["words", path]
+    state = worker_state("words")
+    if path not in state:
+        state[path] = WordMemory(path)
+    memory = state[path]
     for first, end, data, offsets in chunks(column, limit):
         rows = end - first
         if not len(data):
