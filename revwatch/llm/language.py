@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 from revwatch.llm.store import worker_state, written
 from revwatch.llm.texts import chunks
 
-#: Bytes of labelled text per language that its automaton is built from, and of one training text at most. They bound
-#: the models; what is predicted is always the whole text.
+#: Characters of labelled text per language that its automaton is built from, and of one passage of a training text.
+#: They bound the models; what is predicted is always the whole text.
 TRAIN_BYTES = 16_000
 TEXT_BYTES = 1_000
 #: Bytes that are parsed as one run. A longer text is parsed in runs of this size, whose phrases are added up, so one
@@ -30,34 +32,81 @@ def held_out(doc_id: Column, modulus: int = 4, fold: int = 2) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == fold
 
 
-def training_sample(labelled: DataFrame, lang: str, text: str, key: str, train_bytes: int = TRAIN_BYTES) -> dict[str, str]:
-    """Per language at most ``train_bytes`` of text, from the texts whose hashed key comes first.
+def passages(text: str) -> list[tuple[int, str]]:
+    """All passages of ``TEXT_BYTES`` characters of a text, each once, in the order in which they are drawn.
 
-    Every split keeps its own first texts per language and sends no more than the bound, so neither the shuffle nor the
-    driver sees more than languages x bound.
+    The order is that of the passages' own hashes, below the number of passages of this text that come before. So every
+    text gives one passage from anywhere in it before any text gives a second one, and copies give the same ones.
+    """
+    own = {text[i : i + TEXT_BYTES] for i in range(0, len(text), TEXT_BYTES)}
+    hashed = sorted((int.from_bytes(blake2b(x.encode(), digest_size=5).digest()), x) for x in own)
+    return [(turn << 40 | order, x) for turn, (order, x) in enumerate(hashed)]
+
+
+class _Drawn:
+    """The distinct passages of one language that come first, ``limit`` characters of them or one passage more."""
+
+    def __init__(self, limit: int):
+        self.limit, self.order, self.size, self.last = limit, {}, 0, None
+
+    def add(self, order: int, body: str) -> bool:
+        """False where neither this passage nor any later one can be among the first."""
+        if self.last is not None and order > self.last:
+            return False
+        if body not in self.order:
+            self.size += len(body)
+        self.order[body] = min(order, self.order.get(body, order))
+        if self.size > 4 * self.limit + TEXT_BYTES:
+            self.first()
+        return True
+
+    def first(self) -> list[tuple[int, str]]:
+        kept, self.size = [], 0
+        for order, body in sorted((o, b) for b, o in self.order.items()):
+            if self.size >= self.limit:
+                break
+            kept.append((order, body))
+            self.size += len(body)
+        self.order = {body: order for order, body in kept}
+        if self.size >= self.limit and kept:
+            self.last = kept[-1][0]
+        return kept
+
+
+def training_sample(labelled: DataFrame, lang: str, text: str, train_bytes: int = TRAIN_BYTES) -> dict[str, str]:
+    """Per language at most ``train_bytes`` of text and one passage, drawn by hash from the distinct passages of all texts.
+
+    Neither the ids nor how often a text or a passage is repeated have a say. Every split keeps its own first passages per
+    language and sends no more than the bound, so neither the shuffle nor the driver sees more than languages x bound.
     """
-    import heapq
+    names = ["lang", "order", "body"]
+    types = [pa.string(), pa.int64(), pa.string()]
 
-    def first_texts(batches):
-        kept: dict[str, list] = {}
+    def as_batch(kept: dict[str, _Drawn]) -> pa.RecordBatch:
+        rows = [(own, order, body) for own, drawn in kept.items() for order, body in drawn.first()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(3)], names)
+
+    def first_of_texts(batches):
+        kept: dict[str, _Drawn] = {}
         for batch in batches:
-            for own, order, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                heap = kept.setdefault(own, [])
-                heapq.heappush(heap, (-order, body))
-                while len(heap) > 1 and sum(len(b) for _, b in heap[1:]) >= train_bytes:
-                    heapq.heappop(heap)
-        rows = [(own, -o, b) for own, heap in kept.items() for o, b in heap]
-        names = ["lang", "order", "body"]
-        types = [pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(3)], names)
-
-    order = F.abs(F.xxhash64(F.col(key), F.col(text)) % F.lit(1 << 40))
+            for own, body in zip(batch.column(0), batch.column(1), strict=True):
+                drawn = kept.setdefault(own.as_py(), _Drawn(train_bytes))
+                for order, passage in passages(body.as_py()):
+                    if not drawn.add(order, passage):
+                        break
+        yield as_batch(kept)
+
+    def first_of_splits(table):
+        kept: dict[str, _Drawn] = {}
+        for own, order, body in zip(*(table.column(n).to_pylist() for n in names), strict=True):
+            kept.setdefault(own, _Drawn(train_bytes)).add(order, body)
+        return pa.Table.from_batches([as_batch(kept)])
+
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), order.alias("order"), F.substring(text, 1, TEXT_BYTES).alias("body")
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("body")
     )
     schema = "lang string, order bigint, body string"
-    local = rows.mapInArrow(first_texts, schema)
-    whole = local.groupBy("lang").applyInArrow(lambda t: pa.Table.from_batches(first_texts(t.to_batches())), schema)
+    whole = rows.mapInArrow(first_of_texts, schema).groupBy("lang").applyInArrow(first_of_splits, schema)
     sample: dict[str, str] = {}
     for r in sorted(whole.collect()):
         sample[r["lang"]] = sample.get(r["lang"], "") + " " + r["body"]
@@ -234,8 +283,9 @@ def with_language(docs: DataFrame, sample: dict[str, str], text: str = "text") -
 
 def learnt(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
     """The training sample of ``docs``: labelled rows outside the held-out fold."""
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
-    return training_sample(rows.filter(~F.coalesce(held_out(F.col("id")), F.lit(True))), "lang", "text", "id")
+    rows = docs.filter(~F.coalesce(held_out(F.col(doc_id)), F.lit(True)))
+    rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    return training_sample(rows, "lang", "text")
 
 
 def identify(docs: DataFrame, sample: dict[str, str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -112,6 +112,28 @@ def test_training_sample_is_bounded_and_blind(make_docs):
             assert f"text number {i} " not in sample["en"]
 
 
+def test_training_sample_draws_passages_of_distinct_texts(make_docs):
+    learnt = [i for i in range(2000) if not brute.in_fold(i, 4)]
+    head = "shared licence head " * 50
+    # Half of the rows are copies of one text, and all other texts begin with the same thousand characters.
+    rows = [(i, f"copied text {'x' * 700}") for i in learnt[:600]]
+    rows += [(i, head + f"own passage {i} ".ljust(1000, "y")) for i in learnt[600:800]]
+    sample = language.learnt(make_docs(rows))["en"]
+    assert sample.count("copied text") <= 1 and sample.count(head) <= 1
+    assert sample.count("own passage") >= 10
+    # Ids have no say.
+    again = language.learnt(make_docs([(learnt[-1 - k], t) for k, (_, t) in enumerate(rows)]))
+    assert again["en"] == sample
+
+
+def test_training_sample_fills_up_from_few_texts(make_docs):
+    long = "".join(f"passage {k} ".ljust(1000, "z") for k in range(100))
+    key = next(i for i in range(99) if not brute.in_fold(i, 4))
+    sample = language.learnt(make_docs([(key, long)]))["en"]
+    assert language.TRAIN_BYTES <= len(sample) < language.TRAIN_BYTES + 2 * language.TEXT_BYTES
+    assert max(int(x.split()[0]) for x in sample.split("passage ")[1:]) > 16
+
+
 def test_quality_query(spark, sf_dir):
     # 200 documents hold a dozen bad ones; the next larger tables have enough to estimate accuracies from.
     sf_dir = str(Path(sf_dir).parent / "sf0.01")
