@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from revwatch.llm.store import written
 
-#: Segments of a path that are nodes of their own; what follows is one last node.
-MAX_DEPTH = 8
 #: Chance at which two branches that behave alike are still told apart, for each of three shares.
 ALPHA = 0.05
 #: Neutral labels that every template starts with, and the purity from which it is rejected.
@@ -61,9 +59,7 @@ def segments(path: Column) -> Column:
         return F.when(is_hex, "{hex}").otherwise(F.regexp_replace(s, "[0-9]+", "#"))
 
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, general)
-    tail = F.when(F.size(parts) > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.slice(parts, 1, MAX_DEPTH), tail)
+    return F.transform(parts, general)
 
 
 def _alike(mine: str, n: str, all_mine: str, all_n: str) -> Column:
@@ -73,44 +69,72 @@ def _alike(mine: str, n: str, all_mine: str, all_n: str) -> Column:
     return F.abs(F.col(mine) / F.col(n) - (F.col(all_mine) - F.col(mine)) / others) <= bound
 
 
-def template_tree(urls: DataFrame) -> DataFrame:
+def _labels_alike() -> Column:
+    """Whether the labelled urls of a branch and those of its siblings are alike, by their own numbers.
+
+    Shares of blocked ones may differ by chance, but one side may not be mostly blocked while the other is mostly allowed.
+    Where only one side has labels, the other must be small enough to have none by chance at the same share of labels.
+    """
+    mine, others = F.col("bb") + F.col("ba"), F.col("nb") + F.col("na") - F.col("bb") - F.col("ba")
+    n, other_n = F.col("bn"), F.col("nn") - F.col("bn")
+    share, other_share = F.col("bb") / F.nullif(mine, F.lit(0)), (F.col("nb") - F.col("bb")) / F.nullif(others, F.lit(0))
+    bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / F.sqrt(mine) + 1 / F.sqrt(others))
+    both = (F.abs(share - other_share) <= bound) & ((share - 0.5) * (other_share - 0.5) >= 0)
+    return (
+        F.when((mine == 0) & (others == 0), True)
+        .when(mine == 0, F.pow(1 - others / F.nullif(other_n, F.lit(0)), n) >= ALPHA)
+        .when(others == 0, F.pow(1 - mine / n, other_n) >= ALPHA)
+        .otherwise(both)
+    )
+
+
+def template_tree(urls: DataFrame, sampled: bool = False) -> DataFrame:
     """From (host, path, label) rows, label being ``block``, ``allow`` or null, one row per host and generalised path.
 
     Returns (host, segs, template, urls, blocked, allowed, purity): the last four are those of the whole template. The
-    tree is built from the top. At every node a branch is compared with its siblings taken together, never with each of
-    them: if the shares of blocked, allowed and ending urls differ by no more than chance, the branch becomes the
-    node's wildcard. Counting before every join leaves one row per branch, whatever share of all urls a host has.
+    tree is built from the top, over all segments. At every node a branch is compared with its siblings taken together,
+    never with each of them: if the shares of blocked, allowed and ending urls differ by no more than chance, the branch
+    becomes the node's wildcard. With ``sampled``, labels are those of a sample of the urls, and branches are compared by
+    their labelled urls alone. A branch that stays apart is followed at once as far as its paths agree, so there are as
+    many rounds as levels at which paths part or end. Counting before every join leaves one row per branch, whatever
+    share of all urls a host has.
     """
     counts = urls.groupBy("host", segments(F.col("path")).alias("segs")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == "block").alias("b"),
         F.count_if(F.col("label") == "allow").alias("a"),
     )
-    tree = written(counts.withColumn("template", F.lit("")), "templates")
-    depth = tree.agg(F.max(F.size("segs"))).head()[0] or 0
-    for level in range(depth):
-        own = F.get("segs", F.lit(level))
-        ends = F.when(F.size("segs") == level + 1, F.col("n")).otherwise(0)
-        branches = (
-            tree.filter(F.size("segs") > level)
-            .groupBy("host", "template", own.alias("seg"))
-            .agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"), F.sum("a").alias("ba"), F.sum(ends).alias("be"))
-        )
+    tree = written(counts.withColumns({"template": F.lit(""), "level": F.lit(0)}), "templates")
+    while not (open_ := tree.filter(F.size("segs") > F.col("level"))).isEmpty():
+        own = F.get("segs", F.col("level"))
+        rest = F.slice("segs", F.col("level") + 1, F.size("segs"))
+        ends = F.when(F.size("segs") == F.col("level") + 1, F.col("n")).otherwise(0)
+        branches = open_.groupBy("host", "template", own.alias("seg")).agg(
+            F.sum("n").alias("bn"), F.sum("b").alias("bb"), F.sum("a").alias("ba"), F.sum(ends).alias("be"),
+            F.min(rest).alias("first"), F.max(rest).alias("last"),
+        )
         nodes = branches.groupBy("host", "template").agg(
             F.sum("bn").alias("nn"), F.sum("bb").alias("nb"), F.sum("ba").alias("na"), F.sum("be").alias("ne")
         )
-        alike = (F.col("nn") > F.col("bn")) & _alike("bb", "bn", "nb", "nn") & _alike("ba", "bn", "na", "nn")
+        if sampled:
+            alike = (F.col("nn") > F.col("bn")) & _labels_alike()
+        else:
+            alike = (F.col("nn") > F.col("bn")) & _alike("bb", "bn", "nb", "nn") & _alike("ba", "bn", "na", "nn")
         alike = alike & _alike("be", "bn", "ne", "nn")
-        named = branches.join(nodes, ["host", "template"]).select(
+        # All paths of a branch begin with what its first and its last one have in common.
+        parting = F.array_position(F.zip_with("first", "last", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+        common = F.when(parting > 0, F.slice("first", F.lit(1), parting - 1)).otherwise(F.col("first"))
+        named = branches.join(nodes, ["host", "template"]).withColumn("alike", alike)
+        named = named.withColumn("passed", F.when(F.col("alike"), F.array(F.lit(WILDCARD))).otherwise(common)).select(
             "host",
             "template",
             "seg",
-            F.concat("template", F.lit("/"), F.when(alike, WILDCARD).otherwise(F.col("seg"))).alias("next"),
+            F.concat("template", F.lit("/"), F.array_join("passed", "/")).alias("next"),
+            F.size("passed").alias("more"),
         )
         below = tree.withColumn("seg", own).join(named, ["host", "template", "seg"], "left")
-        tree = written(
-            below.select("host", "segs", "n", "b", "a", F.coalesce("next", "template").alias("template")), "templates"
-        )
+        step = (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")
+        tree = written(below.select("host", "segs", "n", "b", "a", F.coalesce("next", "template").alias("template"), step), "templates")
     totals = tree.groupBy("host", "template").agg(
         F.sum("n").alias("urls"), F.sum("b").alias("blocked"), F.sum("a").alias("allowed")
     )
@@ -124,7 +148,8 @@ def judged(
     """One row per page: (page_id, host, path, rule, verdict, template, purity).
 
     The verdict is that of the rule, else ``block`` where the template's purity reaches ``REJECT_FROM``, else ``allow``.
-    ``label`` may name a column with labels of its own; otherwise the rules' verdicts are the labels. A url that is null
+    ``label`` may name a column with labels of its own, which a sample of the urls has; otherwise the rules' verdicts are
+    the labels. A url that is null
     or has no ``://`` has an empty host and path, the empty template, and is allowed as long as no label says otherwise.
     Repeated rows are judged each; an empty table gives no rows.
     """
@@ -137,7 +162,8 @@ def judged(
     )
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "own")
-    tree = template_tree(rows.select("host", "path", (F.col("own") if label else F.col("ruled")).alias("label")))
+    labelled = rows.select("host", "path", (F.col("own") if label else F.col("ruled")).alias("label"))
+    tree = template_tree(labelled, sampled=label is not None)
     found = rows.withColumn("segs", segments(F.col("path"))).join(tree, ["host", "segs"])
     by_method = F.when(F.col("purity") >= REJECT_FROM, "block").otherwise("allow")
     return found.select(

@@ -260,3 +260,31 @@ def test_own_labels_reject_a_template(spark):
 def test_alike_branches_merge(spark):
     pages = spark.createDataFrame([(i, f"http://h.org/user{'abcdefghij'[i % 10]}/post") for i in range(50)], "page_id bigint, url string")
     assert {r.template for r in url_filters.judged(pages, []).collect()} == {"/*/post"}
+
+
+def labelled_verdicts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, label string")
+    return {r.page_id: (r.verdict, r.template) for r in url_filters.judged(pages, [], label="label").collect()}
+
+
+def test_sparse_labels_tell_branches_apart(spark):
+    rows = [(i, f"http://h.org/spam/{i}", "block" if i % 10 == 0 else None) for i in range(500)]
+    rows += [(1000 + i, f"http://h.org/clean/{i}", "allow" if i % 10 == 0 else None) for i in range(500)]
+    found = labelled_verdicts(spark, rows)
+    assert {found[i][0] for i in range(500)} == {"block"} and {found[1000 + i][0] for i in range(500)} == {"allow"}
+
+
+def test_thin_branches_do_not_inherit_labels(spark):
+    rows = [(i, f"http://h.org/de/{i}", "block") for i in range(6)] + [(10 + i, f"http://h.org/en/{i}", None) for i in range(3)]
+    rows += [(20 + i, f"http://g.org/a/{i}", "block") for i in range(2)] + [(30 + i, f"http://g.org/b/{i}", "allow") for i in range(2)]
+    found = labelled_verdicts(spark, rows)
+    assert {found[10 + i][0] for i in range(3)} == {"allow"} and found[0] == ("block", "/de/#")
+    assert found[20][1] == "/a/#" and found[30][1] == "/b/#"
+
+
+def test_deep_paths_keep_their_levels(spark):
+    deep = "a/" * 9
+    rows = [(i, f"http://h.org/{deep}spam/{i}/x", "block") for i in range(30)]
+    rows += [(100 + i, f"http://h.org/{deep}news/{i}/x", "allow" if i < 15 else None) for i in range(30)]
+    found = labelled_verdicts(spark, rows)
+    assert found[0] == ("block", f"/{deep}spam/#/x") and found[129] == ("allow", f"/{deep}news/#/x")
