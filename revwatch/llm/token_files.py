@@ -1,15 +1,18 @@
 """Token files: ids in documents' order, arithmetic-coded in blocks that are reset and checksummed each by itself.
 
-An id is predicted by the last one that followed the same two ids (order 2), the same id (order 1), and by the prevailing
-id (order 0). How far each prediction is to be trusted is learnt while coding, the three are mixed in the logistic domain,
-and the mixed chances of which order is right drive a range coder; an id that no order names is spelled out beside it.
-Blocks share nothing, so all blocks of a file are coded side by side, one id of each at a time.
+An id is a path through a Huffman tree of the file's id counts, which the file's head holds. Every branch on the path has a
+chance by counts after the same two ids (order 2), after the same id (order 1), in the block (order 0) and in the file. The
+four are mixed in the logistic domain with weights that are learnt while coding, and the mixed chance drives a range coder.
+So every order holds a distribution over all ids, and every id is coded by the range coder. Blocks share nothing but the
+tree, so many are coded side by side, one branch of each at a time.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +22,17 @@ from pyspark.sql import functions as F
 from revwatch.llm.store import partitions, shared_path
 from revwatch.llm.tokens import encode_rows
 
-BLOCK_IDS = 1024
+BLOCK_IDS = 2048
 #: Blocks that are coded side by side at most, and ids of a file, where a part has as many.
-LANES = 8192
-FILE_IDS = BLOCK_IDS * LANES
+LANES = 512
+FILE_IDS = BLOCK_IDS * 4096
 #: Bytes of text that are cut into words at once; fewer words are met twice in a larger chunk.
 CHUNK_BYTES = 8_000_000
-MAGIC = b"ACR1"
+MAGIC = b"ACR2"
 
-_SLOTS = 256  # of the tables of order 1 and 2, per block
-_LEVELS = 8  # of confidence in a prediction
-_BITS = 15  # of a chance
-_ONE, _LOW, _HIGH = 1 << _BITS, 1 << (_BITS - 5), (1 << _BITS) - (1 << (_BITS - 5))
+_SLOTS = 16  # of an order's table, per id of a block
+_BITS = 15  # of a mixed chance
+_ONE, _LOW, _HIGH = 1 << _BITS, 1 << (_BITS - 10), (1 << _BITS) - (1 << (_BITS - 10))
 _SHORT = np.uint64(1 << 32)
 _TOP = np.uint64(1 << 48)
 _16, _48 = np.uint64(16), np.uint64(48)
@@ -40,102 +42,104 @@ _STRETCH = np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(40
 _SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), _LOW, _HIGH).astype(np.int32)
 
 
+_RATE = np.array([65536 / (c + 1.6) for c in range(16)]).astype(np.int64)  # of learning, by times seen
+_SETS = 12  # of weights, by times that order 2 and order 1 have seen a branch
+
+
+class Tree:
+    """Huffman tree of id counts: inner nodes with two children each, a leaf being the complement of its id."""
+
+    def __init__(self, counts: np.ndarray):
+        ids = np.flatnonzero(counts).tolist()
+        ids += [i for i in range(2) if i not in ids][: max(0, 2 - len(ids))]  # at least one branch
+        heap = [(max(int(counts[i]), 1) if i < len(counts) else 1, k, ~i) for k, i in enumerate(ids)]
+        heapq.heapify(heap)
+        self.child = np.zeros((2, len(ids) - 1), np.int32)
+        chance = np.zeros(len(ids) - 1)
+        for node in range(len(ids) - 1):
+            w0, _, left = heapq.heappop(heap)
+            w1, _, right = heapq.heappop(heap)
+            self.child[:, node] = left, right
+            chance[node] = w1 / (w0 + w1)
+            heapq.heappush(heap, (w0 + w1, len(ids) + node, node))
+        self.chance = np.clip(np.rint(chance * 65536), 16, 65520).astype(np.int64)
+        self.root = len(ids) - 2
+        self.code, self.depth = np.zeros(max(ids) + 1, np.int64), np.zeros(max(ids) + 1, np.int64)
+        path = {self.root: (0, 0)}
+        for node in range(self.root, -1, -1):
+            code, depth = path.pop(node)
+            for bit in (0, 1):
+                to = int(self.child[bit, node])
+                if to < 0:
+                    self.code[~to], self.depth[~to] = code << 1 | bit, depth + 1
+                else:
+                    path[to] = code << 1 | bit, depth + 1
+
+
+@lru_cache(1)
+def _even_tree() -> Tree:
+    return Tree(np.ones(65536, np.int64))
+
+
 class Mixer:
-    """The adaptive model of ``lanes`` blocks: chances of the four cases (order 2, 1, 0 right, or neither), then learning.
+    """The adaptive model of ``lanes`` blocks: the chance of the right branch at each block's node, then learning.
 
-    All numbers fit 32 bits. Rows of the arrays are the orders 2, 1 and 0, columns the blocks. A slot of the tables of order
-    2 and 1 holds an id and, in its low bits, the confidence in it; order 0 has one id and a margin.
+    Rows of the arrays are the orders 2, 1 and 0, columns the blocks; all numbers are integers. A slot of a table holds a
+    chance (16 bits), how often it was seen (4 bits) and a check (8 bits) of the ids and the node that it belongs to.
     """
 
-    def __init__(self, lanes: int):
-        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32)
-        self.base = np.arange(2 * lanes).reshape(2, lanes) * _SLOTS
-        self.chance = np.tile(np.linspace(_ONE // 10, _ONE * 3 // 4, _LEVELS).astype(np.int32), 3 * lanes)
-        self.level = np.arange(3 * lanes).reshape(3, lanes) * _LEVELS
-        self.weight = np.repeat(np.array([[11000], [5000], [2500]], np.int32), lanes, axis=1)
-        self.common, self.margin = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.mark, self.mark_before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.steps = 0
-
-    def predict(self, n: int):
-        """For the first ``n`` blocks: guesses of order 2, 1 and 0, and borders of the four cases' shares of ``_ONE``."""
-        hashes = np.empty((2, n), np.int32)
-        np.add(self.mark[:n], self.mark_before[:n], out=hashes[0])
-        hashes[1] = self.mark[:n]
-        hashes >>= 6
-        hashes &= _SLOTS - 1
-        self.at = hashes + self.base[:, :n]
-        self.held = self.slots[self.at]
-        self.guesses = guesses = np.empty((3, n), np.int32)
-        trust = np.empty((3, n), np.int32)
-        np.right_shift(self.held, 3, out=guesses[:2])
-        guesses[2] = self.common[:n]
-        np.bitwise_and(self.held, _LEVELS - 1, out=trust[:2])
-        np.minimum(self.margin[:n], _LEVELS - 1, out=trust[2])
-        self.trust = trust[:2]
-        self.cell = trust + self.level[:, :n]
-        self.p = p = self.chance[self.cell]
-        same = guesses[1:] == guesses[0]
-        # Lower orders speak for the guess of order 2 where they agree with it, else against it.
-        self.x = x = _STRETCH[p >> (_BITS - 12)]
-        np.negative(x[1:], out=x[1:], where=~same)
-        parts = self.weight[:, :n] * x
-        dot = parts[0]
-        dot += parts[1]
-        dot += parts[2]
-        dot >>= 14
-        np.minimum(dot, 2047, out=dot)
-        np.maximum(dot, -2048, out=dot)
-        dot += 2048
-        borders = np.empty((3, n), np.int32)
-        _SQUASH.take(dot, out=borders[0])
-        # A lower order's share is small where its guess has been ruled out already.
-        same[1] |= guesses[2] == guesses[1]
-        share = p[1:].copy()
-        np.copyto(share, _LOW, where=same)
-        rest = _ONE - borders[0]
-        share[0] *= rest
-        share[0] >>= _BITS
-        rest -= share[0]
-        share[1] *= rest
-        share[1] >>= _BITS
-        np.add(borders[0], share[0], out=borders[1])
-        np.add(borders[1], share[1], out=borders[2])
-        self.mixed = borders[0]
-        return guesses, borders
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Chances stay between ``_LOW`` and ``_HIGH``; weights are moved at every fourth id."""
-        n = len(ids)
-        hit = self.guesses == ids
-        goal = hit * np.int32(_HIGH - _LOW)
-        goal += _LOW
-        goal -= self.p
-        goal >>= 4
-        goal += self.p
-        self.chance[self.cell] = goal
-        if self.steps % 4 == 0:
-            error = hit[0] * np.int32(_ONE - 1)
-            error -= self.mixed
-            weight = self.weight[:, :n]
-            weight += (self.x * error) >> 13
-            np.minimum(weight, 1 << 16, out=weight)
-            np.maximum(weight, -(1 << 16), out=weight)
-        self.steps += 1
-        after = self.held - self.trust
-        after += self.trust >> 1
-        np.copyto(after, ids << 3, where=self.trust < 2)
-        np.copyto(after, self.held + (self.trust < _LEVELS - 1), where=hit[:2])
-        self.slots[self.at] = after
-        margin = self.margin[:n]
-        margin += hit[2] * np.int32(2)
-        margin -= 1
-        lost = margin < 0
-        np.copyto(self.common[:n], ids, where=lost)
-        np.copyto(margin, 0, where=lost)
-        # Marks of the last two ids, apart from each other, make the hash of order 2.
-        np.multiply(self.mark[:n], 3, out=self.mark_before[:n])
-        np.multiply(ids, 40503, out=self.mark[:n])
+    def __init__(self, lanes: int, block_ids: int, tree: Tree):
+        self.tree, self.lanes = tree, lanes
+        bits = max((block_ids * _SLOTS - 1).bit_length(), 6)
+        self.shift = np.uint32(32 - bits)
+        self.cells = np.zeros(3 * lanes << bits, np.int32)
+        self.base = np.arange(3 * lanes).reshape(3, lanes) << bits
+        self.context = np.zeros((3, lanes), np.uint32)
+        self.node = np.full(lanes, tree.root, np.int64)
+        self.weight = np.repeat(np.array([[34000], [28000], [16000], [26000]]), _SETS * lanes, axis=1)
+        self.weight[3, :lanes] = 48000
+
+    def predict(self, act: np.ndarray) -> np.ndarray:
+        """The chance, in parts of ``_ONE``, that each block of ``act`` goes right."""
+        node = self.node[act]
+        given = self.tree.chance[node]
+        key = self.context[:, act] + (node + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
+        key ^= key >> np.uint32(15)
+        key *= np.uint32(0x2C1B3C6D)
+        key ^= key >> np.uint32(13)
+        key *= np.uint32(0x297A2D39)
+        self.check = (key & np.uint32(0xFF)).astype(np.int32)
+        self.at = (key >> self.shift).astype(np.int64) + self.base[:, act]
+        held = self.cells[self.at]
+        self.seen = np.where(held & 0xFF == self.check, held >> 8 & 15, 0)
+        known = self.seen > 0
+        self.p = np.where(known, held >> 12, given)
+        x = np.empty((4, len(act)), np.int64)
+        x[:3] = _STRETCH[self.p >> 4] * known
+        x[3] = _STRETCH[given >> 4]
+        self.x = x
+        self.own = (np.minimum(self.seen[0], 3) * 3 + np.minimum(self.seen[1], 2)) * self.lanes + act
+        self.used = self.weight[:, self.own]
+        dot = (self.used * x).sum(axis=0) >> 16
+        self.mixed = _SQUASH[np.clip(dot, -2048, 2047) + 2048]
+        return self.mixed
+
+    def learn(self, act: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Goes on to the next nodes; returns these, where a negative one is the complement of a finished id."""
+        error = right * np.int64(_ONE) - self.mixed
+        self.weight[:, self.own] = np.clip(self.used + ((self.x * error + 32768) >> 16), -(1 << 19), 1 << 19)
+        p = self.p + ((right * np.int64(65535) - self.p) * _RATE[self.seen] >> 16)
+        p = np.clip(p, 16, 65520).astype(np.int32)
+        self.cells[self.at] = p << 12 | np.minimum(self.seen + 1, 15) << 8 | self.check
+        to = self.tree.child[right.astype(np.int64), self.node[act]]
+        self.node[act] = to
+        done = (to < 0).nonzero()[0]
+        if len(done):
+            lanes, ids = act[done], (~to[done]).astype(np.uint32)
+            self.node[lanes] = self.tree.root
+            self.context[0, lanes] = self.context[1, lanes] * np.uint32(0x85EBCA6B) + ids * np.uint32(0xC2B2AE35)
+            self.context[1, lanes] = (ids + np.uint32(1)) * np.uint32(0x27D4EB2F)
+        return to
 
 
 def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -159,18 +163,21 @@ class RangeEncoder:
         self.out = np.zeros((lanes, digits), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
-        """Narrows the first ``n`` lanes to ``share`` of ``_ONE`` parts from ``start`` on."""
-        low, width = self.low[:n], self.width[:n]
-        width >>= np.uint64(_BITS)
-        low += width * start.astype(np.uint64)
+    def put(self, act: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
+        """Narrows the lanes ``act`` to ``share`` of ``_ONE`` parts from ``start`` on."""
+        width = self.width[act] >> np.uint64(_BITS)
+        low = self.low[act] + width * start.astype(np.uint64)
         width *= share.astype(np.uint64)
         while len(move := _settle(low, width)):
-            old, at = low[move], self.used[move]
-            self.out[move, at] = old >> _48
-            self.used[move] = at + 1
+            lanes, old = act[move], low[move]
+            at = self.used[lanes]
+            if at.max() + 5 > self.out.shape[1]:
+                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+            self.out[lanes, at] = old >> _48
+            self.used[lanes] = at + 1
             low[move] = old << _16
             width[move] <<= _16
+        self.low[act], self.width[act] = low, width
 
     def finish(self) -> list[bytes]:
         for k in range(4):
@@ -192,103 +199,103 @@ class RangeDecoder:
             self.code = self.code << _16 | self.digits[:, k]
         self.used = np.full(len(payloads), 4, np.int64)
 
-    def look(self, n: int) -> np.ndarray:
-        """The part of ``_ONE`` in which the code of each of the first ``n`` lanes lies."""
-        self.width[:n] >>= np.uint64(_BITS)
-        return np.minimum((self.code[:n] - self.low[:n]) // self.width[:n], np.uint64(_ONE - 1)).astype(np.int32)
-
-    def take(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
-        """Follows ``RangeEncoder.put``, after ``look``."""
-        low, width, code = self.low[:n], self.width[:n], self.code[:n]
+    def take(self, act: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Whether the code of each lane of ``act`` lies below ``border`` of ``_ONE`` parts; then as ``RangeEncoder.put``."""
+        width, low, code = self.width[act] >> np.uint64(_BITS), self.low[act], self.code[act]
+        right = code - low < width * border.astype(np.uint64)
+        start, share = _branch(right, border)
         low += width * start.astype(np.uint64)
         width *= share.astype(np.uint64)
         while len(move := _settle(low, width)):
-            at = self.used[move]
-            code[move] = code[move] << _16 | self.digits[move, at]
-            self.used[move] = at + 1
+            lanes = act[move]
+            at = self.used[lanes]
+            code[move] = code[move] << _16 | self.digits[lanes, at]
+            self.used[lanes] = at + 1
             low[move] <<= _16
             width[move] <<= _16
+        self.low[act], self.width[act], self.code[act] = low, width, code
+        return right
+
+
+def _branch(right: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and share of a branch: the right one lies below the border."""
+    return np.where(right, 0, border), np.where(right, border, _ONE - border)
 
 
 def _lengths(total: int, block_ids: int) -> list[int]:
     return [min(block_ids, total - a) for a in range(0, total, block_ids)]
 
 
-def _part(right: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and share of the first order that is right, or of neither, between 0, the three borders and ``_ONE``."""
-    start, end = borders[2].copy(), np.full(borders.shape[1], _ONE, np.int32)
-    for order in (2, 1):
-        np.copyto(start, borders[order - 1], where=right[order])
-        np.copyto(end, borders[order], where=right[order])
-    np.copyto(start, 0, where=right[0])
-    np.copyto(end, borders[0], where=right[0])
-    end -= start
-    return start, end
+def encode_blocks(
+    ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES, counts: np.ndarray | None = None
+) -> list[bytes]:
+    """The payloads of consecutive blocks of ``block_ids`` ids below 65536; only the last block may be shorter.
 
-
-def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> list[bytes]:
-    """The payloads of consecutive blocks of ``block_ids`` ids below 65536; only the last block may be shorter."""
+    ``counts`` of all ids shape the tree; without them, ids are alike at first.
+    """
+    tree = _even_tree() if counts is None else Tree(counts)
     out = []
     for first in range(0, len(ids), block_ids * lanes):
         own = ids[first : first + block_ids * lanes]
-        lengths = _lengths(len(own), block_ids)
-        table = np.zeros((len(lengths), block_ids), np.int32)
-        table.reshape(-1)[: len(own)] = own
-        table = np.ascontiguousarray(table.T)
-        model, coder = Mixer(len(lengths)), RangeEncoder(len(lengths), block_ids + block_ids // 4 + 16)
-        plain = np.zeros(table.shape, bool)
-        for step in range(lengths[0]):
-            n = len(lengths) - (lengths[-1] <= step)
-            now = table[step, :n]
-            guess, borders = model.predict(n)
-            right = guess == now
-            coder.put(n, *_part(right, borders))
-            np.logical_not(right[0] | right[1] | right[2], out=plain[step, :n])
-            model.learn(now)
-        spelled = [table[:, i][plain[:, i]].astype("<u2").tobytes() for i in range(len(lengths))]
-        out += [struct.pack("<I", len(x) // 2) + x + y for x, y in zip(spelled, coder.finish(), strict=True)]
+        lengths = np.array(_lengths(len(own), block_ids))
+        table = np.zeros((len(lengths), block_ids + 1), np.int64)
+        table[:, :-1].flat[: len(own)] = own
+        model, coder = Mixer(len(lengths), block_ids, tree), RangeEncoder(len(lengths), block_ids + 16)
+        at, act = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
+        code, left = tree.code[table[:, 0]], tree.depth[table[:, 0]]
+        while len(act):
+            left[act] -= 1
+            right = (code[act] >> left[act] & 1).astype(bool)
+            coder.put(act, *_branch(right, model.predict(act)))
+            done = act[model.learn(act, right) < 0]
+            if len(done):
+                at[done] += 1
+                going = done[at[done] < lengths[done]]
+                now = table[going, at[going]]
+                code[going], left[going] = tree.code[now], tree.depth[now]
+                if len(going) < len(done):
+                    act = (at < lengths).nonzero()[0]
+        out += coder.finish()
     return out
 
 
-def decode_blocks(payloads: list[bytes], total: int, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> np.ndarray:
+def decode_blocks(
+    payloads: list[bytes], total: int, block_ids: int = BLOCK_IDS, lanes: int = LANES, counts: np.ndarray | None = None
+) -> np.ndarray:
     """The ids that ``encode_blocks`` was given."""
-    lengths = _lengths(total, block_ids)
+    tree = _even_tree() if counts is None else Tree(counts)
+    all_lengths = np.array(_lengths(total, block_ids))
     out = []
     for first in range(0, len(payloads), lanes):
-        own = lengths[first : first + lanes]
-        table = np.zeros((block_ids, len(own)), np.uint16)
-        some = payloads[first : first + lanes]
-        counts = [struct.unpack_from("<I", x)[0] for x in some]
-        plain = np.frombuffer(b"".join(x[4 : 4 + 2 * k] for x, k in zip(some, counts, strict=True)) + b"\0\0", "<u2")
-        after = np.cumsum(counts) - counts
-        model, coder = Mixer(len(own)), RangeDecoder([x[4 + 2 * k :] for x, k in zip(some, counts, strict=True)])
-        for step in range(own[0]):
-            n = len(own) - (own[-1] <= step)
-            guess, borders = model.predict(n)
-            right = coder.look(n) < borders
-            coder.take(n, *_part(right, borders))
-            now = guess[2].copy()
-            np.copyto(now, guess[1], where=right[1])
-            np.copyto(now, guess[0], where=right[0])
-            spelled = (~right[2]).nonzero()[0]
-            now[spelled] = plain[after[spelled]]
-            after[spelled] += 1
-            model.learn(now)
-            table[step, :n] = now
-        out.append(table.T.reshape(-1)[: sum(own)])
+        lengths = all_lengths[first : first + lanes]
+        table = np.zeros((len(lengths), block_ids), np.uint16)
+        model, coder = Mixer(len(lengths), block_ids, tree), RangeDecoder(payloads[first : first + lanes])
+        at, act = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
+        while len(act):
+            to = model.learn(act, coder.take(act, model.predict(act)))
+            found = to < 0
+            done = act[found]
+            if len(done):
+                table[done, at[done]] = ~to[found]
+                at[done] += 1
+                if (at[done] == lengths[done]).any():
+                    act = (at < lengths).nonzero()[0]
+        out.append(table.reshape(-1)[: int(lengths.sum())])
     return np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
 def file_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file: head, index of documents with its checksum, and blocks with theirs."""
+    """One file: head, index of documents and id counts with its checksum, and blocks with theirs."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
-    index = zlib.compress(known.tobytes() + numbers.tobytes() + counts.astype("<i8").tobytes(), 1)
-    payloads = encode_blocks(ids)
+    uses = np.bincount(ids, minlength=1)
+    tail = counts.astype("<i8").tobytes() + uses.astype("<u4").tobytes()
+    index = zlib.compress(known.tobytes() + numbers.tobytes() + tail, 1)
+    payloads = encode_blocks(ids, counts=uses)
     parts = [MAGIC, struct.pack("<IIII", len(doc_ids), len(payloads), len(index), zlib.crc32(index)), index]
     for k, payload in enumerate(payloads):
         own = ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u2").tobytes()
-        parts += [struct.pack("<III", len(own) // 2, len(payload), zlib.crc32(own)), payload]
+        parts += [struct.pack("<IIII", len(own) // 2, len(payload), zlib.crc32(own), zlib.crc32(payload)), payload]
     return b"".join(parts)
 
 
@@ -304,13 +311,16 @@ def read_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     known = np.frombuffer(index, np.uint8, docs)
     numbers = np.frombuffer(index, "<i8", docs, docs)
     counts = np.frombuffer(index, "<i8", docs, 9 * docs)
+    uses = np.frombuffer(index, "<u4", offset=17 * docs).astype(np.int64)
     at, payloads, checks, total = 20 + size, [], [], 0
     for _ in range(blocks):
-        n, held, check = struct.unpack_from("<III", data, at)
-        payloads.append(data[at + 12 : at + 12 + held])
+        n, held, check, coded = struct.unpack_from("<IIII", data, at)
+        payloads.append(data[at + 16 : at + 16 + held])
+        if zlib.crc32(payloads[-1]) != coded:
+            raise ValueError(f"block {len(checks)} of a token file is damaged")
         checks.append(check)
-        at, total = at + 12 + held, total + n
-    ids = decode_blocks(payloads, total)
+        at, total = at + 16 + held, total + n
+    ids = decode_blocks(payloads, total, counts=uses)
     for k, check in enumerate(checks):
         if zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u2").tobytes()) != check:
             raise ValueError(f"block {k} of a token file is damaged")
