@@ -40,7 +40,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray):
 class WindowSet:
     """Every window of some benchmark items: a sorted array of hashes with the exact words and the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.number: dict[bytes, int] = {}
         holders: dict[tuple, set] = {}
         for item, text in items:
@@ -98,7 +98,7 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _parts(benchmark: DataFrame, item_id: str, text: str, limit: int):
     """The benchmark in parts of about ``limit`` bytes, each small enough to broadcast; usually there is one."""
     items = benchmark.select(F.col(item_id).cast("string").alias("_item"), F.col(text).cast("string").alias("_text"))
-    items = items.filter(F.col("_item").isNotNull() & F.col("_text").isNotNull())
+    items = items.filter(F.col("_text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.octet_length("_text") + 32), F.lit(0))).head()[0]
     count = max(1, -(-total // limit))
     for part in range(count):
@@ -121,8 +121,9 @@ def annotated(
     * the words inside any occurrence of a window, as disjoint spans (start, length) in words;
     * the items with an occurring window, sorted as strings.
 
-    An item of fewer than ``window`` words is one window; one without words, a null text or a null id is none. Whole
-    texts are scanned. An empty benchmark finds nothing; an empty table gives no rows.
+    An item of fewer than ``window`` words is one window; one without words or with a null text is none. Items with
+    a null id are scanned for like others; all of them together are one null at the end of the list, which is counted, as the
+    query's SQL does, and left out where ids are joined. Whole texts are scanned. An empty benchmark finds nothing; an empty table gives no rows.
     """
     name = "_"
     while any(c.startswith(name) for c in docs.columns):
@@ -151,7 +152,8 @@ def annotated(
                         held = rows.column(len(rows.schema) - 1).to_pylist()
                     for r, hits in found.items():
                         covered[r] = merged(covered[r] + [(s, n) for s, n, _ in hits])
-                        held[r] = sorted({*held[r], *(i for _, _, own in hits for i in own)})
+                        items_of = {*held[r], *(i for _, _, own in hits for i in own)}
+                        held[r] = sorted(items_of, key=lambda i: (i is None, i or ""))
                     columns = rows.columns[: len(rows.schema) - 3] if again else rows.columns
                     as_structs = [[{"start": s, "length": n} for s, n in x] for x in covered]
                     yield pa.RecordBatch.from_arrays(

@@ -55,6 +55,25 @@ def test_spans_are_cut(make_docs, benchmark):
     assert rows[32] == " ".join(f"f{i}" for i in range(300)) + " "
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 20])
+def test_items_without_an_id_count_as_in_the_sql(spark, make_docs, limit):
+    import duckdb
+
+    from revwatch.llm.oracle import OP4
+
+    docs = [(1, "there is no number here at all"), (2, "no number here short item"), (3, "nothing"), (4, "short item")]
+    items = [(None, "no number here"), (None, "no number"), (7, "short item")]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contamination(make_docs(docs), frame, limit=limit).collect()
+    con = duckdb.connect()
+    for name, columns, rows in (("documents", "doc_id BIGINT, text VARCHAR", docs), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    expected = {r[0]: (r[1], r[2], r[3], r[5]) for r in con.execute(OP4).fetchall()}
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in found} == expected
+    assert {r.doc_id: r["items"] for r in found} == {1: [None], 2: ["7", None], 3: [], 4: ["7"]}
+
+
 def test_contamination_empty(spark, make_docs, benchmark):
     assert decontaminate.contamination(make_docs([]), benchmark[1]).collect() == []
     none = decontaminate.contamination(make_docs([(1, "a b")]), benchmark[1].limit(0)).head()
