@@ -96,4 +96,82 @@ FROM labelled JOIN (SELECT host, segs, template FROM t2) USING (host, segs) JOIN
 """
 )
 
-ORACLE = {"op1_url_filters": OP1, "op4_benchmark_decontamination": OP4, "op6_exact_dedup": OP6}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = (
+    r"""
+WITH RECURSIVE bits(v, c, k) AS (
+  SELECT v, v::BIGINT, 0 FROM range(256) r(v)
+  UNION ALL
+  SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all("""
+    + _LOWER
+    + r""", '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+summed AS (
+  SELECT run, k,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(s) + 1),
+             lambda p: ('0x' || substr(hex(encode(s)), 2 * p::BIGINT - 1, 2))::BIGINT)),
+           lambda h, x: xor(h >> 8, t[xor(h, x) % 256 + 1])), 4294967295) AS h
+  FROM (SELECT run, k, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM per_doc), crc_table),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM summed)
+  GROUP BY word HAVING length(word) >= 5 AND sum(k) >= 3),
+gaps AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+cut AS (
+  SELECT word, n, p, substr(word, 1, p - 1) AS head, substr(word, p + 1) AS tail FROM gaps),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.p = b.p AND a.head = b.head AND a.tail = b.tail
+  WHERE a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM cut a JOIN words w ON w.word = a.head || a.tail
+  UNION SELECT w.word, a.word, a.n FROM cut a JOIN words w ON w.word = a.head || a.tail),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS best_n,
+         (list(other ORDER BY other_n DESC, encode(other)))[1] AS best FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form,
+         CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+steps(word, spot) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.spot WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.spot AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM forms f JOIN steps s ON s.word = f.word JOIN forms e ON e.word = s.spot AND e.form IS NULL
+"""
+)
+
+OP13 = (
+    r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all("""
+    + _LOWER
+    + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, len(w) AS k, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+shingles AS (
+  SELECT r, k, p, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS item
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY p)),
+distinct_items AS (SELECT DISTINCT r, item FROM shingles WHERE p <= greatest(k - 4, 1)),
+items AS (SELECT r, item, count(*) OVER (PARTITION BY r) AS n FROM distinct_items),
+sets AS (SELECT r, doc_id, n FROM texts JOIN (SELECT DISTINCT r, n FROM items) USING (r)),
+pairs AS (
+  SELECT a.r AS x, b.r AS y FROM items a JOIN items b ON a.item = b.item AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(r, spot) AS (SELECT r, r FROM sets UNION SELECT reach.r, pairs.y FROM reach JOIN pairs ON pairs.x = reach.spot)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reach USING (r) JOIN sets o ON o.r = reach.spot GROUP BY s.r, s.doc_id, s.n
+UNION ALL SELECT doc_id, 0, doc_id FROM texts WHERE len(w) = 0
+"""
+)
+
+ORACLE = {
+    "op1_url_filters": OP1,
+    "op4_benchmark_decontamination": OP4,
+    "op6_exact_dedup": OP6,
+    "op11_spelling_variants": OP11,
+    "op13_ngram_jaccard_join": OP13,
+}

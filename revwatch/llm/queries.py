@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from revwatch.llm import (
     decontaminate,
     exact_dedup,
+    jaccard_join,
     language,
     ngram_lm,
     packing,
     quality,
     simhash,
+    spelling,
     token_counts,
     token_files,
     url_filters,
+    whitening,
 )
 
 
@@ -98,6 +101,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,5 +126,8 @@ QUERIES = {
         op8_token_output,
         op9_simhash_near_dedup,
         op10_token_counts,
+        op11_spelling_variants,
+        op12_embedding_whitening,
+        op13_ngram_jaccard_join,
     )
 }

@@ -9,6 +9,7 @@ import xxhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
+LATIN = re.compile("[A-Za-zÀ-ÿ]+")
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -89,3 +90,28 @@ def language_model(docs, learns, weight):
 
 def in_fold(doc, modulus, fold=2):
     return zlib.crc32(str(doc).encode()) % modulus == fold
+
+
+def jaccard_groups(rows, words=5):
+    """(id, set size, smallest id that links reach) per row; a null id is named only by itself."""
+    sets = []
+    for _, text in rows:
+        w = spaced_words(text)
+        sets.append({" ".join(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            same = len(a & b)
+            if a and b and 100 * same >= 80 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(least.get(find(i), doc), doc)
+    return [(doc, len(s), least.get(find(i))) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
