@@ -661,6 +661,40 @@ SQL["stream_ewm"] = f"""
     sqrt(greatest(m2 - m * m, 0) * w * w / nullif(w * w - w2, 0)), 1), 0)), 0), 4) AS score
   FROM s JOIN r USING (event_type, i)"""
 
+SQL["stream_ewm_ordered"] = SQL["stream_ewm"]
+
+# --- baselines with a validity ---
+_SPREAD = "sqrt(CAST(n * q - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1))) / 100"
+_VERSIONS = f"""
+  SELECT valid_from, coalesce(next, valid_from + INTERVAL 90 DAY)::DATE AS valid_to, n AS base_rows,
+         CAST(s AS DOUBLE) / (CAST(n AS DOUBLE) * 100) AS base_mean, {_SPREAD} AS base_std
+  FROM (SELECT CAST(m AS DATE) AS valid_from, CAST(lead(m) OVER (ORDER BY m) AS DATE) AS next FROM (
+          SELECT unnest(generate_series(date_trunc('month', min(order_date)), max(order_date) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS m
+          FROM daily)),
+       LATERAL (SELECT count(*) AS n, sum(CAST(rev_c AS HUGEINT)) AS s, sum(CAST(rev_c AS HUGEINT) * rev_c) AS q FROM daily
+                WHERE order_date >= valid_from - INTERVAL 90 DAY AND order_date < valid_from)
+  WHERE n >= 2"""
+SQL["baseline_versions"] = f"""SELECT {day("valid_from")} AS valid_from, {day("valid_to")} AS valid_to, base_rows,
+  round(base_mean, 4) AS base_mean, round(base_std, 4) AS base_std FROM ({_VERSIONS})"""
+_ALERT = "CASE WHEN z_score > 0 THEN 'SPIKE' ELSE 'DROP' END AS alert"
+SQL["asof_alerts"] = f"""SELECT {day()} AS order_date, daily_revenue, {day("valid_from")} AS valid_from, z_score, {_ALERT}
+  FROM (SELECT order_date, daily_revenue, valid_from, round((daily_revenue - base_mean) / nullif(base_std, 0), 6) AS z_score
+        FROM daily JOIN ({_VERSIONS}) ON order_date >= valid_from AND order_date < valid_to)
+  WHERE abs(z_score) > 2 AND order_date NOT IN (SELECT event_date FROM calendar)"""
+SQL["events_asof_alerts"] = f"""
+  WITH e AS (SELECT *, CAST(ts AS DATE) AS d, {_VALUE_C} AS c FROM events),
+  days AS (SELECT event_type, d, count(*) AS n, sum(c) AS s, sum(CAST(c AS HUGEINT) * c) AS q FROM e GROUP BY ALL),
+  v AS (SELECT a.event_type, a.d AS valid_from, sum(b.n) AS n, CAST(sum(b.s) AS HUGEINT) AS s, CAST(sum(b.q) AS HUGEINT) AS q
+        FROM days a JOIN days b ON a.event_type = b.event_type AND b.d < a.d AND b.d >= a.d - INTERVAL 90 DAY GROUP BY 1, 2),
+  z AS (SELECT e.*, valid_from,
+               round((value - CAST(s AS DOUBLE) / (CAST(n AS DOUBLE) * 100)) / nullif({_SPREAD}, 0), 6) AS z_score
+        FROM e JOIN v ON e.event_type = v.event_type AND e.d = v.valid_from WHERE n >= 2)
+  SELECT event_id, event_type, {day("d")} AS order_date, value, {day("valid_from")} AS valid_from, z_score, {_ALERT}
+  FROM z WHERE abs(z_score) > 2.5 AND strftime(ts, '%m-%d') NOT IN ('01-01', '12-25')
+    AND NOT (month(ts) = 5 AND isodow(ts) = 7 AND day(ts) BETWEEN 8 AND 14)
+    AND NOT (month(ts - INTERVAL 1 DAY) = 11 AND isodow(ts - INTERVAL 1 DAY) = 4 AND day(ts - INTERVAL 1 DAY) BETWEEN 22 AND 28)"""
+SQL["stream_asof_alerts"] = SQL["events_asof_alerts"]
+
 SQL["rca_report"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({SQL[t]})"
     for t in ("rca_method", "rca_feature_set", "rca_scaler", "rca_dbscan", "rca_param_failure", "rca_best",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import publish
 from revwatch.functions.subquery import only_row
-from revwatch.operators import evaluate, features, grid, hypothesis, kpis, quality, rca, star
+from revwatch.operators import baselines, evaluate, features, grid, hypothesis, kpis, quality, rca, star
 from revwatch.operators.detectors import density, isolation, pointwise, sequential
 from revwatch.operators.calendar import calendar_years, holiday_calendar
 from revwatch.plans import business, questions
@@ -17,6 +17,7 @@ from revwatch.plans.warehouse import Warehouse, open_warehouse
 from revwatch.session import fresh_path
 from revwatch.sources import contract, sinks
 from revwatch.streaming import kpis as streaming
+from revwatch.streaming import monitor, ordered
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -749,3 +750,68 @@ def stream_ewm(w):
     days = w.spark.readStream.schema(daily.schema).parquet(path)
     out = streaming.drain(streaming.stream_ewm(days, "event_type", "daily_value", 7), "stream_ewm")
     return _rounded(out, 4, "score")
+
+
+# --- baselines with a validity, met as of the day of a row ---
+
+
+@register
+def baseline_versions(w):
+    """Mean and deviation of the 90 days before the first of every month, each valid for its month."""
+    moments = baselines.daily_moments(w.daily_kpis, "daily_revenue")
+    return _rounded(baselines.baseline_versions(moments), 4, "base_mean", "base_std")
+
+
+@register
+def asof_alerts(w):
+    """Days far from the baseline that was in force on them; the labelled days never alert."""
+    versions = baselines.baseline_versions(baselines.daily_moments(w.daily_kpis, "daily_revenue"))
+    found = baselines.alerts_as_of(w.daily_kpis, versions, (), "daily_revenue", F.col("order_date"), w.calendar, 2.0)
+    return found.select("order_date", "daily_revenue", "valid_from", "z_score", "alert")
+
+
+_ASOF_COLUMNS = ("event_id", "event_type", "order_date", "value", "valid_from", "z_score", "alert")
+
+
+def _event_moments(w) -> DataFrame:
+    return baselines.daily_moments(_events(w), "value", ["event_type"], "ts")
+
+
+@register
+def events_asof_alerts(w):
+    """Events against the 90 days before their own one, refreshed daily."""
+    versions = baselines.baseline_versions(_event_moments(w), ["event_type"], every="day")
+    events = _events(w).withColumn("order_date", F.to_date("ts"))
+    date = F.col("order_date")
+    return baselines.alerts_as_of(events, versions, ["event_type"], "value", date, _event_holidays(w)).select(*_ASOF_COLUMNS)
+
+
+@register
+def stream_asof_alerts(w):
+    """The same over the stream: every micro-batch looks up the versions that are stored by then."""
+    store = baselines.VersionStore(w.spark, series_key=["event_type"])
+    store.refresh(_event_moments(w), every="day")
+    events = _event_stream(w).withColumn("order_date", F.to_date("ts"))
+    date = F.col("order_date")
+    return monitor.drain_alerts(
+        events, store.read, ["event_type"], "value", date, _event_holidays(w), columns=_ASOF_COLUMNS
+    )
+
+
+@register
+def stream_ewm_ordered(w):
+    """The streamed z-score with days that arrive out of order, up to two days late, in several micro-batches."""
+    daily = streaming.events_daily_kpis(_events(w), ["event_type"]).select("event_type", "order_date", "daily_value")
+    late = F.pmod(F.crc32(F.concat_ws("/", "event_type", "order_date").cast("binary")), F.lit(3)).cast("int")
+    arrival = daily.withColumn("arrival", F.date_add("order_date", late))
+    first, last = arrival.agg(F.min("arrival"), F.max("arrival")).head()
+    path = fresh_path(w.spark, "late_days")
+    step = ((last - first).days + 4) // 4 if first is not None else 1
+    for part in range(4):  # four files in the order of arrival
+        slot = F.floor(F.datediff("arrival", F.lit(first)) / step)
+        arrival.filter(slot == part).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+    ordered.closing_day(daily, "event_type", "daily_value", 3).coalesce(1).write.mode("append").parquet(path)
+    ordered.use_rocksdb(w.spark)
+    days = w.spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = streaming.drain(ordered.ordered_ewm(days, "event_type", "daily_value", 7, "3 days"), "stream_ewm_ordered")
+    return _rounded(out, 4, "score")

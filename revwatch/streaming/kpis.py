@@ -31,10 +31,13 @@ def read_event_stream(spark: SparkSession, folder: str, pattern: str = "*.parque
     )
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a parquet table in the shared folder and return that table."""
+def drain(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Process everything available into a parquet table in the shared folder and return that table.
+
+    ``root`` names the folder of data and progress, with which a later call goes on where the earlier one ended.
+    """
     spark = stream.sparkSession
-    root = fresh_path(spark, name)
+    root = root or fresh_path(spark, name)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
