@@ -29,11 +29,13 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles with a known count that every worker holds at most: 12 bytes each.
 KNOWN = 1 << 19
 #: Shingles counted together; one that occurs less than twice in every such window counts as rare.
-WINDOW = 1 << 22
+WINDOW = 1 << 20
 #: Posting lists up to LIGHT give all their pairs; lists known to be longer than HEAVY are split into tiles at once.
 LIGHT, HEAVY = 64, 1024
 #: Documents of a block of a tile, on average.
-TILE = 2048
+TILE = 1024
+#: Bytes of text that are cut into shingles at once.
+CHUNK_BYTES = 1_000_000
 #: Lengthenings that are weighed for a document.
 LENGTHS = (1, 2, 4, 8, 16, 32)
 #: Bits of a document's parity sketch.
@@ -85,8 +87,8 @@ def digests(sets: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def batch_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, sets, borders) of the (id, text) rows of a batch, some megabytes of text at a time."""
-    for first, end, data, offsets in chunks(batch.column(1)):
+    """(ids, sets, borders) of the (id, text) rows of a batch, a chunk of text at a time."""
+    for first, end, data, offsets in chunks(batch.column(1), CHUNK_BYTES):
         yield batch.column(0).slice(first, end - first), *shingle_sets(data, offsets, words)
 
 
