@@ -4,7 +4,8 @@ finished test, one row, goes through Python."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ from revwatch.functions.numeric import safe_divide
 from revwatch.functions.pvalues import chi2_pvalue, normal_pvalue, t_pvalue
 from revwatch.functions.subquery import only_row
 from revwatch.operators.global_order import exact_quantiles_by, rank_globally
+from revwatch.session import materialize
 
 MIN_GROUP = 10
 MIN_PAIRS = 5
+#: Rows (a few numbers each) that the draws of a bootstrap may look up in every task.
+BROADCAST_ROWS = 200_000
 
 Statistic = Callable[[Column], Column]
 
@@ -61,6 +65,7 @@ def bootstrap_ci(
     numbered = ranked.join(groups, list(keys)).select(
         *keys, "x", "n", (F.col("position") - F.col("first")).alias("i")
     )
+    numbered = materialize(numbered, "numbered")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
         numbered.filter(F.col("n") >= min_group)
@@ -69,6 +74,8 @@ def bootstrap_ci(
         .select(*keys, "b", (_uniform_int(F.lit(seed), F.col("b"), F.col("i")) % F.col("n")).alias("i"))
     )
     lookup = numbered.select(*keys, "i", "x")
+    if numbered.count() <= BROADCAST_ROWS:  # result tables; beyond that, draws and rows are shuffled to each other
+        lookup = F.broadcast(lookup)
     stats = draws.join(lookup, [*keys, "i"]).groupBy(*keys, "b").agg(statistic(F.col("x")).alias("stat"))
     return _point(df, keys, value, statistic, min_group).join(_interval(stats, keys, confidence), list(keys)).select(
         *keys, "n", "estimate", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper")
@@ -108,6 +115,70 @@ def poisson_bootstrap_ci(
     )
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return safe_divide(F.sum(value * weight), F.sum(weight))
+
+
+def weighted_median(value: Column, weight: Column) -> Column:
+    return F.percentile(value, F.lit(0.5), weight)
+
+
+def little_bootstraps_ci(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    row_id: Sequence[str],
+    statistics: Mapping[str, Callable[[Column, Column], Column]] = MappingProxyType(
+        {"mean": weighted_mean, "median": weighted_median}
+    ),
+    subsets: int = 10,
+    replicates: int = 81,
+    gamma: float = 0.6,
+    confidence: float = 0.95,
+    seed: int = 42,
+    min_group: int = MIN_GROUP,
+) -> DataFrame:
+    """Intervals of any weighted statistics by a bag of little bootstraps: (keys, statistic, n, estimate, ci_lower, ci_upper).
+
+    Of a group of n rows, up to ``subsets`` disjoint subsets of about b = n ** ``gamma`` rows each are drawn by hash. In each,
+    a resample of n rows is b weights: the counts of a multinomial, in their normal approximation, from hashes of (replicate,
+    row). The percentile intervals of the subsets are averaged; the estimate is that of all rows. Only the rows of the
+    subsets are shuffled, once and before they meet the replicates, so the shuffle does not depend on their number.
+    Groups below ``min_group`` rows are left out, and so are null values.
+    """
+    ids = [F.col(c) for c in row_id]
+    rows = df.filter(F.col(value).isNotNull()).select(*{*keys, *row_id}, F.col(value).cast("double").alias("x"))
+    one = F.lit(1).cast("bigint")
+    estimates = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[stat(F.col("x"), one).alias(f"est_{name}") for name, stat in statistics.items()]
+    )
+    groups = estimates.filter(F.col("n") >= min_group).select(
+        *keys, "n", F.floor(F.col("n") / F.ceil(F.pow(F.col("n").cast("double"), F.lit(gamma)))).cast("bigint").alias("parts")
+    )
+    part = F.shiftright(_uniform_int(F.lit(seed), *ids) * F.col("parts"), 32).alias("part")
+    drawn = rows.join(groups, list(keys)).select(*keys, *[c for c in row_id if c not in keys], "x", "n", part)
+    drawn = drawn.filter(F.col("part") < subsets).repartition(*keys, "part")
+    own = Window.partitionBy(*keys, "part")
+    drawn = drawn.withColumn("rate", F.col("n") / F.count(F.lit(1)).over(own))
+    resampled = drawn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # Four uniform numbers of 32 bits add up to an almost normal one; its variance is a third.
+    digest = F.md5(F.concat_ws("-", F.lit(seed), F.col("b"), *ids))
+    quarter = sum((F.conv(F.substring(digest, k, 8), 16, 10).cast("bigint") for k in (9, 17, 25)), F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
+    normal = (quarter - F.lit(2 * (2**32 - 1))) / F.lit(2.0**32) * F.sqrt(F.lit(3.0))
+    weight = F.greatest(F.floor(F.col("rate") + F.sqrt("rate") * normal + 0.5), F.lit(0)).cast("bigint")
+    stats = resampled.withColumn("w", weight).groupBy(*keys, "part", "b").agg(
+        *[stat(F.col("x"), F.col("w")).alias(name) for name, stat in statistics.items()]
+    )
+    long = stats.unpivot([*keys, "part", "b"], list(statistics), "statistic", "stat")
+    within = _interval(long, [*keys, "part", "statistic"], confidence)
+    averaged = within.groupBy(*keys, "statistic").agg(
+        F.avg(F.col("ci")[0]).alias("ci_lower"), F.avg(F.col("ci")[1]).alias("ci_upper")
+    )
+    wide = {f"est_{name}": name for name in statistics}
+    points = estimates.withColumnsRenamed(wide).unpivot([*keys, "n"], list(statistics), "statistic", "estimate")
+    return points.join(averaged, [*keys, "statistic"]).select(*keys, "statistic", "n", "estimate", "ci_lower", "ci_upper")
+
+
 def _moments(value: Column | str) -> list[Column]:
     return [F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).cast("double").alias("n")]
 

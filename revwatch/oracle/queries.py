@@ -695,6 +695,46 @@ SQL["events_asof_alerts"] = f"""
     AND NOT (month(ts - INTERVAL 1 DAY) = 11 AND isodow(ts - INTERVAL 1 DAY) = 4 AND day(ts - INTERVAL 1 DAY) BETWEEN 22 AND 28)"""
 SQL["stream_asof_alerts"] = SQL["events_asof_alerts"]
 
+# --- mergeable sketches: their bounds must hold ---
+_PERIODS = """SELECT strftime(order_date, '%Y-%m') AS period, value_c / 100.0 AS v FROM fact
+  UNION ALL SELECT 'all', value_c / 100.0 FROM fact"""
+SQL["quantile_sketches"] = f"""
+  SELECT period, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS rank, n, round(unnest(q), 4) AS exact, true AS within_bound
+  FROM (SELECT period, count(*) AS n, quantile_cont(CAST(v AS DOUBLE), [0.25, 0.5, 0.95]) AS q FROM ({_PERIODS}) GROUP BY period)"""
+SQL["distinct_customers"] = """
+  SELECT grain, period, count(DISTINCT customer_id) AS customers, true AS within_bound FROM (
+    SELECT 'week' AS grain, strftime(date_trunc('week', order_date), '%Y-%m-%d') AS period, customer_id FROM fact
+    UNION ALL SELECT 'month', strftime(order_date, '%Y-%m'), customer_id FROM fact
+    UNION ALL SELECT 'all', 'all', customer_id FROM fact) GROUP BY grain, period"""
+SQL["stream_distinct_users"] = """
+  SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(DISTINCT user_id) AS users, true AS within_bound
+  FROM events GROUP BY ALL"""
+
+_BYTES = " + ".join(f"CAST('0x' || substr(h, {k}, 8) AS BIGINT)" for k in (1, 9, 17, 25))
+SQL["little_bootstraps"] = f"""SELECT * FROM (
+  WITH sized AS (SELECT *, CAST(value_c / 100.0 AS DOUBLE) AS x, count(*) OVER (PARTITION BY state) AS n FROM fact WHERE state IS NOT NULL),
+  parted AS (SELECT state, order_id, x, n,
+                    ({_HEX.format("concat_ws('-', 42, order_id)")} * CAST(floor(n / ceil(pow(n, 0.6))) AS BIGINT)) >> 32 AS part
+             FROM sized WHERE n >= 10),
+  drawn AS (SELECT *, n / CAST(count(*) OVER (PARTITION BY state, part) AS DOUBLE) AS rate FROM parted WHERE part < 10),
+  hashed AS (SELECT *, md5(concat_ws('-', 42, b, order_id)) AS h FROM drawn, range(81) t(b)),
+  weighted AS (
+    SELECT state, part, b, x,
+           CAST(greatest(floor(rate + sqrt(rate) * ((({_BYTES}) - 8589934590) / 4294967296.0::DOUBLE * sqrt(3.0::DOUBLE)) + 0.5), 0) AS BIGINT) AS w
+    FROM hashed),
+  running AS (SELECT *, sum(w) OVER (PARTITION BY state, part, b ORDER BY x, w) AS upto,
+                     sum(w) OVER (PARTITION BY state, part, b) AS total FROM weighted),
+  stats AS (
+    SELECT state, part, b, sum(x * w) / CAST(sum(w) AS DOUBLE) AS mean,
+           (min(x) FILTER (WHERE upto > (total - 1) // 2) + min(x) FILTER (WHERE upto > total // 2)) / 2 AS median
+    FROM running WHERE w > 0 GROUP BY state, part, b),
+  long AS (UNPIVOT stats ON mean, median INTO NAME statistic VALUE stat),
+  cis AS (SELECT state, part, statistic, quantile_cont(stat, [0.025, 0.975]) AS ci FROM long GROUP BY ALL),
+  points AS (SELECT state, count(*) AS n, avg(x) AS mean, median(x) AS median FROM sized GROUP BY state)
+  SELECT c.state AS customer_state, c.statistic, p.n, round(CASE c.statistic WHEN 'mean' THEN p.mean ELSE p.median END, 4) AS estimate,
+         round(avg(ci[1]), 4) AS ci_lower, round(avg(ci[2]), 4) AS ci_upper
+  FROM cis c JOIN points p USING (state) GROUP BY c.state, c.statistic, p.n, p.mean, p.median)"""
+
 SQL["rca_report"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({SQL[t]})"
     for t in ("rca_method", "rca_feature_set", "rca_scaler", "rca_dbscan", "rca_param_failure", "rca_best",

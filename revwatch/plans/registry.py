@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revwatch.functions.numeric import publish
 from revwatch.functions.subquery import only_row
-from revwatch.operators import baselines, evaluate, features, grid, hypothesis, kpis, quality, rca, star
+from revwatch.operators import baselines, evaluate, features, grid, hypothesis, kpis, quality, rca, sketches, star
 from revwatch.operators.detectors import density, isolation, pointwise, sequential
 from revwatch.operators.calendar import calendar_years, holiday_calendar
+from revwatch.operators.global_order import exact_quantiles_by, quantile_name
 from revwatch.plans import business, questions
 from revwatch.plans.warehouse import Warehouse, open_warehouse
 from revwatch.session import fresh_path
@@ -815,3 +816,77 @@ def stream_ewm_ordered(w):
     days = w.spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = streaming.drain(ordered.ordered_ewm(days, "event_type", "daily_value", 7, "3 days"), "stream_ewm_ordered")
     return _rounded(out, 4, "score")
+
+
+# --- mergeable sketches ---
+
+_RANKS = (0.25, 0.5, 0.95)
+
+
+def _month() -> Column:
+    return F.date_format("order_date", "yyyy-MM")
+
+
+def _period_quantiles(w) -> DataFrame:
+    """Quantiles of order values per month and over all, from the daily sketches alone."""
+    daily = w.order_value_sketches
+    merged = sketches.merged_quantiles(daily, [_month().alias("period")])
+    merged = merged.unionByName(sketches.merged_quantiles(daily, [F.lit("all").alias("period")]))
+    return sketches.read_quantiles(merged, ["period"], _RANKS)
+
+
+@register
+def period_quantiles(w):
+    """What a dashboard reads: no order is scanned, whatever the period."""
+    return _rounded(_period_quantiles(w), 2, "estimate")
+
+
+@register
+def quantile_sketches(w):
+    """Exact quantiles per period, and whether the sketched ones keep their rank within twice the documented error."""
+    orders = w.fact_orders.select(F.col("order_value").cast("double").alias("v"), F.explode(F.array(_month(), F.lit("all"))).alias("period"))
+    asked = _period_quantiles(w)
+    misses = sketches.rank_misses(orders, ["period"], "v", asked)
+    names = {quantile_name(r): r for r in _RANKS}
+    exact = exact_quantiles_by(orders, ["period"], "v", _RANKS).unpivot(["period"], list(names), "name", "exact")
+    rank = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("name")]
+    exact = exact.select("period", rank.alias("rank"), F.round("exact", 4).alias("exact"))
+    bound = 2 * sketches.rank_error()
+    return asked.join(misses, ["period", "rank"]).join(exact, ["period", "rank"]).select(
+        "period", "rank", "n", "exact", (F.col("miss") <= bound).alias("within_bound")
+    )
+
+
+@register
+def distinct_customers(w):
+    """Customers per week, month and over all: exact, and whether merged daily sketches come close."""
+    periods = {"week": F.date_format(F.date_trunc("week", "order_date"), "yyyy-MM-dd"), "month": _month(), "all": F.lit("all")}
+    grains = [F.struct(F.lit(g).alias("grain"), p.alias("period")) for g, p in periods.items()]
+    grain = F.explode(F.array(*grains)).alias("g")
+    exact = w.fact_orders.select("customer_id", grain).groupBy("g.grain", "g.period").agg(F.countDistinct("customer_id").alias("customers"))
+    merged = sketches.merged_distinct(w.customer_sketches.select("sketch", grain), ["g.grain", "g.period"])
+    return exact.join(merged, ["grain", "period"]).select(
+        "grain", "period", "customers", sketches.close_to(F.col("estimate"), F.col("customers")).alias("within_bound")
+    )
+
+
+@register
+def stream_distinct_users(w):
+    """Users per event type and week from the daily sketches of the stream, which no later batch has to scan again."""
+    events = _event_stream(w).withWatermark("ts", "1 day")
+    days = sketches.distinct_sketches(events, [F.window("ts", "1 day"), "event_type"], "user_id")
+    days = days.select("event_type", F.to_date("window.start").alias("order_date"), "sketch")
+    daily = streaming.drain_updates(days, ["event_type", "order_date"], "stream_users")
+    week = lambda day: F.date_format(F.date_trunc("week", day), "yyyy-MM-dd").alias("week")
+    merged = sketches.merged_distinct(daily.select("event_type", week("order_date"), "sketch"), ["event_type", "week"])
+    exact = _events(w).groupBy("event_type", week("ts")).agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(merged, ["event_type", "week"]).select(
+        "event_type", "week", "users", sketches.close_to(F.col("estimate"), F.col("users")).alias("within_bound")
+    )
+
+
+@register
+def little_bootstraps(w):
+    """Intervals of the mean and the median order value per state, from subsets of n ** 0.6 orders."""
+    out = hypothesis.little_bootstraps_ci(w.fact_orders, ["customer_state"], "order_value", ["order_id"])
+    return _rounded(out, 4, "estimate", "ci_lower", "ci_upper")

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwatch.operators import grid, kpis, star
+from revwatch.operators import grid, kpis, sketches, star
 from revwatch.operators.calendar import calendar_years, holiday_calendar
 from revwatch.operators.detectors import density, isolation
 from revwatch.operators.features import FEATURE_SETS, build_features, feature_vectors
@@ -72,6 +72,19 @@ class Warehouse:
         daily = kpis.build_daily_kpis(self.fact_orders)
         return self.keep("daily_kpis", lambda: kpis.label_ground_truth(daily, self.calendar))
 
+    @cached_property
+    def order_value_sketches(self) -> DataFrame:
+        """A quantile sketch of order values per day and state."""
+        keys = ["order_date", "customer_state"]
+        return self.keep("value_sketches", lambda: sketches.quantile_sketches(self.fact_orders, keys, "order_value"))
+
+    @cached_property
+    def customer_sketches(self) -> DataFrame:
+        """A distinct sketch of customers per day."""
+        return self.keep(
+            "customer_sketches", lambda: sketches.distinct_sketches(self.fact_orders, ["order_date"], "customer_id")
+        )
+
     @cached_property
     def features(self) -> DataFrame:
         return self.keep("features", lambda: build_features(self.daily_kpis))
