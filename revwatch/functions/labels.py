@@ -33,6 +33,7 @@ def z_label(z: Column, threshold: float = 2.5, names=("SPIKE", "DROP", "NORMAL")
     return F.when(z > threshold, spike).when(z < -threshold, drop).otherwise(normal)
 
 
+# The texts of the context column.
 def context_label(value: Column, baseline: Column, names=("🔴 Spike", "🔵 Drop", "✅ Normal")) -> Column:
     spike, drop, normal = names
     return F.when(value > baseline * 1.5, spike).when(value < baseline * 0.5, drop).otherwise(normal)

@@ -209,10 +209,10 @@ def grid_definition(spark: SparkSession) -> DataFrame:
 
 
 def grid_coverage(results: DataFrame) -> DataFrame:
-    """Per method: configurations in ``results``, and how many the grid definition asks for (0 for extra methods)."""
+    """Per method of the definition or of ``results``: configurations asked for and found, 0 where there are none."""
     defined = grid_definition(results.sparkSession).groupBy("method_type").agg(F.count("*").alias("defined_configs"))
     ran = results.groupBy("method_type").agg(F.count("*").alias("configs"), F.max("total_days").alias("total_days"))
-    return ran.join(defined, "method_type", "left").na.fill(0, ["defined_configs"])
+    return defined.join(ran, "method_type", "full").na.fill(0, ["defined_configs", "configs"])
 
 
 def grid_summary(results: DataFrame) -> DataFrame:

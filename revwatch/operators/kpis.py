@@ -81,37 +81,6 @@ def ground_truth(labelled: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def etl_metrics(orders, fact, dim_products, labelled, calendar) -> DataFrame:
-    """Run counters in long form, one scan per table."""
-    from revwatch.operators.star import VALID_STATUSES
-
-    kept = F.count_if(F.col("order_status").isin(*VALID_STATUSES))
-    parts = [
-        orders.agg(kept.alias("orders_kept"), (F.count("*") - kept).alias("orders_removed")),
-        fact.agg(
-            F.count("*").alias("fact_orders"),
-            F.datediff(F.max("order_date"), F.min("order_date")).cast("bigint").alias("date_span_days"),
-        ),
-        dim_products.agg(
-            F.count("*").alias("products"), F.countDistinct("category").alias("product_categories")
-        ),
-        labelled.agg(
-            F.count("*").alias("days"),
-            F.sum("anomaly_flag").alias("flagged_days"),
-            F.sum("is_true_anomaly").alias("labelled_days"),
-            F.count_if(F.col("event_label") == "Extreme statistical outlier").alias("extreme_days"),
-        ),
-        calendar.join(
-            labelled.select(F.col("order_date").alias("event_date")).distinct(), "event_date", "left_semi"
-        ).agg(F.count("*").alias("calendar_days")),
-    ]
-    long = [p.unpivot([], p.columns, "metric", "value") for p in parts]
-    out = long[0]
-    for frame in long[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
 def rolling_baseline(daily: DataFrame, value: str, days: int = 90, series_key: Sequence[str] = ()) -> DataFrame:
     """Mean (four digits) and deviation of a money KPI over the last ``days`` calendar days, per series; days without
     a row are absent from the mean."""

@@ -11,7 +11,26 @@ from revwatch.oracle.base import (
     ratio,
     share,
 )
-from revwatch.oracle.constants import REQUIRED, RULES, SWEEP, poisson_cumulated
+from revwatch.oracle.constants import (
+    DBSCAN_EPS,
+    DBSCAN_MIN_SAMPLES,
+    FEATURE_SETS,
+    FOREST_CONTAMINATION,
+    FOREST_SHARES,
+    FOREST_SIZES,
+    LOF_CONTAMINATION,
+    LOF_NEIGHBORS,
+    REQUIRED,
+    RULES,
+    SEASON_PERIODS,
+    SERIES_FEATURES,
+    SERIES_THRESHOLDS,
+    SERIES_WINDOWS,
+    SWEEP,
+    ZSCORE_FEATURES,
+    ZSCORE_THRESHOLDS,
+    poisson_cumulated,
+)
 
 SQL: dict[str, str] = {}
 
@@ -163,10 +182,18 @@ SQL["grid_zscore_by_state"] = f"""
                 {_STATE_LONG})),
          (SELECT unnest([CAST(1.5 AS DOUBLE), 1.75, 2, 2.25, 2.5, 2.75, 3, 3.5, 4]) AS t)
     GROUP BY ALL))"""
-SQL["grid_size"] = """SELECT method_type, count(*) AS configs, max(total_days) AS total_days,
-  CAST(CASE method_type WHEN 'IsolationForest' THEN 11 * 5 * 3 * 7 WHEN 'LocalOutlierFactor' THEN 7 * 7 * 7 WHEN 'DBSCAN' THEN 10 * 7 * 7 WHEN 'ZScore' THEN 9 * 6
-       WHEN 'RollingZScore' THEN 7 * 5 * 3 WHEN 'EWM_ZScore' THEN 7 * 5 * 3 ELSE 0 END AS BIGINT) AS defined_configs
-  FROM results GROUP BY method_type"""
+_DEFINED = {
+    "IsolationForest": len(FOREST_CONTAMINATION) * len(FOREST_SIZES) * len(FOREST_SHARES) * len(FEATURE_SETS),
+    "LocalOutlierFactor": len(LOF_NEIGHBORS) * len(LOF_CONTAMINATION) * len(FEATURE_SETS),
+    "DBSCAN": len(DBSCAN_EPS) * len(DBSCAN_MIN_SAMPLES) * len(FEATURE_SETS),
+    "ZScore": len(ZSCORE_THRESHOLDS) * len(ZSCORE_FEATURES),
+    "RollingZScore": len(SERIES_WINDOWS) * len(SERIES_THRESHOLDS) * len(SERIES_FEATURES),
+    "STL_Residual": len(SEASON_PERIODS) * len(SERIES_THRESHOLDS) * len(SERIES_FEATURES),
+    "EWM_ZScore": len(SERIES_WINDOWS) * len(SERIES_THRESHOLDS) * len(SERIES_FEATURES),
+}
+SQL["grid_size"] = f"""SELECT method_type, coalesce(configs, 0) AS configs, total_days, CAST(coalesce(n, 0) AS BIGINT) AS defined_configs
+  FROM (VALUES {", ".join(f"('{m}', {n})" for m, n in _DEFINED.items())}) d(method_type, n)
+  FULL JOIN (SELECT method_type, count(*) AS configs, max(total_days) AS total_days FROM results GROUP BY method_type) r USING (method_type)"""
 SQL["grid_summary"] = """SELECT count(*) AS configs, count(*) FILTER (WHERE success = 'yes') AS successful,
   max(true_positives) AS best_true_positives, count(DISTINCT method_type) AS methods FROM results"""
 SQL["sigma_band"] = f"""SELECT {day()} AS order_date, daily_revenue, round(lo, 4) AS lower_limit, round(hi, 4) AS upper_limit
@@ -735,6 +762,21 @@ SQL["little_bootstraps"] = f"""SELECT * FROM (
          round(avg(ci[1]), 4) AS ci_lower, round(avg(ci[2]), 4) AS ci_upper
   FROM cis c JOIN points p USING (state) GROUP BY c.state, c.statistic, p.n, p.mean, p.median)"""
 
+# --- order CSVs and re-runs ---
+SQL["csv_star"] = SQL["fact_orders"]
+SQL["csv_rejects"] = """
+  SELECT 'orders' AS table_name, unnest(['does not parse', 'no order_id']) AS reason, count(*) AS rows FROM all_orders WHERE order_id % 400 = 0
+  HAVING count(*) > 0
+  UNION ALL SELECT 'items', unnest(['does not parse', 'negative price', 'no product_id']), count(*) FROM items WHERE order_id % 400 = 0
+  HAVING count(*) > 0"""
+SQL["changed_months"] = f"""
+  SELECT month, orders, CASE WHEN rewritten THEN {cents("later_c")} ELSE {cents("value_c")} END AS revenue, rewritten
+  FROM (SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS orders, sum(value_c) AS value_c, sum(value_c + 1) AS later_c,
+               strftime(order_date, '%Y-%m') = (SELECT max(strftime(order_date, '%Y-%m')) FROM fact) AS rewritten FROM fact GROUP BY 1)"""
+SQL["table_listing"] = """
+  SELECT 'fact_orders' AS table_name, 11 AS columns, count(DISTINCT strftime(order_date, '%Y-%m')) AS partitions FROM fact
+  UNION ALL SELECT 'daily_kpis', 10, 0 FROM daily HAVING count(*) > 0 UNION ALL SELECT 'dim_products', 7, 0 FROM sold HAVING count(*) > 0"""
+
 SQL["rca_report"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({SQL[t]})"
     for t in ("rca_method", "rca_feature_set", "rca_scaler", "rca_dbscan", "rca_param_failure", "rca_best",

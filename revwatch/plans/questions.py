@@ -50,6 +50,7 @@ def _days(daily: DataFrame):
 
 
 def ask_anomalies(daily: DataFrame) -> DataFrame:
+    # The status texts.
     status = F.when(F.col("anomaly_flag") == 1, "🚨 Anomaly").otherwise("✅ Normal")
     return (
         daily.filter(F.col("anomaly_flag") == 1)
@@ -122,6 +123,7 @@ def ask_features(results: DataFrame) -> DataFrame:
 
 
 def ask_zscore(daily: DataFrame) -> DataFrame:
+    # The status texts.
     status = z_label(F.col("z_score"), 2.5, ("📈 High Spike", "📉 Big Drop", "✅ Normal"))
     return (
         daily.filter(F.abs("z_score") > 2.0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from revwatch.operators.global_order import exact_quantiles_by, quantile_name
 from revwatch.plans import business, questions
 from revwatch.plans.warehouse import Warehouse, open_warehouse
 from revwatch.session import fresh_path
-from revwatch.sources import contract, sinks
+from revwatch.sources import contract, incremental, sinks
+from revwatch.sources.tables import from_csv_checked
 from revwatch.streaming import kpis as streaming
 from revwatch.streaming import monitor, ordered
 
@@ -175,7 +178,7 @@ def ground_truth(w):
 
 @register
 def etl_metrics(w):
-    return kpis.etl_metrics(w.sources.orders, w.fact_orders, w.dim_products, w.daily_kpis, w.calendar)
+    return w.build_metrics()
 
 
 @register
@@ -538,7 +541,7 @@ def mann_whitney(w):
 
 @register
 def mann_whitney_iforest(w):
-    out = hypothesis.mann_whitney(w.model_results_all, "anomaly_pct", "method_type", "IsolationForest", "DBSCAN")
+    out = hypothesis.mann_whitney(w.model_results, "anomaly_pct", "method_type", "IsolationForest", "DBSCAN")
     return _rounded(out, 6, "u", "z", "median_a", "median_b", "p_value")
 
 
@@ -694,7 +697,7 @@ def dq_rules(w):
         "fact_orders": w.fact_orders, "dim_customers": w.dim_customers, "dim_products": w.dim_products,
         "daily_kpis": w.daily_kpis, "model_results": w.model_results,
     }
-    return quality.dq_rules(tables, {"fact_orders": 90_000})
+    return quality.dq_rules(tables, contract.LEAST_ROWS)
 
 
 # --- events: batch twins, then the streams themselves ---
@@ -890,3 +893,85 @@ def little_bootstraps(w):
     """Intervals of the mean and the median order value per state, from subsets of n ** 0.6 orders."""
     out = hypothesis.little_bootstraps_ci(w.fact_orders, ["customer_state"], "order_value", ["order_id"])
     return _rounded(out, 4, "estimate", "ci_lower", "ci_upper")
+
+
+# --- order CSVs with faulty lines, and re-runs that write what changed ---
+
+
+def _faulty_csvs(w) -> dict[str, str]:
+    """The four order tables as CSV, and beside every 400th order and item faulty versions of it."""
+    s = w.sources
+    text = lambda df, **new: df.select(*[new.get(c, F.col(c).cast("string")).alias(c) for c in df.columns])
+    orders = s.orders.select(
+        "order_id", "customer_id", "order_status",
+        F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_purchase_timestamp"),
+    )
+    items = s.items.select(
+        "order_id", "order_item_id", "product_id", (F.col("price_cents") / 100).alias("price"),
+        (F.col("freight_cents") / 100).alias("freight_value"),
+    )
+    products = s.products.withColumnsRenamed({"category": "product_category_name", "weight_g": "product_weight_g"})
+    bad_orders, bad_items = orders.filter("order_id % 400 = 0"), items.filter("order_id % 400 = 0")
+    none = F.lit(None).cast("string")
+    tables = {
+        "orders": text(orders)
+        .unionByName(text(bad_orders, order_purchase_timestamp=F.lit("yesterday")))
+        .unionByName(text(bad_orders, order_id=none)),
+        "items": text(items)
+        .unionByName(text(bad_items, price=F.lit("12,5 EUR")))
+        .unionByName(text(bad_items, price=F.lit("-1.00")))
+        .unionByName(text(bad_items, product_id=none)),
+        "customers": text(s.customers),
+        "products": text(products),
+    }
+    root = fresh_path(w.spark, "order_csv")
+    for name, rows in tables.items():
+        rows.write.option("header", True).csv(f"{root}/{name}")
+    return {name: f"{root}/{name}" for name in tables}
+
+
+@register
+def csv_star(w):
+    """Order facts from CSV files with faulty lines: the same as from the tables."""
+    good, _ = from_csv_checked(w.spark, _faulty_csvs(w))
+    facts = star.build_fact_orders(good.orders, good.items, good.customers)
+    return facts.withColumns({c: F.col(c).cast("bigint") for c in ("order_id", "customer_id")})
+
+
+@register
+def csv_rejects(w):
+    """The faulty lines of the same files by table and reason."""
+    _, rejects = from_csv_checked(w.spark, _faulty_csvs(w))
+    return rejects.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _monthly_run(w) -> tuple[str, DataFrame]:
+    """The facts written by month, then again with the orders of the last month a cent dearer; the folder, and per month
+    its rows and whether the second run wrote it."""
+    path = fresh_path(w.spark, "monthly_facts")
+    facts = w.fact_orders
+    incremental.write_changed_months(facts, path, "order_date")
+    last = only_row(facts.agg(F.max(_month()).alias("last")))["last"]
+    later = facts.withColumn("order_value", F.when(_month() == last, F.col("order_value") + F.lit(Decimal("0.01"))).otherwise(F.col("order_value")).cast("decimal(18,2)"))
+    changed = incremental.write_changed_months(later, path, "order_date")
+    months = incremental.read_months(w.spark, path, facts).groupBy("month").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("order_value").cast("double").alias("revenue")
+    )
+    return path, months.withColumn("rewritten", F.col("month").isin(changed))
+
+
+@register
+def changed_months(w):
+    """A second run over facts of which one month changed writes that month alone."""
+    return _monthly_run(w)[1]
+
+
+@register
+def table_listing(w):
+    """Tables of a database with their columns and partitions, as the catalog lists them."""
+    path, _ = _monthly_run(w)
+    database = f"listing_{uuid.uuid4().hex}"
+    w.spark.sql(f"CREATE DATABASE {database} LOCATION '{fresh_path(w.spark, 'database')}'")
+    incremental.register_months(w.spark, database, "fact_orders", path, w.fact_orders)
+    sinks.save_as_tables({"daily_kpis": w.daily_kpis, "dim_products": w.dim_products}, database)
+    return incremental.table_listing(w.spark, database)

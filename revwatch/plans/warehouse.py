@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revwatch.operators import grid, kpis, sketches, star
 from revwatch.operators.calendar import calendar_years, holiday_calendar
+from revwatch.operators.counters import BuildCounters
 from revwatch.operators.detectors import density, isolation
 from revwatch.operators.features import FEATURE_SETS, build_features, feature_vectors
 from revwatch.session import intermediates, materialize
@@ -23,6 +24,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.counters = BuildCounters()
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Writes a shared table; what its operators write on the way is dropped as soon as it stands."""
@@ -48,8 +50,10 @@ class Warehouse:
 
     @cached_property
     def fact_orders_all(self) -> DataFrame:
-        s = self.sources
-        return self.keep("fact_orders_all", lambda: star.fact_orders_all(s.orders, s.items, s.customers))
+        s, seen = self.sources, self.counters
+        return self.keep(
+            "fact_orders_all", lambda: seen.facts(star.fact_orders_all(seen.orders(s.orders), s.items, s.customers))
+        )
 
     @property
     def fact_orders(self) -> DataFrame:
@@ -65,12 +69,18 @@ class Warehouse:
 
     @cached_property
     def dim_products(self) -> DataFrame:
-        return self.keep("dim_products", lambda: star.build_dim_products(self.sources.items, self.sources.products))
+        s = self.sources
+        return self.keep("dim_products", lambda: self.counters.products(star.build_dim_products(s.items, s.products)))
 
     @cached_property
     def daily_kpis(self) -> DataFrame:
         daily = kpis.build_daily_kpis(self.fact_orders)
-        return self.keep("daily_kpis", lambda: kpis.label_ground_truth(daily, self.calendar))
+        return self.keep("daily_kpis", lambda: self.counters.days(kpis.label_ground_truth(daily, self.calendar)))
+
+    def build_metrics(self) -> DataFrame:
+        """Counters of the writes of the star schema; tables that do not stand yet are written."""
+        _ = self.fact_orders_all, self.dim_products, self.daily_kpis
+        return self.counters.rows(self.spark)
 
     @cached_property
     def order_value_sketches(self) -> DataFrame:
@@ -111,8 +121,9 @@ class Warehouse:
 
     @cached_property
     def model_results(self) -> DataFrame:
-        """Grid results of all families but the iterative seasonal decomposition."""
-        return self._results(grid.DEFAULT_FAMILIES)
+        """Grid results of all families but the iterative seasonal decomposition, as one table for all its readers."""
+        families = self._results(grid.DEFAULT_FAMILIES)
+        return self.keep("model_results", lambda: families.coalesce(1))  # a few thousand short rows
 
     @cached_property
     def model_results_all(self) -> DataFrame:

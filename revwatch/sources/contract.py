@@ -26,6 +26,9 @@ EXPECTED = {
     "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 
+#: Rows that a complete build of the marketplace has at least; tables not named here must not be empty.
+LEAST_ROWS = {"fact_orders": 90_000}
+
 _ROW = "table_name string, column_name string, column_type string"
 
 

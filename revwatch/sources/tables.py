@@ -27,21 +27,62 @@ def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV scan with a declared schema; columns are matched by header name and extra columns are ignored."""
+CORRUPT = "_corrupt_record"
+
+
+def scan_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Permissive CSV scan with a declared schema: columns by header name, others left out, and the raw line of every
+    row that does not fit in ``CORRUPT``. Only columns that a query reads are parsed, and judged."""
     header = spark.read.option("header", True).csv(path).limit(0).columns
     full = ", ".join(
         f"`{c}` {schema[c].dataType.simpleString() if c in schema.names else 'string'}" for c in header
     )
     return (
-        spark.read.schema(full)
+        spark.read.schema(f"{full}, `{CORRUPT}` string")
         .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)  # else a line that ends early passes
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
-        .select(*schema.names)
+        .select(*schema.names, CORRUPT)
     )
 
 
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a CSV scan; of a row that does not fit, the columns that do."""
+    return scan_csv(spark, path, schema).drop(CORRUPT)
+
+
+#: Columns that a row must have, and amounts that must not be negative.
+REQUIRED_COLUMNS = {
+    "orders": ("order_id", "customer_id", "order_purchase_timestamp"),
+    "items": ("order_id", "order_item_id", "product_id", "price", "freight_value"),
+    "customers": ("customer_id",),
+    "products": ("product_id",),
+}
+AMOUNTS = {"items": ("price", "freight_value")}
+CSV_SCHEMAS = {
+    "orders": schemas.ORDERS_CSV,
+    "items": schemas.ITEMS_CSV,
+    "customers": schemas.CUSTOMERS_CSV,
+    "products": schemas.PRODUCTS_CSV,
+}
+
+
+def _judged(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A CSV table with the first reason, if any, for which a row is rejected."""
+    rows = scan_csv(spark, path, CSV_SCHEMAS[name])
+    # A scan parses, and finds faults in, only what is read: the length makes every query read all columns.
+    all_read = F.length(F.concat_ws(",", *[F.col(c).cast("string") for c in CSV_SCHEMAS[name].names])) >= 0
+    reason = F.when(F.col(CORRUPT).isNotNull() & all_read, "does not parse")
+    for column in REQUIRED_COLUMNS[name]:
+        reason = reason.when(F.col(column).isNull(), f"no {column}")
+    for column in AMOUNTS.get(name, ()):
+        reason = reason.when(F.col(column) < 0, f"negative {column}")
+    return rows.withColumn("reason", reason)
+
+
 def missing_inputs(paths: Mapping[str, str]) -> list[str]:
     """Logical inputs for which no path was given."""
     return [name for name in REQUIRED_INPUTS if not paths.get(name)]
@@ -52,10 +93,31 @@ def from_csv(spark: SparkSession, paths: Mapping[str, str]) -> Sources:
     missing = missing_inputs(paths)
     if missing:
         raise ValueError(f"missing inputs: {', '.join(missing)}")
-    orders = read_csv(spark, paths["orders"], schemas.ORDERS_CSV)
-    items = read_csv(spark, paths["items"], schemas.ITEMS_CSV)
-    customers = read_csv(spark, paths["customers"], schemas.CUSTOMERS_CSV)
-    products = read_csv(spark, paths["products"], schemas.PRODUCTS_CSV)
+    tables = {name: read_csv(spark, paths[name], CSV_SCHEMAS[name]) for name in REQUIRED_INPUTS}
+    return _star_sources(**tables)
+
+
+def from_csv_checked(spark: SparkSession, paths: Mapping[str, str]) -> tuple[Sources, DataFrame]:
+    """Star-schema sources of the rows that are fit, and all others as (table_name, reason, line).
+
+    A row is rejected if it does not parse, lacks a required column or has a negative amount. ``line`` is the raw line
+    of a row that does not parse, else its columns joined by commas.
+    """
+    missing = missing_inputs(paths)
+    if missing:
+        raise ValueError(f"missing inputs: {', '.join(missing)}")
+    judged = {name: _judged(spark, name, paths[name]) for name in REQUIRED_INPUTS}
+    good = {name: rows.filter("reason IS NULL").drop("reason", CORRUPT) for name, rows in judged.items()}
+    rejects = None
+    for name, rows in judged.items():
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CSV_SCHEMAS[name].names]
+        line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *values))
+        bad = rows.filter("reason IS NOT NULL").select(F.lit(name).alias("table_name"), "reason", line.alias("line"))
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+    return _star_sources(**good), rejects
+
+
+def _star_sources(orders: DataFrame, items: DataFrame, customers: DataFrame, products: DataFrame) -> Sources:
     return Sources(
         orders=orders.select(
             "order_id", "customer_id", "order_status", F.to_date("order_purchase_timestamp").alias("order_date")
