@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revwatch.llm.store import written
+from revwatch.llm.store import partitions, written
 
 LETTERS = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -179,7 +179,8 @@ def near_words(words: DataFrame) -> DataFrame:
             lo = hi
 
     tile = ["longer", "side", "key", "i", "j"]
-    dealt = tiles(words).repartition(*[F.col(c) for c in tile]).sortWithinPartitions(*tile)
+    # A stated number of partitions: tiles are small and take long, so they are not to be put together by size.
+    dealt = tiles(words).repartition(partitions(words.sparkSession), *[F.col(c) for c in tile]).sortWithinPartitions(*tile)
     return dealt.mapInArrow(compare, "word string, near bigint, best_n bigint, best string")
 
 
