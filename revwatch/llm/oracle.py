@@ -47,8 +47,12 @@ n{k} AS (SELECT host, template, sum(bn) AS nn, sum(bb) AS nb, sum(ba) AS na, sum
 d{k} AS (
   SELECT host, template, seg,
          nn > bn
-         AND abs(bb / bn - (nb - bb) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
-         AND abs(ba / bn - (na - ba) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
+         AND CASE WHEN nb + na = 0 THEN true
+                  WHEN bb + ba = 0 THEN nb + na >= 30 AND pow(1 - (nb + na) / (nn - bn), bn) >= 0.05
+                  WHEN nb + na = bb + ba THEN bb + ba >= 30 AND pow(1 - (bb + ba) / bn, nn - bn) >= 0.05
+                  ELSE abs(bb / (bb + ba) - (nb - bb) / (nb + na - bb - ba))
+                         <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bb + ba) + 1 / sqrt(nb + na - bb - ba))
+                       AND (bb / (bb + ba) - 0.5) * ((nb - bb) / (nb + na - bb - ba) - 0.5) >= 0 END
          AND abs(be / bn - (ne - be) / (nn - bn)) <= sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(nn - bn))
          AS alike
   FROM (SELECT host, template, seg, bn::DOUBLE AS bn, bb::DOUBLE AS bb, ba::DOUBLE AS ba, be::DOUBLE AS be FROM b{k})

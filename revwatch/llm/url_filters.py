@@ -22,6 +22,8 @@ ALPHA = 0.05
 SMOOTHING = 4.0
 REJECT_FROM = 0.8
 WILDCARD = "*"
+#: Labelled urls that siblings must have before a branch without any is taken as one of them.
+ENOUGH = 30
 
 
 class Rule(NamedTuple):
@@ -73,7 +75,9 @@ def _labels_alike() -> Column:
     """Whether the labelled urls of a branch and those of its siblings are alike, by their own numbers.
 
     Shares of blocked ones may differ by chance, but one side may not be mostly blocked while the other is mostly allowed.
-    Where only one side has labels, the other must be small enough to have none by chance at the same share of labels.
+    Where only one side has labels, there must be ``ENOUGH`` of them, and the other must be small enough to have none by
+    chance at the same share: a few labels say nothing about a branch that has none, and a rule that decides all urls of
+    a branch says nothing about the next one.
     """
     mine, others = F.col("bb") + F.col("ba"), F.col("nb") + F.col("na") - F.col("bb") - F.col("ba")
     n, other_n = F.col("bn"), F.col("nn") - F.col("bn")
@@ -82,20 +86,19 @@ def _labels_alike() -> Column:
     both = (F.abs(share - other_share) <= bound) & ((share - 0.5) * (other_share - 0.5) >= 0)
     return (
         F.when((mine == 0) & (others == 0), True)
-        .when(mine == 0, F.pow(1 - others / F.nullif(other_n, F.lit(0)), n) >= ALPHA)
-        .when(others == 0, F.pow(1 - mine / n, other_n) >= ALPHA)
+        .when(mine == 0, (others >= ENOUGH) & (F.pow(1 - others / F.nullif(other_n, F.lit(0)), n) >= ALPHA))
+        .when(others == 0, (mine >= ENOUGH) & (F.pow(1 - mine / n, other_n) >= ALPHA))
         .otherwise(both)
     )
 
 
-def template_tree(urls: DataFrame, sampled: bool = False) -> DataFrame:
+def template_tree(urls: DataFrame) -> DataFrame:
     """From (host, path, label) rows, label being ``block``, ``allow`` or null, one row per host and generalised path.
 
     Returns (host, segs, template, urls, blocked, allowed, purity): the last four are those of the whole template. The
     tree is built from the top, over all segments. At every node a branch is compared with its siblings taken together,
-    never with each of them: if the shares of blocked, allowed and ending urls differ by no more than chance, the branch
-    becomes the node's wildcard. With ``sampled``, labels are those of a sample of the urls, and branches are compared by
-    their labelled urls alone. A branch that stays apart is followed at once as far as its paths agree, so there are as
+    never with each of them: if the shares of blocked among labelled urls and of ending among all urls differ by no more
+    than chance, the branch becomes the node's wildcard. A branch that stays apart is followed at once as far as its paths agree, so there are as
     many rounds as levels at which paths part or end. Counting before every join leaves one row per branch, whatever
     share of all urls a host has.
     """
@@ -116,11 +119,7 @@ def template_tree(urls: DataFrame, sampled: bool = False) -> DataFrame:
         nodes = branches.groupBy("host", "template").agg(
             F.sum("bn").alias("nn"), F.sum("bb").alias("nb"), F.sum("ba").alias("na"), F.sum("be").alias("ne")
         )
-        if sampled:
-            alike = (F.col("nn") > F.col("bn")) & _labels_alike()
-        else:
-            alike = (F.col("nn") > F.col("bn")) & _alike("bb", "bn", "nb", "nn") & _alike("ba", "bn", "na", "nn")
-        alike = alike & _alike("be", "bn", "ne", "nn")
+        alike = (F.col("nn") > F.col("bn")) & _labels_alike() & _alike("be", "bn", "ne", "nn")
         # All paths of a branch begin with what its first and its last one have in common.
         parting = F.array_position(F.zip_with("first", "last", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
         common = F.when(parting > 0, F.slice("first", F.lit(1), parting - 1)).otherwise(F.col("first"))
@@ -163,7 +162,7 @@ def judged(
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "own")
     labelled = rows.select("host", "path", (F.col("own") if label else F.col("ruled")).alias("label"))
-    tree = template_tree(labelled, sampled=label is not None)
+    tree = template_tree(labelled)
     found = rows.withColumn("segs", segments(F.col("path"))).join(tree, ["host", "segs"])
     by_method = F.when(F.col("purity") >= REJECT_FROM, "block").otherwise("allow")
     return found.select(

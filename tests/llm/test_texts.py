@@ -307,3 +307,33 @@ def test_deep_paths_keep_their_levels(spark):
     rows += [(100 + i, f"http://h.org/{deep}news/{i}/x", "allow" if i < 15 else None) for i in range(30)]
     found = labelled_verdicts(spark, rows)
     assert found[0] == ("block", f"/{deep}spam/#/x") and found[129] == ("allow", f"/{deep}news/#/x")
+
+
+@pytest.mark.parametrize("clean", [1, 3])
+def test_thin_hosts_keep_their_clean_pages(spark, clean):
+    """Six pages that a rule blocks say nothing about the next directory of the host, in the registered rules and in SQL."""
+    import duckdb
+
+    from revwatch.llm.oracle import ORACLE
+
+    rows = [(i, f"http://a.example.com/de/{i}") for i in range(6)] + [(50 + i, f"http://a.example.com/en/{i}") for i in range(clean)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: r.verdict for r in url_filters.judged(pages, URL_RULES).collect()}
+    assert found == {i: "block" for i in range(6)} | {50 + i: "allow" for i in range(clean)}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    rows = con.execute(f"SELECT page_id, verdict FROM ({ORACLE['op1_url_filters']})").fetchall()
+    assert dict(rows) == found
+
+
+def test_a_template_of_blocked_pages_blocks_the_unruled_ones(spark):
+    """Labels of a rule inside a template that it does not decide as a whole: the tree blocks pages that no rule fits."""
+    rules = [url_filters.Rule("block", "spam.org", f"/offers/{c}") for c in "abcdefgh"]
+    names = [f"{c}{d}x" for c in "abcdefghij" for d in "klmnopqrst"]
+    rows = [(i, f"http://spam.org/offers/{n}") for i, n in enumerate(names)]
+    rows += [(500 + i, f"http://spam.org/blog/{n}") for i, n in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters.judged(pages, rules).collect()}
+    unruled = [i for i in range(100) if found[i][0] is None]
+    assert len(unruled) == 20 and all(found[i][1] == "block" for i in unruled)
+    assert all(found[500 + i] == (None, "allow") for i in range(100))
