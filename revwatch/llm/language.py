@@ -17,8 +17,8 @@ from revwatch.llm.texts import chunks
 #: They bound the models; what is predicted is always the whole text.
 TRAIN_BYTES = 24_000
 TEXT_BYTES = 1_000
-#: Bytes that are parsed as one run. A longer text is parsed in runs of this size, whose phrases are added up, so one
-#: very long text is as parallel as many short ones.
+#: Bytes that are parsed as one run. A longer text is parsed in runs of this size side by side, so one very long text is as
+#: parallel as many short ones; the parses are then joined, so phrases are those of the whole text.
 RUN_BYTES = 256
 LANES = 4_096
 UNKNOWN = "und"
@@ -207,6 +207,7 @@ class CrossParser:
         length = np.minimum(RUN_BYTES, at[row + 1] - start)
         order = np.argsort(-length, kind="stable")
         counts = np.zeros((languages, len(row)), np.int32)
+        ended = np.zeros((languages, len(row)), np.int32)
         roots = np.array(self.roots, np.int32)[:, None]
         for lo in range(0, len(order), LANES):
             lanes = order[lo : lo + LANES]
@@ -221,11 +222,49 @@ class CrossParser:
                 count[:, :active] += move & 1
                 state[:, :active] = move >> 1
             counts[:, lanes] = count
+            ended[:, lanes] = state
+        self._join(classes, row, start, length, counts, ended)
         out = np.zeros((rows, languages))
         for k in range(languages):
             out[:, k] = np.bincount(row, counts[k], rows)
         return out, sizes
 
+    def _join(self, classes, row, start, length, counts, ended) -> None:
+        """Corrects the counts of runs that do not begin a text, and the states they end in, to those of whole texts.
+
+        A run was parsed as if a phrase began with it. It is parsed again from the state in which the run before it ends,
+        beside the parse from the root, until both are in one state, which mostly takes a few phrases. Where they are not
+        by the end of the run, its end state was wrong, and the next run is done again.
+        """
+        inner = np.flatnonzero(row[1:] == row[:-1]) + 1
+        language, run = np.repeat(np.arange(len(counts)), len(inner)), np.tile(inner, len(counts))
+        plain, rooted, last = counts.copy(), ended.copy(), np.append(row[1:] != row[:-1], True)
+        roots = np.array(self.roots, np.int32)
+        while len(run):
+            a, b = roots[language], ended[language, run - 1]
+            at, size = start[run], length[run]
+            more, settled = np.zeros(len(run), np.int64), a == b
+            end_a, end_b = a.copy(), b.copy()
+            act, step = np.flatnonzero(~settled), 0
+            a, b = a[act], b[act]
+            while len(act):
+                symbol = classes[at[act] + step]
+                move_a, move_b = self.moves[a + symbol], self.moves[b + symbol]
+                more[act] += (move_b & 1) - (move_a & 1)
+                a, b = move_a >> 1, move_b >> 1
+                step += 1
+                stop = (a == b) | (size[act] == step)
+                if stop.any():
+                    end_a[act[stop]], end_b[act[stop]] = a[stop], b[stop]
+                    going = ~stop
+                    act, a, b = act[going], a[going], b[going]
+            counts[language, run] = plain[language, run] + more
+            own = np.where(end_a == end_b, rooted[language, run], end_b)  # where they met, the rest is the same
+            moved = own != ended[language, run]
+            ended[language, run] = own
+            on = moved & ~last[run]
+            language, run = language[on], run[on] + 1
+
     def predict(self, data: np.ndarray, offsets: np.ndarray, has_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of every row: the fewest bits, phrases times the bits that name a place in the text."""
         if not self.languages:

@@ -111,6 +111,34 @@ def test_phrases_are_longest_matches():
             assert counts[0, k] == phrases, (text, name)
 
 
+def whole_phrases(body, source):
+    at, phrases = 0, 0
+    while at < len(body):
+        at += max(longest_match(body, source, at), 1)
+        phrases += 1
+    return phrases
+
+
+@pytest.mark.parametrize("run_bytes", [language.RUN_BYTES, 7, 1])
+def test_phrases_of_long_texts_are_those_of_the_whole(monkeypatch, run_bytes):
+    """Runs end anywhere, also inside a letter of two bytes and inside stretches that never come to one phrase border."""
+    monkeypatch.setattr(language, "RUN_BYTES", run_bytes)
+    rng = np.random.default_rng(run_bytes)
+    stems = ["été", "maïs", "the", "cat", "über", "straße", "a", "ab", "aba", "zq"]
+    words = lambda n: " ".join(rng.choice(stems, n))
+    sample = {"a": words(400) + " " + "ab" * 300, "b": words(300) + " " + "é" * 500, "c": "x"}
+    parser = language.CrossParser(sample)
+    lengths = (1, 2, 255, 256, 257, 511, 513, 3_000, 100_000 if run_bytes > 100 else 5_000)
+    texts = ["", *(words(n)[:n] for n in lengths), "ab" * 2_000, "é" * 1_500, "ba" * 700 + words(50) + "é" * 300, "qqq " * 400]
+    data = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(d) for d in data]))
+    counts, _ = parser.phrases(np.frombuffer(b"".join(data), np.uint8), offsets)
+    for r, t in enumerate(texts):
+        body = language.folded(t)
+        body = body[1:] if body[:1] == b"\x00" else body  # a border that begins a text is none
+        assert counts[r].tolist() == [whole_phrases(body, language.folded(sample[n])) for n in parser.languages], r
+
+
 def test_language_of_odd_rows(make_docs, odd_rows):
     sample = {"en": "One and the same text with words and more words that follow", "de": "ein Text mit Tabulator und Ende"}
     rows = {str(r.doc_id): r for r in language.identify(make_docs(odd_rows), sample).collect()}
