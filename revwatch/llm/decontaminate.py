@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revwatch.llm.store import written
-from revwatch.llm.texts import LOWER, WORD, binary, chunks, distinct, spans
+from revwatch.llm.store import worker_state, written
+from revwatch.llm.texts import LOWER, WORD, binary, chunks, distinct, gather, spans
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast; a larger benchmark is scanned in several passes of about this size.
+#: Bytes of benchmark text in one broadcast; a larger benchmark is scanned in several passes of about this size. A worker
+#: holds one ``WindowSet`` of it at a time.
 BROADCAST_BYTES = 16_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _OFFSET = np.uint64(0xD1B54A32D192ED03)
@@ -38,33 +42,76 @@ def split_words(data: np.ndarray, offsets: np.ndarray):
 
 
 class WindowSet:
-    """Every window of some benchmark items: a sorted array of hashes with the exact words and the items that hold it."""
+    """Every window of some benchmark items, in flat arrays: about five bytes per byte of benchmark text.
+
+    The items' words are numbers in one long sequence. Per window size there are the sorted hashes of the distinct windows,
+    where each first stands in the sequence, and the items that hold it. Words are found by a hash and compared byte by
+    byte, windows by a hash and compared word by word.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
-        self.number: dict[bytes, int] = {}
-        holders: dict[tuple, set] = {}
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            column = split_words(data, np.array([0, len(data)]))[0]
-            ids = tuple(self.number.setdefault(w, len(self.number)) for w in column.to_pylist())
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                holders.setdefault(ids[at : at + size], set()).add(item)
+        texts = [(text or "").encode() for _, text in items]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        column, _, _, per_item = split_words(data, offsets)
+        coded, kinds = distinct(column)
+        hashes = np.array([xxhash.xxh64_intdigest(k) for k in kinds], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        number = np.empty(len(kinds), np.int32)
+        number[order] = np.arange(len(kinds))
+        self.items = [item for item, _ in items]
+        self.word_hash, self.word_at = hashes[order], np.append(0, np.cumsum([len(kinds[k]) for k in order]))
+        self.words = b"".join(kinds[k] for k in order)
+        self.sequence = number[coded] if len(coded) else np.empty(0, np.int32)
+        first = np.append(0, np.cumsum(per_item))
+        sizes = np.minimum(per_item, window)
         self.by_size = {}
-        for size in {len(ids) for ids in holders}:
-            own = [ids for ids in holders if len(ids) == size]
-            hashes = rolling(np.array(own, np.int64).reshape(-1), size)[::size]
-            exact: dict[int, list] = {}
-            for h, ids in zip(hashes.tolist(), own, strict=True):
-                exact.setdefault(h, []).append((ids, holders[ids]))
-            self.by_size[size] = np.unique(hashes), exact
-
-    def hits(self, numbers: np.ndarray, per_row: np.ndarray) -> dict[int, list[tuple[int, int, set]]]:
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            starts = gather(first[own], per_item[own] - size + 1).astype(np.int32)
+            self.by_size[size] = self._windows(size, starts, first)
+
+    def _windows(self, size: int, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash and first place of every distinct window of ``size`` words, and borders and numbers of its items."""
+        hashes = rolling(self.sequence, size)[starts]
+        order = np.argsort(hashes, kind="stable")
+        hashes, starts = hashes[order], starts[order]
+        same = hashes[1:] == hashes[:-1]
+        for k in range(size):
+            same &= self.sequence[starts[1:] + k] == self.sequence[starts[:-1] + k]
+        new = np.append(True, ~same)
+        item = (np.searchsorted(first, starts, "right") - 1).astype(np.int32)
+        kept = new | np.append(True, item[1:] != item[:-1])  # places ascend, so an item's repeats are neighbours
+        heads = np.flatnonzero(new)
+        return hashes[heads], starts[heads], np.append(np.cumsum(kept)[heads] - 1, kept.sum()).astype(np.int32), item[kept]
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays."""
+        tables = sum(a.nbytes for own in self.by_size.values() for a in own)
+        return self.word_hash.nbytes + self.word_at.nbytes + len(self.words) + self.sequence.nbytes + tables
+
+    def numbers(self, values: list[bytes]) -> np.ndarray:
+        """The number of every word, -1 for words that no item has."""
+        out = np.full(len(values), -1, np.int64)
+        if not len(self.word_hash) or not values:
+            return out
+        hashes = np.array([xxhash.xxh64_intdigest(v) for v in values], np.uint64)
+        at = np.searchsorted(self.word_hash, hashes)
+        for k in np.flatnonzero(self.word_hash[np.minimum(at, len(self.word_hash) - 1)] == hashes).tolist():
+            j = int(at[k])
+            while j < len(self.word_hash) and self.word_hash[j] == hashes[k]:
+                if self.words[self.word_at[j] : self.word_at[j + 1]] == values[k]:
+                    out[k] = j
+                j += 1
+        return out
+
+    def hits(self, numbers: np.ndarray, per_row: np.ndarray) -> dict[int, list[tuple[int, int, list]]]:
         """Per row the verified occurrences (first word, words, items) of a window."""
         first = np.append(0, np.cumsum(per_row))
         unknown = np.append(0, np.cumsum(numbers < 0))
         found: dict[int, list] = {}
-        for size, (hashes, exact) in self.by_size.items():
+        for size, (hashes, places, borders, held) in self.by_size.items():
             if len(numbers) < size:
                 continue
             # Only runs of benchmark words can match, and a run has to end in the row in which it begins.
@@ -73,13 +120,17 @@ class WindowSet:
             inside = starts + size <= first[row + 1]
             starts, row = starts[inside], row[inside]
             values = rolling(numbers, size)[starts]
-            at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[at] == values)
-            for s, r, h in zip(starts[hit].tolist(), row[hit].tolist(), values[hit].tolist(), strict=True):
-                own = tuple(numbers[s : s + size].tolist())
-                for ids, items in exact[h]:  # the hash only proposes
-                    if ids == own:
-                        found.setdefault(r, []).append((s - int(first[r]), size, items))
+            at = np.searchsorted(hashes, values)
+            while len(at):  # mostly once: again for different windows of one hash
+                hit = np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == values))
+                starts, row, values, at = starts[hit], row[hit], values[hit], at[hit]
+                same = np.ones(len(at), bool)
+                for k in range(size):
+                    same &= self.sequence[places[at] + k] == numbers[starts + k]
+                for s, r, j in zip(starts[same].tolist(), row[same].tolist(), at[same].tolist(), strict=True):
+                    own = [self.items[i] for i in held[borders[j] : borders[j + 1]]]
+                    found.setdefault(r, []).append((s - int(first[r]), size, own))
+                at = at + 1
         return found
 
 
@@ -134,15 +185,23 @@ def annotated(
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     out, spark = docs, docs.sparkSession
     for k, part in enumerate(_parts(benchmark, item_id, item_text, limit)):
-        sent = spark.sparkContext.broadcast((part, window))
+        if k:
+            out = written(out, "decontaminated")
+            sent.destroy()  # the pass that needed it is written
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, part, window))
 
         def scan(batches, sent=sent, again=k > 0):
-            table = WindowSet(*sent.value)
+            key, items_of_part, size = sent.value
+            state = worker_state("decontaminate")
+            if state.get("key") != key:
+                state.clear()
+                state.update(key=key, table=WindowSet(items_of_part, size))
+            table = state["table"]
             for batch in batches:
                 for first, end, data, offsets in chunks(batch.column(at)):
                     column, _, _, per_row = split_words(data, offsets)
                     coded, values = distinct(column)
-                    known = np.fromiter((table.number.get(v, -1) for v in values), np.int64, len(values))
+                    known = table.numbers(values)
                     found = table.hits(known[coded], per_row) if len(coded) else {}
                     rows = batch.slice(first, end - first)
                     covered: list = [[] for _ in range(end - first)]
@@ -168,7 +227,7 @@ def annotated(
 
         docs_names = docs.columns
         schema = T.StructType([*docs.schema, *T.StructType.fromDDL(extra)])
-        out = (written(out, "decontaminated") if k else out).mapInArrow(scan, schema)
+        out = out.mapInArrow(scan, schema)
     return out, n_words, span, items
 
 

@@ -74,6 +74,31 @@ def test_items_without_an_id_count_as_in_the_sql(spark, make_docs, limit):
     assert {r.doc_id: r["items"] for r in found} == {1: [None], 2: ["7", None], 3: [], 4: ["7"]}
 
 
+def test_equal_hashes_of_words_and_windows_are_told_apart(make_docs, benchmark, monkeypatch):
+    """With hashes that say almost nothing, only the comparison of words and windows tells them apart."""
+    monkeypatch.setattr(decontaminate, "rolling", lambda n, size: np.zeros(max(len(n) - size + 1, 0), np.uint64))
+    monkeypatch.setattr(decontaminate.xxhash, "xxh64_intdigest", lambda w: len(w) % 2)
+    table = decontaminate.WindowSet(benchmark[0], 13)
+    rows = [r for r in contaminated_rows() if r[0] is not None]
+    for doc, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        column, _, _, per_row = decontaminate.split_words(data, np.array([0, len(data)]))
+        found = table.hits(table.numbers(column.to_pylist()), per_row).get(0, [])
+        held = {str(i) for _, _, own in found for i in own if i is not None}
+        hit = {p for at, n, _ in found for p in range(at, at + n)}
+        _, _, n_hit, items, _ = brute.contamination([(doc, text)], [i for i in benchmark[0] if i[0] is not None])[0]
+        assert (len(hit), sorted(held)) == (n_hit, items)
+
+
+def test_window_table_is_small():
+    """A few bytes per byte of benchmark text, whatever the items repeat."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{k}" for k in range(20_000)])
+    items = [(str(k), " ".join(rng.choice(words, 120))) for k in range(2_000)] + [("x", "same words again " * 50_000)]
+    table = decontaminate.WindowSet(items, 13)
+    assert table.nbytes < 8 * sum(len(t) for _, t in items)
+
+
 def test_contamination_empty(spark, make_docs, benchmark):
     assert decontaminate.contamination(make_docs([]), benchmark[1]).collect() == []
     none = decontaminate.contamination(make_docs([(1, "a b")]), benchmark[1].limit(0)).head()
