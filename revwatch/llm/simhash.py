@@ -17,6 +17,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Fingerprints that one value of a block key should hold on average at most, beyond those of near copies.
 PER_BUCKET = 0.25
+#: Fingerprints that are compared in one task; a bucket that holds more is cut into pieces, and pairs of pieces are dealt out.
+PIECE = 4096
 
 
 def text_hash(text: str) -> Column:
@@ -132,46 +134,102 @@ def links(distinct_prints: DataFrame, count: int, max_bits: int = MAX_BITS) -> D
     rows = distinct_prints.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("k.no", "k.key", "fingerprint")
 
     def compare(batches):
-        left_keys, left_prints = np.empty(0, [("no", "i1"), ("key", "i8")]), np.empty(0, np.uint64)
+        kind = [("no", "i1"), ("key", "i8")]
+        rest_keys, rest, large = np.empty(0, kind), np.empty(0, np.uint64), None
         for batch in batches:
-            keys = np.empty(batch.num_rows, left_keys.dtype)
+            keys = np.empty(batch.num_rows, kind)
             keys["no"] = batch.column(0).to_numpy(zero_copy_only=False)
             keys["key"] = batch.column(1).to_numpy(zero_copy_only=False)
             prints = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys, prints = np.concatenate([left_keys, keys]), np.concatenate([left_prints, prints])
+            keys, prints = np.concatenate([rest_keys, keys]), np.concatenate([rest, prints])
+            if not len(keys):
+                continue
+            if large is not None:  # what follows of a bucket that was too large
+                own = keys == large
+                yield from later(keys[own], prints[own])
+                keys, prints = keys[~own], prints[~own]
             # The last bucket may go on in the next batch.
             done = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and (keys != keys[-1]).any() else 0
-            left_keys, left_prints = keys[done:], prints[done:]
-            yield from emit(bucket_links(keys[:done], prints[:done], max_bits))
-        yield from emit(bucket_links(left_keys, left_prints, max_bits))
-
-    def emit(found):
+            yield from buckets(keys[:done], prints[:done])
+            rest_keys, rest = keys[done:], prints[done:]
+            if len(rest) > PIECE:
+                large = rest_keys[0]
+                yield from later(rest_keys, rest)
+                rest_keys, rest = rest_keys[:0], rest[:0]
+        yield from buckets(rest_keys, rest)
+
+    def buckets(keys, prints):
+        borders = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
+        small = np.repeat(np.diff(borders) <= PIECE, np.diff(borders))
+        yield from later(keys[~small], prints[~small])
+        found = bucket_links(keys[small], prints[small], max_bits)
         a, b = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            none = [pa.nulls(len(a), pa.int8()), pa.nulls(len(a), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["no", "key", "a", "b"])
+
+    def later(keys, prints):
+        if len(keys):
+            columns = [pa.array(keys["no"].copy()), pa.array(keys["key"].copy()), pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(keys), pa.int64())], ["no", "key", "a", "b"])
 
     sorted_rows = rows.repartition(F.col("no"), F.col("key")).sortWithinPartitions("no", "key")
-    return sorted_rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    found = written(sorted_rows.mapInArrow(compare, "no tinyint, key bigint, a bigint, b bigint"), "bucket-links")
+    large = found.filter("b IS NULL").select("no", "key", F.col("a").alias("fingerprint"))
+    return found.filter("b IS NOT NULL").select("a", "b").unionByName(piece_links(large, max_bits)).distinct()
+
+
+def piece_links(buckets: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): links inside large buckets (no, key, fingerprint), which are cut by hash; every pair of pieces is a task's work
+    and gives a spanning forest of the links between its two pieces."""
+    sizes = written(buckets.groupBy("no", "key").agg(F.count(F.lit(1)).alias("m")), "bucket-sizes")
+    cut = buckets.join(sizes.withColumn("pieces", F.ceil(F.col("m") / PIECE)), ["no", "key"])
+    cut = cut.withColumn("piece", F.pmod(F.xxhash64("fingerprint"), "pieces"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    pairs = met.select("no", "key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "fingerprint")
+
+    def compare(key, table):
+        prints, first = np.unique(table.column("fingerprint").to_numpy().view(np.uint64), return_index=True)
+        piece = table.column("piece").to_numpy()[first]
+        cross = key[2].as_py() != key[3].as_py()
+        free, edges = np.ones(len(prints), bool), []
+        while free.any():  # breadth first: one link per fingerprint at most
+            queue = [int(np.argmax(free))]
+            free[queue[0]] = False
+            for x in queue:
+                among = np.flatnonzero(free & (piece != piece[x])) if cross else np.flatnonzero(free)
+                hit = among[np.bitwise_count(prints[among] ^ prints[x]) <= max_bits]
+                free[hit] = False
+                edges += [(prints[x], prints[y]) for y in hit]
+                queue += hit.tolist()
+        ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.Table.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    return pairs.groupBy("no", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components, root being the smallest node, by large and small stars on written tables.
 
     Every round hangs each node below the smallest one among its neighbours; rounds grow with the logarithm of the
-    longest chain. A star's centre spreads over the rows of its leaves, so no list of neighbours is ever collected.
+    longest chain. A star's centre spreads over the rows of its leaves, so no list of neighbours is ever collected. The
+    smallest neighbours are a written table, so a join meets them by a plain exchange of both sides, and adaptive execution
+    splits the rows of a centre that has many.
     """
     current = written(edges.select("a", "b"), "edges")
     before = None
     while True:
         # Large star: neighbours above a node move to the node's smallest neighbour.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = written(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct(), "edges")
         # Small star: the smaller neighbours of a node, and the node, move to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        after = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        after = written(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        for used in (least, large, lower):
+            dropped(used)
         sums = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         state = after.agg(sums).head()[0]
         if state == before:

@@ -2,6 +2,7 @@ import hashlib
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from revwatch.llm import exact_dedup, simhash
@@ -117,3 +118,27 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-5, -3)], "a bigint, b bigint")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     assert found == {i: 0 for i in range(1, n + 1)} | {-3: -5}
+
+
+@pytest.mark.parametrize("piece", [5, 40])
+def test_large_buckets_are_cut_into_pieces(spark, monkeypatch, piece):
+    """Fingerprints that share every block but the last: all links survive the cut, and a piece pair gives a forest."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    prints = np.unique(rng.integers(0, 1 << 14, 300).astype(np.int64))
+    frame = spark.createDataFrame([(int(p),) for p in prints], "fingerprint bigint")
+    found = simhash.links(frame, len(prints), 2).collect()
+    assert all((r.a ^ r.b).bit_count() <= 2 for r in found)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, len(prints), 2)).collect()}
+    expected = brute.components([(int(p), int(p)) for p in prints], 2)
+    assert [roots.get(int(p), int(p)) for p in prints] == expected
+
+
+def test_one_template_of_many_texts(spark):
+    """Twenty thousand distinct fingerprints about one centre are one bucket, cut into pieces, and one component."""
+    rng = np.random.default_rng(1)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(40_000)], np.uint64)
+    prints = np.unique(np.uint64(0x0123456789ABCDEF) ^ flips ^ np.array([1 << int(b) for b in rng.integers(0, 64, 40_000)], np.uint64))[:20_000]
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint bigint")
+    roots = simhash.components(simhash.links(frame, len(prints)))
+    assert roots.select("root").distinct().count() == 1 and roots.count() == len(prints) - 1
