@@ -33,11 +33,11 @@ WINDOW = 1 << 20
 #: Posting lists up to LIGHT give all their pairs; lists known to be longer than HEAVY are split into tiles at once.
 LIGHT, HEAVY = 64, 1024
 #: Documents of a block of a tile, on average.
-TILE = 1024
+TILE = 2048
 #: Bytes of text that are cut into shingles at once.
 CHUNK_BYTES = 1_000_000
 #: Lengthenings that are weighed for a document.
-LENGTHS = (1, 2, 4, 8, 16, 32)
+LENGTHS = (1, 2, 4, 8)
 #: Bits of a document's parity sketch.
 LEAST_BITS, MOST_BITS = 128, 2048
 #: Documents whose keys may be broadcast to find them again: some 40 bytes each.
