@@ -1,15 +1,14 @@
 """Token files: ids in documents' order, arithmetic-coded in blocks that are reset and checksummed each by itself.
 
-An id is a path through a Huffman tree of the file's id counts, which the file's head holds. Every branch on the path has a
-chance by counts after the same two ids (order 2), after the same id (order 1), in the block (order 0) and in the file. The
-four are mixed in the logistic domain with weights that are learnt while coding, and the mixed chance drives a range coder.
-So every order holds a distribution over all ids, and every id is coded by the range coder. Blocks share nothing but the
-tree, so many are coded side by side, one branch of each at a time.
+After the last two ids (order 2) and after the last one (order 1) a block predicts the ids that it remembers there, by the
+hit rates that it has learnt for their confidence; all other ids are predicted by order 0, which starts from the file's id
+counts and adapts to the block, without the ids that the higher orders hold already. So one adaptive distribution over all
+ids drives the range coder, in one to three steps per id. Blocks share nothing but the counts, so many are coded side by
+side, one id of each at a time.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from functools import lru_cache
@@ -24,122 +23,162 @@ from revwatch.llm.tokens import encode_rows
 
 BLOCK_IDS = 2048
 #: Blocks that are coded side by side at most, and ids of a file, where a part has as many.
-LANES = 512
+LANES = 2048
 FILE_IDS = BLOCK_IDS * 4096
 #: Bytes of text that are cut into words at once; fewer words are met twice in a larger chunk.
 CHUNK_BYTES = 8_000_000
-MAGIC = b"ACR2"
-
-_SLOTS = 16  # of an order's table, per id of a block
-_BITS = 15  # of a mixed chance
-_ONE, _LOW, _HIGH = 1 << _BITS, 1 << (_BITS - 10), (1 << _BITS) - (1 << (_BITS - 10))
+MAGIC = b"ACR3"
+
+BUCKETS = 256
+_SHARED = 32  # buckets of several ids
+_PRIOR, _GAIN = 1 << 12, 16  # of order 0: what the file's counts weigh, and what an id that was met weighs
+_BITS = 15  # of the chances of remembered ids
+_ONE, _ALL = 1 << _BITS, np.uint64(1 << _BITS)
+#: Hit rates to begin with, by confidence 0 to 3, of the id after two ids and of the first and second one after one id.
+_RATES = ((0, 9000, 16000, 20000), (0, 4000, 9000, 13000), (0, 2500, 3000, 3000))
+_NONE, _CHECK = np.uint32(1 << 16), np.uint32(0x3FFF)
+#: Running sums over 16 columns as a product; all sums are whole numbers far below 2 ** 24, so exact.
+_UPTO = np.triu(np.ones((16, 16), np.float32))
 _SHORT = np.uint64(1 << 32)
 _TOP = np.uint64(1 << 48)
 _16, _48 = np.uint64(16), np.uint64(48)
 
-# Logistic stretch of a 12-bit chance in 1/256, and its inverse on -2048 .. 2047.
-_STRETCH = np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).astype(np.int32)
-_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), _LOW, _HIGH).astype(np.int32)
-
 
-_RATE = np.array([65536 / (c + 1.6) for c in range(16)]).astype(np.int64)  # of learning, by times seen
-_SETS = 12  # of weights, by times that order 2 and order 1 have seen a branch
+class Order0:
+    """What the file's id counts say: the ids by falling count, cut into 256 buckets of 16 rows of 16.
 
-
-class Tree:
-    """Huffman tree of id counts: inner nodes with two children each, a leaf being the complement of its id."""
+    The most frequent ids have a bucket each; the others share buckets of about the same mass, inside which the file's
+    counts hold. Every block adapts the frequencies of its buckets.
+    """
 
     def __init__(self, counts: np.ndarray):
-        ids = np.flatnonzero(counts).tolist()
-        ids += [i for i in range(2) if i not in ids][: max(0, 2 - len(ids))]  # at least one branch
-        heap = [(max(int(counts[i]), 1) if i < len(counts) else 1, k, ~i) for k, i in enumerate(ids)]
-        heapq.heapify(heap)
-        self.child = np.zeros((2, len(ids) - 1), np.int32)
-        chance = np.zeros(len(ids) - 1)
-        for node in range(len(ids) - 1):
-            w0, _, left = heapq.heappop(heap)
-            w1, _, right = heapq.heappop(heap)
-            self.child[:, node] = left, right
-            chance[node] = w1 / (w0 + w1)
-            heapq.heappush(heap, (w0 + w1, len(ids) + node, node))
-        self.chance = np.clip(np.rint(chance * 65536), 16, 65520).astype(np.int64)
-        self.root = len(ids) - 2
-        self.code, self.depth = np.zeros(max(ids) + 1, np.int64), np.zeros(max(ids) + 1, np.int64)
-        path = {self.root: (0, 0)}
-        for node in range(self.root, -1, -1):
-            code, depth = path.pop(node)
-            for bit in (0, 1):
-                to = int(self.child[bit, node])
-                if to < 0:
-                    self.code[~to], self.depth[~to] = code << 1 | bit, depth + 1
-                else:
-                    path[to] = code << 1 | bit, depth + 1
+        ids = np.flatnonzero(counts)
+        ranked = ids[np.argsort(-counts[ids], kind="stable")]
+        self.ids, self.counts = ranked, counts[ranked].astype(np.int64)
+        self.upto = np.append(0, np.cumsum(self.counts))
+        lone = len(ranked) if len(ranked) <= BUCKETS else BUCKETS - _SHARED
+        first = np.arange(lone)
+        if lone < len(ranked):
+            mass = self.upto[lone] + (self.upto[-1] - self.upto[lone]) * np.arange(1, _SHARED) // _SHARED
+            first = np.unique(np.concatenate([first, [lone], np.maximum(np.searchsorted(self.upto, mass), lone)]))
+            first = first[first < len(ranked)]
+        borders = np.append(first, len(ranked))
+        self.rank, self.bucket = np.zeros(1 << 16, np.int64), np.zeros((1 << 16) + 1, np.int64)
+        self.rank[ranked] = np.arange(len(ranked))
+        self.bucket[ranked] = np.repeat(np.arange(len(first)), np.diff(borders))
+        self.base, self.size = self.upto[first], np.diff(self.upto[borders])
+        self.lone = np.append(np.diff(borders) == 1, np.zeros(BUCKETS - len(first), bool))
+        self.prior = np.zeros(BUCKETS, np.float32)
+        self.prior[: len(first)] = np.maximum(self.size * _PRIOR // self.upto[-1], 1) if len(ranked) else 0
 
 
 @lru_cache(1)
-def _even_tree() -> Tree:
-    return Tree(np.ones(65536, np.int64))
+def _even() -> Order0:
+    return Order0(np.ones(65536, np.int64))
 
 
-class Mixer:
-    """The adaptive model of ``lanes`` blocks: the chance of the right branch at each block's node, then learning.
+class Model:
+    """The adaptive model of ``lanes`` blocks that are coded side by side; all numbers are integers.
 
-    Rows of the arrays are the orders 2, 1 and 0, columns the blocks; all numbers are integers. A slot of a table holds a
-    chance (16 bits), how often it was seen (4 bits) and a check (8 bits) of the ids and the node that it belongs to.
+    After the last two ids (order 2) a block remembers one id, after the last id (order 1) two, each with a confidence.
+    Their chances are the hit rates that the block has learnt for these confidences, so the orders are mixed by how well
+    each did. All other ids have the rest, shared out by the block's order 0, from which the remembered ids are taken out.
     """
 
-    def __init__(self, lanes: int, block_ids: int, tree: Tree):
-        self.tree, self.lanes = tree, lanes
-        bits = max((block_ids * _SLOTS - 1).bit_length(), 6)
-        self.shift = np.uint32(32 - bits)
-        self.cells = np.zeros(3 * lanes << bits, np.int32)
-        self.base = np.arange(3 * lanes).reshape(3, lanes) << bits
-        self.context = np.zeros((3, lanes), np.uint32)
-        self.node = np.full(lanes, tree.root, np.int64)
-        self.weight = np.repeat(np.array([[34000], [28000], [16000], [26000]]), _SETS * lanes, axis=1)
-        self.weight[3, :lanes] = 48000
-
-    def predict(self, act: np.ndarray) -> np.ndarray:
-        """The chance, in parts of ``_ONE``, that each block of ``act`` goes right."""
-        node = self.node[act]
-        given = self.tree.chance[node]
-        key = self.context[:, act] + (node + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
-        key ^= key >> np.uint32(15)
-        key *= np.uint32(0x2C1B3C6D)
-        key ^= key >> np.uint32(13)
-        key *= np.uint32(0x297A2D39)
-        self.check = (key & np.uint32(0xFF)).astype(np.int32)
-        self.at = (key >> self.shift).astype(np.int64) + self.base[:, act]
-        held = self.cells[self.at]
-        self.seen = np.where(held & 0xFF == self.check, held >> 8 & 15, 0)
-        known = self.seen > 0
-        self.p = np.where(known, held >> 12, given)
-        x = np.empty((4, len(act)), np.int64)
-        x[:3] = _STRETCH[self.p >> 4] * known
-        x[3] = _STRETCH[given >> 4]
-        self.x = x
-        self.own = (np.minimum(self.seen[0], 3) * 3 + np.minimum(self.seen[1], 2)) * self.lanes + act
-        self.used = self.weight[:, self.own]
-        dot = (self.used * x).sum(axis=0) >> 16
-        self.mixed = _SQUASH[np.clip(dot, -2048, 2047) + 2048]
-        return self.mixed
-
-    def learn(self, act: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Goes on to the next nodes; returns these, where a negative one is the complement of a finished id."""
-        error = right * np.int64(_ONE) - self.mixed
-        self.weight[:, self.own] = np.clip(self.used + ((self.x * error + 32768) >> 16), -(1 << 19), 1 << 19)
-        p = self.p + ((right * np.int64(65535) - self.p) * _RATE[self.seen] >> 16)
-        p = np.clip(p, 16, 65520).astype(np.int32)
-        self.cells[self.at] = p << 12 | np.minimum(self.seen + 1, 15) << 8 | self.check
-        to = self.tree.child[right.astype(np.int64), self.node[act]]
-        self.node[act] = to
-        done = (to < 0).nonzero()[0]
-        if len(done):
-            lanes, ids = act[done], (~to[done]).astype(np.uint32)
-            self.node[lanes] = self.tree.root
-            self.context[0, lanes] = self.context[1, lanes] * np.uint32(0x85EBCA6B) + ids * np.uint32(0xC2B2AE35)
-            self.context[1, lanes] = (ids + np.uint32(1)) * np.uint32(0x27D4EB2F)
-        return to
+    def __init__(self, lanes: int, block_ids: int, order0: Order0):
+        bits = max((block_ids - 1).bit_length(), 6)
+        self.order0, self.lane = order0, np.arange(lanes)
+        self.shift1, self.shift2 = np.uint32(32 - bits), np.uint32(31 - bits)
+        self.base1, self.base2 = self.lane << bits, self.lane << (bits + 1)
+        self.first, self.second = np.zeros(lanes << bits, np.uint32), np.zeros(lanes << bits, np.uint32)
+        self.pair = np.zeros(lanes << (bits + 1), np.uint32)
+        self.rates = [np.tile(np.array(start, np.int32), lanes) for start in _RATES]
+        self.fine = np.tile(order0.prior, (lanes, 1)).reshape(lanes * 16, 16)
+        self.coarse = self.fine.reshape(lanes, 16, 16).sum(axis=2)
+        self.total = self.coarse.sum(axis=1).astype(np.int64)
+        self.last, self.before = np.full(lanes, _NONE, np.uint32), np.full(lanes, _NONE, np.uint32)
+
+    def predict(self, n: int) -> np.ndarray:
+        """The remembered ids of the first ``n`` blocks, and the ends of their parts of ``_ONE``; the rest is for others."""
+        h1 = (self.last[:n] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h1 ^= h1 >> np.uint32(15)
+        h2 = (h1 + self.before[:n]) * np.uint32(0x2C1B3C6D)
+        h2 ^= h2 >> np.uint32(13)
+        h2 *= np.uint32(0x297A2D39)
+        self.check1, self.check2 = (h1 & _CHECK) << np.uint32(2), (h2 & _CHECK) << np.uint32(2)
+        self.at1 = (h1 * np.uint32(0x85EBCA6B) >> self.shift1) + self.base1[:n]
+        self.at2 = (h2 >> self.shift2) + self.base2[:n]
+        self.held = self.pair[self.at2], self.first[self.at1], self.second[self.at1]
+        four = self.lane[:n] << 2
+        self.ids, self.seen, self.own = [], [], []
+        for held, check in zip(self.held, (self.check2, self.check1, self.check1), strict=True):
+            seen = np.where(held & (_CHECK << np.uint32(2)) == check, held & np.uint32(3), np.uint32(0))
+            self.ids.append(np.where(seen > 0, held >> np.uint32(16), _NONE))
+            self.seen.append(seen)
+            self.own.append(four + seen)
+        p2, pa, pb = (rate[own] for rate, own in zip(self.rates, self.own, strict=True))
+        pa[self.ids[1] == self.ids[0]] = 0  # remembered twice: once is enough
+        pb[self.ids[2] == self.ids[0]] = 0
+        ends = np.empty((3, n), np.int64)
+        ends[0] = p2
+        ends[1] = p2 + ((_ONE - p2) * pa >> _BITS)
+        ends[2] = ends[1] + ((_ONE - ends[1]) * pb >> _BITS)
+        self.ends = ends
+        return ends
+
+    def others(self, act: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0 of the blocks ``act`` without what they remember: frequencies of rows, and their sums."""
+        coarse, total = self.coarse[act], self.total[act]
+        self.out = []
+        k = np.arange(len(act))
+        begin = np.zeros(len(act), np.int64)
+        for ids, end in zip(self.ids, self.ends, strict=True):
+            bucket = self.order0.bucket[ids[act]]
+            gone = np.where((end[act] > begin) & self.order0.lone[bucket], self.fine[(act << 4) + (bucket >> 4), bucket & 15], 0)
+            coarse[k, bucket >> 4] -= gone
+            total -= gone.astype(np.int64)
+            self.out.append((bucket, gone))
+            begin = end[act]
+        return coarse, total
+
+    def row(self, act: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Frequencies of one row of 16 buckets, without what is remembered, after ``others``."""
+        fine = self.fine[(act << 4) + group]
+        k = np.arange(len(act))
+        for bucket, gone in self.out:
+            fine[k, bucket & 15] -= np.where(bucket >> 4 == group, gone, 0)
+        return fine
+
+    def learn(self, n: int, ids: np.ndarray, hit: list[np.ndarray]) -> None:
+        """Takes in the next id of every block; ``hit`` tells which of the remembered ids coded it."""
+        tried = np.ones(n, bool)
+        for rate, own, seen, good in zip(self.rates, self.own, self.seen, hit, strict=True):
+            p = rate[own]
+            p = np.clip(p + ((good * np.int32(_ONE) - p) >> 4), 256, _ONE - 2048)
+            now = tried & (seen > 0)
+            rate[own[now]] = p[now]
+            tried &= ~good
+        pair, a, b = self.held
+        new = ids << np.uint32(16)
+        same = self.ids[0] == ids
+        kept = same | (self.seen[0] > 1)
+        seen = np.where(same, np.minimum(self.seen[0] + np.uint32(1), np.uint32(3)), np.uint32(1))
+        self.pair[self.at2] = np.where(kept, pair & ~np.uint32(3), new | self.check2) | seen
+        # The first id after another gains confidence or loses it, and changes places with the second where that one came.
+        same, swap, none = self.ids[1] == ids, self.ids[2] == ids, self.seen[1] == 0
+        bare = a & ~np.uint32(3)
+        entry = new | self.check1 | np.uint32(1)
+        up = bare | np.minimum(self.seen[1] + np.uint32(1), np.uint32(3))
+        down = bare | np.maximum(self.seen[1], np.uint32(2)) - np.uint32(1)
+        self.first[self.at1] = np.where(same, up, np.where(none, entry, np.where(swap, b & ~np.uint32(3) | np.uint32(2), down)))
+        self.second[self.at1] = np.where(none, np.uint32(0), np.where(same, b, np.where(swap, a, entry)))
+        bucket = self.order0.bucket[ids]
+        row = (self.lane[:n] << 4) + (bucket >> 4)
+        self.fine[row, bucket & 15] += _GAIN
+        self.coarse.reshape(-1)[row] += _GAIN
+        self.total[:n] += _GAIN
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
 
 
 def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -163,9 +202,9 @@ class RangeEncoder:
         self.out = np.zeros((lanes, digits), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, act: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        """Narrows the lanes ``act`` to ``share`` of ``_ONE`` parts from ``start`` on."""
-        width = self.width[act] >> np.uint64(_BITS)
+    def put(self, act: np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
+        """Narrows the lanes ``act`` to ``share`` of ``total`` parts from ``start`` on."""
+        width = self.width[act] // total
         low = self.low[act] + width * start.astype(np.uint64)
         width *= share.astype(np.uint64)
         while len(move := _settle(low, width)):
@@ -189,37 +228,35 @@ class RangeEncoder:
 class RangeDecoder:
     def __init__(self, payloads: list[bytes]):
         sizes = [len(p) // 2 for p in payloads]
-        self.digits = np.zeros((len(payloads), max(sizes) + 4), np.uint64)
+        self.digits = np.zeros((len(payloads), max(sizes) + 4), np.uint16)
         for i, p in enumerate(payloads):
             self.digits[i, : sizes[i]] = np.frombuffer(p, "<u2")
         self.low = np.zeros(len(payloads), np.uint64)
         self.width = np.full(len(payloads), ~np.uint64(0), np.uint64)
         self.code = np.zeros(len(payloads), np.uint64)
         for k in range(4):
-            self.code = self.code << _16 | self.digits[:, k]
+            self.code = self.code << _16 | self.digits[:, k].astype(np.uint64)
         self.used = np.full(len(payloads), 4, np.int64)
 
-    def take(self, act: np.ndarray, border: np.ndarray) -> np.ndarray:
-        """Whether the code of each lane of ``act`` lies below ``border`` of ``_ONE`` parts; then as ``RangeEncoder.put``."""
-        width, low, code = self.width[act] >> np.uint64(_BITS), self.low[act], self.code[act]
-        right = code - low < width * border.astype(np.uint64)
-        start, share = _branch(right, border)
-        low += width * start.astype(np.uint64)
-        width *= share.astype(np.uint64)
+    def look(self, act: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Which of ``total`` parts each lane of ``act`` stands in."""
+        self.unit = self.width[act] // total
+        part = (self.code[act] - self.low[act]) // self.unit
+        return np.minimum(part, total - np.uint64(1)).astype(np.int64)
+
+    def take(self, act: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
+        """Narrows the lanes to the part found by ``look``, as ``RangeEncoder.put`` does."""
+        low = self.low[act] + self.unit * start.astype(np.uint64)
+        width = self.unit * share.astype(np.uint64)
+        code = self.code[act]
         while len(move := _settle(low, width)):
             lanes = act[move]
             at = self.used[lanes]
-            code[move] = code[move] << _16 | self.digits[lanes, at]
+            code[move] = code[move] << _16 | self.digits[lanes, at].astype(np.uint64)
             self.used[lanes] = at + 1
             low[move] <<= _16
             width[move] <<= _16
         self.low[act], self.width[act], self.code[act] = low, width, code
-        return right
-
-
-def _branch(right: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and share of a branch: the right one lies below the border."""
-    return np.where(right, 0, border), np.where(right, border, _ONE - border)
 
 
 def _lengths(total: int, block_ids: int) -> list[int]:
@@ -231,30 +268,48 @@ def encode_blocks(
 ) -> list[bytes]:
     """The payloads of consecutive blocks of ``block_ids`` ids below 65536; only the last block may be shorter.
 
-    ``counts`` of all ids shape the tree; without them, ids are alike at first.
+    ``counts`` of all ids shape order 0; without them, ids are alike at first. An id takes one step of the range coder
+    if a block remembers it, two if it has a bucket of its own, else three.
     """
-    tree = _even_tree() if counts is None else Tree(counts)
+    order0 = _even() if counts is None else Order0(np.asarray(counts))
     out = []
     for first in range(0, len(ids), block_ids * lanes):
         own = ids[first : first + block_ids * lanes]
-        lengths = np.array(_lengths(len(own), block_ids))
-        table = np.zeros((len(lengths), block_ids + 1), np.int64)
-        table[:, :-1].flat[: len(own)] = own
-        model, coder = Mixer(len(lengths), block_ids, tree), RangeEncoder(len(lengths), block_ids + 16)
-        at, act = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
-        code, left = tree.code[table[:, 0]], tree.depth[table[:, 0]]
-        while len(act):
-            left[act] -= 1
-            right = (code[act] >> left[act] & 1).astype(bool)
-            coder.put(act, *_branch(right, model.predict(act)))
-            done = act[model.learn(act, right) < 0]
-            if len(done):
-                at[done] += 1
-                going = done[at[done] < lengths[done]]
-                now = table[going, at[going]]
-                code[going], left[going] = tree.code[now], tree.depth[now]
-                if len(going) < len(done):
-                    act = (at < lengths).nonzero()[0]
+        lengths = _lengths(len(own), block_ids)
+        table = np.zeros((len(lengths), block_ids), np.uint32)
+        table.reshape(-1)[: len(own)] = own
+        table = np.ascontiguousarray(table.T)
+        model, coder = Model(len(lengths), block_ids, order0), RangeEncoder(len(lengths), block_ids // 2 + 16)
+        for step in range(lengths[0]):
+            n = len(lengths) if step < lengths[-1] else len(lengths) - 1
+            now, act = table[step, :n], model.lane[:n]
+            ends = model.predict(n)
+            hit, left, begin = [], np.ones(n, bool), np.zeros(n, np.int64)
+            start, stop = ends[2].copy(), np.full(n, _ONE)
+            for k in range(3):
+                good = (model.ids[k] == now) & left & (ends[k] > begin)
+                start[good], stop[good] = begin[good], ends[k][good]
+                hit.append(good)
+                left &= ~good
+                begin = ends[k]
+            coder.put(act, start, stop - start, _ALL)
+            act = left.nonzero()[0]
+            if len(act):
+                ids_left = now[act]
+                bucket = order0.bucket[ids_left]
+                coarse, total = model.others(act)
+                group = bucket >> 4
+                fine = model.row(act, group)
+                k, place = np.arange(len(act)), bucket & 15
+                share = fine[k, place]
+                start = (coarse @ _UPTO)[k, group] - coarse[k, group] + (fine @ _UPTO)[k, place] - share
+                coder.put(act, start, share, total.astype(np.uint64))
+                many = (~order0.lone[bucket]).nonzero()[0]
+                if len(many):
+                    rank, bucket = order0.rank[ids_left[many]], bucket[many]
+                    start = order0.upto[rank] - order0.base[bucket]
+                    coder.put(act[many], start, order0.counts[rank], order0.size[bucket].astype(np.uint64))
+            model.learn(n, now, hit)
         out += coder.finish()
     return out
 
@@ -263,24 +318,50 @@ def decode_blocks(
     payloads: list[bytes], total: int, block_ids: int = BLOCK_IDS, lanes: int = LANES, counts: np.ndarray | None = None
 ) -> np.ndarray:
     """The ids that ``encode_blocks`` was given."""
-    tree = _even_tree() if counts is None else Tree(counts)
-    all_lengths = np.array(_lengths(total, block_ids))
-    out = []
+    order0 = _even() if counts is None else Order0(np.asarray(counts))
+    all_lengths, out = _lengths(total, block_ids), []
     for first in range(0, len(payloads), lanes):
         lengths = all_lengths[first : first + lanes]
-        table = np.zeros((len(lengths), block_ids), np.uint16)
-        model, coder = Mixer(len(lengths), block_ids, tree), RangeDecoder(payloads[first : first + lanes])
-        at, act = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
-        while len(act):
-            to = model.learn(act, coder.take(act, model.predict(act)))
-            found = to < 0
-            done = act[found]
-            if len(done):
-                table[done, at[done]] = ~to[found]
-                at[done] += 1
-                if (at[done] == lengths[done]).any():
-                    act = (at < lengths).nonzero()[0]
-        out.append(table.reshape(-1)[: int(lengths.sum())])
+        table = np.zeros((block_ids, len(lengths)), np.uint16)
+        model, coder = Model(len(lengths), block_ids, order0), RangeDecoder(payloads[first : first + lanes])
+        for step in range(lengths[0]):
+            n = len(lengths) if step < lengths[-1] else len(lengths) - 1
+            act = model.lane[:n]
+            ends = model.predict(n)
+            part = coder.look(act, _ALL)
+            now, hit, left, begin = np.zeros(n, np.uint32), [], np.ones(n, bool), np.zeros(n, np.int64)
+            start, stop = ends[2].copy(), np.full(n, _ONE)
+            for k in range(3):
+                good = left & (part < ends[k])
+                now[good], start[good], stop[good] = model.ids[k][good], begin[good], ends[k][good]
+                hit.append(good)
+                left &= ~good
+                begin = ends[k]
+            coder.take(act, start, stop - start)
+            act = left.nonzero()[0]
+            if len(act):
+                k = np.arange(len(act))
+                coarse, total_left = model.others(act)
+                part = coder.look(act, total_left.astype(np.uint64))
+                upto = coarse @ _UPTO
+                group = (upto <= part[:, None]).sum(axis=1)
+                before = upto[k, group] - coarse[k, group]
+                fine = model.row(act, group)
+                upto = fine @ _UPTO + before[:, None]
+                place = (upto <= part[:, None]).sum(axis=1)
+                coder.take(act, upto[k, place] - fine[k, place], fine[k, place])
+                bucket = (group << 4) + place
+                rank = np.searchsorted(order0.upto, order0.base[bucket], "right") - 1
+                many = (~order0.lone[bucket]).nonzero()[0]
+                if len(many):
+                    base = order0.base[bucket[many]]
+                    part = coder.look(act[many], order0.size[bucket[many]].astype(np.uint64)) + base
+                    rank[many] = np.searchsorted(order0.upto, part, "right") - 1
+                    coder.take(act[many], order0.upto[rank[many]] - base, order0.counts[rank[many]])
+                now[act] = order0.ids[rank]
+            table[step, :n] = now
+            model.learn(n, now, hit)
+        out.append(table.T.reshape(-1)[: sum(lengths)])
     return np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
