@@ -115,3 +115,125 @@ def jaccard_groups(rows, words=5):
         if doc is not None:
             least[find(i)] = min(least.get(find(i), doc), doc)
     return [(doc, len(s), least.get(find(i))) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+SYMBOLS = {c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in ".,;:'\"-()?!|"}
+
+
+def text_statistics(text):
+    """What the labellers of the quality classifier look at, per text."""
+    words = SPACED.findall(text or "")
+    size = max(sum(len(w.encode()) for w in words), 1)
+    n, low = max(len(words), 1), [w.translate(LOWER) for w in words]
+    count = lambda f: sum(map(f, text or ""))
+    upper, lower = (lambda c: "A" <= c <= "Z"), (lambda c: "a" <= c <= "z")
+    return {
+        "words": len(words),
+        "word_length": sum(map(len, words)) / n,
+        "symbols": count(lambda c: c in SYMBOLS) / size,
+        "capitals": count(upper) / max(count(upper) + count(lower), 1),
+        "digits": count(lambda c: "0" <= c <= "9") / size,
+        "repeated": sum(a == b for a, b in zip(low, low[1:], strict=False)) / n,
+        "variety": min(len(set(low)) / n * math.sqrt(max(len(words), 100) / 100), 1.0),
+        "pipes": count(lambda c: c == "|") / size,
+        "shouting": sum(any(map(upper, w)) and not any(map(lower, w)) for w in words) / n,
+        "cells": sum("|" in w for w in words) / n,
+        "marked": sum(w[-1] in SYMBOLS for w in words) / n,
+    }
+
+
+def text_votes(text, labellers):
+    stats = text_statistics(text)
+    if not stats["words"]:
+        return "-" * len(labellers)
+    out = ""
+    for name, side, bad, good in labellers:
+        v = stats[name]
+        against, favour = (v < bad, v >= good) if side == "below" else (v > bad, v <= good)
+        out += "-" if against else "+" if favour else "."
+    return out
+
+
+def label_model(ballots, rounds=100):
+    """Expectation-maximisation text by text: (share of good ones, chances of votes per class and labeller)."""
+    k = len(ballots[0]) if ballots else 0
+    q = []
+    for b in ballots:
+        mean = (b.count("+") - b.count("-")) / k
+        q.append(0.1 if "-" in b else 0.9 if mean > 0.3 else 0.5)
+    for _ in range(rounds):
+        chances = []
+        for weight in ([1 - x for x in q], q):
+            rows = []
+            for j in range(k):
+                sums = [1 + sum(w for w, b in zip(weight, ballots, strict=True) if b[j] == v) for v in "-.+"]
+                rows.append({v: s / sum(sums) for v, s in zip("-.+", sums, strict=True)})
+            chances.append(rows)
+        prior = (sum(q) + 1) / (len(ballots) + 2)
+        after = [label_posterior(b, prior, chances) for b in ballots]
+        done = max((abs(a - x) for a, x in zip(after, q, strict=True)), default=0) < 1e-9
+        if done:
+            break
+        q = after
+    return prior, chances
+
+
+def label_posterior(ballot, prior, chances):
+    logs = [sum(math.log(chances[c][j][v]) for j, v in enumerate(ballot)) for c in (0, 1)]
+    odds = logs[1] - logs[0] + math.log(prior) - math.log(1 - prior)
+    return 1 / (1 + math.exp(-max(min(odds, 50), -50)))
+
+
+def shape(word):
+    kind = lambda c: "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or c > "\x7f" else "0" if "0" <= c <= "9" else c
+    out = ""
+    for c in map(kind, word):
+        out += "" if out[-1:] == c else c
+    return out
+
+
+def scorer_features(text, features):
+    """Hashed number -> share of words: spellings, shapes, and whether a word repeats the one before."""
+    words, out = SPACED.findall(text or ""), Counter()
+    low = [w.translate(LOWER) for w in words]
+    number = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed) % features
+    for k, w in enumerate(words):
+        out[number(low[k], 1)] += 1
+        out[number(shape(w), 2)] += 1
+        out[number("=" if k and low[k] == low[k - 1] else "", 3)] += 1
+    return {c: n / len(words) for c, n in out.items()}
+
+
+def scorer(rows, target, steps=300):
+    """(weights by feature, bias) by full-batch Adam on the balanced logistic loss."""
+    w, m, s = Counter(), Counter(), Counter()
+    all_good, all_bad = max(sum(target), 1e-9), max(sum(1 - t for t in target), 1e-9)
+    balance = [t / all_good + (1 - t) / all_bad for t in target]
+    for step in range(1, steps + 1 if rows else 1):
+        g = Counter()
+        for own, b, t in zip(rows, balance, target, strict=True):
+            score = sum(w[c] * v for c, v in own.items()) + w["bias"]
+            error = b * (1 / (1 + math.exp(-max(min(score, 30), -30))) - t) / 2
+            g["bias"] += error
+            for c, v in own.items():
+                g[c] += error * v
+        for c in list(g):
+            g[c] += 1e-6 * w[c]
+            m[c], s[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * s[c] + 0.001 * g[c] ** 2
+            w[c] -= 0.1 * (m[c] / (1 - 0.9**step)) / (math.sqrt(s[c] / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def quality(docs, labellers, features):
+    """Per (id, text) row (id, score, posterior, votes, keep): labels and scorer learnt from the same rows."""
+    ballots = [text_votes(t, labellers) for _, t in docs]
+    prior, chances = label_model(ballots)
+    target = [label_posterior(b, prior, chances) for b in ballots]
+    rows = [scorer_features(t, features) for _, t in docs]
+    w = scorer(rows, target)
+    out = []
+    for (doc, _), ballot, goal, own in zip(docs, ballots, target, rows, strict=True):
+        value = sum(w[c] * v for c, v in own.items()) + w["bias"]
+        score = 1 / (1 + math.exp(-max(min(value, 30), -30))) if own else 0.0
+        out.append((doc, score, goal, ballot, score >= 0.5))
+    return out

@@ -219,6 +219,43 @@ def test_quality_query(spark, sf_dir):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def quality_rows(odd_rows):
+    """Odd rows and texts with every fault that a labeller looks at."""
+    plain = "The quick brown fox jumps over the lazy dog while nobody in the village looks at it for long. "
+    rows = [(100 + k, plain * (1 + k % 4) + f"Ending number {k}.") for k in range(12)]
+    rows += [
+        (200, "BUY NOW!!! $$$ CLICK HERE $$$ " * 8), (201, "a | b | c | d | " * 30), (202, "spam spam spam spam " * 20),
+        (203, "1234 5678 90 12 34 " * 10), (204, "#### @@@@ %%%% &&&& " * 12), (205, "x" * 300 + " " + "y" * 90),
+        (206, "word# other@ third% " * 15), (207, "caf\u00e9 na\u00efve \ud55c\uad6d " * 20), (208, "one two"),
+    ]
+    short = [(d, t if t is None or len(t) < 5_000 else t[:5_000]) for d, t in odd_rows]
+    return [*short, *rows]
+
+
+def test_quality_against_plain_python(make_docs, odd_rows):
+    """Votes, label model, scorer and result of every row, null ids and repeated rows included."""
+    rows = quality_rows(odd_rows)
+    docs = make_docs(rows)
+    found = quality.scored(docs, quality.fit(docs)).collect()
+    expected = brute.quality(rows, quality.LABELLERS, quality.FEATURES)
+    key = lambda r: (str(r[0]), r[3], round(r[1], 6))
+    found, expected = sorted(map(tuple, found), key=key), sorted(expected, key=key)
+    assert [(r[0], r[3], r[4]) for r in found] == [(r[0], r[3], r[4]) for r in expected]
+    assert [r[1] for r in found] == pytest.approx([r[1] for r in expected], abs=1e-4)
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1e-6)
+
+
+def test_votes_of_documents(spark, sf_dir):
+    """The ballots of whole documents of all lengths, and their posteriors under the model of their own counts."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    found = {r.doc_id: r for r in op5_quality_classifier(spark, sf_dir).collect()}
+    ballots = {d: brute.text_votes(t, quality.LABELLERS) for d, t in rows}
+    assert {d: r.votes for d, r in found.items()} == ballots
+    prior, chances = brute.label_model(list(ballots.values()))
+    expected = {d: brute.label_posterior(b, prior, chances) for d, b in ballots.items()}
+    assert {d: r.label_posterior for d, r in found.items()} == pytest.approx(expected, abs=1e-6)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.7
