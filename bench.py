@@ -1,7 +1,8 @@
 """Headline timings, one JSON line.
 
-``$BENCH_SF_DIR`` names the tables and ``$BENCH_CPUS`` the local cores. Every query runs once to warm up and is timed on
-its second run. ``model_results_all`` is the whole pipeline from raw tables to all 2,327 configurations, on a warehouse
+``$BENCH_SF_DIR`` names the tables and ``$BENCH_CPUS`` the local cores. Every query is run twice and counts with
+its second run; the first one, which also writes the shared tables that it is the first to need, is given as ``cold``.
+``model_results_all`` is the whole pipeline from raw tables to all 2,327 configurations, on a warehouse
 of its own; ``daily_kpis``, ``fact_orders`` and ``dim_customers`` also start from raw tables. The other queries read the
 derived tables, as a dashboard would.
 """
@@ -54,9 +55,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    times = {}
+    times, cold = {}, {}
     for name in names:
-        timed(name, spark, sf_dir)
+        cold[name] = timed(name, spark, sf_dir)
         times[name] = timed(name, spark, sf_dir)
     if not sys.argv[1:]:
         times["model_results_all"] = full_grid(spark, sf_dir)
@@ -67,6 +68,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "cold": cold,
                 "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
             }
         )

@@ -16,7 +16,10 @@ from revwatch.session import materialize
 
 
 def rank_globally(df: DataFrame, order_by: Sequence[Column], running: Mapping[str, Column] | None = None) -> DataFrame:
-    """Adds ``position`` (1-based), ``n_total``, and for each running column ``name`` and ``name_total``."""
+    """Adds ``position`` (1-based), ``n_total``, and for each running column ``name`` and ``name_total``.
+
+    ``df`` is read twice, first for a sample of the sort key: an aggregation should be a written table.
+    """
     running = dict(running or {})
     slabs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The id counts rows within a sorted partition and carries the partition number above bit 33.
@@ -93,6 +96,7 @@ def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .groupBy(*keys, F.col(value).alias("v"))
         .agg(F.count("*").alias("c"))
     )
+    counts = materialize(counts, "value_counts")  # range partitioning reads its input twice: to sample it, then to deal it
     return rank_globally(counts, [*[F.col(k) for k in keys], F.col("v")], {"upto": F.col("c")})
 
 

@@ -10,6 +10,7 @@ from revwatch.functions.numeric import mean, money, ratio, rounded_sum, share_pc
 from revwatch.functions.subquery import only_row
 from revwatch.operators.detectors.pointwise import sigma_band
 from revwatch.operators.global_order import exact_quantiles, ntile, rank_globally
+from revwatch.session import materialize
 from revwatch.operators.star import billable, order_attribute_values
 
 VALUE = "order_value"
@@ -71,7 +72,8 @@ def delivered_spend(fact: DataFrame) -> DataFrame:
 
 def pareto_quintiles(fact: DataFrame) -> DataFrame:
     """Revenue share of each fifth of the customers, by spend; ties go to the lower customer id."""
-    ranked = rank_globally(delivered_spend(fact), [F.desc("total_spent"), F.asc("customer_id")])
+    spend = materialize(delivered_spend(fact), "delivered_spend")
+    ranked = rank_globally(spend, [F.desc("total_spent"), F.asc("customer_id")])
     fifths = ranked.groupBy(ntile(5).alias("quintile")).agg(
         F.count("*").alias("customers"), F.sum("total_spent").alias("spent")
     )
