@@ -225,14 +225,15 @@ def scorer(rows, target, steps=300):
 
 
 def quality(docs, labellers, features):
-    """Per (id, text) row (id, score, posterior, votes, keep): labels and scorer learnt from the same rows."""
+    """Per (id, text) row (id, score, posterior, votes, keep): labels learnt from all rows, the scorer from distinct texts."""
     ballots = [text_votes(t, labellers) for _, t in docs]
     prior, chances = label_model(ballots)
-    target = [label_posterior(b, prior, chances) for b in ballots]
+    goals = [label_posterior(b, prior, chances) for b in ballots]
     rows = [scorer_features(t, features) for _, t in docs]
-    w = scorer(rows, target)
+    first = {t: k for k, (_, t) in reversed(list(enumerate(docs)))}.values()
+    w = scorer([rows[k] for k in first], [goals[k] for k in first])
     out = []
-    for (doc, _), ballot, goal, own in zip(docs, ballots, target, rows, strict=True):
+    for (doc, _), ballot, goal, own in zip(docs, ballots, goals, rows, strict=True):
         value = sum(w[c] * v for c, v in own.items()) + w["bias"]
         score = 1 / (1 + math.exp(-max(min(value, 30), -30))) if own else 0.0
         out.append((doc, score, goal, ballot, score >= 0.5))

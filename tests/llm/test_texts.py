@@ -245,6 +245,22 @@ def test_quality_against_plain_python(make_docs, odd_rows):
     assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1e-6)
 
 
+def test_quality_of_all_lengths(spark, sf_dir):
+    """Held against the labels of documents of any length, not only of those with a hundred characters."""
+    sf_dir = str(Path(sf_dir).parent / "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in op5_quality_classifier(spark, sf_dir).collect() if labels.get(r.doc_id) is not None]
+    assert np.mean([r.keep == (labels[r.doc_id] == 1) for r in rows]) > 0.9
+
+
+def test_copies_and_ids_have_no_say_in_the_training_sample(make_docs):
+    texts = [f"text {k} " + "with some words " * (k % 7) for k in range(60)]
+    once = make_docs(list(enumerate(texts)))
+    copied = make_docs([(None, t) for t in texts] + [(5, texts[0])] * 200)
+    keys = [sorted(r.key for r in quality.training_rows(d, "text", 20).collect()) for d in (once, copied)]
+    assert keys[0] == keys[1] and len(keys[0]) == 20
+
+
 def test_votes_of_documents(spark, sf_dir):
     """The ballots of whole documents of all lengths, and their posteriors under the model of their own counts."""
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
