@@ -19,7 +19,7 @@ def sha256_of(text: Column) -> Column:
 def winners(
     docs: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column], salts: int = SALTS
 ) -> DataFrame:
-    """One row per distinct text: (digest, keep_id, group_size, n_texts), ``n_texts`` being the texts of that digest.
+    """One row per distinct text: (_digest, _text, keep_id, group_size).
 
     Rows are grouped by digest *and* text, so two texts that share a digest are never mixed. The map side combines the
     copies of a split, the salt deals the rest of a hot text over several tasks, and the last step joins at most

@@ -401,7 +401,7 @@ def scores(
     runs without ASCII white space and one end; a null text is an empty one and has the end only. The base score sums
     log10((c + 1) / (N + V + 1)) exactly. The score sums log10 of p = c(hw) / (c(h) + m) + m / (c(h) + m) p1(w), where
     h is the word before (or the beginning), p1 the base probability, m ``weight``, and the first term is quantised.
-    Words are told apart by a 64-bit hash. Repeated rows are scored each; without training texts every count is 0. An
+    Words are told apart by a 64-bit hash, the successors of a word by 48 bits of it. Repeated rows are scored each; without training texts every count is 0. An
     empty table gives no rows.
     """
     rows = docs.select(

@@ -14,7 +14,7 @@ BAND = 1024
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, text: str = "text", end_ids: int = 0) -> DataFrame:
-    """One row per distinct length and input split: (n_tokens, n_docs), with null texts as empty ones.
+    """One row per distinct length and input split: (n_tokens, n_docs), with null texts as empty ones and every repeated row counted.
 
     Counting inside the split keeps a length that many documents share to one row per split before the shuffle.
     """
