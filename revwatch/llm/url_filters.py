@@ -24,6 +24,12 @@ REJECT_FROM = 0.8
 WILDCARD = "*"
 #: Labelled urls that siblings must have before a branch without any is taken as one of them.
 ENOUGH = 30
+#: Levels that are followed everywhere. Below, only nodes with enough blocked urls to be rejected at all are.
+LEVELS = 16
+
+
+#: The fewest blocked urls with which a template can be rejected.
+LEAST_BLOCKED = math.ceil((REJECT_FROM * SMOOTHING - SMOOTHING / 2) / (1 - REJECT_FROM) - 1e-9)
 
 
 class Rule(NamedTuple):
@@ -99,7 +105,8 @@ def template_tree(urls: DataFrame) -> DataFrame:
     tree is built from the top, over all segments. At every node a branch is compared with its siblings taken together,
     never with each of them: if the shares of blocked among labelled urls and of ending among all urls differ by no more
     than chance, the branch becomes the node's wildcard. A branch that stays apart is followed at once as far as its paths agree, so there are as
-    many rounds as levels at which paths part or end. Counting before every join leaves one row per branch, whatever
+    many rounds as levels at which paths part or end; below ``LEVELS`` levels, only nodes that could still be rejected are
+    followed. Counting before every join leaves one row per branch, whatever
     share of all urls a host has.
     """
     counts = urls.groupBy("host", segments(F.col("path")).alias("segs")).agg(
@@ -112,7 +119,7 @@ def template_tree(urls: DataFrame) -> DataFrame:
         own = F.get("segs", F.col("level"))
         rest = F.slice("segs", F.col("level") + 1, F.size("segs"))
         ends = F.when(F.size("segs") == F.col("level") + 1, F.col("n")).otherwise(0)
-        branches = open_.groupBy("host", "template", own.alias("seg")).agg(
+        branches = open_.groupBy("host", "template", own.alias("seg"), "level").agg(
             F.sum("n").alias("bn"), F.sum("b").alias("bb"), F.sum("a").alias("ba"), F.sum(ends).alias("be"),
             F.min(rest).alias("first"), F.max(rest).alias("last"),
         )
@@ -130,8 +137,17 @@ def template_tree(urls: DataFrame) -> DataFrame:
             "seg",
             F.concat("template", F.lit("/"), F.array_join("passed", "/")).alias("next"),
             F.size("passed").alias("more"),
+            ((F.col("level") >= LEVELS) & (F.col("nb") < LEAST_BLOCKED)).alias("settled"),
         )
         below = tree.withColumn("seg", own).join(named, ["host", "template", "seg"], "left")
+        # No template below a settled node can be rejected, so its paths keep the rest of theirs.
+        whole = F.concat("template", F.lit("/"), F.array_join(F.slice("segs", F.col("level") + 1, F.size("segs")), "/"))
+        below = below.withColumns(
+            {
+                "next": F.when(F.col("settled"), whole).otherwise(F.col("next")),
+                "more": F.when(F.col("settled"), F.size("segs") - F.col("level")).otherwise(F.col("more")),
+            }
+        )
         step = (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")
         tree = written(below.select("host", "segs", "n", "b", "a", F.coalesce("next", "template").alias("template"), step), "templates")
     totals = tree.groupBy("host", "template").agg(

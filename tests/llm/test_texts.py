@@ -443,3 +443,13 @@ def test_a_template_of_blocked_pages_blocks_the_unruled_ones(spark):
     unruled = [i for i in range(100) if found[i][0] is None]
     assert len(unruled) == 20 and all(found[i][1] == "block" for i in unruled)
     assert all(found[500 + i] == (None, "allow") for i in range(100))
+
+
+def test_deep_paths_that_part_at_every_level_end_soon(spark):
+    """Without enough blocked urls to reject anything, a pair of paths is not followed through hundreds of levels."""
+    deep = ["/".join(f"{x}{'abcdefgh'[k % 8]}" for k in range(400)) for x in "xy"]
+    rows = [(1, f"http://deep.org/{deep[0]}"), (2, f"http://deep.org/{deep[1]}"), (3, "http://deep.org/x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: (r.verdict, r.template) for r in url_filters.judged(pages, []).collect()}
+    assert {v for v, _ in found.values()} == {"allow"}
+    assert url_filters.LEAST_BLOCKED == 6 and len(found[1][1].split("/")) == 401
