@@ -1,9 +1,9 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, by adaptive multi-match prefixes.
 
 Shingles have one order for all documents: rare ones first. If two sets share t shingles, then the first (size - t + l) of
-either share l of them at least. Every document posts such a prefix, lengthened by l - 1 shingles where its shingles are
-common and candidates therefore costly; a pair becomes a candidate only if it shares as many posted shingles as its two
-prefixes demand for its own t, and then the whole sets are compared.
+either share l of them at least. Every document posts the prefix for l = 1, by which pairs meet, and carries a prefix that is
+lengthened by l - 1 shingles where its shingles are common and candidates therefore costly. A pair becomes a candidate only
+if it shares as many shingles of these as its two prefixes demand for its own t, and then the whole sets are compared.
 
 A shingle is a 64-bit hash of its words' 64-bit hashes; two documents of a thousand shingles meet a wrong one with
 probability 1e-13. Sets are told apart by 128 bits and their size.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwatch.llm.simhash import components
-from revwatch.llm.store import dropped, written
+from revwatch.llm.store import dropped, partitions, written
 from revwatch.llm.texts import LOWER, SPACE, chunks, distinct, flat, gather
 from revwatch.llm.texts import words as split_words
 
@@ -38,8 +38,8 @@ TILE = 2048
 CHUNK_BYTES = 1_000_000
 #: Lengthenings that are weighed for a document.
 LENGTHS = (1, 2, 4, 8)
-#: Bits of a document's parity sketch.
-LEAST_BITS, MOST_BITS = 128, 2048
+#: Bits of a document's parity sketch: four times its shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 512, 4096
 #: Documents whose keys may be broadcast to find them again: some 40 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -168,9 +168,9 @@ def lengthening(costs: np.ndarray, size: int, base: int, most: int) -> int:
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, hi, lo, n, posted, counts, marks, sketch): the prefix in order, with known counts and compact forms.
+    """(doc_id, hi, lo, n, posted, counts, marks, sketch): the prefix that is posted, with known counts, and compact forms.
 
-    ``marks`` are 16 bits of every posted shingle. ``sketch`` has the parity of the whole set per bucket of hashes: sets
+    ``marks`` are 16 bits of every shingle of the lengthened prefix. ``sketch`` has the parity of the whole set per bucket of hashes: sets
     that differ in d shingles differ in d bits at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -192,11 +192,10 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int,
                     most = -(-num * size // den)
                     base = size - most + 1
                     q = base - 1 + lengthening(cost[order], size, base, most) if size else 0
-                    order = order[:q]
-                    posted.append(own[order].view(np.int64))
-                    known_counts.append(cost[order].astype(np.int32))
-                    marks.append((own[order] >> np.uint64(48)).astype(np.uint16).tobytes())
-                    bits = min(max(1 << max(size - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
+                    posted.append(own[order[: min(base, size)]].view(np.int64))
+                    known_counts.append(cost[order[: min(base, size)]].astype(np.int32))
+                    marks.append((own[order[:q]] >> np.uint64(48)).astype(np.uint16).tobytes())
+                    bits = min(max(4 << max(size - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
                     sketches.append(np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes())
                 ends = np.append(0, np.cumsum([len(p) for p in posted])).astype(np.int32)
                 lists = [
@@ -215,14 +214,15 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int,
 
 
 def light_matches(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Of postings (shingle, node, n, q, at): rows (a, b, demand) of short lists, one per shingle that a pair shares where
-    its own prefixes count it, and rows (shingle, a) of longer lists."""
+    """Of postings (shingle, node, n, at): rows (a, b) of short lists, for every pair that meets inside its own prefixes,
+    and rows (shingle, a) of longer lists."""
+    names = ["shingle", "a", "b"]
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            columns = [table.column(c).to_numpy() for c in ("shingle", "node", "n", "q", "at")]
+            columns = [table.column(c).to_numpy() for c in ("shingle", "node", "n", "at")]
             rest = columns if rest is None else [np.concatenate(p) for p in zip(rest, columns, strict=True)]
             change = np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1
             if len(change):
@@ -232,7 +232,7 @@ def light_matches(postings: DataFrame, num: int, den: int) -> DataFrame:
             yield from emit(rest)
 
     def emit(columns):
-        shingle, node, n, q, at = columns
+        shingle, node, n, at = columns
         borders = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))
         sizes = np.diff(borders)
         for m in np.unique(sizes[(sizes > 1) & (sizes <= LIGHT)]).tolist():
@@ -243,26 +243,42 @@ def light_matches(postings: DataFrame, num: int, den: int) -> DataFrame:
                 a = (starts[lo : lo + step, None] + x).ravel()
                 b = (starts[lo : lo + step, None] + y).ravel()
                 t = overlap(n[a], n[b], num, den)
-                demand = np.minimum(q[a] - n[a], q[b] - n[b]) + t
-                # Both positions inside the prefixes that this demand stands for.
                 fits = (t <= np.minimum(n[a], n[b])) & (node[a] != node[b])
-                fits &= (at[a] <= n[a] - t + demand) & (at[b] <= n[b] - t + demand)
-                a, b, demand = a[fits], b[fits], demand[fits]
-                if len(a):
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [none, pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(demand)],
-                        ["shingle", "a", "b", "demand"],
-                    )
+                fits &= (at[a] <= n[a] - t + 1) & (at[b] <= n[b] - t + 1)
+                pairs = np.unique(np.stack([np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]]), axis=1)
+                if pairs.shape[1]:
+                    none = pa.nulls(pairs.shape[1], pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), pa.array(pairs[1])], names)
         long = np.repeat(sizes > LIGHT, sizes)
         if long.any():
             none = pa.nulls(int(long.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[long]), pa.array(node[long]), none, none], ["shingle", "a", "b", "demand"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[long]), pa.array(node[long]), none], names)
 
-    dealt = postings.repartition(F.col("shingle")).sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "shingle bigint, a bigint, b bigint, demand bigint")
+    width = partitions(postings.sparkSession)
+    dealt = postings.repartition(width, F.col("shingle")).sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "shingle bigint, a bigint, b bigint")
+
+
+def enough_matches(pairs: DataFrame, body: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that share as many shingles of their lengthened prefixes as these demand; marks that agree by
+    chance only add to the count."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, m, n, x, y = (batch.column(i) for i in range(6))
+            t = overlap(m.to_numpy(), n.to_numpy(), num, den)
+            kept = []
+            for size_a, size_b, least, p, q in zip(m.to_pylist(), n.to_pylist(), t.tolist(), x.to_pylist(), y.to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+                demand = min(len(p) - size_a, len(q) - size_b) + least
+                kept.append(int(np.isin(q, p).sum()) >= demand)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    left = body.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("marks").alias("x"))
+    right = body.select(F.col("node").alias("b"), "n", F.col("marks").alias("y"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 class _Tile:
@@ -407,18 +423,18 @@ def links(docs: DataFrame, nodes: DataFrame, known, words: int, num: int, den: i
     carried = prefixes(docs, known, words, num, den).filter("n > 0")
     mine = nodes.select("node", "hi", "lo", "n", "least_id")
     carried = carried.join(mine, ["hi", "lo", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("least_id")))
-    carried = written(carried.select("node", "n", F.size("posted").alias("q"), "posted", "counts", "marks", "sketch"), "prefixes")
-    postings = carried.select("node", "n", "q", F.posexplode(F.arrays_zip("posted", "counts")).alias("at", "p")).select(
-        F.col("p.posted").alias("shingle"), "node", "n", "q", (F.col("at") + 1).alias("at"), F.col("p.counts").alias("c")
+    carried = written(carried.select("node", "n", "posted", "counts", "marks", "sketch"), "prefixes")
+    # Marks and sketches meet the pairs and the tiles' rows; each document is one row here.
+    body = carried.select("node", "n", "marks", "sketch")
+    postings = carried.select("node", "n", F.posexplode(F.arrays_zip("posted", "counts")).alias("at", "p")).select(
+        F.col("p.posted").alias("shingle"), "node", "n", (F.col("at") + 1).alias("at"), F.col("p.counts").alias("c")
     )
     found = written(light_matches(postings.filter(F.col("c") <= HEAVY).drop("c"), num, den), "matches")
-    counted = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("demand").alias("demand"))
-    candidates = counted.filter("k >= demand").select("a", "b")
+    met = written(found.filter("b IS NOT NULL").select("a", "b").distinct(), "met")
+    candidates = enough_matches(met, body, num, den)
 
     long_lists = found.filter("b IS NULL").select("shingle", F.col("a").alias("node"))
     long_lists = long_lists.unionByName(postings.filter(F.col("c") > HEAVY).select("shingle", "node"))
-    # Marks and sketches join the tiles' rows; each document is one row there.
-    body = carried.select("node", "n", "marks", "sketch")
     places = written(tiles_of(long_lists), "tiles")
     forest = written(tile_links(places.join(body, "node"), num, den, False), "forest")
     pairs = written(candidates.unionByName(forest.select("a", "b")).distinct(), "pairs")
