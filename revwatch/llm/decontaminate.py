@@ -174,7 +174,8 @@ def annotated(
 
     An item of fewer than ``window`` words is one window; one without words or with a null text is none. Items with
     a null id are scanned for like others; all of them together are one null at the end of the list, which is counted, as the
-    query's SQL does, and left out where ids are joined. Whole texts are scanned. An empty benchmark finds nothing; an empty table gives no rows.
+    query's SQL does, and left out where ids are joined. Whole texts are scanned. An empty benchmark finds nothing; an empty
+    table gives no rows.
     """
     name = "_"
     while any(c.startswith(name) for c in docs.columns):

@@ -159,7 +159,7 @@ def lengthening(costs: np.ndarray, size: int, base: int, most: int) -> int:
     """How many matches to ask of a document: the l that makes scanning and verifying its candidates cheapest.
 
     ``costs`` are the counts of its shingles in order; the documents met at the first ``base`` of them are the candidates.
-    A longer prefix posts and compares more, but only about one candidate in l has l matches.
+    A longer prefix is carried and compared, but only about one candidate in l has l matches.
     """
     met = int((costs[:base] - 1).sum())
     options = [k for k in LENGTHS if k <= most]
@@ -170,8 +170,8 @@ def lengthening(costs: np.ndarray, size: int, base: int, most: int) -> int:
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int, num: int, den: int) -> DataFrame:
     """(doc_id, hi, lo, n, posted, counts, marks, sketch): the prefix that is posted, with known counts, and compact forms.
 
-    ``marks`` are 16 bits of every shingle of the lengthened prefix. ``sketch`` has the parity of the whole set per bucket of hashes: sets
-    that differ in d shingles differ in d bits at most.
+    ``marks`` are 16 bits of every shingle of the lengthened prefix. ``sketch`` has the parity of the whole set per bucket of
+    hashes: sets that differ in d shingles differ in d bits at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -196,7 +196,8 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int,
                     known_counts.append(cost[order[: min(base, size)]].astype(np.int32))
                     marks.append((own[order[:q]] >> np.uint64(48)).astype(np.uint16).tobytes())
                     bits = min(max(4 << max(size - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
-                    sketches.append(np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes())
+                    buckets = (own % np.uint64(bits)).astype(np.int64)
+                    sketches.append(np.packbits(np.bincount(buckets, minlength=bits) & 1).tobytes())
                 ends = np.append(0, np.cumsum([len(p) for p in posted])).astype(np.int32)
                 lists = [
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, kind)))

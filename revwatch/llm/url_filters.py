@@ -104,10 +104,10 @@ def template_tree(urls: DataFrame) -> DataFrame:
     Returns (host, segs, template, urls, blocked, allowed, purity): the last four are those of the whole template. The
     tree is built from the top, over all segments. At every node a branch is compared with its siblings taken together,
     never with each of them: if the shares of blocked among labelled urls and of ending among all urls differ by no more
-    than chance, the branch becomes the node's wildcard. A branch that stays apart is followed at once as far as its paths agree, so there are as
-    many rounds as levels at which paths part or end; below ``LEVELS`` levels, only nodes that could still be rejected are
-    followed. Counting before every join leaves one row per branch, whatever
-    share of all urls a host has.
+    than chance, the branch becomes the node's wildcard. A branch that stays apart is followed at once as
+    far as its paths agree, so there are as many rounds as levels at which paths part or end; below ``LEVELS`` levels, only
+    nodes that could still be rejected are followed. Counting before every join leaves one row per branch, whatever share
+    of all urls a host has.
     """
     counts = urls.groupBy("host", segments(F.col("path")).alias("segs")).agg(
         F.count(F.lit(1)).alias("n"),
