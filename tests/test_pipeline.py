@@ -299,3 +299,23 @@ def test_a_scope_drops_what_was_written_on_the_way(spark, sf_dir):
     with intermediates(spark):
         rank_globally(spark.range(50), [F.col("id")]).count()
     assert count() == start + 1
+
+
+def test_scopes_of_equal_contents_are_kept_apart(spark):
+    """An inner scope that ends while both are empty leaves the outer one open, which still drops what is its own."""
+    from revwatch.session import checkpoint_root, intermediates, materialize
+
+    (spark_root := Path(checkpoint_root(spark)) / spark.sparkContext.applicationId).mkdir(parents=True, exist_ok=True)
+    before = set(spark_root.iterdir())
+    with intermediates(spark):
+        with intermediates(spark):
+            pass
+        assert materialize(spark.range(3), "outer").count() == 3
+    assert set(spark_root.iterdir()) == before
+
+
+def test_a_shared_table_may_build_the_ones_below_it(spark, sf_dir):
+    """Shared tables that build others on the way are written whatever stands already."""
+    from revwatch.plans.warehouse import Warehouse
+
+    assert Warehouse(spark, sf_dir).dim_customers.count() > 0
