@@ -20,14 +20,14 @@ REFRESH = {"day": "interval 1 day", "week": "interval 7 days", "month": "interva
 
 def daily_moments(rows: DataFrame, value: str, series_key: Sequence[str] = (), date: str = "order_date") -> DataFrame:
     """Count, sum and sum of squares in integer cents per series and day; they add up over any days."""
-    c = cents(F.col(value))
+    c = cents(F.col(value)).cast("decimal(19,0)")  # the square of a day's revenue is beyond a long
     return (
         rows.filter(F.col(value).isNotNull() & F.col(date).isNotNull())
         .groupBy(*series_key, F.to_date(date).alias("day"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(c.cast("decimal(20,0)")).alias("s"),
-            F.sum((c * c).cast("decimal(20,0)")).alias("q"),
+            F.sum(c).cast("decimal(38,0)").alias("s"),
+            F.sum(c * c).cast("decimal(38,0)").alias("q"),
         )
     )
 
@@ -44,7 +44,7 @@ def baseline_versions(
     step = F.expr(REFRESH[every])
     spans = moments.groupBy(*series_key).agg(F.min("day").alias("first"), F.max("day").alias("last"))
     dates = F.sequence(F.trunc("first", every) if every != "day" else F.col("first"), F.date_add("last", 1), step)
-    zero = F.lit(0).cast("decimal(20,0)")
+    zero = F.lit(0).cast("decimal(38,0)")
     refreshes = spans.select(
         *series_key, F.explode(dates).alias("day"), F.lit(0).cast("bigint").alias("n"), zero.alias("s"), zero.alias("q"),
         F.lit(True).alias("refresh"),

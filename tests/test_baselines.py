@@ -53,6 +53,19 @@ def test_versions_of_months(spark):
     assert empty.collect() == []
 
 
+def test_versions_of_large_amounts(spark):
+    """Squares of days of a hundred million and more, whose cents squared pass 64 bits, are still exact."""
+    values = [1e8 + 1e7 * ((7 * k) % 13) for k in range(40)] + [2.5e13]
+    frame = spark.createDataFrame(series(values), SCHEMA)
+    got = baselines.baseline_versions(moments(frame), ["series"], days=30, every="day").collect()
+    assert len(got) == 40
+    for r in got:
+        k = (r.valid_from - DAY0).days
+        before = values[max(k - 30, 0) : k]
+        assert r.base_mean == pytest.approx(statistics.mean(before), rel=1e-12)
+        assert r.base_std == pytest.approx(statistics.stdev(before), rel=1e-12)
+
+
 def alerts(spark, rows, every="day"):
     frame = spark.createDataFrame(rows, SCHEMA)
     versions = baselines.baseline_versions(moments(frame), ["series"], every=every)
