@@ -319,3 +319,17 @@ def test_a_shared_table_may_build_the_ones_below_it(spark, sf_dir):
     from revwatch.plans.warehouse import Warehouse
 
     assert Warehouse(spark, sf_dir).dim_customers.count() > 0
+
+
+def test_items_are_dealt_before_they_are_held(spark, capsys):
+    """No hash table over a split of the items, whose size would follow the file; the sums are those of the rows."""
+    rows = [(1, 1, 7, 100, 5), (1, 2, 7, 200, 6), (1, 3, 8, 300, 7), (2, 1, 7, 50, 1), (None, 1, 9, 10, 2)]
+    items = spark.createDataFrame(
+        rows, "order_id bigint, order_item_id int, product_id bigint, price_cents bigint, freight_cents bigint"
+    )
+    totals = star.order_totals(items)
+    totals.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning") :]
+    got = {r[0]: (float(r[1]), float(r[2]), r[3], r[4]) for r in totals.collect()}
+    assert got == {1: (6.0, 0.18, 3, 2), 2: (0.5, 0.01, 1, 1), None: (0.1, 0.02, 1, 1)}
