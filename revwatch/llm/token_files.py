@@ -1,17 +1,17 @@
 """Token files: ids in documents' order, arithmetic-coded in blocks that are reset and checksummed each by itself.
 
 After the last two ids (order 2) and after the last one (order 1) a block predicts the ids that it remembers there, by the
-hit rates that it has learnt for their confidence; all other ids are predicted by order 0, which starts from the file's id
-counts and adapts to the block, without the ids that the higher orders hold already. So one adaptive distribution over all
-ids drives the range coder, in one to three steps per id. Blocks share nothing but the counts, so many are coded side by
-side, one id of each at a time.
+hit rates that it has learnt for their confidence; all other ids, and remembered ones that hit too seldom, are predicted by
+order 0, which starts from the file's id counts and adapts to the block, without the ids that the higher orders give. So one adaptive distribution over all
+ids drives the range coder, in one step per id, or two for an id that has no bucket of its own. Blocks share nothing but the
+counts, so many are coded side by side, one id of each at a time.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +23,41 @@ from revwatch.llm.tokens import encode_rows
 
 BLOCK_IDS = 2048
 #: Blocks that are coded side by side at most, and ids of a file, where a part has as many.
-LANES = 2048
-FILE_IDS = BLOCK_IDS * 4096
+LANES = 8192
+FILE_IDS = BLOCK_IDS * LANES
 #: Bytes of text that are cut into words at once; fewer words are met twice in a larger chunk.
-CHUNK_BYTES = 8_000_000
-MAGIC = b"ACR3"
-
-BUCKETS = 256
-_SHARED = 32  # buckets of several ids
-_PRIOR, _GAIN = 1 << 12, 16  # of order 0: what the file's counts weigh, and what an id that was met weighs
-_BITS = 15  # of the chances of remembered ids
-_ONE, _ALL = 1 << _BITS, np.uint64(1 << _BITS)
+CHUNK_BYTES = 18_000_000
+MAGIC = b"ACR4"
+
+BUCKETS, GROUPS = 256, 32  # of order 0; a group is eight buckets, whose running sums are moved as one item of 16 bytes
+_SHARED = 24  # buckets of several ids
+_PRIOR, _GAIN_SHIFT = 2800, 12  # of order 0: what the file's counts weigh; an id that was met weighs 0xFFFF >> shift
+#: Hit rates are parts of 65536; an id whose rate is below this is left to order 0 until it hits more often (1/7).
+_TAKEN = np.uint16(9 << 10)
+#: How fast hit rates follow, and what a hit adds to them: those of confidence 1, and the others.
+_SLOW, _SLOW_HIT, _FAST, _FAST_HIT = np.uint16(6), np.uint16(1024 - 32), np.uint16(5), np.uint16(2048 - 64)
 #: Hit rates to begin with, by confidence 0 to 3, of the id after two ids and of the first and second one after one id.
-_RATES = ((0, 9000, 16000, 20000), (0, 4000, 9000, 13000), (0, 2500, 3000, 3000))
-_NONE, _CHECK = np.uint32(1 << 16), np.uint32(0x3FFF)
-#: Running sums over 16 columns as a product; all sums are whole numbers far below 2 ** 24, so exact.
-_UPTO = np.triu(np.ones((16, 16), np.float32))
-_SHORT = np.uint64(1 << 32)
-_TOP = np.uint64(1 << 48)
-_16, _48 = np.uint64(16), np.uint64(48)
+_RATES = ((0, 8000, 32000, 50000), (0, 5000, 12000, 36000), (0, 4000, 16000, 24000))
+_NONE = 1 << 16
+#: An entry of a context: an id, 14 bits that tell the context, two of confidence.
+_ID, _CHECK, _SEEN, _32 = np.uint32(0xFFFF), np.uint32(0xFFFC), np.uint32(3), np.uint64(32)
+_1, _MIX1, _MIX2 = np.uint32(1), np.uint32(0x9E3779B1), np.uint32(0x2C1B3C6D)
+_WORDS, _BYTES = np.uint64(0x0001000100010001), np.uint64(0x0101010101010101)
+_16, _56 = np.uint64(16), np.uint64(56)
+_LEAST, _48 = np.uint64(1 << 48), np.uint64(48)
+
+
+def _hashes() -> np.ndarray:
+    h = (np.arange(_NONE + 1, dtype=np.uint32) + _1) * _MIX1
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+    return (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+
+
+_HASHES = _hashes()  # of all ids, and of none
 
 
 class Order0:
-    """What the file's id counts say: the ids by falling count, cut into 256 buckets of 16 rows of 16.
+    """What the file's id counts say: the ids by falling count, cut into 256 buckets in 32 groups of eight.
 
     The most frequent ids have a bucket each; the others share buckets of about the same mass, inside which the file's
     counts hold. Every block adapts the frequencies of its buckets.
@@ -63,14 +75,22 @@ class Order0:
             first = np.unique(np.concatenate([first, [lone], np.maximum(np.searchsorted(self.upto, mass), lone)]))
             first = first[first < len(ranked)]
         borders = np.append(first, len(ranked))
-        self.rank, self.bucket = np.zeros(1 << 16, np.int64), np.zeros((1 << 16) + 1, np.int64)
+        self.rank, self.bucket = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.rank[ranked] = np.arange(len(ranked))
         self.bucket[ranked] = np.repeat(np.arange(len(first)), np.diff(borders))
         self.base, self.size = self.upto[first], np.diff(self.upto[borders])
-        self.lone = np.append(np.diff(borders) == 1, np.zeros(BUCKETS - len(first), bool))
-        self.prior = np.zeros(BUCKETS, np.float32)
+        self.head = ranked[first]
+        self.shared = np.append(np.diff(borders) > 1, np.ones(BUCKETS - len(first), bool))
+        self.first_shared = lone
+        self.prior = np.zeros(BUCKETS, np.uint16)
         self.prior[: len(first)] = np.maximum(self.size * _PRIOR // self.upto[-1], 1) if len(ranked) else 0
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """What stands at each place of the buckets of several ids, one after the other."""
+        ranks = np.arange(self.first_shared, len(self.ids), dtype=np.uint16)
+        return np.repeat(ranks, self.counts[self.first_shared :])
+
 
 @lru_cache(1)
 def _even() -> Order0:
@@ -78,238 +98,318 @@ def _even() -> Order0:
 
 
 class Model:
-    """The adaptive model of ``lanes`` blocks that are coded side by side; all numbers are integers.
+    """The adaptive model of ``lanes`` blocks that are coded side by side.
 
     After the last two ids (order 2) a block remembers one id, after the last id (order 1) two, each with a confidence.
     Their chances are the hit rates that the block has learnt for these confidences, so the orders are mixed by how well
-    each did. All other ids have the rest, shared out by the block's order 0, from which the remembered ids are taken out.
+    each did. All other ids have the rest, shared out by the block's order 0. All are parts of one row: that of order 0, in
+    which the part of a remembered id with a bucket of its own has another length, and the part of any other remembered id is
+    put in before its bucket.
     """
 
     def __init__(self, lanes: int, block_ids: int, order0: Order0):
         bits = max((block_ids - 1).bit_length(), 6)
-        self.order0, self.lane = order0, np.arange(lanes)
+        self.order0, self.lanes, self.lane = order0, lanes, np.arange(lanes)
         self.shift1, self.shift2 = np.uint32(32 - bits), np.uint32(31 - bits)
-        self.base1, self.base2 = self.lane << bits, self.lane << (bits + 1)
-        self.first, self.second = np.zeros(lanes << bits, np.uint32), np.zeros(lanes << bits, np.uint32)
-        self.pair = np.zeros(lanes << (bits + 1), np.uint32)
-        self.rates = [np.tile(np.array(start, np.int32), lanes) for start in _RATES]
-        self.fine = np.tile(order0.prior, (lanes, 1)).reshape(lanes * 16, 16)
-        self.coarse = self.fine.reshape(lanes, 16, 16).sum(axis=2)
-        self.total = self.coarse.sum(axis=1).astype(np.int64)
-        self.last, self.before = np.full(lanes, _NONE, np.uint32), np.full(lanes, _NONE, np.uint32)
+        # Two entries after one id, one after two ids.
+        self.one, self.two = np.zeros(lanes << bits, np.uint64), np.zeros(lanes << (bits + 1), np.uint32)
+        self.rates = np.repeat(np.array(_RATES, np.uint16).T.reshape(-1), lanes).reshape(4, 3, lanes)
+        self.rate = np.array([[0], [lanes], [2 * lanes]])
+        self.fine = np.repeat(order0.prior.reshape(GROUPS, 8).cumsum(axis=1, dtype=np.uint16).view(np.complex128), lanes)
+        sums = order0.prior.reshape(GROUPS, 8).sum(axis=1).cumsum()
+        self.sums = np.repeat(np.append(0, sums).astype(np.uint16), lanes).reshape(GROUPS + 1, lanes)
+        self.total, self.shift = int(sums[-1]), _GAIN_SHIFT
+        while self.total + (0xFFFF >> self.shift) * block_ids > 0xFFFF:
+            self.shift += 1
+        if self.shift > 15:
+            raise ValueError(f"a block of {block_ids} ids is too long")
+        self.gain = 0xFFFF >> self.shift
+        self.more = np.triu(np.full((8, 8), self.gain, np.uint16)).view(np.complex128).reshape(-1)
+        self.eight = self.lane << 3
+        self.rows = np.repeat(np.arange(GROUPS, dtype=np.uint16), lanes).reshape(GROUPS, lanes)
+        self.below, self.step = np.empty((GROUPS, lanes), bool), np.empty((GROUPS, lanes), np.uint16)
+        self.hash = np.full(lanes, _HASHES[_NONE])
+        self.mixed = self.hash * _MIX1
+        self.check, self.held = np.empty((3, lanes), np.uint32), np.empty((3, lanes), np.uint32)
+        self.pairs = np.empty((lanes, 2), np.uint32)
 
     def predict(self, n: int) -> np.ndarray:
-        """The remembered ids of the first ``n`` blocks, and the ends of their parts of ``_ONE``; the rest is for others."""
-        h1 = (self.last[:n] + np.uint32(1)) * np.uint32(0x9E3779B1)
-        h1 ^= h1 >> np.uint32(15)
-        h2 = (h1 + self.before[:n]) * np.uint32(0x2C1B3C6D)
-        h2 ^= h2 >> np.uint32(13)
-        h2 *= np.uint32(0x297A2D39)
-        self.check1, self.check2 = (h1 & _CHECK) << np.uint32(2), (h2 & _CHECK) << np.uint32(2)
-        self.at1 = (h1 * np.uint32(0x85EBCA6B) >> self.shift1) + self.base1[:n]
-        self.at2 = (h2 >> self.shift2) + self.base2[:n]
-        self.held = self.pair[self.at2], self.first[self.at1], self.second[self.at1]
-        four = self.lane[:n] << 2
-        self.ids, self.seen, self.own = [], [], []
-        for held, check in zip(self.held, (self.check2, self.check1, self.check1), strict=True):
-            seen = np.where(held & (_CHECK << np.uint32(2)) == check, held & np.uint32(3), np.uint32(0))
-            self.ids.append(np.where(seen > 0, held >> np.uint32(16), _NONE))
-            self.seen.append(seen)
-            self.own.append(four + seen)
-        p2, pa, pb = (rate[own] for rate, own in zip(self.rates, self.own, strict=True))
-        pa[self.ids[1] == self.ids[0]] = 0  # remembered twice: once is enough
-        pb[self.ids[2] == self.ids[0]] = 0
-        ends = np.empty((3, n), np.int64)
-        ends[0] = p2
-        ends[1] = p2 + ((_ONE - p2) * pa >> _BITS)
-        ends[2] = ends[1] + ((_ONE - ends[1]) * pb >> _BITS)
-        self.ends = ends
-        return ends
-
-    def others(self, act: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0 of the blocks ``act`` without what they remember: frequencies of rows, and their sums."""
-        coarse, total = self.coarse[act], self.total[act]
-        self.out = []
-        k = np.arange(len(act))
-        begin = np.zeros(len(act), np.int64)
-        for ids, end in zip(self.ids, self.ends, strict=True):
-            bucket = self.order0.bucket[ids[act]]
-            gone = np.where((end[act] > begin) & self.order0.lone[bucket], self.fine[(act << 4) + (bucket >> 4), bucket & 15], 0)
-            coarse[k, bucket >> 4] -= gone
-            total -= gone.astype(np.int64)
-            self.out.append((bucket, gone))
-            begin = end[act]
-        return coarse, total
-
-    def row(self, act: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Frequencies of one row of 16 buckets, without what is remembered, after ``others``."""
-        fine = self.fine[(act << 4) + group]
-        k = np.arange(len(act))
-        for bucket, gone in self.out:
-            fine[k, bucket & 15] -= np.where(bucket >> 4 == group, gone, 0)
-        return fine
-
-    def learn(self, n: int, ids: np.ndarray, hit: list[np.ndarray]) -> None:
-        """Takes in the next id of every block; ``hit`` tells which of the remembered ids coded it."""
-        tried = np.ones(n, bool)
-        for rate, own, seen, good in zip(self.rates, self.own, self.seen, hit, strict=True):
-            p = rate[own]
-            p = np.clip(p + ((good * np.int32(_ONE) - p) >> 4), 256, _ONE - 2048)
-            now = tried & (seen > 0)
-            rate[own[now]] = p[now]
-            tried &= ~good
-        pair, a, b = self.held
-        new = ids << np.uint32(16)
-        same = self.ids[0] == ids
-        kept = same | (self.seen[0] > 1)
-        seen = np.where(same, np.minimum(self.seen[0] + np.uint32(1), np.uint32(3)), np.uint32(1))
-        self.pair[self.at2] = np.where(kept, pair & ~np.uint32(3), new | self.check2) | seen
-        # The first id after another gains confidence or loses it, and changes places with the second where that one came.
-        same, swap, none = self.ids[1] == ids, self.ids[2] == ids, self.seen[1] == 0
-        bare = a & ~np.uint32(3)
-        entry = new | self.check1 | np.uint32(1)
-        up = bare | np.minimum(self.seen[1] + np.uint32(1), np.uint32(3))
-        down = bare | np.maximum(self.seen[1], np.uint32(2)) - np.uint32(1)
-        self.first[self.at1] = np.where(same, up, np.where(none, entry, np.where(swap, b & ~np.uint32(3) | np.uint32(2), down)))
-        self.second[self.at1] = np.where(none, np.uint32(0), np.where(same, b, np.where(swap, a, entry)))
-        bucket = self.order0.bucket[ids]
-        row = (self.lane[:n] << 4) + (bucket >> 4)
-        self.fine[row, bucket & 15] += _GAIN
-        self.coarse.reshape(-1)[row] += _GAIN
-        self.total[:n] += _GAIN
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Lanes that have 16 settled bits to shift out; a width too small for that is cut at the next border."""
-    end = low + width
-    end -= np.uint64(1)
-    end ^= low
-    move = end < _TOP
-    short = width < _SHORT
-    if short.any():
-        short &= ~move
-        width[short] = (np.uint64(0) - low[short]) & (_SHORT - np.uint64(1))
-        move |= short
-    return move.nonzero()[0]
+        """Lengths of the rows of the first ``n`` blocks; places and lengths of the ids remembered in ``some`` of them."""
+        h1, check, held = self.hash[:n], self.check[:, :n], self.held[:, :n]
+        h2 = (h1 ^ self.mixed[:n]) * _MIX2
+        np.bitwise_and(h2, _CHECK, out=check[0])
+        np.bitwise_and(h1, _CHECK, out=check[1:])
+        self.at1 = (h1 >> self.shift1) * np.int64(self.lanes) + self.lane[:n]
+        self.at2 = (h2 >> self.shift2) * np.int64(self.lanes) + self.lane[:n]
+        one = self.one.take(self.at1).view(np.uint32)
+        held[0], held[1], held[2] = self.two.take(self.at2), one[::2], one[1::2]
+        # What is left of an entry is its confidence, where it is of this context.
+        seen = held & _ID
+        seen ^= check
+        seen *= seen <= _SEEN
+        seen = self.seen = seen.astype(np.uint8)
+        self.ids = held >> np.uint32(16)
+        known = self.known = seen > 0
+        twice = self.ids[1:] == self.ids[0]
+        twice &= known[0]
+        seen = seen.copy()
+        seen[1:] *= ~twice  # remembered twice: once is enough
+        self.fresh = seen == 1
+        self.firm = np.bitwise_or.reduce(seen, axis=0) > 1
+        taken = self.rates[1, :, :n] >= _TAKEN
+        taken &= self.fresh
+        some = self.some = (np.bitwise_or.reduce(taken, axis=0) | self.firm).nonzero()[0]
+        total = np.full(n, self.total, np.uint64)
+        if len(some):
+            seen = self.firmly = seen.take(some, axis=1)
+            self.own = seen * np.int64(3 * self.lanes) + (self.rate + some)
+            p = self.p = self.rates.reshape(-1).take(self.own)
+            taken = self.taken = (p >= _TAKEN) & (seen > 0)
+            ids = self.asked = self.ids.take(some, axis=1)
+            part = p * taken / 65536
+            rest = 1 - part[0]
+            for k in 1, 2:
+                part[k] *= rest
+                rest -= part[k]
+            bucket = self.order0.bucket.take(ids)
+            at = (bucket >> 3) * self.lanes + some
+            begin, size = self._span(self.fine.view(np.uint16), (at << 3) + (bucket & 7), bucket & 7)
+            at = self.at = self.sums.take(at) + begin
+            size *= taken & ~self.order0.shared.take(bucket)
+            left = np.maximum(self.total - size.sum(axis=0), 1)
+            self.length = ((part * (left / rest)).astype(np.int64) + 1) * taken
+            more = self.more_by = self.length - size
+            place = self.place = at.copy()
+            for k, other in (0, 1), (0, 2), (1, 2):
+                first = at[k] <= at[other]
+                place[other] += more[k] * first
+                place[k] += more[other] * ~first
+            total[some] += more.sum(axis=0).astype(np.uint64)
+        return total
+
+    @staticmethod
+    def _span(sums: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of the parts that end at ``sums[at]`` and have this place in their group."""
+        begin = sums.take(at - 1)
+        begin *= place > 0
+        return begin.astype(np.int64), (sums.take(at) - begin).astype(np.int64)
+
+    def part(self, n: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of the buckets in the rows of order 0."""
+        group, self.place0 = bucket >> 3, bucket & 7
+        self.group = group.astype(np.uint16)
+        self.at0 = group * self.lanes + self.lane[:n]
+        self.ends = self.fine.take(self.at0).view(np.uint16)
+        begin, size = self._span(self.ends, self.eight[:n] + self.place0, self.place0)
+        begin += self.sums.take(self.at0)
+        return begin, size
+
+    def find(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The buckets at the places ``at`` in the rows of order 0, their begins and lengths."""
+        below = np.less_equal(self.sums[1:, :n], at.astype(np.uint16), out=self.below[:, :n])
+        group = np.add.reduce(below.view(np.uint8), axis=0, dtype=np.uint8)
+        self.group, group = group.astype(np.uint16), group.astype(np.int64)
+        self.at0 = group * self.lanes + self.lane[:n]
+        base = self.sums.take(self.at0)
+        self.ends = self.fine.take(self.at0).view(np.uint16)
+        inside = ((at - base).view(np.uint64) * _WORDS).repeat(2).view(np.uint16)
+        self.place0 = ((self.ends <= inside).view(np.uint64) * _BYTES >> _56).view(np.int64)
+        begin, size = self._span(self.ends, self.eight[:n] + self.place0, self.place0)
+        begin += base
+        return (group << 3) + self.place0, begin, size
+
+    def moved(self, begin: np.ndarray, size: np.ndarray, hit: np.ndarray) -> None:
+        """Turns parts of order 0 into those of the whole rows; ``hit`` tells which ids are remembered ones."""
+        own = begin.take(self.some)
+        own += (self.more_by * (self.at <= own)).sum(axis=0)
+        length = size.take(self.some)
+        for k in range(3):
+            np.copyto(own, self.place[k], where=hit[k])
+            np.copyto(length, self.length[k], where=hit[k])
+        begin[self.some], size[self.some] = own, length
+
+    def learn(self, n: int, now: np.ndarray) -> None:
+        """Takes in the next id of every block, the one last asked for by ``part`` or ``find``."""
+        step = np.subtract(self.group - np.uint16(1), self.rows[:, :n], out=self.step[:, :n])
+        step >>= np.uint16(self.shift)
+        self.sums[1:, :n] += step
+        self.total += self.gain
+        self.ends += self.more.take(self.place0).view(np.uint16)
+        self.fine[self.at0] = self.ends.view(np.complex128)
+        now32 = now.astype(np.uint32)
+        same = self.ids == now32
+        same &= self.known
+        # Hit rates: those of the lowest confidence of all blocks, then those of the others.
+        if len(some := self.some):
+            tried = self.firmly > 1
+            hit = same.take(some, axis=1)
+            tried[1:] &= ~hit[0]
+            tried[2] &= ~hit[1]
+            rate = self.p >> _FAST
+            rate -= hit * _FAST_HIT
+            rate *= tried
+            self.rates.reshape(-1)[self.own.reshape(-1)] = (self.p - rate).reshape(-1)
+        tried, rate = self.fresh, self.rates[1, :, :n]
+        tried[1:] &= ~same[0]
+        tried[2] &= ~same[1]
+        less = rate >> _SLOW
+        less -= same * _SLOW_HIT
+        less *= tried
+        rate -= less
+        # A new id after two ids; after one id the new one is the second, or the first of a new context.
+        new = now32 << np.uint32(16)
+        new |= _1
+        new = new | self.check[:2, :n]
+        new2, new1 = new
+        known, pairs, held = self.known[1], self.pairs[:n], self.held
+        pairs[:, 0] = np.where(known, held[1, :n], new1)
+        np.multiply(new1, known, out=pairs[:, 1])
+        # Ids that came again gain confidence, others lose it; the second id changes places with the first when it came.
+        if len(some := (np.bitwise_or.reduce(same, axis=0) | self.firm).nonzero()[0]):
+            new, held, same, seen = (x.take(some, axis=1) for x in (new, held[:, :n], same, self.seen))
+            bare = held & ~_SEEN
+            up = bare | np.minimum(seen + np.uint8(1), np.uint8(3))
+            down = bare[1] | np.maximum(seen[1], np.uint8(2)) - np.uint8(1)
+            new2[some] = np.where(same[0], up[0], np.where(seen[0] > 1, bare[0] | _1, new[0]))
+            known = seen[1] > 0
+            swap = same[2] & ~same[1]
+            first = np.where(same[1], up[1], np.where(swap, bare[2] | np.uint32(2), down))
+            second = np.where(same[1], held[2], np.where(swap, held[1], new[1]))
+            pairs[some, 0] = np.where(known, first, new[1])
+            pairs[some, 1] = second * known
+        self.two[self.at2] = new2
+        self.one[self.at1] = pairs.view(np.uint64).reshape(-1)
+        np.multiply(self.hash[:n], _MIX1, out=self.mixed[:n])
+        self.hash[:n] = _HASHES.take(now)
 
 
 class RangeEncoder:
+    """Numbers of 64 bits; a carry out of them goes into the last digit, which is held back, and from there at the end."""
+
     def __init__(self, lanes: int, digits: int):
-        self.low = np.zeros(lanes, np.uint64)
+        self.low, self.held = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint32)
         self.width = np.full(lanes, ~np.uint64(0), np.uint64)
-        self.out = np.zeros((lanes, digits), np.uint16)
+        self.out = np.zeros((lanes, digits), np.uint32)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, act: np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
+    def room(self, digits: int) -> None:
+        if self.used.max() + digits > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out[:, :digits]), np.zeros_like(self.out)], axis=1)
+
+    def put(self, act: slice | np.ndarray, lane: np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
         """Narrows the lanes ``act`` to ``share`` of ``total`` parts from ``start`` on."""
         width = self.width[act] // total
-        low = self.low[act] + width * start.astype(np.uint64)
-        width *= share.astype(np.uint64)
-        while len(move := _settle(low, width)):
-            lanes, old = act[move], low[move]
-            at = self.used[lanes]
-            if at.max() + 5 > self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[lanes, at] = old >> _48
-            self.used[lanes] = at + 1
-            low[move] = old << _16
-            width[move] <<= _16
-        self.low[act], self.width[act] = low, width
+        begin = width * start.view(np.uint64)
+        width *= share.view(np.uint64)
+        low = self.low[act] + begin
+        held = self.held[act] + (low < begin)
+        used = self.used[act].copy()
+        out, row = self.out.reshape(-1), lane * self.out.shape[1]
+        while (move := width < _LEAST).any():
+            out[row + used] = held
+            used += move
+            held = np.where(move, (low >> _48).astype(np.uint32), held)
+            shift = move * _16
+            low <<= shift
+            width <<= shift
+        self.low[act], self.width[act], self.held[act], self.used[act] = low, width, held, used
 
     def finish(self) -> list[bytes]:
-        for k in range(4):
-            self.out[np.arange(len(self.used)), self.used] = (self.low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
-            self.used += 1
-        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.used.tolist())]
+        """The digits of each lane, up to the shortest number inside its width."""
+        self.room(2)
+        last = self.low + (_LEAST - np.uint64(1))
+        lane = np.arange(len(last))
+        self.out[lane, self.used] = self.held + (last < self.low)
+        self.out[lane, self.used + 1] = last >> _48
+        while len((over := (self.out > 0xFFFF).nonzero())[0]):
+            self.out[over] &= np.uint32(0xFFFF)
+            self.out[over[0], over[1] - 1] += _1
+        digits = self.out.astype("<u2")
+        return [digits[i, 1 : n + 2].tobytes() for i, n in enumerate(self.used.tolist())]
 
 
 class RangeDecoder:
     def __init__(self, payloads: list[bytes]):
         sizes = [len(p) // 2 for p in payloads]
-        self.digits = np.zeros((len(payloads), max(sizes) + 4), np.uint16)
+        self.columns = max(sizes) + 8
+        digits = np.zeros((len(payloads), self.columns), np.uint16)
         for i, p in enumerate(payloads):
-            self.digits[i, : sizes[i]] = np.frombuffer(p, "<u2")
-        self.low = np.zeros(len(payloads), np.uint64)
+            digits[i, : sizes[i]] = np.frombuffer(p, "<u2")
         self.width = np.full(len(payloads), ~np.uint64(0), np.uint64)
         self.code = np.zeros(len(payloads), np.uint64)
         for k in range(4):
-            self.code = self.code << _16 | self.digits[:, k].astype(np.uint64)
-        self.used = np.full(len(payloads), 4, np.int64)
+            self.code = self.code << _16 | digits[:, k].astype(np.uint64)
+        self.digits = digits.reshape(-1)
+        self.at = np.arange(len(payloads)) * self.columns + 4
 
-    def look(self, act: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def look(self, act: slice | np.ndarray, total: np.ndarray) -> np.ndarray:
         """Which of ``total`` parts each lane of ``act`` stands in."""
         self.unit = self.width[act] // total
-        part = (self.code[act] - self.low[act]) // self.unit
-        return np.minimum(part, total - np.uint64(1)).astype(np.int64)
+        return (self.code[act] // self.unit).view(np.int64)
 
-    def take(self, act: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
+    def take(self, act: slice | np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
         """Narrows the lanes to the part found by ``look``, as ``RangeEncoder.put`` does."""
-        low = self.low[act] + self.unit * start.astype(np.uint64)
-        width = self.unit * share.astype(np.uint64)
-        code = self.code[act]
-        while len(move := _settle(low, width)):
-            lanes = act[move]
-            at = self.used[lanes]
-            code[move] = code[move] << _16 | self.digits[lanes, at].astype(np.uint64)
-            self.used[lanes] = at + 1
-            low[move] <<= _16
-            width[move] <<= _16
-        self.low[act], self.width[act], self.code[act] = low, width, code
+        code = self.code[act] - self.unit * start.view(np.uint64)
+        width = self.unit * share.view(np.uint64)
+        at = self.at[act].copy()
+        while (move := width < _LEAST).any():
+            shift = move * _16
+            code <<= shift
+            code |= self.digits.take(at).astype(np.uint64) * move
+            at += move
+            width <<= shift
+        self.code[act], self.width[act], self.at[act] = code, width, at
 
 
 def _lengths(total: int, block_ids: int) -> list[int]:
     return [min(block_ids, total - a) for a in range(0, total, block_ids)]
 
 
+def _side_by_side(total: int, block_ids: int, lanes: int) -> list[list[int]]:
+    """Lengths of all blocks, in runs of at most ``lanes`` blocks that are about as many."""
+    lengths = _lengths(total, block_ids)
+    runs = -(-len(lengths) // lanes)
+    borders = [len(lengths) * k // runs for k in range(runs + 1)] if runs else []
+    return [lengths[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+
+
 def encode_blocks(
     ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES, counts: np.ndarray | None = None
 ) -> list[bytes]:
     """The payloads of consecutive blocks of ``block_ids`` ids below 65536; only the last block may be shorter.
 
     ``counts`` of all ids shape order 0; without them, ids are alike at first. An id takes one step of the range coder
-    if a block remembers it, two if it has a bucket of its own, else three.
+    if its block remembers it or it has a bucket of its own, else two.
     """
     order0 = _even() if counts is None else Order0(np.asarray(counts))
-    out = []
-    for first in range(0, len(ids), block_ids * lanes):
-        own = ids[first : first + block_ids * lanes]
-        lengths = _lengths(len(own), block_ids)
-        table = np.zeros((len(lengths), block_ids), np.uint32)
+    out, at = [], 0
+    for lengths in _side_by_side(len(ids), block_ids, lanes):
+        own = ids[at : at + sum(lengths)]
+        at += len(own)
+        table = np.zeros((len(lengths), block_ids), np.uint16)
         table.reshape(-1)[: len(own)] = own
         table = np.ascontiguousarray(table.T)
-        model, coder = Model(len(lengths), block_ids, order0), RangeEncoder(len(lengths), block_ids // 2 + 16)
+        model, coder = Model(len(lengths), block_ids, order0), RangeEncoder(len(lengths), block_ids // 2 + 256)
         for step in range(lengths[0]):
+            if step % 16 == 0:
+                coder.room(16 * 8)
             n = len(lengths) if step < lengths[-1] else len(lengths) - 1
-            now, act = table[step, :n], model.lane[:n]
-            ends = model.predict(n)
-            hit, left, begin = [], np.ones(n, bool), np.zeros(n, np.int64)
-            start, stop = ends[2].copy(), np.full(n, _ONE)
-            for k in range(3):
-                good = (model.ids[k] == now) & left & (ends[k] > begin)
-                start[good], stop[good] = begin[good], ends[k][good]
-                hit.append(good)
-                left &= ~good
-                begin = ends[k]
-            coder.put(act, start, stop - start, _ALL)
-            act = left.nonzero()[0]
-            if len(act):
-                ids_left = now[act]
-                bucket = order0.bucket[ids_left]
-                coarse, total = model.others(act)
-                group = bucket >> 4
-                fine = model.row(act, group)
-                k, place = np.arange(len(act)), bucket & 15
-                share = fine[k, place]
-                start = (coarse @ _UPTO)[k, group] - coarse[k, group] + (fine @ _UPTO)[k, place] - share
-                coder.put(act, start, share, total.astype(np.uint64))
-                many = (~order0.lone[bucket]).nonzero()[0]
-                if len(many):
-                    rank, bucket = order0.rank[ids_left[many]], bucket[many]
-                    start = order0.upto[rank] - order0.base[bucket]
-                    coder.put(act[many], start, order0.counts[rank], order0.size[bucket].astype(np.uint64))
-            model.learn(n, now, hit)
+            now = table[step, :n].astype(np.int64)
+            total = model.predict(n)
+            bucket = order0.bucket.take(now)
+            begin, size = model.part(n, bucket)
+            shared = order0.shared.take(bucket)
+            if len(some := model.some):
+                hit = model.taken & (model.asked == now.take(some))
+                model.moved(begin, size, hit)
+                shared[some] &= ~hit.any(axis=0)
+            coder.put(slice(n), model.lane[:n], begin, size, total)
+            many = shared.nonzero()[0]
+            if len(many):
+                rank, bucket = order0.rank.take(now.take(many)), bucket.take(many)
+                begin = order0.upto.take(rank) - order0.base.take(bucket)
+                coder.put(many, many, begin, order0.counts.take(rank), order0.size.take(bucket).view(np.uint64))
+            model.learn(n, now)
         out += coder.finish()
     return out
 
@@ -319,48 +419,42 @@ def decode_blocks(
 ) -> np.ndarray:
     """The ids that ``encode_blocks`` was given."""
     order0 = _even() if counts is None else Order0(np.asarray(counts))
-    all_lengths, out = _lengths(total, block_ids), []
-    for first in range(0, len(payloads), lanes):
-        lengths = all_lengths[first : first + lanes]
+    out, done = [], 0
+    for lengths in _side_by_side(total, block_ids, lanes):
         table = np.zeros((block_ids, len(lengths)), np.uint16)
-        model, coder = Model(len(lengths), block_ids, order0), RangeDecoder(payloads[first : first + lanes])
+        model, coder = Model(len(lengths), block_ids, order0), RangeDecoder(payloads[done : done + len(lengths)])
+        done += len(lengths)
         for step in range(lengths[0]):
             n = len(lengths) if step < lengths[-1] else len(lengths) - 1
-            act = model.lane[:n]
-            ends = model.predict(n)
-            part = coder.look(act, _ALL)
-            now, hit, left, begin = np.zeros(n, np.uint32), [], np.ones(n, bool), np.zeros(n, np.int64)
-            start, stop = ends[2].copy(), np.full(n, _ONE)
-            for k in range(3):
-                good = left & (part < ends[k])
-                now[good], start[good], stop[good] = model.ids[k][good], begin[good], ends[k][good]
-                hit.append(good)
-                left &= ~good
-                begin = ends[k]
-            coder.take(act, start, stop - start)
-            act = left.nonzero()[0]
-            if len(act):
-                k = np.arange(len(act))
-                coarse, total_left = model.others(act)
-                part = coder.look(act, total_left.astype(np.uint64))
-                upto = coarse @ _UPTO
-                group = (upto <= part[:, None]).sum(axis=1)
-                before = upto[k, group] - coarse[k, group]
-                fine = model.row(act, group)
-                upto = fine @ _UPTO + before[:, None]
-                place = (upto <= part[:, None]).sum(axis=1)
-                coder.take(act, upto[k, place] - fine[k, place], fine[k, place])
-                bucket = (group << 4) + place
-                rank = np.searchsorted(order0.upto, order0.base[bucket], "right") - 1
-                many = (~order0.lone[bucket]).nonzero()[0]
-                if len(many):
-                    base = order0.base[bucket[many]]
-                    part = coder.look(act[many], order0.size[bucket[many]].astype(np.uint64)) + base
-                    rank[many] = np.searchsorted(order0.upto, part, "right") - 1
-                    coder.take(act[many], order0.upto[rank[many]] - base, order0.counts[rank[many]])
-                now[act] = order0.ids[rank]
+            at = coder.look(slice(n), model.predict(n))
+            if len(some := model.some):
+                own = at.take(some)
+                past = own >= model.place + model.length
+                hit = (own >= model.place) & ~past
+                own -= (model.more_by * past).sum(axis=0)
+                for k in range(3):
+                    np.copyto(own, model.at[k], where=hit[k])
+                at[some] = own
+            bucket, begin, size = model.find(n, at)
+            now, shared = order0.head.take(bucket), order0.shared.take(bucket)
+            if len(some):
+                model.moved(begin, size, hit)
+                own = now.take(some)
+                for k in range(3):
+                    np.copyto(own, model.asked[k], where=hit[k])
+                now[some] = own
+                shared[some] &= ~hit.any(axis=0)
+            coder.take(slice(n), begin, size)
+            many = shared.nonzero()[0]
+            if len(many):
+                bucket = bucket.take(many)
+                base = order0.base.take(bucket)
+                part = coder.look(many, order0.size.take(bucket).view(np.uint64)) + base
+                rank = order0.places.take(part - order0.upto[order0.first_shared])
+                coder.take(many, order0.upto.take(rank) - base, order0.counts.take(rank))
+                now[many] = order0.ids.take(rank)
             table[step, :n] = now
-            model.learn(n, now, hit)
+            model.learn(n, now)
         out.append(table.T.reshape(-1)[: sum(lengths)])
     return np.concatenate(out) if out else np.empty(0, np.uint16)
 
@@ -424,7 +518,9 @@ def write_token_files(
     # Rows that are alike in id and text may be many; the running number lets a range end among them.
     order = ["doc_id", "tie", "row"]
     rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ordered = rows.repartitionByRange(partitions(spark, files_at_least), *order).sortWithinPartitions(*order)
+    # Half as many parts as the session shuffles into: each has twice the blocks, which are coded side by side.
+    parts = max(-(-partitions(spark) // 2), files_at_least)
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext

@@ -201,3 +201,30 @@ def test_every_order_holds_a_distribution():
     coded = token_files.encode_blocks(ids, counts=np.bincount(ids))
     assert sum(map(len, coded)) * 8 / len(ids) < 3.3
     assert token_files.decode_blocks(coded, len(ids), counts=np.bincount(ids)).tolist() == ids.tolist()
+
+
+def test_one_or_two_coding_steps_an_id(monkeypatch):
+    # Three steps an id, and one for the remembered ids of every block, took three times the limit of CPU seconds.
+    steps, put = [], token_files.RangeEncoder.put
+    monkeypatch.setattr(token_files.RangeEncoder, "put", lambda coder, *a: (steps.append(len(a[-2])), put(coder, *a))[1])
+    chances = 1 / np.arange(10, 3010)
+    ids = np.random.default_rng(7).choice(3000, 20_000, p=chances / chances.sum()) * 20
+    coded = token_files.encode_blocks(ids, counts=np.bincount(ids))
+    assert sum(steps) < 1.6 * len(ids)
+    assert token_files.decode_blocks(coded, len(ids), counts=np.bincount(ids)).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("block_ids", [300, 5000])
+@pytest.mark.parametrize("kinds", [1, 3, 300, 60_000])
+def test_coder_with_few_and_many_ids(kinds, block_ids):
+    rng = np.random.default_rng(kinds)
+    ids = rng.integers(0, kinds, 5200)
+    ids[500:1500] = np.tile(ids[:40], 25)  # remembered ids of high confidence
+    for counts in (np.bincount(ids), None):
+        coded = token_files.encode_blocks(ids, block_ids, 7, counts)
+        assert token_files.decode_blocks(coded, len(ids), block_ids, 7, counts).tolist() == ids.tolist()
+
+
+def test_too_long_blocks_are_an_error():
+    with pytest.raises(ValueError, match="too long"):
+        token_files.encode_blocks(np.zeros(70_000, np.int64), 70_000)
